@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quorumlake.llm.bpe import op1_byte_bpe
 from quorumlake.llm.language_id import op3_language_id
 from quorumlake.llm.mixing import op10_mixing
 from quorumlake.llm.token_files import op2_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_token_files, op3_language_id, op10_mixing)
+    found = (op1_byte_bpe, op2_token_files, op3_language_id, op10_mixing)
     return {f.__name__: f for f in found}
 
 
