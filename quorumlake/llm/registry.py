@@ -10,11 +10,12 @@ from quorumlake.llm.bpe import op1_byte_bpe
 from quorumlake.llm.jaccard_join import op6_jaccard_join
 from quorumlake.llm.language_id import op3_language_id
 from quorumlake.llm.mixing import op10_mixing
+from quorumlake.llm.pii import op9_pii
 from quorumlake.llm.token_files import op2_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_byte_bpe, op2_token_files, op3_language_id, op6_jaccard_join, op10_mixing)
+    found = (op1_byte_bpe, op2_token_files, op3_language_id, op6_jaccard_join, op9_pii, op10_mixing)
     return {f.__name__: f for f in found}
 
 
