@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,6 +69,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Powers:
+    """Powers of an odd base modulo 2^64, and of its inverse: prefix sums of bytes times powers give any substring's
+    polynomial hash in a few operations."""
+
+    def __init__(self, base: int = 0x9E3779B97F4A7C15):
+        self.base = base | 1
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, CHUNK_BYTES + 1)
+            steps = np.full(size, self.base, np.uint64), np.full(size, pow(self.base, -1, 1 << 64), np.uint64)
+            for s in steps:
+                s[0] = 1
+            self.up, self.down = np.cumprod(steps[0]), np.cumprod(steps[1])
+        return self.up[:n], self.down[:n]
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        """Prefix sums of uint8 ``data``, one longer than it."""
+        up, _ = self.to(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        return total
+
+    def hashes(self, total: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The hash of each [start, stop), wherever in the data the substring stands."""
+        _, down = self.to(len(total))
+        return mix64((total[stop] - total[start]) * down[start])
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that are done with: it does once their objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a written table that nothing needs any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, component): the smallest node reachable along ``edges`` (u, v), for each node that has an edge.
 

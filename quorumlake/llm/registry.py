@@ -12,13 +12,14 @@ from quorumlake.llm.jaccard_join import op6_jaccard_join
 from quorumlake.llm.language_id import op3_language_id
 from quorumlake.llm.mixing import op10_mixing
 from quorumlake.llm.pii import op9_pii
+from quorumlake.llm.repeats import op5_repeated_strings
 from quorumlake.llm.secrets import op4_secret_scan
 from quorumlake.llm.syncmers import op7_fingerprints
 from quorumlake.llm.token_files import op2_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_byte_bpe, op2_token_files, op3_language_id, op4_secret_scan, op6_jaccard_join, op7_fingerprints, op8_embedding_dedup, op9_pii, op10_mixing)
+    found = (op1_byte_bpe, op2_token_files, op3_language_id, op4_secret_scan, op5_repeated_strings, op6_jaccard_join, op7_fingerprints, op8_embedding_dedup, op9_pii, op10_mixing)
     return {f.__name__: f for f in found}
 
 
