@@ -62,7 +62,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
         order = np.sort((cell << np.uint64(36)) | (value & np.uint64((1 << 36) - 1)))
         cells = (order >> np.uint64(36)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
-        out[a:b].reshape(-1)[cells[first]] = ((order[first] >> np.uint64(20)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
+        out[a:b].reshape(-1)[cells[first]] = (((order[first] & np.uint64((1 << 36) - 1)) >> np.uint64(20)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
     return out
 
 
