@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,29 +13,62 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import documents, shuffle_partitions, table_path
+from quorumlake.llm.common import documents, shuffle_partitions, table_path, written
 
 END_ID = 1
 STRIPE_BYTES = 32 << 20
 INDEX_ROWS = 1000
 #: Cached words of a Python worker, and the longest word (bytes) that is cached.
-CACHE_WORDS, CACHE_BYTES = 300_000, 64
+CACHE_WORDS, CACHE_BYTES = 500_000, 64
+#: Texts that are encoded together.
+ROWS = 500
 
 
-class _WordCache(dict):
-    """ids of a white-space-free word as little-endian uint32 bytes.
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable Latin-1 stands for itself, the others for U+0100 and on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Words(dict):
+    """ids of words, as little-endian uint32 bytes; a worker keeps them from task to task.
 
     The tokenizer drops white space and neither its normaliser nor its splitter looks across it, so that the ids of a
-    text are the ids of its words in order.
+    text are the ids of its words in order. It lower-cases too, so that words come with A-Z in lower case. A word of
+    Latin letters only is one piece, which the tokenizer's model takes as it is; a full stop or comma after a letter is
+    a piece of its own. Any other word goes through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer):
+    kept: dict[str, _Words] = {}
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.piece, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+
+    @classmethod
+    def of(cls, path: str) -> _Words:
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        got = np.asarray(ids, dtype="<u4").tobytes()
+        if word[-1] in b".," and word[-2:-1].isalpha():
+            got = self[word[:-1]] + self[word[-1:]]
+        elif word.isalpha():
+            got = array("I", [t.id for t in self.piece(word.decode())]).tobytes()
+        else:
+            text = word.decode("utf-8")
+            if text.isalpha() and max(text) < "\u0250" and (low := text.lower()).isalpha():
+                ids = [t.id for t in self.piece(low.encode().decode("latin-1").translate(self.letters))]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            got = array("I", ids).tobytes()
         if len(word) <= CACHE_BYTES:
             self[word] = got
         return got
@@ -44,27 +78,22 @@ def encoder(path: str, end_id: int | None = END_ID):
     """A mapInArrow function: (doc_id, text) -> (doc_id, part, n_tokens, ids). ``part`` is the task's partition."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        cache = _WordCache(tokenizer)
+        known = _Words.of(path)
         tail = b"" if end_id is None else np.asarray([end_id], dtype="<u4").tobytes()
         part = TaskContext.get().partitionId()
         for batch in batches:
             texts, ids = batch.column("text"), batch.column("doc_id")
-            for at in range(0, batch.num_rows, 1000):
-                get = cache.__getitem__
-                rows = [b"".join(map(get, (t.as_py() or "").encode().split())) + tail for t in texts.slice(at, 1000)]
+            for at in range(0, batch.num_rows, ROWS):
+                words = [(t or "").encode().lower().split() for t in texts.slice(at, ROWS).to_pylist()]
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                rows = [b"".join(map(known.__getitem__, w)) + tail for w in words]
                 lengths = np.fromiter((len(r) // 4 for r in rows), dtype=np.int64, count=len(rows))
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(rows), dtype="<u4").astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, 1000), pa.array(np.full(len(rows), part, np.int32)), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "part", "n_tokens", "ids"]
+                    [ids.slice(at, ROWS), pa.array(np.full(len(rows), part, np.int32)), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "part", "n_tokens", "ids"]
                 )
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
 
     return encode
 
@@ -111,4 +140,4 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = table_path(spark, "tokens")
     write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
     read = read_token_files(spark, path).select("doc_id", "part", "ids").mapInArrow(_crc, "doc_id long, part int, n_tokens long, ids_crc32 long")
-    return token_starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_starts(written(read, "token-counts")).select("doc_id", "start", "n_tokens", "ids_crc32")
