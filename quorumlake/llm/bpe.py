@@ -13,6 +13,8 @@ import base64
 import hashlib
 import heapq
 import json
+import re
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -27,7 +29,7 @@ from quorumlake.llm.common import documents, written
 
 FREQUENT_SHARE = 2.0**-18
 #: Longest word, in bytes, that is folded or kept in a task's cache, and words of that cache.
-WORD_BYTES, CACHE_WORDS = 64, 250_000
+WORD_BYTES, CACHE_WORDS = 64, 400_000
 #: Literal rank map: an array of small maps, found by crc32 of a piece (a Spark map literal is searched linearly).
 RANK_BUCKETS = 1 << 14
 #: Unicode White_Space, spelled out: engines disagree on \s.
@@ -57,22 +59,26 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word")
 
     A null word has null ids, an empty one none. Every byte has to have a rank.
     """
-    literal = rank_literal(ranks)
-    rank = lambda piece: F.element_at(F.element_at(literal, (F.crc32(piece) % RANK_BUCKETS + 1).cast("int")), F.hex(piece))
     data = F.col(word).cast("binary")
     steps = lambda n: F.when(n < 1, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))
     size = F.octet_length(F.col(word)).cast("int")
     parts = F.transform(steps(size), lambda i: F.substring(data, i, F.lit(1)))
 
-    def merged(acc: Column, _: Column) -> Column:
-        found = F.transform(steps(F.size(acc) - 1), lambda i: rank(F.concat(F.element_at(acc, i), F.element_at(acc, i + 1))))
-        low = F.array_min(found)
-        at = F.array_position(found, low).cast("int")
-        joined = F.concat(F.slice(acc, F.lit(1), at - 1), F.array(F.concat(F.element_at(acc, at), F.element_at(acc, at + 1))), F.slice(acc, at + 2, F.size(acc)))
-        return F.when(low.isNull(), acc).otherwise(joined)
+    def folded(table: Column) -> Column:
+        rank = lambda piece: F.element_at(F.element_at(table, (F.crc32(piece) % RANK_BUCKETS + 1).cast("int")), F.hex(piece))
 
-    pieces = F.aggregate(steps(size - 1), parts, merged)
-    return words.withColumn("ids", F.when(rank(data).isNotNull(), F.array(rank(data))).otherwise(F.transform(pieces, rank)))
+        def merged(acc: Column, _: Column) -> Column:
+            found = F.transform(steps(F.size(acc) - 1), lambda i: rank(F.concat(F.element_at(acc, i), F.element_at(acc, i + 1))))
+            low = F.array_min(found)
+            at = F.array_position(found, low).cast("int")
+            joined = F.concat(F.slice(acc, F.lit(1), at - 1), F.array(F.concat(F.element_at(acc, at), F.element_at(acc, at + 1))), F.slice(acc, at + 2, F.size(acc)))
+            return F.when(low.isNull(), acc).otherwise(joined)
+
+        return F.when(rank(data).isNotNull(), F.array(rank(data))).otherwise(F.transform(F.aggregate(steps(size - 1), parts, merged), rank))
+
+    # bound once, so that plans hold (and Spark's listeners keep) one copy of the literal
+    ids = F.transform(F.array(F.struct(rank_literal(ranks).alias("table"))), lambda x: folded(x["table"]))[0]
+    return words.withColumn("ids", F.when(data.isNotNull(), ids))
 
 
 def decode_ids(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
@@ -98,18 +104,19 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one word, as the fold makes them; a heap of ranked pairs over a linked list for long words."""
     if word in ranks:
         return [ranks[word]]
-    if len(word) <= 24:
+    if len(word) <= WORD_BYTES:
+        none, get = len(ranks), ranks.get
         parts = [word[i : i + 1] for i in range(len(word))]
-        get = ranks.get
-        while len(parts) > 1:
-            low, at = None, -1
-            for i in range(len(parts) - 1):
-                r = get(parts[i] + parts[i + 1])
-                if r is not None and (low is None or r < low):
-                    low, at = r, i
-            if low is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        pairs = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
+        while pairs and (low := min(pairs)) < none:
+            at = pairs.index(low)
+            whole = parts[at] + parts[at + 1]
+            parts[at : at + 2] = [whole]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = get(whole + parts[at + 1], none)
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + whole, none)
         return [ranks[p] for p in parts]
     n = len(word)
     end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
@@ -137,11 +144,23 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Cache(dict):
-    """What a word of the text becomes, as ``make`` of its ids; words not shared with the task are merged on demand."""
+    """What a word of the text becomes, as ``make`` of its ids; words not shared with the task are merged on demand.
+
+    A worker keeps its cache from task to task, until it holds CACHE_WORDS words of its own.
+    """
+
+    kept: dict[tuple, _Cache] = {}
 
     def __init__(self, shared: dict[str, list[int]], ranks: dict[bytes, int], make):
         super().__init__((w, make(ids)) for w, ids in shared.items())
-        self.shared, self.ranks, self.make = shared, ranks, make
+        self.frequent, self.ranks, self.make = dict(self), ranks, make
+
+    @classmethod
+    def of(cls, name: tuple, shared: dict[str, list[int]], ranks: dict[bytes, int], make) -> _Cache:
+        if name not in cls.kept:
+            cls.kept.clear()
+            cls.kept[name] = cls(shared, ranks, make)
+        return cls.kept[name]
 
     def __missing__(self, word: str):
         data = word.encode("utf-8")
@@ -151,10 +170,16 @@ class _Cache(dict):
         return got
 
     def trim(self) -> None:
-        if len(self) > len(self.shared) + CACHE_WORDS:
-            own = [w for w in self if w not in self.shared]
-            for w in own:
-                del self[w]
+        if len(self) > len(self.frequent) + CACHE_WORDS:
+            self.clear()
+            self.update(self.frequent)
+
+
+def _splitter(pattern: str):
+    """The matches of ``pattern`` in a text, in order; ASCII texts take the same pattern with ASCII classes."""
+    plain = re.compile(re.sub(r"(?<=[\[\w])\\p\{L\}\\p\{N\}", "A-Za-z0-9", pattern).replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")).findall
+    full = regex.compile(pattern).findall
+    return lambda text: (plain if text.isascii() else full)(text)
 
 
 class Encoder:
@@ -165,17 +190,18 @@ class Encoder:
         folded = encode_words(frequent_words(docs, pattern, text=text), self.ranks).toPandas()
         shared = dict(zip(folded["word"], map(list, folded["ids"]), strict=True))
         self.shared = docs.sparkSession.sparkContext.broadcast((shared, self.ranks))
+        self.name = uuid.uuid4().hex
 
     def ids(self, docs: DataFrame, column: str = "ids") -> DataFrame:
         """Adds ``column`` array<int>, the text's ids (null or empty text: none); a column of that name gives way."""
-        shared, pattern, text = self.shared, self.pattern, self.text
+        shared, pattern, text, name = self.shared, self.pattern, self.text, self.name
         kept = [c for c in docs.columns if c != column]
         schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(column, T.ArrayType(T.IntegerType()))])
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, ranks = shared.value
-            find = regex.compile(pattern).findall
-            cache = _Cache(words, ranks, lambda ids: np.asarray(ids, np.int32).tobytes())
+            find = _splitter(pattern)
+            cache = _Cache.of(("ids", name), words, ranks, lambda ids: np.asarray(ids, np.int32).tobytes())
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
                     part = batch.slice(at, 1000)
@@ -189,14 +215,14 @@ class Encoder:
 
     def digests(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the text's ids and of the bytes they decode to."""
-        shared, pattern, text = self.shared, self.pattern, self.text
+        shared, pattern, text, name = self.shared, self.pattern, self.text, self.name
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, ranks = shared.value
             pieces = {rank: piece for piece, rank in ranks.items()}
-            find = regex.compile(pattern).findall
+            find = _splitter(pattern)
             # one entry a word: decimal ids, then what its ids decode to
-            cache = _Cache(words, ranks, lambda ids: (",".join(map(str, ids)), b"".join(pieces[i] for i in ids)))
+            cache = _Cache.of(("digests", name), words, ranks, lambda ids: (",".join(map(str, ids)), b"".join(pieces[i] for i in ids)))
             for batch in batches:
                 n, ids_sha, text_sha = [], [], []
                 for t in batch.column(text):
