@@ -19,7 +19,7 @@ END_ID = 1
 STRIPE_BYTES = 32 << 20
 INDEX_ROWS = 1000
 #: Cached words of a Python worker, and the longest word (bytes) that is cached.
-CACHE_WORDS, CACHE_BYTES = 500_000, 64
+CACHE_WORDS, CACHE_BYTES = 900_000, 64
 #: Texts that are encoded together.
 ROWS = 500
 
