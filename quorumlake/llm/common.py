@@ -5,14 +5,16 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a vectorised kernel takes at once; keeps a Python worker's arrays under about 100 MB.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that a vectorised kernel takes at once, and rows of text that are held as Python objects: a worker's
+#: arrays stay at some tens of MB (a longer text is taken alone).
+CHUNK_BYTES, CHUNK_ROWS = 1 << 18, 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +46,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges [a, b) of ``texts`` that hold about ``limit`` bytes together (one text at least)."""
     a, held = 0, 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import connected_components, documents, mix64, shuffle_partitions, text_chunks, written
+from quorumlake.llm.common import Powers, connected_components, documents, mix64, shuffle_partitions, slices, text_chunks, written
 
 SHINGLE = 5
 #: Similarity as a fraction; CELLS is the share of a band's largest size that its sketch has as cells (at least LEAST).
@@ -25,28 +25,10 @@ SIM_NUM, SIM_DEN = 80, 100
 CELLS, LEAST_CELLS = 0.32, 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
-class _Powers:
-    """Powers of an odd base modulo 2^64, and of its inverse."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 20)
-            inverse = pow(_BASE, -1, 1 << 64)
-            steps = np.full(size, _BASE, np.uint64), np.full(size, inverse, np.uint64)
-            for s in steps:
-                s[0] = 1
-            self.up, self.down = np.cumprod(steps[0]), np.cumprod(steps[1])
-        return self.up[:n], self.down[:n]
-
-
-_powers = _Powers()
+_powers = Powers()
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -58,9 +40,7 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         space = _SPACE[chunk]
         edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
         starts, ends = edge[0::2], edge[1::2]
-        up, down = _powers.to(len(chunk) + 1)
-        total = np.concatenate([[np.uint64(0)], np.cumsum((chunk.astype(np.uint64) + np.uint64(1)) * up[:-1])])
-        words = mix64((total[ends] - total[starts]) * down[starts])
+        words = _powers.hashes(_powers.sums(chunk), starts, ends)
         five = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
         for k in range(SHINGLE):
             five = (five ^ words[k : len(five) + k]) * _STEP[k]
@@ -117,11 +97,29 @@ def sketch_keys(s: np.ndarray, seed: int = 0) -> np.ndarray | None:
     return None if any(x is None for x in out) else np.concatenate(out)
 
 
+def bit_sketch(s: np.ndarray) -> bytes:
+    """A parity bit for each of 2^k >= 4 |s| cells (64 at least): each shingle flips the bit of its hash. So few cells
+    get two of the differing shingles that pairs of a similarity below about 0.79 are told apart."""
+    bits = max(64, 1 << max(0, 4 * len(s) - 1).bit_length())
+    flips = np.bincount((mix64(s ^ _STEP[3]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch_: bytes, size: int) -> np.ndarray:
+    """A sketch as ``size`` bytes: the XOR of its parts is the sketch of fewer bits. Rows of uint64."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch_, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def may_link(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles whose sketches differ in ``distance`` bits can link."""
+    return (9 * distance <= n + m) & (np.minimum(n, m) * SIM_DEN >= np.maximum(n, m) * SIM_NUM)
+
+
 def _sketched(seed: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            n, names, keys, lengths, failed = [], [], [], [], []
+        for batch in slices(batches):
+            n, names, keys, lengths, failed, bits = [], [], [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist()):
                 name = set_id(s)
                 k = np.zeros(0, np.uint64)
@@ -131,23 +129,24 @@ def _sketched(seed: int):
                 failed.append(k is None)
                 k = np.zeros(0, np.uint64) if k is None else k
                 n.append(len(s))
+                bits.append(bit_sketch(s))
                 names.append(name)
                 keys.append(k)
                 lengths.append(len(k))
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(failed), lists], ["doc_id", "n_shingles", "set_id", "failed", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(failed), lists, pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "set_id", "failed", "keys", "sketch"])
 
     return run
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id, failed, keys), written. A seed that leaves a set with too few filled cells is given
+    """(doc_id, n_shingles, set_id, failed, keys, sketch), written. A seed that leaves a set with too few filled cells is given
     up for the next one, so that the bound holds for all sets."""
     seed = 0
     while True:
-        out = written(docs.select("doc_id", "text").mapInArrow(_sketched(seed), "doc_id long, n_shingles long, set_id long, failed boolean, keys array<long>"), "sketches")
+        out = written(docs.select("doc_id", "text").mapInArrow(_sketched(seed), "doc_id long, n_shingles long, set_id long, failed boolean, keys array<long>, sketch binary"), "sketches")
         if out.where("failed").isEmpty():
             return out
         seed += 1
@@ -181,7 +180,7 @@ def shared_buckets(sketches: DataFrame) -> DataFrame:
 def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (hub, salt, role, set_id, text), a hub's own text first: the pairs whose sets link."""
     hub = hub_set = None
-    for batch in batches:
+    for batch in slices(batches):
         rows = zip(batch.column("hub").to_pylist(), batch.column("role").to_pylist(), batch.column("set_id").to_pylist(), shingle_sets(batch.column("text").to_pylist()), strict=True)
         left, right = [], []
         for h, role, name, s in rows:
@@ -224,32 +223,98 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_linked, "u long, v long")
 
 
+def _passing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, m = batch.column("n").to_numpy(), batch.column("n2").to_numpy()
+        left, right = batch.column("sketch").to_pylist(), batch.column("sketch2").to_pylist()
+        far = np.array([int(np.bitwise_count(folded(x, k) ^ folded(y, k)).sum()) for x, y in zip(left, right, strict=True) for k in (min(len(x), len(y)),)], np.int64)
+        yield batch.select(["hub", "set_id"]).filter(pa.array(may_link(n, m, far)))
+
+
+#: Sets of a bucket that meet at once, and smallest keys of a set that its rows carry.
+BLOCK, LOWEST = 1024, 16
+
+
+def _crossing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (key, bi, bj): pairs of sets of one block pair, of different components, that may link. A pair
+    is left to another bucket if a smaller key is among both sets' lowest ones (then they meet there)."""
+    seen: set[tuple[int, int]] = set()
+
+    def met(rows: list[dict]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        size = min(len(r["sketch"]) for r in rows)
+        bits = np.stack([folded(r["sketch"], size) for r in rows])
+        n, comp, name = (np.array([r[c] for r in rows]) for c in ("n", "component", "set_id"))
+        own = np.array([r["blk"] for r in rows])
+        across, key = rows[0]["bi"] != rows[0]["bj"], rows[0]["key"]
+        lower = [{k for k in r["low"] if k < key} for r in rows]
+        out = []
+        for i in range(len(rows) - 1):
+            ok = comp[i + 1 :] != comp[i]
+            if across:
+                ok &= own[i + 1 :] != own[i]
+            at = np.flatnonzero(ok) + i + 1
+            if len(at):
+                at = at[may_link(n[i], n[at], np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1).astype(np.int64))]
+                out += [(min(a, b), max(a, b)) for a, b in ((int(name[i]), int(name[j])) for j in at if lower[i].isdisjoint(lower[j]))]
+        return out
+
+    held, at = [], None
+    for batch in batches:
+        found = []
+        for row in batch.to_pylist():
+            if (key := (row["key"], row["bi"], row["bj"])) != at:
+                found += met(held)
+                held, at = [], key
+            held.append(row)
+        new = list(set(found) - seen)
+        seen.update(new)
+        if len(seen) > 1_000_000:
+            seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([y for _, y in new], pa.int64())], ["hub", "set_id"])
+    last = met(held)
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in last], pa.int64()), pa.array([y for _, y in last], pa.int64())], ["hub", "set_id"])
+
+
+def _texts(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(set_id, text) of the sets in ``pairs``."""
+    named = pairs.select("set_id").union(pairs.select("hub")).distinct()
+    wanted = first.select("set_id", "doc_id").join(named, "set_id", "left_semi")
+    return docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id").select("set_id", "text")
+
+
 def set_components(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, component) of the linked sets, and their links (u, v).
+    """(node, component) of the linked sets, and links (u, v) that connect them.
 
     First each bucket's sets meet its smallest one; then, in the buckets that still hold several components, sets of
-    different components (and of sizes that can link) meet each other: a pair inside one component can't change it.
+    different components meet each other in blocks: a pair inside one component can't change it. Pairs whose bit
+    sketches differ too much go; the others' texts are compared.
     """
     buckets = written(shared_buckets(sketches), "buckets")
     pairs = written(buckets.select("hub", "set_id").distinct(), "pairs")
     named = pairs.select("set_id").union(pairs.select("hub")).distinct()
-    first = sketches.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")).join(named, "set_id", "left_semi")
+    per_set = F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x"), F.max(F.slice(F.array_sort("keys"), 1, LOWEST)).alias("low")
+    first = sketches.groupBy("set_id").agg(*per_set).select("set_id", "x.doc_id", F.col("x.n_shingles").alias("n"), "x.sketch", "low").join(named, "set_id", "left_semi")
     first = written(first, "first")
-    texts = written(docs.select("doc_id", "text").join(first.hint("shuffle_hash"), "doc_id").select("set_id", "text"), "candidates")
-    edges = written(verified(pairs, texts), "links")
+    info = first.select("set_id", "n", "sketch")
+    both = pairs.join(info, "set_id").join(info.select(F.col("set_id").alias("hub"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2")), "hub")
+    passing = written(both.mapInArrow(_passing, "hub long, set_id long"), "passing")
+    edges = written(verified(passing, _texts(docs, first, passing)), "links")
     near = connected_components(edges)
     rows = buckets.select("key", "set_id").union(buckets.select("key", F.col("hub").alias("set_id"))).distinct()
-    info = first.select("set_id", "n").join(near.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "n", F.coalesce("component", "set_id").alias("component"))
-    rows = written(rows.join(info, "set_id"), "bucket-rows")
-    open_ = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rows = rows.join(open_, "key", "left_semi")
-    other = rows.select("key", F.col("set_id").alias("s2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    fits = (F.col("component") != F.col("c2")) & (F.col("set_id") < F.col("s2")) & (F.least("n", "n2") * SIM_DEN >= F.greatest("n", "n2") * SIM_NUM)
-    cross = rows.join(other, "key").where(fits).select(F.col("set_id").alias("hub"), F.col("s2").alias("set_id")).distinct()
-    cross = written(cross.join(pairs, ["hub", "set_id"], "left_anti"), "cross")
-    more = written(verified(cross, texts), "links")
-    if more.isEmpty():
+    component = near.select(F.col("node").alias("set_id"), "component")
+    rows = rows.join(component, "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
+    sizes = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("held"))
+    sizes = sizes.where("a <> b and held > 2").select("key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "key").withColumn("blk", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "set_id", "component")
+    rows = rows.join(info.join(first.select("set_id", "low"), "set_id"), "set_id").repartition(shuffle_partitions(docs.sparkSession), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "set_id")
+    cross = rows.mapInArrow(_crossing, "hub long, set_id long").distinct().join(pairs, ["hub", "set_id"], "left_anti")
+    cross = written(cross, "cross")
+    if cross.isEmpty():
         return near, edges
+    more = written(verified(cross, _texts(docs, first, cross)), "links")
     edges = edges.union(more)
     return connected_components(edges), edges
 
@@ -258,7 +323,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
     Rows whose sets link are in one component, named by its smallest doc_id; equal sets link. A null or empty text, or
-    one of white space, has no shingles and is a component of its own, as is every row that links with nothing.
+    one of white space, has no shingles and is a component of its own, as is every row that links with nothing. An
+    empty table gives an empty result; a row that occurs twice is returned twice.
     """
     sketches = sketch(docs)
     sets, _ = set_components(docs, sketches)
@@ -271,9 +337,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id (of equal rows, any one)."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each component: the one with the smallest doc_id (of rows with that doc_id, any one)."""
+    kept = written(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_kept_rows")), "kept")
+    out = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    return out if kept.where("_kept_rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
