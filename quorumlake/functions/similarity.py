@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ def ratio(a: str | None, b: str | None) -> float:
     return 200.0 * _lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+@lru_cache(maxsize=1 << 16)
 def partial_ratio(a: str | None, b: str | None) -> float:
     """The best ratio of the shorter text and a window of the longer one of its length, cut ends included."""
     a, b = a or "", b or ""

@@ -14,6 +14,15 @@ def stratified_sample(rows: DataFrame, stratum: str, ident: str, n: int, seed: i
     return hashed.withColumn("_rn", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", ident))).where(F.col("_rn") <= n).drop("_h", "_rn")
 
 
+def balanced(rows: DataFrame, cell: list[str], ident: str, seed: int = 0) -> DataFrame:
+    """Every cell (of two rows or more) drawn down, by hash, to the size of the smallest."""
+    least = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").agg(F.min("_c").alias("_least"))
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string"))))
+    w = Window.partitionBy(*cell)
+    ranked = hashed.withColumn("_rn", F.row_number().over(w.orderBy("_h", ident))).withColumn("_c", F.count(F.lit(1)).over(w)).where("_c > 1")
+    return ranked.join(F.broadcast(least)).where("_rn <= _least").drop("_h", "_rn", "_c", "_least")
+
+
 def seeded_sample(rows: DataFrame, ident: str, n: int, seed: int = 0) -> DataFrame:
     return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string"))), ident).limit(n)
 

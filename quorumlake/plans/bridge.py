@@ -182,9 +182,11 @@ def numbered_rows(spark, d):
 
 
 def _matches(spark, d):
-    """Orders as reference, their lines rolled up as the system's entities; a match is exact, near or far by total."""
-    lines = table(spark, d, "lineitem").where("l_linenumber <= 4").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("total"), F.max("l_linestatus").alias("ls"), F.count(F.lit(1)).alias("n"))
-    both = table(spark, d, "orders").where("o_orderkey % 10 <> 3").join(lines.where("l_orderkey % 10 <> 5"), F.col("o_orderkey") == F.col("l_orderkey"), "full")
+    """Orders as reference, their lines rolled up as the system's entities (returned ones go by a name that no order has);
+    a match is exact, near or far by total."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("total"), F.max("l_linestatus").alias("ls"), F.count(F.lit(1)).alias("n"), F.min("l_returnflag").alias("rf"))
+    lines = lines.withColumn("l_orderkey", F.when(F.col("rf") == "R", -1 - F.col("l_orderkey")).otherwise(F.col("l_orderkey")))
+    both = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "full")
     gap = F.abs(F.col("total") - F.col("o_totalprice")) / F.col("o_totalprice")
     status = F.when(F.col("l_orderkey").isNull(), "ref_only").when(F.col("o_orderkey").isNull(), "sys_only").when(gap < 0.25, "exact").when(gap < 1, "fuzzy").otherwise("fuzzy_diff")
     return both.select(
@@ -192,8 +194,8 @@ def _matches(spark, d):
     )
 
 
-_MATCHES_SQL = """with l as (select l_orderkey, round(sum(l_extendedprice), 2) as total, max(l_linestatus) as ls, count(*) as n from lineitem where l_linenumber <= 4 group by 1),
-b as (select *, abs(total - o_totalprice) / o_totalprice as gap from (select * from orders where o_orderkey % 10 <> 3) o full join (select * from l where l_orderkey % 10 <> 5) l on o_orderkey = l_orderkey),
+_MATCHES_SQL = """with l as (select case when min(l_returnflag) = 'R' then -1 - l_orderkey else l_orderkey end as l_orderkey, round(sum(l_extendedprice), 2) as total, max(l_linestatus) as ls, count(*) as n from lineitem x group by x.l_orderkey),
+b as (select *, abs(total - o_totalprice) / o_totalprice as gap from orders o full join l on o_orderkey = l_orderkey),
 m as (select coalesce(o_orderpriority, 'none') as run, case when l_orderkey is null then 'ref_only' when o_orderkey is null then 'sys_only' when gap < 0.25 then 'exact' when gap < 1 then 'fuzzy' else 'fuzzy_diff' end as status,
   o_orderstatus = ls as status_ok, n > 2 as fuel_ok, gap < 0.5 as capacity_ok, 100 - 10 * gap as score from b)"""
 
@@ -258,10 +260,10 @@ def geometric_means(spark, d):
 
 
 def _assertions(spark, d):
-    return table(spark, d, "lineitem").where("l_partkey % 20 = 7").select("l_partkey", "l_suppkey", "l_returnflag", "l_tax", "l_orderkey", "l_linenumber", F.year("l_shipdate").cast("long").alias("year"))
+    return table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_tax", "l_orderkey", "l_linenumber", F.year("l_shipdate").cast("long").alias("year"))
 
 
-_A_SQL = "with a as (select l_partkey, l_suppkey, l_returnflag, l_tax, l_orderkey, l_linenumber, year(l_shipdate)::bigint as year from lineitem where l_partkey % 20 = 7)"
+_A_SQL = "with a as (select l_partkey, l_suppkey, l_returnflag, l_tax, l_orderkey, l_linenumber, year(l_shipdate)::bigint as year from lineitem)"
 
 
 @query(f"{_A_SQL} select distinct l_partkey from a")
@@ -328,11 +330,10 @@ def aggregation_sweep(spark, d):
 
 @query()
 def latent_truth(spark, d):
-    lines = table(spark, d, "lineitem").where("l_partkey % 20 = 7")
-    entities = table(spark, d, "part").where("p_partkey % 20 = 7").select(F.col("p_partkey").alias("entity"), (F.col("p_retailprice") > 1000).alias("anchored"), F.col("p_type").alias("stratum"))
-    runs = table(spark, d, "supplier").where("s_suppkey < 60").select(F.col("s_suppkey").alias("run"), F.col("s_nationkey").alias("model"))
-    assertions = lines.select(F.col("l_suppkey").alias("run"), F.col("l_partkey").alias("entity"))
-    return rounded(fusion.latent_truth(assertions.join(runs.select("run"), "run", "left_semi"), entities, runs, 20)[0], 6)
+    entities = table(spark, d, "part").select(F.col("p_partkey").alias("entity"), (F.col("p_retailprice") > 1000).alias("anchored"), F.col("p_type").alias("stratum"))
+    runs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("run"), F.col("s_nationkey").alias("model"))
+    assertions = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("run"), F.col("l_partkey").alias("entity"))
+    return rounded(fusion.latent_truth(assertions, entities, runs)[0], 6)
 
 
 # --- statistics -------------------------------------------------------------------------------------------------------
@@ -377,12 +378,12 @@ def levene(spark, d):
 
 
 def _design(spark, d):
-    """A balanced 5 x 3 design of priority and status: 100 orders a cell, totals in thousands."""
-    rows = ranking.stratified_sample(table(spark, d, "orders").withColumn("cell", F.concat("o_orderpriority", "o_orderstatus")), "cell", "o_orderkey", 20)
-    return rows.withColumn("v", F.col("o_totalprice") / 1000)
+    """Priority by status, every cell drawn down to the size of the smallest; totals in thousands."""
+    return ranking.balanced(table(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"], "o_orderkey").withColumn("v", F.col("o_totalprice") / 1000)
 
 
-_DESIGN_SQL = """with s as (select *, o_totalprice / 1000 as v, row_number() over (partition by o_orderpriority, o_orderstatus order by md5('0:' || o_orderkey::varchar), o_orderkey) as rn from orders), x as (select * from s where rn <= 20)"""
+_DESIGN_SQL = """with s as (select *, o_totalprice / 1000 as v, row_number() over (partition by o_orderpriority, o_orderstatus order by md5('0:' || o_orderkey::varchar), o_orderkey) as rn, count(*) over (partition by o_orderpriority, o_orderstatus) as c from orders),
+x as (select * from s where rn <= (select min(c) from s))"""
 
 
 @query(f"""{_DESIGN_SQL}, g as (select count(*) as n, sum(v) as s, sum(v * v) as q from x),
@@ -437,23 +438,23 @@ def bootstrap(spark, d):
     return rounded(stats.bootstrap_ci(_run_scores(spark, d), "s_nationkey", "l_returnflag_in_vocabulary", 2000))
 
 
-@query("""with d as (select s_nationkey, s_suppkey, s_acctbal - 4500 as d, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as i from supplier where s_suppkey < 100),
+@query("""with d as (select s_nationkey, s_suppkey, s_acctbal - 4500 as d, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as i from supplier),
 n as (select s_nationkey, count(*) as n, avg(d) as m from d group by 1), f as (select n.s_nationkey, n.n, n.m, m.mask from n, range(0, 32768) m(mask) where m.mask < 2 ** n.n),
 t as (select f.s_nationkey, f.mask, any_value(f.m) as m, sum(case when (f.mask >> d.i) & 1 = 1 then -d.d else d.d end) / any_value(f.n) as s from f join d on d.s_nationkey = f.s_nationkey group by 1, 2)
 select s_nationkey::bigint as s_nationkey, round(any_value(m), 4) as mean, round(avg((abs(s) >= abs(m) - 1e-9)::int), 6) as p from t group by 1""")
 def paired_test(spark, d):
-    rows = table(spark, d, "supplier").where("s_suppkey < 100").withColumn("x", F.col("s_acctbal") - 4500)
+    rows = table(spark, d, "supplier").withColumn("x", F.col("s_acctbal") - 4500)
     out = stats.paired_test(rows, "s_nationkey", "x")
     return out.select(F.col("s_nationkey").cast("long").alias("s_nationkey"), r4("mean").alias("mean"), F.round("p", 6).alias("p"))
 
 
-@query("""with b as (select user_id, avg(value / 1000) as mean, coalesce(stddev_samp(value / 1000), 0) as sd, count(*) as n from events where event_type = 'view' and event_id % 3 = 0 group by 1),
-c as (select user_id, avg(value / 1000) as now from events where event_type = 'click' and event_id % 3 = 1 group by 1)
+@query("""with b as (select user_id, avg(value / 1000) as mean, coalesce(stddev_samp(value / 1000), 0) as sd, count(*) as n from events where event_type = 'view' group by 1),
+c as (select user_id, avg(value / 1000) as now from events where event_type = 'click' group by 1)
 select coalesce(b.user_id, c.user_id) as user_id, round(mean, 10) as mean, round(sd, 10) as sd, n, round(now, 10) as now,
   case when now is null then 'declined' when n is null or n < 2 then 'skip' when now between greatest(mean - 2 * greatest(sd, 0.005), 0) and least(mean + 2 * greatest(sd, 0.005), 1) then 'pass' else 'drift' end as verdict from b full join c on b.user_id = c.user_id""")
 def drift_gate(spark, d):
     events = table(spark, d, "events").withColumn("v", F.col("value") / 1000)
-    return rounded(stats.drift_gate(events.where("event_type = 'view' and event_id % 3 = 0"), events.where("event_type = 'click' and event_id % 3 = 1"), "user_id", "v"), 10)
+    return rounded(stats.drift_gate(events.where("event_type = 'view'"), events.where("event_type = 'click'"), "user_id", "v"), 10)
 
 
 # --- windows, samples, set operations ------------------------------------------------------------------------------------
@@ -481,10 +482,10 @@ def best_of_each(spark, d):
     return rounded(ranking.best_of_each(table(spark, d, "supplier"), "s_nationkey", "s_acctbal", "s_suppkey").select("s_nationkey", "s_suppkey", "s_acctbal"), 2)
 
 
-@query("""with l as (select l_orderkey, l_linenumber, max(l_quantity) as q from lineitem where l_orderkey < 500 group by 1, 2), n as (select *, lead(l_linenumber) over w as nl, lead(q) over w as nq from l window w as (partition by l_orderkey order by l_linenumber))
+@query("""with l as (select l_orderkey, l_linenumber, max(l_quantity) as q from lineitem group by 1, 2), n as (select *, lead(l_linenumber) over w as nl, lead(q) over w as nq from l window w as (partition by l_orderkey order by l_linenumber))
 select l_orderkey, l_linenumber::bigint as l_linenumber, nq - q as delta from n where nl = l_linenumber + 1""")
 def adjacent_deltas(spark, d):
-    lines = table(spark, d, "lineitem").where("l_orderkey < 500").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
     return rounded(ranking.adjacent_deltas(lines, "l_orderkey", "l_linenumber", "l_quantity"))
 
 
@@ -499,13 +500,13 @@ def growth_curve(spark, d):
     return ranking.growth(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
 
 
-@query("""with l as (select o_orderkey as k, o_totalprice as v from orders where o_orderkey % 7 <> 2), r as (select o_orderkey as k, o_totalprice + case when o_orderkey % 11 = 0 then 1 else 0.0001 end as v from orders where o_orderkey % 5 <> 1),
+@query("""with l as (select c_custkey as k, c_nationkey::double as v from customer), r as (select o_custkey as k, count(*)::double as v from orders group by 1),
 b as (select l.k as lk, r.k as rk, l.v as lv, r.v as rv from l full join r on l.k = r.k)
 select 'left_only' as "column", count(*) filter (rk is null) as n_differ from b union all select 'right_only', count(*) filter (lk is null) from b union all select 'v', count(*) filter (abs(lv - rv) > 0.001) from b""")
 def parity(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    other = orders.where("k % 5 <> 1").withColumn("v", F.col("v") + F.when(F.col("k") % 11 == 0, 1).otherwise(0.0001))
-    return ranking.parity(orders.where("k % 7 <> 2"), other, ["k"], ["v"])
+    left = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("double").alias("v"))
+    right = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    return ranking.parity(left, right, ["k"], ["v"])
 
 
 @query("""select s_nationkey::bigint as s_nationkey, count(*) filter (s_suppkey % 2 = 0) as even, count(*) filter (s_suppkey % 2 = 1) as odd from supplier group by 1""")
@@ -546,13 +547,12 @@ def score_resolution(spark, d):
     return out.select("s_suppkey", F.round("v", 2).alias("v"))
 
 
-@query("""select p_partkey, case when regexp_matches(nm, '^.* 1$') and b.n is not null then regexp_replace(nm, ' 1$', '') else nm end as name from (select p_partkey, p_name || ' ' || (p_partkey % 3)::varchar as nm from part) p
-left join (select regexp_replace(nm, ' [0-9]+$', '') as base, count(*) as n from (select distinct p_name || ' ' || (p_partkey % 2 * p_size % 2)::varchar as nm from part where p_size < 9) group by 1 having count(*) = 1) b on b.base = regexp_replace(nm, ' 1$', '')""")
+@query("""with n as (select p_partkey, p_type, p_name || case when p_size <= 2 then ' 2' else ' 1' end as nm from part)
+select p_partkey, case when nm like '% 1' and b.n is not null then regexp_replace(nm, ' 1$', '') else nm end as name from n
+left join (select regexp_replace(nm, ' [0-9]+$', '') as base, count(*) as n from (select distinct nm from n where p_type = 'PROMO') group by 1 having count(*) = 1) b on b.base = regexp_replace(nm, ' 1$', '')""")
 def single_unit_names(spark, d):
-    parts = table(spark, d, "part")
-    rows = parts.select("p_partkey", F.concat_ws(" ", "p_name", (F.col("p_partkey") % 3).cast("string")).alias("name"))
-    reference = parts.where("p_size < 9").select(F.concat_ws(" ", "p_name", (F.col("p_partkey") % 2 * F.col("p_size") % 2).cast("string")).alias("name")).distinct()
-    return matching.single_unit_names(rows, reference, "name").select("p_partkey", "name")
+    rows = table(spark, d, "part").select("p_partkey", "p_type", F.concat("p_name", F.when(F.col("p_size") <= 2, " 2").otherwise(" 1")).alias("name"))
+    return matching.single_unit_names(rows, rows.where("p_type = 'PROMO'").select("name").distinct(), "name").select("p_partkey", "name")
 
 
 @query("""select p_partkey, unnest(case when p_partkey % 4 = 0 then [p_name || ' 3', p_name || ' 4'] when p_partkey % 4 = 1 then [p_name || ' 1', p_name || ' 2'] else [p_name] end) as name from part""")
@@ -567,21 +567,22 @@ def first_by_name(spark, d):
 
 
 def _sides(spark, d):
-    """Parts of a brand: one half as reference, the other, with some names changed, as the system's entities."""
-    parts = table(spark, d, "part").where("p_size <= 12")
-    ref = parts.where("p_partkey % 2 = 0").select("p_brand", F.lit("ref").alias("side"), F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", (F.col("p_size") % 3).cast("string")).alias("name"), F.col("p_size").cast("double").alias("capacity"))
-    sys = parts.where("p_partkey % 2 = 1").select("p_brand", F.lit("sys"), F.col("p_partkey"), F.concat_ws(" ", F.regexp_replace("p_name", "e", "a"), F.when(F.col("p_size") % 4 > 0, (F.col("p_size") % 3).cast("string"))), F.col("p_size").cast("double"))
-    return ref.union(sys)
+    """Parts of a brand and type: those of even key as reference, the others, with some names changed, as the system's."""
+    part = table(spark, d, "part").withColumn("group", F.concat_ws("/", "p_brand", "p_type"))
+    is_ref = F.col("p_partkey") % 2 == 0
+    unit = F.when(is_ref | (F.col("p_size") % 4 > 0), (F.col("p_size") % 3).cast("string"))
+    name = F.concat_ws(" ", F.when(is_ref, F.col("p_name")).otherwise(F.regexp_replace("p_name", "e", "a")), unit)
+    return part.select("group", F.when(is_ref, "ref").otherwise("sys").alias("side"), F.col("p_partkey").alias("id"), name.alias("name"), F.col("p_size").cast("double").alias("capacity"))
 
 
 @query()
 def optimal_match(spark, d):
-    return matching.split_mismatches(matching.optimal_match(_sides(spark, d), "p_brand")).select("p_brand", "ref_id", "sys_id", "status", r4("score").alias("score"))
+    return matching.split_mismatches(matching.optimal_match(_sides(spark, d), "group")).select("group", "ref_id", "sys_id", "status", r4("score").alias("score"))
 
 
 @query()
 def phased_match(spark, d):
-    return matching.phased_match(_sides(spark, d), "p_brand").select("p_brand", "ref_id", "sys_id", "status", r4("score").alias("score"))
+    return matching.phased_match(_sides(spark, d), "group").select("group", "ref_id", "sys_id", "status", r4("score").alias("score"))
 
 
 @query()
@@ -591,7 +592,7 @@ def phase_collisions(spark, d):
 
 @query()
 def nearest_reference(spark, d):
-    references = table(spark, d, "part").where("p_partkey < 20")
+    references = table(spark, d, "part").where("p_type = 'PROMO'")
     return rounded(matching.nearest(table(spark, d, "part").select(F.col("p_name").alias("query")), references, "query", "p_name", "token_sort_ratio", 60.0))
 
 
@@ -664,11 +665,11 @@ def grounding_summary(spark, d):
     return quality.grounding(rows, F.col("source").isin("src0", "src1", "src2"), F.coalesce("found", F.lit(False)))
 
 
-@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents where doc_id % 4 = 0),
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents),
 h as (select *, regexp_matches(trim(line), '^[A-Z][a-z]+[.]$') as head from l), s as (select *, sum(head::int) over (partition by doc_id order by n) as section from h)
 select doc_id, section::bigint as section, max(case when head then regexp_extract(trim(line), '^([A-Z][a-z]+)[.]$', 1) end) as title, count(*) filter (not head) as n_lines, coalesce(sum(length(line)) filter (not head), 0)::bigint as n_chars from s group by 1, 2""")
 def text_sections(spark, d):
-    return extract.sections(table(spark, d, "documents").where("doc_id % 4 = 0"), "doc_id", "text", r"^([A-Z][a-z]+)[.]$")
+    return extract.sections(table(spark, d, "documents"), "doc_id", "text", r"^([A-Z][a-z]+)[.]$")
 
 
 @query()
