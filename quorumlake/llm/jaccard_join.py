@@ -345,3 +345,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+OP6_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, md5(array_to_string(list_slice(w, i, i + 4), ' ')) as h from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as k from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+e as (select u, v from p join n x on x.doc_id = u join n y on y.doc_id = v where 100 * k >= 80 * (x.n + y.n - k)),
+both_ways as (select u, v from e union all select v, u from e),
+reach as (select doc_id as u, doc_id as v from documents union select r.u, b.v from reach r join both_ways b on r.v = b.u),
+c as (select u, min(v) as component_id from reach group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id from documents d left join n using (doc_id) join c on c.u = d.doc_id
+"""

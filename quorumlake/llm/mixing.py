@@ -12,8 +12,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 BLOCK_WORDS = 256
-#: Shuffle buckets of a source: its documents are ordered by (bucket, hash, doc_id), so no task sorts a whole source.
-BUCKETS = 4096
+#: Hex digits of a document's hash that make its shuffle bucket: a source is ordered by (bucket, hash, doc_id), so no
+#: task sorts a whole one.
+BUCKET_DIGITS = 3
 SLOT_BLOCK = 1 << 14
 GRID = 4096
 
@@ -77,15 +78,15 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return slots.join(info, slots["source"].eqNullSafe(F.col("s3"))).drop("s3")
 
 
-def tape(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``tape_from``: words of the source's shuffled documents before this one. Rows are told apart by (doc_id, copy)."""
-    d = docs.withColumn("h", F.xxhash64("doc_id", F.lit(20011))).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
+def tape(docs: DataFrame, digits: int = BUCKET_DIGITS) -> DataFrame:
+    """Adds ``tape_from``: words of the source's documents, shuffled by the hash of doc_id, before this one."""
+    d = docs.withColumn("h", F.md5(F.col("doc_id").cast("string"))).withColumn("bucket", F.substring("h", 1, digits))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     sums = sums.select(F.col("source").alias("s2"), F.col("bucket").alias("b2"), "base")
-    d = d.join(sums, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
+    d = d.join(sums, F.col("source").eqNullSafe(F.col("s2")) & F.col("bucket").eqNullSafe(F.col("b2")))
     return d.withColumn("tape_from", F.col("inner") + F.col("base")).drop("s2", "b2", "base", "inner", "h", "bucket")
 
 
@@ -139,3 +140,18 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same mix without blocks: a source gives its first round(target) words of the cyclic tape.
+OP10_SQL = r"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+s as (select source, sum(size)::bigint as source_size from d group by 1),
+w as (select *, [5, 2, 1][((row_number() over (order by source is null, source) - 1) % 3 + 1)::int] as weight, 3 * source_size as cap from s),
+l as (select *, ((select sum(source_size) from s) - coalesce(sum(cap) over (order by cap / weight, source is null, source rows between unbounded preceding and 1 preceding), 0))
+  / (sum(weight) over (order by cap / weight, source is null, source rows between current row and unbounded following))::double as level from w),
+f as (select (select level from l where level * weight <= cap order by cap / weight, level limit 1) as free),
+t as (select source, source_size, least(cap::double, coalesce(f.free, 'infinity'::double) * weight) as target from l, f),
+p as (select d.*, t.source_size, t.target, round(t.target)::bigint as words, coalesce(sum(size) over (partition by d.source order by md5(doc_id::varchar), doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as a
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, case when size = 0 then 0 else words // source_size * size + greatest(0, least(a + size, words % source_size) - least(a, words % source_size)) end::bigint as taken from p
+"""

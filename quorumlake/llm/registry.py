@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quorumlake.llm.bpe import op1_byte_bpe
 from quorumlake.llm.embedding_dedup import OP8_SQL, op8_embedding_dedup
-from quorumlake.llm.jaccard_join import op6_jaccard_join
+from quorumlake.llm.jaccard_join import OP6_SQL, op6_jaccard_join
 from quorumlake.llm.language_id import op3_language_id
-from quorumlake.llm.mixing import op10_mixing
+from quorumlake.llm.mixing import OP10_SQL, op10_mixing
 from quorumlake.llm.pii import op9_pii
 from quorumlake.llm.repeats import op5_repeated_strings
 from quorumlake.llm.secrets import op4_secret_scan
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_dedup": OP8_SQL}
+    return {"op6_jaccard_join": OP6_SQL, "op10_mixing": OP10_SQL, "op8_embedding_dedup": OP8_SQL}
