@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.functions import text as tx
 from quorumlake.functions.similarity import with_similarity
-from quorumlake.operators import extract, fusion, mart, matching, metrics, quality, ranking, stats
+from quorumlake.operators import extract, fusion, mart, matching, metrics, provenance, quality, ranking, selection, stats
 from quorumlake.sources.tables import table
 from quorumlake.streaming import jobs
 
@@ -767,3 +767,87 @@ def job_poll(spark, d):
 @query("select epoch(date_trunc('hour', ts))::bigint as start, event_type, count(*) as n from events group by 1, 2")
 def windowed_counts(spark, d):
     return jobs.windowed_counts(table(spark, d, "events"), "ts", ["event_type"]).select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+
+
+# --- provenance and selection -----------------------------------------------------------------------------------------
+
+
+@query("""select p_partkey, p_name || case p_partkey % 5 when 0 then ' 3 & 4' when 1 then ' 2' when 2 then ' 1-3' when 3 then ' II+III' else '' end as name,
+  case p_partkey % 5 when 1 then true when 4 then true else false end as atomic,
+  case when p_type not in ('SMALL', 'PROMO', 'MEDIUM', 'LARGE') then null when p_type = 'SMALL' then false when p_type = 'PROMO' then p_partkey % 5 <> 4 else true end as consistent from part""")
+def level_names(spark, d):
+    suffix = F.element_at(F.array(*map(F.lit, (" 3 & 4", " 2", " 1-3", " II+III", ""))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    level = F.when(F.col("p_type") == "SMALL", "unit").when(F.col("p_type") == "PROMO", "plant").when(F.col("p_type") == "MEDIUM", "block").when(F.col("p_type") == "LARGE", "complex").otherwise("unknown")
+    rows = table(spark, d, "part").select("p_partkey", F.concat("p_name", suffix).alias("name"), level.alias("level"))
+    return rows.select("p_partkey", "name", provenance.atomic(F.col("name")).alias("atomic"), provenance.level_consistent(F.col("name"), F.col("level")).alias("consistent"))
+
+
+@query("""select case when trim(url) = '' then 'tertiary' when regexp_matches(url, '/en/|/de/') then 'primary' when regexp_matches(url, '[?]page=') then 'secondary' else 'tertiary' end as tier, count(*) as n from pages group by 1""")
+def source_tiers(spark, d):
+    return table(spark, d, "pages").groupBy(provenance.tier(F.col("url"), "/en/|/de/", "[?]page=").alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select user_id, round(avg((event_type = 'purchase')::int) filter (event_type <> 'error'), 4) as rate, count(*) filter (event_type <> 'error') as n from events group by 1""")
+def verdict_rates(spark, d):
+    verdict = F.when(F.col("event_type") == "purchase", "supported").when(F.col("event_type") == "error", "error").otherwise("unsupported")
+    return rounded(provenance.verdict_rate(table(spark, d, "events").withColumn("v", verdict), "user_id", "v"))
+
+
+@query("""select event_id, (props::json ->> 'k')::bigint as k from events""")
+def json_replies(spark, d):
+    reply = F.concat(F.lit("Here it is:\n```json\n["), "props", F.lit("]\n```\n"))
+    return table(spark, d, "events").select("event_id", F.element_at(provenance.json_array(reply, "struct<k: bigint>"), 1)["k"].alias("k"))
+
+
+@query("""with m as (select s_suppkey, case when s_suppkey % 4 = 0 then 'local' else 'frontier' end as kind, s_nationkey, s_acctbal, s_suppkey % 17 as cost from supplier),
+b as (select s_suppkey from (select *, row_number() over (partition by s_nationkey order by s_acctbal desc, s_suppkey) as rn from m where kind = 'frontier') where rn = 1),
+c as (select s_suppkey from m where kind = 'frontier' and s_suppkey not in (select s_suppkey from b) and s_acctbal > (select max(s_acctbal) from m where kind = 'local') - 2000 order by cost, s_suppkey limit 5)
+select s_suppkey, 'best_of_country' as tier from b union all select s_suppkey, 'local' from m where kind = 'local' union all select s_suppkey, 'cheap_frontier' from c""")
+def model_tiers(spark, d):
+    kind = F.when(F.col("s_suppkey") % 4 == 0, "local").otherwise("frontier")
+    models = table(spark, d, "supplier").withColumn("kind", kind).withColumn("cost", F.col("s_suppkey") % 17)
+    models = models.withColumn("s_acctbal", F.when(F.col("kind") == "local", F.col("s_acctbal") - 2000).otherwise(F.col("s_acctbal")))
+    return selection.frontier_and_local(models, "kind", "s_nationkey", "s_acctbal", "cost", "s_suppkey", 5)
+
+
+@query("""with p as (select l_suppkey, median(l_extendedprice) filter (l_linestatus = 'F') as b, median(l_extendedprice) filter (l_linestatus = 'O') as a, count(*) filter (l_linestatus = 'F') as nb, count(*) filter (l_linestatus = 'O') as na from lineitem group by 1)
+select l_suppkey, round(b, 3) as before, round(a, 3) as after, nb as n_before, na as n_after, round(a - b, 3) as delta from p where nb > 0 and na > 0""")
+def condition_comparison(spark, d):
+    return rounded(selection.comparison(table(spark, d, "lineitem"), "l_suppkey", "l_linestatus", "l_extendedprice", "F", "O"), 3)
+
+
+@query("""with i as (select s_suppkey, s_acctbal / 10000 as m, s_acctbal / 10000 - 0.01 as lo, s_acctbal / 10000 + 0.01 as hi from supplier)
+select a.s_suppkey as a, b.s_suppkey as b, round(abs(a.m - b.m), 6) as difference from i a join i b on a.s_suppkey < b.s_suppkey and abs(a.m - b.m) < 0.05 and a.lo <= b.hi and b.lo <= a.hi""")
+def unstable_pairs(spark, d):
+    m = F.col("s_acctbal") / 10000
+    return rounded(selection.unstable_pairs(table(spark, d, "supplier").select("s_suppkey", m.alias("mean"), (m - 0.01).alias("low"), (m + 0.01).alias("high")), "s_suppkey"), 6)
+
+
+@query("""with p as (select event_type, value, (row_number() over (partition by event_type order by value, event_id) - 0.375) / (count(*) over (partition by event_type) + 0.25) as p from events),
+t as (select *, sqrt(-2 * ln(least(p, 1 - p))) as t from p), z as (select *, t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308))) as z from t)
+select event_type, count(*) as n, round(power(corr(value, case when p < 0.5 then -z else z end), 2), 4) as w from z group by 1""")
+def normality(spark, d):
+    return rounded(selection.approximate_w(table(spark, d, "events"), "event_type", "value", "event_id"))
+
+
+@query("""with s as (select conv_id, turn, length(text) // 4 as tok, length(text) // 4 - lag(length(text) // 4) over (partition by conv_id order by turn) as dd from conversations),
+p as (select conv_id, arg_max(tok, turn) as last, max(turn) as last_turn, coalesce(avg(dd), 0.0) as growth from s group by 1)
+select conv_id, last, last_turn, round(growth, 4) as growth, round(last + greatest(12 - last_turn - 1, 0) * growth, 4) as projected from p""")
+def token_projection(spark, d):
+    turns = table(spark, d, "conversations").withColumn("tok", tx.token_estimate(F.col("text")))
+    return rounded(selection.token_projection(turns, "conv_id", "turn", "tok", 12))
+
+
+@query("""with n as (select p_brand, case when p_size > 45 then null else p_type end as t, p_name || ' ' || (p_size % 3)::varchar as nm, p_size::bigint as c from part)
+select p_brand, t, sum(c)::bigint as capacity, count(*) as n_units, min(nm) as name from n where nm like 'small%' group by 1, 2 union all select p_brand, t, c, 1, nm from n where nm not like 'small%'""")
+def phase_rollup(spark, d):
+    rows = table(spark, d, "part").select("p_brand", F.when(F.col("p_size") <= 45, F.col("p_type")).alias("t"), F.col("p_name").alias("nm"), (F.col("p_size") % 3).cast("string").alias("ph"), F.col("p_size").cast("long").alias("c"))
+    return selection.rollup_with_phases(rows, ["p_brand", "t"], "nm", "ph", "^small", "c")
+
+
+@query("""with s as (select n_nationkey::bigint as n_nationkey, n_regionkey::bigint as n_regionkey, count(s_suppkey) as n from nation left join supplier on s_nationkey = n_nationkey group by 1, 2), a as (select n_regionkey, avg(n) as m, stddev_samp(n) as sd from s group by 1)
+select n_nationkey, n_regionkey, n, round(m, 4) as m, round(sd, 4) as sd from s join a using (n_regionkey)""")
+def region_baseline(spark, d):
+    suppliers = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
+    n = table(spark, d, "nation").join(suppliers, "n_nationkey", "left").groupBy("n_nationkey", "n_regionkey").agg(F.count("s_suppkey").alias("n"))
+    return rounded(n.join(n.groupBy("n_regionkey").agg(F.avg("n").alias("m"), F.stddev_samp("n").alias("sd")), "n_regionkey"))
