@@ -33,4 +33,4 @@ def coverage_view(runs: DataFrame, coverage: DataFrame, key: list[str], n_refere
 
 def annotated(value, n, reason: str = "no_rows"):
     """A value, or null and why there is none."""
-    return F.when(n > 0, F.struct(value.alias("value"), F.lit(None).cast("string").alias("annotation"))).otherwise(F.struct(F.lit(None).cast("double"), F.lit(reason)))
+    return F.struct(F.when(n > 0, value).cast("double").alias("value"), F.when(~F.coalesce(n > 0, F.lit(False)), F.lit(reason)).alias("annotation"))
