@@ -12,7 +12,7 @@ from quorumlake.llm.jaccard_join import OP6_SQL, op6_jaccard_join
 from quorumlake.llm.language_id import op3_language_id
 from quorumlake.llm.mixing import OP10_SQL, op10_mixing
 from quorumlake.llm.pii import op9_pii
-from quorumlake.llm.repeats import op5_repeated_strings
+from quorumlake.llm.repeats import OP5_SQL, op5_repeated_strings
 from quorumlake.llm.secrets import op4_secret_scan
 from quorumlake.llm.syncmers import op7_fingerprints
 from quorumlake.llm.token_files import op2_token_files
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard_join": OP6_SQL, "op10_mixing": OP10_SQL, "op8_embedding_dedup": OP8_SQL}
+    return {"op5_repeated_strings": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op10_mixing": OP10_SQL, "op8_embedding_dedup": OP8_SQL}

@@ -259,3 +259,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir))
+
+
+OP5_SQL = """
+with b as (select doc_id, encode(coalesce(text, '')) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, x, unnest(range(1, greatest(n - 98, 1))) as p from b),
+r as (select doc_id, p, row_number() over (partition by md5(array_slice(x, p, p + 99)) order by doc_id, p) as rn from w),
+d as (select doc_id, p, (p > lag(p) over (partition by doc_id order by p) + 100)::int as opens from r where rn > 1),
+g as (select doc_id, p, sum(coalesce(opens, 1)) over (partition by doc_id order by p) as k from d),
+i as (select doc_id, k, min(p) as a, max(p) + 100 as e from g group by 1, 2),
+s as (select doc_id, count(*) as n_spans, sum(e - a)::bigint as n_removed from i group by 1),
+k as (select doc_id, coalesce(lag(e) over (partition by doc_id order by a), 1) as f, a as t from i union all select doc_id, max(e), null from i group by 1),
+h as (select doc_id, string_agg(case when coalesce(t, n + 1) > f then hex(array_slice(x, f, coalesce(t, n + 1) - 1)) else '' end, '' order by f, t nulls last) as kept from k join b using (doc_id) group by 1)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(case when h.kept is null then x else unhex(h.kept) end) as kept_sha256
+from b left join s using (doc_id) left join h using (doc_id)
+"""
