@@ -52,6 +52,14 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = CHUNK_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """A long for each of ``n`` partitions that hash partitioning sends there, so that ranges dealt by these keys don't
+    share tasks."""
+    rows = spark.range(32 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
+    found = {r["p"]: r["id"] for r in rows}
+    return [found.get(p, p) for p in range(n)]
+
+
 def text_chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges [a, b) of ``texts`` that hold about ``limit`` bytes together (one text at least)."""
     a, held = 0, 0
@@ -122,21 +130,33 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of a small intermediate table that go to one file.
+FILE_ROWS = 200_000
+
+
+def files_for(rows: int) -> int:
+    """Files for a table of about so many short rows: more as it grows, one where it is small."""
+    return max(1, -(-rows // FILE_ROWS))
+
+
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, component): the smallest node reachable along ``edges`` (u, v), for each node that has an edge.
 
     Alternates large-star and small-star steps (each a partial-aggregated minimum and a join), so that a hub of any
-    degree is never gathered into one row. Every round is written to the shared folder; only a count reaches the
-    driver. An empty edge table gives an empty result.
+    degree is never gathered into one row. Every round is written to the shared folder; only a count and a checksum of
+    its edges reach the driver, and the rounds end when they stay. An empty edge table gives an empty result.
     """
-    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
+    files = files_for(edges.count())
+    stamp = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(files), label)
+    before = stamp(e)
     while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = written(hung.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), label)
-        if new.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(new, ["u", "v"], "left_anti").isEmpty():
+        new = written(hung.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(files), label)
+        if (now := stamp(new)) == before:
             return new.select(F.col("u").alias("node"), F.col("v").alias("component")).union(new.select("v", "v").distinct())
-        e = new
+        e, before = new, now

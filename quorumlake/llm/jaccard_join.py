@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import Powers, connected_components, documents, mix64, shuffle_partitions, slices, text_chunks, written
+from quorumlake.llm.common import Powers, connected_components, documents, files_for, mix64, shuffle_partitions, slices, text_chunks, written
 
 SHINGLE = 5
 #: Similarity as a fraction; CELLS is the share of a band's largest size that its sketch has as cells (at least LEAST).
@@ -292,14 +292,15 @@ def set_components(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, Dat
     sketches differ too much go; the others' texts are compared.
     """
     buckets = written(shared_buckets(sketches), "buckets")
-    pairs = written(buckets.select("hub", "set_id").distinct(), "pairs")
+    pairs = written(buckets.select("hub", "set_id").distinct().coalesce(files_for(buckets.count())), "pairs")
+    small = files_for(pairs.count())
     named = pairs.select("set_id").union(pairs.select("hub")).distinct()
     per_set = F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x"), F.max(F.slice(F.array_sort("keys"), 1, LOWEST)).alias("low")
     first = sketches.groupBy("set_id").agg(*per_set).select("set_id", "x.doc_id", F.col("x.n_shingles").alias("n"), "x.sketch", "low").join(named, "set_id", "left_semi")
-    first = written(first, "first")
+    first = written(first.coalesce(2 * small), "first")
     info = first.select("set_id", "n", "sketch")
     both = pairs.join(info, "set_id").join(info.select(F.col("set_id").alias("hub"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2")), "hub")
-    passing = written(both.mapInArrow(_passing, "hub long, set_id long"), "passing")
+    passing = written(both.mapInArrow(_passing, "hub long, set_id long").coalesce(4 * small), "passing")
     edges = written(verified(passing, _texts(docs, first, passing)), "links")
     near = connected_components(edges)
     rows = buckets.select("key", "set_id").union(buckets.select("key", F.col("hub").alias("set_id"))).distinct()
@@ -330,7 +331,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets, _ = set_components(docs, sketches)
     rows = sketches.select("doc_id", "n_shingles", "set_id")
     held = rows.where("n_shingles > 0").join(sets.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    held = written(held.select("doc_id", "n_shingles", "component"), "components")
+    files = files_for(rows.count())
+    held = written(held.select("doc_id", "n_shingles", "component").coalesce(files), "components")
     least = held.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = held.join(least, "component").select("doc_id", "n_shingles", "component_id")
     return out.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -338,7 +340,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id (of rows with that doc_id, any one)."""
-    kept = written(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_kept_rows")), "kept")
+    kept = written(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_kept_rows")).coalesce(files_for(docs.count())), "kept")
     out = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
     return out if kept.where("_kept_rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])
 

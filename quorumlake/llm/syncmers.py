@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import documents, mix64, shuffle_partitions, text_chunks
+from quorumlake.llm.common import documents, mix64, partition_keys, shuffle_partitions, text_chunks
 
 #: Bytes of a k-mer and of its inner substrings: a k-mer is chosen if a smallest inner substring is its first or last.
 K, S = 20, 8
@@ -100,7 +100,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     place = F.explode(F.filter(F.array(F.struct(F.col("p"), F.lit(0).alias("tail")), F.struct(also_in("order_id").alias("p"), F.lit(1).alias("tail"))), lambda x: x["p"] >= 0))
     spread = placed.withColumn("at", place).select("at.p", "at.tail", "order_id", "doc_id", "text")
-    return spread.repartition(n, "p").sortWithinPartitions("p", "tail", "order_id", F.xxhash64("text")).drop("order_id")
+    key = F.element_at(F.array(*map(F.lit, partition_keys(docs.sparkSession, n))).cast("array<bigint>"), F.col("p") + 1)
+    return spread.withColumn("key", key).repartition(n, "key").sortWithinPartitions("p", "tail", "order_id", F.xxhash64("text")).drop("order_id", "key")
 
 
 def _told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
