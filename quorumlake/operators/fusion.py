@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlake.operators.matching import bounded
+
 # Confidence weights; and the latent-truth model's prior, start and bounds.
 CONFIDENCE = {"HIGH": 3.0, "MEDIUM": 2.0, "LOW": 1.0}
 PRIOR_RATE, PRIOR_HIGH, PRIOR_LOW, START, LOW, HIGH, ROUNDS = 0.5, 0.8, 0.3, 0.7, 0.01, 0.99, 60
@@ -99,12 +101,12 @@ def latent_truth(assertions: DataFrame, entities: DataFrame, runs: DataFrame, ro
     base = F.when(F.col("rate") >= PRIOR_RATE, PRIOR_HIGH).otherwise(PRIOR_LOW)
     prior = F.when(F.col("anchored"), F.least(base / max(c, 0.1), F.lit(0.99))).otherwise(base)
     votes = F.map_from_entries("votes")
-    cells = patterns.withColumn("prior", prior).join(F.broadcast(per_model)).withColumn("k", F.coalesce(F.element_at(votes, F.col("model")), F.lit(0)))
+    cells = patterns.withColumn("prior", prior).crossJoin(bounded(per_model)).withColumn("k", F.coalesce(F.element_at(votes, F.col("model")), F.lit(0)))
     cells = written(cells.select("pattern", "stratum", "anchored", "n", "prior", "model", "n_runs", "k"), "cells")
     trust = cells.select("model", "stratum", "anchored").distinct().withColumn("sens", F.lit(START)).withColumn("spec", F.lit(START))
     existence = None
     for step in range(rounds):
-        with_trust = cells.join(F.broadcast(trust), ["model", "stratum", "anchored"])
+        with_trust = cells.join(trust, ["model", "stratum", "anchored"])
         yes = F.col("k") * F.log("sens") + (F.col("n_runs") - F.col("k")) * F.log(1 - F.col("sens"))
         no = F.col("k") * F.log(1 - F.col("spec")) + (F.col("n_runs") - F.col("k")) * F.log("spec")
         odds = F.sum(yes - no) + F.first(F.log("prior") - F.log(1 - F.col("prior")))

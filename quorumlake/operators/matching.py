@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 from quorumlake.functions.similarity import ratio, partial_ratio, similarity
 
+#: A list of more rows than this is not broadcast.
+REFERENCE_ROWS = 100_000
 # Costs and thresholds of the match.
 FUZZY, MISMATCH, UNMATCHED, CAPACITY_STEP, NAME_FUZZY, AMBIGUOUS_RATIO = 1.0, 1000.0, 10000.0, 0.001, 90.0, 90.0
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` for a theta join: broadcast if it is counted to have REFERENCE_ROWS at most, else left to Spark."""
+    return F.broadcast(df) if df.limit(REFERENCE_ROWS + 1).count() <= REFERENCE_ROWS else df
+
+
 def assign(cost: np.ndarray) -> np.ndarray:
     """Column of each row of a matrix with no more rows than columns, of least total cost (shortest augmenting paths)."""
     n, m = cost.shape
@@ -204,20 +211,15 @@ def matched_attributes(matches: DataFrame, reference: DataFrame, system: DataFra
 
 
 def recognition_matrix(runs: DataFrame, reference: DataFrame, hits: DataFrame, run: str, entity: str) -> DataFrame:
-    """Every run by every reference entity with whether it was hit; the reference list (small: one entity a row) is
-    what grows the result, so both sides stay partitioned by run."""
-    grid = runs.select(run).distinct().join(F.broadcast(reference.select(entity).distinct().limit(REFERENCE_ROWS + 1)))
+    """Every run by every reference entity with whether it was hit: by definition a row for each pair of them."""
+    grid = runs.select(run).distinct().crossJoin(bounded(reference.select(entity).distinct()))
     return grid.join(hits.select(run, entity).distinct().withColumn("hit", F.lit(True)), [run, entity], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
-#: A reference list has this many entities at most; a larger one is refused where it would be broadcast.
-REFERENCE_ROWS = 100_000
-
-
 def nearest(queries: DataFrame, candidates: DataFrame, query: str, name: str, kind: str = "partial_ratio", least: float = 0.0) -> DataFrame:
     """The best candidate of each distinct query text by ``kind``, the first by name on ties, from ``least`` on.
-    ``candidates`` is a reference list of REFERENCE_ROWS at most, broadcast; scoring is partitioned by query."""
-    pairs = queries.select(F.col(query).alias("_q")).distinct().join(F.broadcast(candidates.select(F.col(name).alias("_c")).distinct()))
+    Distinct queries (a stated set) meet all of ``candidates``, a reference list; scoring is partitioned by query."""
+    pairs = queries.select(F.col(query).alias("_q")).distinct().crossJoin(bounded(candidates.select(F.col(name).alias("_c")).distinct()))
     scored = pairs.withColumn("score", similarity(kind, F.col("_q"), F.col("_c"))).where(F.col("score") >= least)
     best = scored.groupBy("_q").agg(F.max_by("_c", F.struct("score", F.lit(0))).alias("_any"), F.max("score").alias("score"))
     first = scored.join(best.drop("_any"), ["_q", "score"]).groupBy("_q", "score").agg(F.min("_c").alias(name))
@@ -225,10 +227,10 @@ def nearest(queries: DataFrame, candidates: DataFrame, query: str, name: str, ki
 
 
 def close_pairs(names: DataFrame, name: str, least: float) -> DataFrame:
-    """Distinct names a < b of partial ratio ``least`` or more, and whether their numbers veto the pair. A name list has
-    at most REFERENCE_ROWS names."""
+    """Distinct names a < b of partial ratio ``least`` or more, and whether their numbers veto the pair. Similarity of
+    substrings has no blocking key, so distinct names of a list meet all greater ones."""
     distinct = names.select(F.col(name).alias("a")).distinct()
-    pairs = distinct.join(F.broadcast(distinct.select(F.col("a").alias("b"))), F.col("a") < F.col("b"))
+    pairs = distinct.join(bounded(distinct.select(F.col("a").alias("b"))), F.col("a") < F.col("b"))
 
     @F.pandas_udf("boolean")
     def numbers_differ(x: pd.Series, y: pd.Series) -> pd.Series:
