@@ -98,3 +98,29 @@ def precedence_share(events: DataFrame, lab: str, stage: str, at: str, least: in
 
 def geometric_mean(c: str) -> Column:
     return F.exp(F.avg(F.log(c)))
+
+
+def turn_profile(rows: DataFrame, key: str, turn: str, value: str, turns: list[int]) -> DataFrame:
+    """Median by turn, a column a turn, and the value of the last turn (the largest of equals)."""
+    medians = rows.groupBy(key).pivot(turn, turns).agg(F.median(value))
+    medians = medians.select(key, *[F.col(str(t)).alias(f"turn_{t}") for t in turns])
+    return medians.join(rows.groupBy(key).agg(F.max(F.struct(turn, value)).getField(value).alias("last")), key)
+
+
+def cohort_summary(rows: DataFrame, key: str, cohort: Column, labels: list[str], value: str) -> DataFrame:
+    """Number, mean and deviation (0 for one row) of each cohort, side by side."""
+    return rows.withColumn("_c", cohort).groupBy(key).pivot("_c", labels).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
+
+
+def buckets(rows: DataFrame, key: str, value: str, edges: list[float]) -> DataFrame:
+    """Counts by key and bucket: below the first edge, between edges, from the last on, or missing."""
+    bucket = F.when(F.col(value).isNull(), "missing")
+    for k, edge in enumerate(edges):
+        bucket = bucket.when(F.col(value) < edge, f"b{k}")
+    return rows.groupBy(key, bucket.otherwise(f"b{len(edges)}").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def hit_rate(rows: DataFrame, keys: list[str], hit: Column, weight: Column) -> DataFrame:
+    """Weight of hits and of all, and their ratio (null without weight), by keys."""
+    per = rows.groupBy(*keys).agg(F.sum(F.when(hit, weight).otherwise(0)).alias("hit"), F.sum(weight).alias("total"))
+    return per.withColumn("rate", F.try_divide("hit", "total"))

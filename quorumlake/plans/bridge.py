@@ -851,3 +851,32 @@ def region_baseline(spark, d):
     suppliers = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
     n = table(spark, d, "nation").join(suppliers, "n_nationkey", "left").groupBy("n_nationkey", "n_regionkey").agg(F.count("s_suppkey").alias("n"))
     return rounded(n.join(n.groupBy("n_regionkey").agg(F.avg("n").alias("m"), F.stddev_samp("n").alias("sd")), "n_regionkey"))
+
+
+@query("""with t as (select role, turn, length(text)::double as v from conversations), l as (select role, max(struct_pack(turn := turn, v := v)).v as last from t group by 1)
+select role, median(v) filter (turn = 0) as turn_0, median(v) filter (turn = 1) as turn_1, median(v) filter (turn = 2) as turn_2, any_value(last) as last from t join l using (role) group by 1""")
+def turn_profile(spark, d):
+    turns = table(spark, d, "conversations").withColumn("v", F.length("text").cast("double"))
+    return metrics.turn_profile(turns, "role", "turn", "v", [0, 1, 2])
+
+
+@query("""select c_nationkey::bigint as c_nationkey, count(*) filter (c_mktsegment in ('BUILDING', 'MACHINERY')) as base_n, round(avg(c_acctbal) filter (c_mktsegment in ('BUILDING', 'MACHINERY')), 3) as base_mean, round(coalesce(stddev_samp(c_acctbal) filter (c_mktsegment in ('BUILDING', 'MACHINERY')), 0), 3) as base_sd,
+  count(*) filter (c_mktsegment not in ('BUILDING', 'MACHINERY')) as topup_n, round(avg(c_acctbal) filter (c_mktsegment not in ('BUILDING', 'MACHINERY')), 3) as topup_mean, round(coalesce(stddev_samp(c_acctbal) filter (c_mktsegment not in ('BUILDING', 'MACHINERY')), 0), 3) as topup_sd from customer group by 1""")
+def cohort_summary(spark, d):
+    cohort = F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "base").otherwise("topup")
+    out = rounded(metrics.cohort_summary(table(spark, d, "customer"), "c_nationkey", cohort, ["base", "topup"], "c_acctbal"), 3)
+    return out.na.fill(0, ["base_n", "topup_n"]).na.fill(0.0, ["base_sd", "topup_sd"])
+
+
+@query("""select o_orderpriority, case when d is null then 'missing' when d < 10 then 'b0' when d < 30 then 'b1' when d < 365 then 'b2' else 'b3' end as bucket, count(*) as n
+from (select o_orderkey, o_orderpriority, min(date_diff('day', o_orderdate::date, l_shipdate::date))::double as d from orders left join lineitem on l_orderkey = o_orderkey and l_shipdate >= o_orderdate group by 1, 2) group by 1, 2""")
+def delay_buckets(spark, d):
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    joined = orders.join(lines, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") >= F.col("o_orderdate")), "left")
+    days = joined.groupBy("o_orderkey", "o_orderpriority").agg(F.min(F.date_diff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))).cast("double").alias("d"))
+    return metrics.buckets(days, "o_orderpriority", "d", [10.0, 30.0, 365.0])
+
+
+@query("""select l_returnflag, l_linestatus, sum(case when l_discount > 0.05 then l_quantity else 0 end) as hit, sum(l_quantity) as total, round(sum(case when l_discount > 0.05 then l_quantity else 0 end) / sum(l_quantity), 6) as rate from lineitem group by 1, 2""")
+def cache_hits(spark, d):
+    return rounded(metrics.hit_rate(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_discount") > 0.05, F.col("l_quantity")), 6)
