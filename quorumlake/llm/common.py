@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 CHUNK_BYTES, CHUNK_ROWS = 1 << 18, 1000
 
 
+#: Stands for a null id inside operators: it is the smallest.
+NO_ID = -(1 << 63)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import connected_components, written
+from quorumlake.llm.common import NO_ID, connected_components, written
 
 THRESHOLD = 0.93
 #: Vectors of a tile's side, and dimensions that are added at a time.
@@ -118,10 +118,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     a component that isn't finite, or a zero vector: no links. Equal vectors of a label are compared once, as one with
     their number. Along the direction of the largest variance two linked vectors differ by sqrt(2 - 2 threshold) at
     most, so only cells of that width and their neighbours meet, in tiles of about SIDE vectors a side. A tile tells
-    each vector's number of links and its tile's smallest linked vector, never its pairs.
+    each vector's number of links and its tile's smallest linked vector, never its pairs. A null vec_id is the smallest.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", "embedding", "label")
+    rows = vectors.select(F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "embedding", "label")
     fine = F.expr("label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
     valid = rows.where(fine)
     reps = written(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times")), "vectors")
@@ -161,7 +161,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     reps = reps.select("label", "embedding", "rep", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = valid.join(reps, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     out = out.union(rows.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(0).cast("long"), "vec_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    kept = (F.col("vec_id") == F.col("component_id")).alias("kept")
+    return out.select(F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "n_links", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"), kept)
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

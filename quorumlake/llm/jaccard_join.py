@@ -297,10 +297,10 @@ def set_components(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, Dat
     named = pairs.select("set_id").union(pairs.select("hub")).distinct()
     per_set = F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x"), F.max(F.slice(F.array_sort("keys"), 1, LOWEST)).alias("low")
     first = sketches.groupBy("set_id").agg(*per_set).select("set_id", "x.doc_id", F.col("x.n_shingles").alias("n"), "x.sketch", "low").join(named, "set_id", "left_semi")
-    first = written(first.coalesce(2 * small), "first")
+    first = written(first.coalesce(8 * small), "first")
     info = first.select("set_id", "n", "sketch")
     both = pairs.join(info, "set_id").join(info.select(F.col("set_id").alias("hub"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2")), "hub")
-    passing = written(both.mapInArrow(_passing, "hub long, set_id long").coalesce(4 * small), "passing")
+    passing = written(both.mapInArrow(_passing, "hub long, set_id long").coalesce(16 * small), "passing")
     edges = written(verified(passing, _texts(docs, first, passing)), "links")
     near = connected_components(edges)
     rows = buckets.select("key", "set_id").union(buckets.select("key", F.col("hub").alias("set_id"))).distinct()
@@ -339,10 +339,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id (of rows with that doc_id, any one)."""
+    """``docs`` with one row of each component: the one with the smallest doc_id (of rows with that doc_id, any one).
+    Rows without a doc_id all stay."""
     kept = written(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_kept_rows")).coalesce(files_for(docs.count())), "kept")
     out = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    return out if kept.where("_kept_rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    out = out if kept.where("_kept_rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    return out.union(docs.where("doc_id is null"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

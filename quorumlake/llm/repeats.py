@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import Powers, documents, dropped, mix64, release, shuffle_partitions, text_chunks, written
+from quorumlake.llm.common import NO_ID, Powers, documents, dropped, mix64, release, shuffle_partitions, text_chunks, written
 
 LENGTH, GRAM = 100, 32
 _first, _second = Powers(), Powers(0xD1342543DE82EF95)
@@ -251,10 +251,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs`` (doc_id, text; null text: empty).
 
     Earlier means a smaller doc_id, or an earlier start in the same document. Identical rows count as one document and
-    get its result; rows of one doc_id should not differ in text (their strings would count as one document's).
+    get its result; rows of one doc_id should not differ in text (their strings would count as one document's). A
+    null doc_id is the smallest.
     """
-    places = repeated_places(docs)
-    return docs.select("doc_id", "text").join(places.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    places = repeated_places(rows)
+    out = rows.join(places.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,3 +188,15 @@ def test_embeddings(spark):
             embedding_dedup.SIDE = old
         assert got == want
     assert embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
+
+
+def test_null_ids(spark):
+    text = "the cat sat on the mat and slept all day long while it rained outside the house of the old man " * 2
+    docs = spark.createDataFrame([(None, text), (None, text), (1, text), (2, None), (None, "alone here")], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in jaccard_join.near_duplicates(docs).collect()) == [("1", "1"), ("2", "2"), ("None", "1"), ("None", "1"), ("None", "None")]
+    assert sorted(str(r["doc_id"]) for r in jaccard_join.one_of_each(docs).collect()) == ["1", "2", "None", "None", "None"]
+    got = {(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in repeats.without_repeats(docs.where("text is null or text <> 'alone here'")).collect()}
+    assert got >= {(1, len(text), len(text)), (2, 0, 0)} and {i for i, _, _ in got} == {None, 1, 2}
+    assert syncmers.fingerprint_pairs(docs).count() == 5
+    vectors = spark.createDataFrame([(None, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, None, 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in embedding_dedup.near_duplicates(vectors).collect()) == [("1", 1, "None", False), ("2", 0, "2", True), ("None", 1, "None", True)]
