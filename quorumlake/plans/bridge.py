@@ -709,6 +709,10 @@ def folded_names(spark, d):
     return table(spark, d, "documents").where("not contains(text, 'đ')").select("doc_id", tx.fold(F.lower(F.trim(F.substring("text", 1, 60)))).alias("folded"))
 
 
+@query("select doc_id, strip_accents(replace(replace(lower(trim(text)), 'đ', 'd'), 'Đ', 'D')) as folded from documents")
+def folded_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.fold(F.lower(F.trim("text"))).alias("folded"))
+
 
 @query("select s_suppkey, substr(sha256(concat_ws(':', 'sweep', s_name, s_suppkey::varchar)), 1, 12) as job_id from supplier")
 def job_ids(spark, d):
