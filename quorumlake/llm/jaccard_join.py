@@ -136,17 +136,17 @@ def _sketched(seed: int):
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(failed), lists, pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "set_id", "failed", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(failed), lists, pa.array(bits, pa.binary())], ["doc_id", "text_key", "n_shingles", "set_id", "failed", "keys", "sketch"])
 
     return run
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id, failed, keys, sketch), written. A seed that leaves a set with too few filled cells is given
+    """(doc_id, text_key, n_shingles, set_id, failed, keys, sketch), written; text_key is a hash of the text. A seed that leaves a set with too few filled cells is given
     up for the next one, so that the bound holds for all sets."""
     seed = 0
     while True:
-        out = written(docs.select("doc_id", "text").mapInArrow(_sketched(seed), "doc_id long, n_shingles long, set_id long, failed boolean, keys array<long>, sketch binary"), "sketches")
+        out = written(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(_sketched(seed), "doc_id long, text_key long, n_shingles long, set_id long, failed boolean, keys array<long>, sketch binary"), "sketches")
         if out.where("failed").isEmpty():
             return out
         seed += 1
@@ -278,10 +278,14 @@ def _crossing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(set_id, text) of the sets in ``pairs``."""
+    """(set_id, text) of the sets in ``pairs``. A row is found by its doc_id and its text's hash, one without a doc_id by
+    the hash alone (of equal texts one goes, so that copies neither multiply nor meet in a task)."""
     named = pairs.select("set_id").union(pairs.select("hub")).distinct()
-    wanted = first.select("set_id", "doc_id").join(named, "set_id", "left_semi")
-    return docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id").select("set_id", "text")
+    wanted = first.select("set_id", "doc_id", "text_key").join(named, "set_id", "left_semi")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    told = rows.join(wanted.where("doc_id is not null").hint("shuffle_hash"), ["doc_id", "text_key"]).select("set_id", "text")
+    nameless = rows.where("doc_id is null").groupBy("text_key").agg(F.min("text").alias("text"))
+    return told.union(nameless.join(wanted.where("doc_id is null").select("set_id", "text_key").hint("shuffle_hash"), "text_key").select("set_id", "text"))
 
 
 def set_components(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -295,8 +299,8 @@ def set_components(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, Dat
     pairs = written(buckets.select("hub", "set_id").distinct().coalesce(files_for(buckets.count())), "pairs")
     small = files_for(pairs.count())
     named = pairs.select("set_id").union(pairs.select("hub")).distinct()
-    per_set = F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x"), F.max(F.slice(F.array_sort("keys"), 1, LOWEST)).alias("low")
-    first = sketches.groupBy("set_id").agg(*per_set).select("set_id", "x.doc_id", F.col("x.n_shingles").alias("n"), "x.sketch", "low").join(named, "set_id", "left_semi")
+    per_set = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key", "n_shingles", "sketch")).alias("x"), F.max(F.slice(F.array_sort("keys"), 1, LOWEST)).alias("low")
+    first = sketches.groupBy("set_id").agg(*per_set).select("set_id", "x.doc_id", "x.text_key", F.col("x.n_shingles").alias("n"), "x.sketch", "low").join(named, "set_id", "left_semi")
     first = written(first.coalesce(8 * small), "first")
     info = first.select("set_id", "n", "sketch")
     both = pairs.join(info, "set_id").join(info.select(F.col("set_id").alias("hub"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2")), "hub")
