@@ -36,7 +36,7 @@ BLOCK = 8
 #: strings; the two last have BITS each.
 BITS = 7
 LOW = (1 << BITS) - 1
-TUPLES = "a long, b long, doc_id long, place long, known boolean"
+TUPLES = "a long, b long, doc_id long, sub long, place long, known boolean"
 
 
 def anchor_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -111,88 +111,88 @@ def strings(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return _first.hashes(_first.sums(data), p, p + LENGTH), _second.hashes(_second.sums(data), p, p + LENGTH), packed(p, 0 * p, 0 * p)
 
 
-def _tuples(a: np.ndarray, b: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+def _tuples(a: np.ndarray, b: np.ndarray, doc: np.ndarray, sub: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """A batch of tuples; of those with equal (a, b) all but the first are known to repeat, and are dealt by place."""
-    order = np.lexsort((place, doc, b, a))
-    a, b, doc, place = a[order], b[order], doc[order], place[order]
+    order = np.lexsort((place, sub, doc, b, a))
+    a, b, doc, sub, place = a[order], b[order], doc[order], sub[order], place[order]
     known = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])]) if len(a) else np.zeros(0, bool)
-    same = np.concatenate([[False], known[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])]) if len(a) else known
-    a = np.where(known, mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ place.astype(np.uint64)), a)
+    same = np.concatenate([[False], known[1:] & (doc[1:] == doc[:-1]) & (sub[1:] == sub[:-1]) & (place[1:] == place[:-1])]) if len(a) else known
+    a = np.where(known, mix64((doc ^ sub).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ place.astype(np.uint64)), a)
     keep = ~same
-    columns = [x[keep] for x in (a.view(np.int64), b.view(np.int64), doc, place, known)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "doc_id", "place", "known"])
+    columns = [x[keep] for x in (a.view(np.int64), b.view(np.int64), doc, sub, place, known)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "doc_id", "sub", "place", "known"])
 
 
 def _anchor_tuples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        ids = batch.column("doc_id").to_numpy()
-        found = [[], [], [], []]
+        ids, subs = batch.column("doc_id").to_numpy(), batch.column("sub").to_numpy()
+        found = [[], [], [], [], []]
         for i, j in text_chunks(texts):
             text, start, distance, further, g, context = anchor_runs(texts[i:j])
-            for column, x in zip(found, (g, context, ids[text + i], packed(start, distance, further)), strict=True):
+            for column, x in zip(found, (g, context, ids[text + i], subs[text + i], packed(start, distance, further)), strict=True):
                 column.append(x)
         if found[0]:
             yield _tuples(*(np.concatenate(x) for x in found))
 
 
 def _judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From tuples sorted by (a, b, doc_id, place): (doc_id, place, open): those that repeat an earlier one (open
+    """From tuples sorted by (a, b, doc_id, sub, place): (doc_id, sub, place, open): those that repeat an earlier one (open
     false), and the first ones of contexts whose gram has others (open true). Held back is the last context's first
     tuple, while its gram has no other."""
-    last = None  # a, b, doc_id, place, told
+    last = None  # a, b, doc_id, sub, place, told
     for batch in batches:
-        a, b, doc, place = (batch.column(c).to_numpy() for c in ("a", "b", "doc_id", "place"))
+        a, b, doc, sub, place = (batch.column(c).to_numpy() for c in ("a", "b", "doc_id", "sub", "place"))
         known = batch.column("known").to_numpy(zero_copy_only=False)
-        out = [(doc[known], place[known], np.zeros(int(known.sum()), bool))]
-        a, b, doc, place = a[~known], b[~known], doc[~known], place[~known]
+        out = [(doc[known], sub[known], place[known], np.zeros(int(known.sum()), bool))]
+        a, b, doc, sub, place = a[~known], b[~known], doc[~known], sub[~known], place[~known]
         if len(a):
             if last is not None:
-                a, b, doc, place = (np.concatenate([[x], y]) for x, y in zip(last[:4], (a, b, doc, place), strict=True))
+                a, b, doc, sub, place = (np.concatenate([[x], y]) for x, y in zip(last[:5], (a, b, doc, sub, place), strict=True))
             same_a, same_b = a[1:] == a[:-1], b[1:] == b[:-1]
             new_b = np.concatenate([[True], ~(same_a & same_b)])
             # tuples that are held by the carried one twice (identical rows) count once
-            twin = np.concatenate([[False], same_a & same_b & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])])
+            twin = np.concatenate([[False], same_a & same_b & (doc[1:] == doc[:-1]) & (sub[1:] == sub[:-1]) & (place[1:] == place[:-1])])
             carried = last is not None
             repeats = ~new_b & ~twin
             first = np.flatnonzero(new_b)
             of = np.cumsum(np.concatenate([[0], (a[first][1:] != a[first][:-1]).astype(np.int64)]))
             several = np.bincount(of)[of] > 1
-            if carried and last[4]:
+            if carried and last[5]:
                 several |= of == 0
             tell = several.copy()
-            if carried and last[4]:
+            if carried and last[5]:
                 tell[0] = False
-            out.append((doc[repeats], place[repeats], np.zeros(int(repeats.sum()), bool)))
-            out.append((doc[first][tell], place[first][tell], np.ones(int(tell.sum()), bool)))
+            out.append((doc[repeats], sub[repeats], place[repeats], np.zeros(int(repeats.sum()), bool)))
+            out.append((doc[first][tell], sub[first][tell], place[first][tell], np.ones(int(tell.sum()), bool)))
             k = first[-1]
-            last = (a[k], b[k], doc[k], place[k], bool(several[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc_id", "place", "open"])
+            last = (a[k], b[k], doc[k], sub[k], place[k], bool(several[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc_id", "sub", "place", "open"])
 
 
 def _sorted(tuples: DataFrame, label: str) -> DataFrame:
-    rows = tuples.repartition(shuffle_partitions(tuples.sparkSession), "a").sortWithinPartitions("a", "b", "doc_id", "place")
-    return written(rows.mapInArrow(_judged, "doc_id long, place long, open boolean"), label)
+    rows = tuples.repartition(shuffle_partitions(tuples.sparkSession), "a").sortWithinPartitions("a", "b", "doc_id", "sub", "place")
+    return written(rows.mapInArrow(_judged, "doc_id long, sub long, place long, open boolean"), label)
 
 
 def _induced(kind):
-    """Tuples that the places of (doc_id, text, places) induce, by ``blocks`` or ``strings``."""
+    """Tuples that the places of (doc_id, sub, text, places) induce, by ``blocks`` or ``strings``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, places = batch.column("doc_id").to_numpy(), batch.column("text"), batch.column("places")
-            found, held = [[], [], [], []], 0
+            ids, subs, texts, places = batch.column("doc_id").to_numpy(), batch.column("sub").to_numpy(), batch.column("text"), batch.column("places")
+            found, held = [[], [], [], [], []], 0
             for k in range(batch.num_rows):
                 data = np.frombuffer((texts[k].as_py() or "").encode(), np.uint8)
                 place = np.array(places[k].as_py(), np.int64)
                 start, _, further = unpacked(place)
                 a, b, at = kind(data, place[start + further + LENGTH <= len(data)])
-                for column, x in zip(found, (a, b, np.full(len(a), ids[k]), at), strict=True):
+                for column, x in zip(found, (a, b, np.full(len(a), ids[k]), np.full(len(a), subs[k]), at), strict=True):
                     column.append(x)
                 held += len(a)
                 if held > 1 << 19:
                     yield _tuples(*(np.concatenate(x) for x in found))
-                    found, held = [[], [], [], []], 0
+                    found, held = [[], [], [], [], []], 0
             if held:
                 yield _tuples(*(np.concatenate(x) for x in found))
 
@@ -222,25 +222,38 @@ def _removed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, sub, text) of ``docs``, null ids as NO_ID: ``sub`` is 0 (no bytes once compressed) where the rows of a
+    doc_id have one text, else the text's hash, as for all null ids."""
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    named = rows.where(F.col("doc_id") != NO_ID).select("doc_id", F.xxhash64("text").alias("h"))
+    several = written(named.groupBy("doc_id").agg(F.min("h").alias("l"), F.max("h").alias("m")).where("l <> m").select("doc_id"), "several")
+    differs = F.col("doc_id") == NO_ID
+    if not several.isEmpty():
+        rows = rows.join(several.withColumn("differs", F.lit(True)), "doc_id", "left")
+        differs |= F.col("differs").isNotNull()
+    return rows.select("doc_id", F.when(differs, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("sub"), "text")
+
+
 def repeated_places(docs: DataFrame) -> DataFrame:
-    """(doc_id, places): for each document with strings of LENGTH bytes that start earlier too, where they start."""
+    """(doc_id, sub, places): for each document with strings of LENGTH bytes that start earlier too, where they start."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "sub", "text")
     anchors = _sorted(rows.mapInArrow(_anchor_tuples, TUPLES), "anchors")
     release(spark)
-    gathered = lambda df: df.groupBy("doc_id").agg(F.collect_list("place").alias("places")).hint("shuffle_hash")
+    gathered = lambda df: df.groupBy("doc_id", "sub").agg(F.collect_list("place").alias("places")).hint("shuffle_hash")
     told, at = [anchors], anchors
     for label, kind in (("blocks", blocks), ("strings", strings)):
-        before, rows = rows, written(rows.join(gathered(at.where("open")), "doc_id").select("doc_id", "text", "places"), "open")
+        before, rows = rows, written(rows.join(gathered(at.where("open")), ["doc_id", "sub"]).select("doc_id", "sub", "text", "places"), "open")
         release(spark)
         if len(told) > 1:
             dropped(before)
         at = _sorted(rows.mapInArrow(_induced(kind), TUPLES), label)
         release(spark)
         told.append(at)
-        rows = rows.select("doc_id", "text")
+        rows = rows.select("doc_id", "sub", "text")
     both = told[0].where("not open").union(told[1].where("not open")).union(told[2].where("not open"))
-    places = written(gathered(both.select("doc_id", "place")), "places")
+    places = written(gathered(both.select("doc_id", "sub", "place")), "places")
     release(spark)
     for table in told:
         dropped(table)
@@ -251,12 +264,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs`` (doc_id, text; null text: empty).
 
     Earlier means a smaller doc_id, or an earlier start in the same document. Identical rows count as one document and
-    get its result; rows of one doc_id should not differ in text (their strings would count as one document's). A
+    get its result; rows of one doc_id that differ in text are documents of their own, ordered by the text's hash. A
     null doc_id is the smallest.
     """
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    rows = identified(docs)
     places = repeated_places(rows)
-    out = rows.join(places.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = rows.join(places.hint("shuffle_hash"), ["doc_id", "sub"], "left").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 

@@ -1,8 +1,9 @@
 """Rows without a doc_id, or with the same one, whose texts differ."""
 
+import hashlib
 import random
 
-from quorumlake.llm import jaccard_join
+from quorumlake.llm import jaccard_join, repeats
 
 
 def near_text(words, k):
@@ -20,3 +21,19 @@ def test_near_copies_of_rows_without_id(spark):
     got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in jaccard_join.near_duplicates(docs).collect())
     assert got == sorted((i, str(c)) for i, c in [("None", 5), ("5", 5), ("7", 5), *[("None", 8)] * 3, ("8", 8), *[("9", 9)] * 3, ("10", 9)])
     assert sorted(str(r["doc_id"]) for r in jaccard_join.one_of_each(docs).collect()) == ["5", "8", "9", *["None"] * 4]
+
+
+def test_repeats_of_rows_that_share_an_id(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, inner = text(400), text(150)
+    twice = text(30) + inner + text(20) + inner + text(200)  # its second half repeats the first
+    clean, other = text(700), text(650)
+    for i in (None, 4):
+        rows = [(i, twice), (i, clean), (i, other), (i, other), (6, a), (7, text(50) + a), (8, text(120))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = {(r["doc_id"], r["n_bytes"]): (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.without_repeats(docs).collect()}
+        whole = lambda t: (0, 0, hashlib.sha256(t.encode()).hexdigest())
+        assert got[i, 700] == whole(clean) and got[i, 650] == whole(other) and got[6, 400] == whole(a)
+        assert got[i, 550][:2] == (150, 1) and got[7, 450][:2] == (400, 1) and got[8, 120][0] == 0
+        assert repeats.without_repeats(docs).count() == len(rows)
