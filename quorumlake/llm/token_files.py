@@ -20,6 +20,8 @@ STRIPE_BYTES = 32 << 20
 INDEX_ROWS = 1000
 #: Cached words of a Python worker, and the longest word (bytes) that is cached.
 CACHE_WORDS, CACHE_BYTES = 900_000, 64
+#: What every special token holds.
+SPECIAL = b"<|"
 #: Texts that are encoded together.
 ROWS = 500
 
@@ -35,9 +37,10 @@ class _Words(dict):
     """ids of words, as little-endian uint32 bytes; a worker keeps them from task to task.
 
     The tokenizer drops white space and neither its normaliser nor its splitter looks across it, so that the ids of a
-    text are the ids of its words in order. It lower-cases too, so that words come with A-Z in lower case. A word of
-    Latin letters only is one piece, which the tokenizer's model takes as it is; a full stop or comma after a letter is
-    a piece of its own. Any other word goes through the whole tokenizer.
+    text are the ids of its words in order. It composes letters (NFC) and then lower-cases; an ASCII word is lower-cased
+    here, any other one and any that may hold a special token (``<|``: found before lower-casing) comes as it is. A word
+    of Latin letters only is one piece, which the tokenizer's model takes as it is; a full stop or comma after a letter
+    is a piece of its own. Any other word goes through the whole tokenizer.
     """
 
     kept: dict[str, _Words] = {}
@@ -48,7 +51,6 @@ class _Words(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.piece, self.letters = self.tokenizer.model.tokenize, _byte_letters()
 
     @classmethod
@@ -58,7 +60,9 @@ class _Words(dict):
         return cls.kept[path]
 
     def __missing__(self, word: bytes) -> bytes:
-        if word[-1] in b".," and word[-2:-1].isalpha():
+        if word.isascii() and SPECIAL not in word and (low := word.lower()) != word:
+            got = self[low]
+        elif word[-1] in b".," and word[-2:-1].isalpha():
             got = self[word[:-1]] + self[word[-1:]]
         elif word.isalpha():
             got = array("I", [t.id for t in self.piece(word.decode())]).tobytes()
@@ -74,6 +78,12 @@ class _Words(dict):
         return got
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text, between ASCII white space; plain ASCII texts in lower case, so that fewer words differ."""
+    data = (text or "").encode()
+    return (data.lower() if data.isascii() and SPECIAL not in data else data).split()
+
+
 def encoder(path: str, end_id: int | None = END_ID):
     """A mapInArrow function: (doc_id, text) -> (doc_id, part, n_tokens, ids). ``part`` is the task's partition."""
 
@@ -84,7 +94,7 @@ def encoder(path: str, end_id: int | None = END_ID):
         for batch in batches:
             texts, ids = batch.column("text"), batch.column("doc_id")
             for at in range(0, batch.num_rows, ROWS):
-                words = [(t or "").encode().lower().split() for t in texts.slice(at, ROWS).to_pylist()]
+                words = [words_of(t) for t in texts.slice(at, ROWS).to_pylist()]
                 if len(known) > CACHE_WORDS:
                     known.clear()
                 rows = [b"".join(map(known.__getitem__, w)) + tail for w in words]
@@ -135,6 +145,13 @@ def _crc(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each row, from the files that hold the ids of all whole texts.
+
+    A special token's string in a text is that token, as the library has it. A null or empty text, or one of white
+    space, holds the end id alone. Repeated rows and rows of equal doc_id stay side by side, each with a start of its
+    own (which one comes first of equal ids with different texts is not defined); a null doc_id comes first; an empty
+    table gives an empty result. Other columns are not read. A text is encoded whole, at some 12 bytes of memory a byte.
+    """
     import public_tokenizers
 
     path = table_path(spark, "tokens")
