@@ -17,6 +17,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -175,11 +176,53 @@ class _Cache(dict):
             self.update(self.frequent)
 
 
-def _splitter(pattern: str):
-    """The matches of ``pattern`` in a text, in order; ASCII texts take the same pattern with ASCII classes."""
-    plain = re.compile(re.sub(r"(?<=[\[\w])\\p\{L\}\\p\{N\}", "A-Za-z0-9", pattern).replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")).findall
-    full = regex.compile(pattern).findall
-    return lambda text: (plain if text.isascii() else full)(text)
+def _ranges(characters: set[str]) -> str:
+    """A character class's inside."""
+    points, out = sorted(map(ord, characters)), []
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+@lru_cache(maxsize=1)
+def unicode_classes() -> dict[str, str]:
+    """tiktoken's letters (L) and numbers (N), and the characters (odd) that regex, of another Unicode version, puts
+    elsewhere."""
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    own = {bytes([b]): b for b in range(256)}
+    told = {k: set(bytes(tiktoken.Encoding(k, pat_str=rf"\p{{{k}}}", mergeable_ranks=own, special_tokens={}).encode_ordinary(every)).decode()) for k in "LN"}
+    odd = set().union(*(told[k] ^ set(regex.findall(rf"\p{{{k}}}", every)) for k in "LN"))
+    return {k: _ranges(v) for k, v in told.items()} | {"odd": _ranges(odd), "least": min(odd, default="")}
+
+
+def _splitter(pattern: str, classes: dict[str, str]):
+    """The matches of ``pattern`` in a text, in order; ASCII texts take the same pattern with ASCII classes, those with a
+    character of ``classes['odd']`` take it with tiktoken's spelled out."""
+
+    def spelled(letters: str, numbers: str) -> str:
+        return re.sub(r"(?<=[\[\w])\\p\{L\}\\p\{N\}", lambda _: letters + numbers, pattern).replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+
+    plain, full = re.compile(spelled("A-Za-z", "0-9")).findall, regex.compile(pattern).findall
+    if not classes["odd"]:
+        return lambda text: (plain if text.isascii() else full)(text)
+    # one range first: few texts hold so high a character
+    high, odd, own = re.compile(f"[{classes['least']}-\U0010ffff]").search, re.compile(f"[{classes['odd']}]").search, []
+
+    def find(text: str) -> list[str]:
+        if text.isascii():
+            return plain(text)
+        if not high(text) or not odd(text):
+            return full(text)
+        if not own:
+            own.append(regex.compile(spelled(classes["L"], classes["N"])).findall)
+        return own[0](text)
+
+    return find
 
 
 class Encoder:
@@ -189,18 +232,19 @@ class Encoder:
         self.ranks, self.pattern, self.text = load_ranks(path), split_pattern(pattern), text
         folded = encode_words(frequent_words(docs, pattern, text=text), self.ranks).toPandas()
         shared = dict(zip(folded["word"], map(list, folded["ids"]), strict=True))
+        self.classes = unicode_classes()
         self.shared = docs.sparkSession.sparkContext.broadcast((shared, self.ranks))
         self.name = uuid.uuid4().hex
 
     def ids(self, docs: DataFrame, column: str = "ids") -> DataFrame:
         """Adds ``column`` array<int>, the text's ids (null or empty text: none); a column of that name gives way."""
-        shared, pattern, text, name = self.shared, self.pattern, self.text, self.name
+        shared, pattern, text, name, classes = self.shared, self.pattern, self.text, self.name, self.classes
         kept = [c for c in docs.columns if c != column]
         schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(column, T.ArrayType(T.IntegerType()))])
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, ranks = shared.value
-            find = _splitter(pattern)
+            find = _splitter(pattern, classes)
             cache = _Cache.of(("ids", name), words, ranks, lambda ids: np.asarray(ids, np.int32).tobytes())
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
@@ -214,13 +258,14 @@ class Encoder:
         return docs.mapInArrow(run, schema)
 
     def digests(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the text's ids and of the bytes they decode to."""
-        shared, pattern, text, name = self.shared, self.pattern, self.text, self.name
+        """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the text's ids and of the bytes they decode to, a row for
+        each row of ``docs``. A null or empty text has no ids: 0 and the digests of no bytes."""
+        shared, pattern, text, name, classes = self.shared, self.pattern, self.text, self.name, self.classes
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, ranks = shared.value
             pieces = {rank: piece for piece, rank in ranks.items()}
-            find = _splitter(pattern)
+            find = _splitter(pattern, classes)
             # one entry a word: decimal ids, then what its ids decode to
             cache = _Cache.of(("digests", name), words, ranks, lambda ids: (",".join(map(str, ids)), b"".join(pieces[i] for i in ids)))
             for batch in batches:
@@ -247,5 +292,8 @@ def multi_encoder(docs: DataFrame) -> Encoder:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row, repeated ones and those without a doc_id
+    included. Texts are encoded whole (null: empty); a word of any length is merged with a heap, in time n log n. An
+    empty table gives an empty result. Columns but doc_id and text are not read."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return multi_encoder(docs).digests(docs)
