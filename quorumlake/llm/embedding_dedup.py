@@ -12,8 +12,25 @@ from pyspark.sql import functions as F
 from quorumlake.llm.common import NO_ID, connected_components, written
 
 THRESHOLD = 0.93
-#: Vectors of a tile's side, and dimensions that are added at a time.
-SIDE, STEP = 1024, 16
+#: Values of a tile's side (so many divided by the dimensions are its vectors), vectors that are compared at once, and
+#: dimensions that are added at a time.
+SIDE, BLOCK, STEP = 1 << 20, 1024, 16
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of finite numbers, not all 0, times a power of two each (which changes no digit), so that no square overflows
+    or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """An array of lists of equal length as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _moments(batches):
@@ -21,8 +38,7 @@ def _moments(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             for x in batch.column("embedding").slice(at, 2000).to_pylist():
-                v = np.asarray(x, np.float64)
-                v = v / np.linalg.norm(v)
+                v = unit(np.asarray(x, np.float64))
                 m = sums.setdefault(len(v), np.zeros((len(v) + 1, len(v) + 1)))
                 w = np.append(v, 1.0)
                 m += np.outer(w, w)
@@ -71,27 +87,28 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, step: int = STEP)
     return i, j
 
 
-def _tile(threshold: float) -> Callable[[pa.Table], pa.Table]:
+def _tile(threshold: float, axes) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         name, times = table.column("rep").to_numpy(), table.column("times").to_numpy()
         own = table.column("tile")[0].as_py()
         inside = own["c0"] == own["c1"] and own["b0"] == own["b1"]
-        turned = np.array(table.column("turned").to_pylist(), np.float64)
-        raw = np.array(table.column("embedding").to_pylist(), np.float64)
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if inside else 1))
-        if not len(a) or not len(b):
-            i = j = np.zeros(0, np.int64)
-        else:
-            i, j = tile_links(turned[a], turned[b], threshold)
-            i, j = a[i], b[j]
-            if inside:
-                i, j = i[i < j], j[i < j]
-            norm = np.linalg.norm(raw, axis=1)
-            keep = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= threshold
-            i, j = i[keep], j[keep]
+        raw = scaled(matrix(table.column("embedding").combine_chunks()))
+        norm = np.linalg.norm(raw, axis=1)
+        turned = (raw / norm[:, None]) @ axes.value[raw.shape[1]][0]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if inside else 1))
+        found = [(np.zeros(0, np.int64),) * 2]
+        for p in range(0, len(left), BLOCK):
+            for q in range(p if inside else 0, len(right), BLOCK):
+                a, b = left[p : p + BLOCK], right[q : q + BLOCK]
+                i, j = tile_links(turned[a], turned[b], threshold)
+                i, j = a[i], b[j]
+                if inside:
+                    i, j = i[i < j], j[i < j]
+                keep = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= threshold
+                found.append((i[keep], j[keep]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         links = np.bincount(i, weights=times[j], minlength=len(name)) + np.bincount(j, weights=times[i], minlength=len(name))
-        root = np.arange(len(name))
         order = np.argsort(name)
         rank = np.empty(len(name), np.int64)
         rank[order] = np.arange(len(name))
@@ -117,8 +134,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     Vectors of one label and one length link at a cosine of ``threshold`` or more. A null vector, label or component,
     a component that isn't finite, or a zero vector: no links. Equal vectors of a label are compared once, as one with
     their number. Along the direction of the largest variance two linked vectors differ by sqrt(2 - 2 threshold) at
-    most, so only cells of that width and their neighbours meet, in tiles of about SIDE vectors a side. A tile tells
-    each vector's number of links and its tile's smallest linked vector, never its pairs. A null vec_id is the smallest.
+    most, so only cells of that width and their neighbours meet, in tiles of about SIDE values a side: a vector is
+    copied once for each SIDE values of the cells near it. A tile tells each vector's number of links and its tile's
+    smallest linked vector, never its pairs. A null vec_id is the smallest.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "embedding", "label")
@@ -128,22 +146,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     axes = spark.sparkContext.broadcast(principal_axes(reps))
     width = float(np.sqrt(max(2 - 2 * threshold, 1e-6)) * (1 + 1e-9))
 
-    def turn(batches):
+    def placed_in(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                turned, cells = [], []
+                cells = []
                 for x in part.column("embedding").to_pylist():
-                    v = np.asarray(x, np.float64)
-                    v /= np.linalg.norm(v)
-                    basis, along = axes.value[len(v)]
-                    turned.append(v @ basis)
-                    cells.append(int(np.floor(v @ along / width)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(turned, pa.list_(pa.float64())), pa.array(cells, pa.int64())], [*part.schema.names, "turned", "cell"])
+                    v = unit(np.asarray(x, np.float64))
+                    cells.append(int(np.floor(v @ axes.value[len(v)][1] / width)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells, pa.int64())], [*part.schema.names, "cell"])
 
     kind = reps.schema["embedding"].dataType.simpleString()
-    turned = written(reps.mapInArrow(turn, f"label {reps.schema['label'].dataType.simpleString()}, embedding {kind}, rep long, times long, turned array<double>, cell long").withColumn("d", F.size("embedding")), "turned")
-    cells = turned.groupBy("label", "d", "cell").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("blocks"))
+    turned = written(reps.mapInArrow(placed_in, f"label {reps.schema['label'].dataType.simpleString()}, embedding {kind}, rep long, times long, cell long").withColumn("d", F.size("embedding")), "placed")
+    cells = turned.groupBy("label", "d", "cell").agg(F.ceil(F.count(F.lit(1)) * F.col("d") / SIDE).cast("int").alias("blocks"))
     near = lambda shift, name: cells.select("label", "d", (F.col("cell") + shift).alias("cell"), F.col("blocks").alias(name))
     cells = cells.join(near(-1, "above"), ["label", "d", "cell"], "left").join(near(1, "below"), ["label", "d", "cell"], "left").na.fill(0, ["above", "below"])
     placed = turned.join(cells, ["label", "d", "cell"]).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -153,8 +168,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         case when above > 0 then transform(sequence(0, greatest(above, 1) - 1), o -> named_struct('tile', named_struct('c0', cell, 'b0', blk, 'c1', cell + 1, 'b1', o), 'side', 0)) else array() end,
         case when below > 0 then transform(sequence(0, greatest(below, 1) - 1), o -> named_struct('tile', named_struct('c0', cell - 1, 'b0', o, 'c1', cell, 'b1', blk), 'side', 1)) else array() end)"""
     )
-    spread = placed.withColumn("t", F.explode(tiles)).select("label", "d", "t.tile", "t.side", "rep", "times", "turned", "embedding")
-    told = written(spread.groupBy("label", "d", "tile").applyInArrow(_tile(threshold), "rep long, links long, root long"), "tiles")
+    spread = placed.withColumn("t", F.explode(tiles)).select("label", "d", "t.tile", "t.side", "rep", "times", "embedding")
+    told = written(spread.groupBy("label", "d", "tile").applyInArrow(_tile(threshold, axes), "rep long, links long, root long"), "tiles")
     links = told.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(told.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rep"), "component")
     reps = reps.join(links, "rep", "left").join(classes, "rep", "left")
@@ -166,6 +181,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, n_links, component_id, kept), a row for each row. Vectors that are null, empty, zero, or hold a null or
+    non-finite component, and those without a label, link with nothing; finite ones of any magnitude are compared.
+    Rows that are equal link; a cosine of exactly 0.93 in double precision links. A null vec_id is the smallest. An
+    empty table gives an empty result. Other columns are not read."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

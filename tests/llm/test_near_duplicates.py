@@ -168,19 +168,24 @@ def test_embeddings(spark):
         v = centres[k % 12] + rng.normal(size=16) * 0.25
         rows.append((k, [float(np.float32(x)) for x in v], int(k % 3)))
     rows += [(300, rows[0][1], 0), (301, rows[0][1], 0), (302, None, 0), (303, [0.0] * 16, 1), (304, [float("nan")] * 16, 1), (305, rows[1][1], None), (306, [None] + rows[2][1][1:], 2), (307, rows[0][1][:8], 0)]
-    vectors = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, rep string").repartition(4)
+    rows += [(308 + k, [x * m for x in rows[0][1][:16]], 5) for k, m in enumerate((1.0, 1e200, 1e-200, 1e-310, -1e300))]  # norms that overflow or vanish
+    rows += [(313, [1.0, 0.0], 6), (314, [0.93, math.sqrt(1 - 0.93**2)], 6), (315, [0.92, math.sqrt(1 - 0.92**2)], 6), (316, [0.92, math.sqrt(1 - 0.92**2)], 6), (317, [], 6)]  # a tie at the threshold
+    vectors = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, rep string").repartition(4)
 
     def linked(x, y):
         (i, a, la), (j, b, lb) = rows[x], rows[y]
         if i == j or la is None or la != lb or a is None or b is None or len(a) != len(b) or any(v is None or not math.isfinite(v) for v in (*a, *b)):
             return False
         a, b = np.array(a), np.array(b)
-        return bool(a.any() and b.any() and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.93)
+        if not (a.any() and b.any()):
+            return False
+        a, b = (np.ldexp(v, -int(math.frexp(np.abs(v).max())[1])) for v in (a, b))
+        return bool(a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) >= 0.93)
 
     least = components(list(range(len(rows))), linked)
     want = {k: (sum(linked(k, j) for j in range(len(rows))), least[k], least[k] == k) for k in range(len(rows))}
     assert max(n for n, _, _ in want.values()) > 2
-    for side in (1024, 16):
+    for side in (1 << 20, 256):
         old, embedding_dedup.SIDE = embedding_dedup.SIDE, side
         try:
             got = {r["vec_id"]: tuple(r)[1:] for r in embedding_dedup.near_duplicates(vectors).collect()}
