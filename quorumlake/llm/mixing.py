@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import documents, written
+from quorumlake.llm.common import documents, partition_keys, shuffle_partitions, written
 
 #: ``[^\x20\x09-\x0D]+`` as Java reads it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,70 +79,100 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def tape(docs: DataFrame, digits: int = BUCKET_DIGITS) -> DataFrame:
-    """Adds ``tape_from``: words of the source's documents, shuffled by the hash of doc_id, before this one."""
-    d = docs.withColumn("h", F.md5(F.col("doc_id").cast("string"))).withColumn("bucket", F.substring("h", 1, digits))
+    """Adds ``tape_from`` to (doc_id, name, source, size): words of the source's documents, shuffled by the hash of doc_id
+    (of ``name`` where there is none), before this one."""
+    d = docs.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col("name").cast("string"))))).withColumn("bucket", F.substring("h", 1, digits))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "name").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     sums = sums.select(F.col("source").alias("s2"), F.col("bucket").alias("b2"), "base")
-    d = d.join(sums, F.col("source").eqNullSafe(F.col("s2")) & F.col("bucket").eqNullSafe(F.col("b2")))
+    d = d.join(sums, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
     return d.withColumn("tape_from", F.col("inner") + F.col("base")).drop("s2", "b2", "base", "inner", "h", "bucket")
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): one row per row of ``docs`` (doc_id, text, source).
+def row_name() -> Column:
+    """A hash that equal (doc_id, text, source) share."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")), "source")
+
+
+def laps(docs: DataFrame, block_words: int, weights: tuple[float, ...], max_epochs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the schedule's blocks read, as (laps, rows, targets).
 
-    A source's documents, shuffled by hash, form a tape of words; scheduled slot r reads the tape's words
-    [r * block, (r + 1) * block), cyclically, and ``taken`` counts a document's words in all slots of its source; the
-    last slot is cut so that each source gives its rounded target. A null or empty text has size 0 and gives nothing;
-    a null source is a source of its own; an empty table gives an empty result; repeated rows are rows of their own.
+    A source's documents, shuffled by hash, form a tape of words; scheduled slot r of the source reads the tape's words
+    [r * block, (r + 1) * block), cyclically; its last slot is cut so that each source gives its rounded target. ``laps``
+    (source, tape_from, lap, words, slot) has, for each document and round of the tape, the words that blocks read there
+    and the slot of the first of these blocks; ``rows`` (doc_id, name, source, size, tape_from) all documents, those of
+    no words without a place on the tape.
     """
-    sized = docs.select(F.col("doc_id"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select("doc_id", row_name().alias("name"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = written(sized, "sizes")
     targets = written(source_targets(sized, weights, max_epochs), "mix-targets")
     slots = schedule(targets, block_words)
     start = F.col("rank") * block_words
     end = F.least((F.col("rank") + 1) * block_words, F.col("words"))
-    laps = F.sequence(F.floor(start / F.col("source_size")).cast("long"), F.floor((end - 1) / F.col("source_size")).cast("long"))
-    piece = slots.withColumn("lap", F.explode(laps)).select(
-        "source", F.greatest(start - F.col("lap") * F.col("source_size"), F.lit(0)).alias("p0"), F.least(end - F.col("lap") * F.col("source_size"), F.col("source_size")).alias("p1")
+    turns = F.sequence(F.floor(start / F.col("source_size")).cast("long"), F.floor((end - 1) / F.col("source_size")).cast("long"))
+    piece = slots.withColumn("lap", F.explode(turns)).select(
+        "source", "slot", "lap", F.greatest(start - F.col("lap") * F.col("source_size"), F.lit(0)).alias("p0"), F.least(end - F.col("lap") * F.col("source_size"), F.col("source_size")).alias("p1")
     )
-    piece = piece.groupBy("source", "p0", "p1").agg(F.count(F.lit(1)).alias("times"))
     cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / block_words).cast("long"), F.floor((F.col(b) - 1) / block_words).cast("long")))
     piece = piece.withColumn("cell", cells("p0", "p1")).withColumnRenamed("source", "s2").withColumnRenamed("cell", "c2")
-    rows = tape(sized.where("size > 0")).withColumn("tape_to", F.col("tape_from") + F.col("size"))
-    spread = rows.select("doc_id", "source", "tape_from", "tape_to", cells("tape_from", "tape_to").alias("cell"))
+    rows = written(tape(sized.where("size > 0")).union(sized.where("size = 0").withColumn("tape_from", F.lit(None).cast("long"))), "tape")
+    on_tape = rows.where("tape_from is not null").withColumn("tape_to", F.col("tape_from") + F.col("size"))
+    spread = on_tape.select("source", "tape_from", "tape_to", cells("tape_from", "tape_to").alias("cell"))
     met = spread.join(piece, F.col("source").eqNullSafe(F.col("s2")) & (F.col("cell") == F.col("c2")))
     low, high = F.greatest("tape_from", "p0", F.col("cell") * block_words), F.least("tape_to", "p1", (F.col("cell") + 1) * block_words)
-    took = met.groupBy("doc_id", "source", "tape_from").agg(F.sum(F.greatest(high - low, F.lit(0)) * F.col("times")).alias("taken"))
-    took = took.select(F.col("doc_id").alias("d2"), F.col("source").alias("s2"), F.col("tape_from").alias("t2"), "taken")
-    full = rows.join(took, F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("tape_from") == F.col("t2")), "left")
-    full = full.select("doc_id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    full = full.union(sized.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
+    met = met.withColumn("words", high - low).where("words > 0")
+    return met.groupBy("source", "tape_from", "lap").agg(F.sum("words").alias("words"), F.min("slot").alias("slot")), rows, targets
+
+
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, first_slot): one row per row of ``docs`` (doc_id, text, source).
+
+    ``taken`` counts the document's words in all blocks of its source, ``first_slot`` is the slot of the mix in which the
+    first of them stands (null if none does); see ``laps``. A null or empty text has size 0 and gives nothing; a null
+    source is a source of its own; an empty table gives an empty result; repeated rows are rows of their own.
+    """
+    took, rows, targets = laps(docs, block_words, weights, max_epochs)
+    took = took.groupBy(F.col("source").alias("s2"), F.col("tape_from").alias("t2")).agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    full = rows.join(took, F.col("source").eqNullSafe(F.col("s2")) & (F.col("tape_from") == F.col("t2")), "left").drop("s2")
     info = targets.select(F.col("source").alias("s2"), "source_size", "target")
-    return full.join(info, F.col("source").eqNullSafe(F.col("s2")), "left").select("doc_id", "source", "size", "source_size", "target", "taken")
+    out = full.join(info, F.col("source").eqNullSafe(F.col("s2")), "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: each row as often as the mix takes it whole (``taken / size`` rounded), with the columns of
-    ``docs``. Rows the mix takes nothing of go, empty texts among them."""
-    times = mix(docs).where("size > 0").withColumn("times", F.round(F.col("taken") / F.col("size")).cast("int")).where("times > 0")
-    # repeated ids: the ranks of equal ids on either side are matched one to one
-    rank = lambda df, by: df.withColumn("_mix_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*by)))
-    left = docs.withColumn("_mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
-    sized = rank(left.where("_mix_size > 0"), ["_mix_size", F.xxhash64("text", "source")])
-    taken = rank(times.select("doc_id", "size", "times"), ["size", "times"]).select(F.col("doc_id").alias("_mix_id"), F.col("_mix_rank").alias("_mix_r"), "times")
-    taken = taken.withColumnRenamed("times", "_mix_times")
-    out = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_rank") == F.col("_mix_r")))
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*[docs[c] for c in docs.columns])
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mix as documents, in its order, with the columns of ``docs``: a copy of a row for each round of the tape in
+    which blocks read half of it at least, sorted by the slot of its first block (files in order, rows in order inside).
+
+    Rows that the mix takes less of go, empty texts among them. Only a source's last block can cut a document, so that a
+    source's copies miss its target by half of one of its documents, and a word, at most. Rows that are equal in id,
+    text and source stand for each other: one of them gives the copies of all.
+    """
+    took, rows, _ = laps(docs, block_words, weights, max_epochs)
+    named = rows.select("doc_id", "name", "source", "size", "tape_from").withColumnRenamed("source", "s2").withColumnRenamed("tape_from", "t2")
+    copies = took.join(named, F.col("source").eqNullSafe(F.col("s2")) & (F.col("tape_from") == F.col("t2"))).where("2 * words >= size")
+    copies = written(copies.select(F.col("doc_id").alias("_mix_id"), F.col("name").alias("_mix_name2"), F.col("s2").alias("_mix_source"), F.col("slot").alias("_mix_slot")), "copies")
+    several = written(rows.where("size > 0").groupBy("name").agg(F.count(F.lit(1)).alias("_mix_n")).where("_mix_n > 1").select(F.col("name").alias("_mix_name")).coalesce(1), "several")
+    texts = docs.withColumn("_mix_name", row_name())
+    if not several.isEmpty():
+        twins = texts.join(several, "_mix_name", "left_semi").dropDuplicates(["doc_id", "text", "source"])
+        texts = texts.join(several, "_mix_name", "left_anti").select(*texts.columns).union(twins.select(*texts.columns))
+    found = texts.join(copies, (F.col("_mix_name") == F.col("_mix_name2")) & F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")))
+    last = copies.agg(F.max("_mix_slot")).first()[0] or 0
+    n = shuffle_partitions(docs.sparkSession)
+    part = F.element_at(F.array(*map(F.lit, partition_keys(docs.sparkSession, n))).cast("array<bigint>"), F.floor(F.col("_mix_slot") * n / (last + 1)).cast("int") + 1)
+    return found.withColumn("_mix_part", part).repartition(n, "_mix_part").sortWithinPartitions("_mix_slot", "_mix_name").select(*[docs[c] for c in docs.columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    """(doc_id, size, source_size, target, taken, first_slot), a row for each row; see ``mix``. The windows over sources have
+    a row for each source, a table that is small by definition."""
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
-#: The same mix without blocks: a source gives its first round(target) words of the cyclic tape.
+#: Blocks together read a source's first round(target) words of the cyclic tape; block r of the tape has the slot of the
+#: source's r-th van der Corput point, those that the points leave open follow.
 OP10_SQL = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size from d group by 1),
@@ -152,6 +182,13 @@ l as (select *, ((select sum(source_size) from s) - coalesce(sum(cap) over (orde
 f as (select (select level from l where level * weight <= cap order by cap / weight, level limit 1) as free),
 t as (select source, source_size, least(cap::double, coalesce(f.free, 'infinity'::double) * weight) as target from l, f),
 p as (select d.*, t.source_size, t.target, round(t.target)::bigint as words, coalesce(sum(size) over (partition by d.source order by md5(doc_id::varchar), doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as a
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target, case when size = 0 then 0 else words // source_size * size + greatest(0, least(a + size, words % source_size) - least(a, words % source_size)) end::bigint as taken from p
+  from d join t on d.source is not distinct from t.source),
+q as (select source, ceil(round(target) / 256)::bigint as need, sum(target) over (order by source is null, source) / sum(target) over () as high from t where round(target) > 0),
+b as (select source, need, coalesce(lag(high) over (order by source is null, source), 0) as low, case when lead(high) over (order by source is null, source) is null then 2 else high end as high from q),
+c as (select i as slot, list_sum(list_transform(range(0, 40), lambda k: ((i >> k) & 1) * pow(0.5, k + 1))) as x from range(0, coalesce((select sum(need) from q), 0)::bigint) r(i)),
+h as (select b.source, b.need, slot, row_number() over (partition by b.source order by slot) - 1 as r from c join b on x >= low and x < high),
+k as (select source, r, slot from h where r < need
+  union all select b.source, x.r, (select sum(need) from q)::bigint + x.r from b left join (select source, count(*) as got from h group by 1) g on g.source is not distinct from b.source, lateral (select unnest(range(coalesce(got, 0), b.need)) as r) x)
+select doc_id, size, source_size, target, case when size = 0 then 0 else words // source_size * size + greatest(0, least(a + size, words % source_size) - least(a, words % source_size)) end::bigint as taken, k.slot::bigint as first_slot
+from p left join k on k.source is not distinct from p.source and k.r = p.a // 256 and p.size > 0 and p.a < p.words
 """
