@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised kernel takes at once, and rows of text that are held as Python objects: a worker's
@@ -38,14 +38,30 @@ def table_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Tables that are written before the driver lets go of finished plans once.
+RELEASE_EACH = 3
+_writes = 0
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
+    global _writes
     spark = df.sparkSession
     path = table_path(spark, label)
     df.write.parquet(path)
+    _writes += 1
+    if _writes % RELEASE_EACH == 0:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, label: str, **totals: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``written``, and aggregates of its rows (``rows``: their number), taken while they are written: no further job."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in totals.items())), label)
+    return out, seen.get
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -120,7 +136,8 @@ class Powers:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that are done with: it does once their objects are collected."""
+    """Lets Spark remove the shuffle files and broadcasts of plans that are done with: it does once their objects are
+    collected, which the driver's heap alone may put off for long."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -147,20 +164,21 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, component): the smallest node reachable along ``edges`` (u, v), for each node that has an edge.
 
     Alternates large-star and small-star steps (each a partial-aggregated minimum and a join), so that a hub of any
-    degree is never gathered into one row. Every round is written to the shared folder; only a count and a checksum of
-    its edges reach the driver, and the rounds end when they stay. An empty edge table gives an empty result.
+    degree is never gathered into one row. Every round is written to the shared folder in place of the one before; only
+    a count and a checksum of its edges reach the driver, and the rounds end when they stay. An empty edge table gives
+    an empty result.
     """
-    files = files_for(edges.count())
-    stamp = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(files), label)
-    before = stamp(e)
+    stamp = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))
+    e, before = counted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label, stamp=stamp)
+    files = files_for(before["rows"])
     while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = written(hung.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(files), label)
-        if (now := stamp(new)) == before:
+        new, now = counted(hung.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(files), label, stamp=stamp)
+        dropped(e)
+        if now == before:
             return new.select(F.col("u").alias("node"), F.col("v").alias("component")).union(new.select("v", "v").distinct())
         e, before = new, now

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import Powers, connected_components, documents, files_for, mix64, shuffle_partitions, slices, text_chunks, written
+from quorumlake.llm.common import Powers, connected_components, counted, documents, dropped, files_for, mix64, shuffle_partitions, slices, text_chunks, written
 
 SHINGLE = 5
 #: Similarity as a fraction; CELLS is the share of a band's largest size that its sketch has as cells (at least LEAST).
@@ -59,12 +59,19 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def set_id(s: np.ndarray) -> int:
-    """A signed 64-bit name of a set of shingles; equal sets have equal names."""
-    x = s if len(s) else np.zeros(1, np.uint64)
-    spread = mix64(x + np.uint64(0x1234567887654321))
-    both = spread.sum(keepdims=True) * np.uint64(0x9FB21C651E98DF25) ^ (np.bitwise_xor.reduce(mix64(spread), keepdims=True) + np.uint64(len(s)))
-    return int(mix64(both).view(np.int64)[0])
+#: Bits of a set's name; fewer (in tests) make different sets share one.
+ID_BITS = 64
+
+
+def set_names(s: np.ndarray, bits: int = ID_BITS) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a set of shingles: its name and, for sets whose names agree, another one. Equal sets
+    have equal names."""
+    x, out = s if len(s) else np.zeros(1, np.uint64), []
+    for k in (0, 2):
+        spread = mix64((x + np.uint64(0x1234567887654321)) * _STEP[k])
+        both = spread.sum(keepdims=True) * _STEP[k + 1] ^ (np.bitwise_xor.reduce(mix64(spread), keepdims=True) + np.uint64(len(s)))
+        out.append(int(mix64(both).view(np.int64)[0]))
+    return out[0] >> (64 - bits), out[1]
 
 
 def _cells(s: np.ndarray, band: int, need: int, seed: int) -> np.ndarray | None:
@@ -115,41 +122,61 @@ def may_link(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
     return (9 * distance <= n + m) & (np.minimum(n, m) * SIM_DEN >= np.maximum(n, m) * SIM_NUM)
 
 
-def _sketched(seed: int):
+def _sketched(seed: int, id_bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in slices(batches):
-            n, names, keys, lengths, failed, bits = [], [], [], [], [], []
+            n, names, others, keys, lengths, failed, bits = [], [], [], [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist()):
-                name = set_id(s)
+                name, other = set_names(s, id_bits)
                 k = np.zeros(0, np.uint64)
-                if len(s) and name not in seen:  # equal sets of a task emit once
-                    seen.add(name)
+                if len(s) and (name, other) not in seen:  # equal sets of a task emit once
+                    seen.add((name, other))
                     k = sketch_keys(s, seed)
                 failed.append(k is None)
                 k = np.zeros(0, np.uint64) if k is None else k
                 n.append(len(s))
                 bits.append(bit_sketch(s))
                 names.append(name)
+                others.append(other)
                 keys.append(k)
                 lengths.append(len(k))
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(failed), lists, pa.array(bits, pa.binary())], ["doc_id", "text_key", "n_shingles", "set_id", "failed", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(others, pa.int64()), pa.array(failed), lists, pa.array(bits, pa.binary())], ["doc_id", "text_key", "n_shingles", "set_id", "other", "failed", "keys", "sketch"])
 
     return run
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_shingles, set_id, failed, keys, sketch), written; text_key is a hash of the text. A seed that leaves a set with too few filled cells is given
-    up for the next one, so that the bound holds for all sets."""
-    seed = 0
+SKETCHES = "doc_id long, text_key long, n_shingles long, set_id long, other long, failed boolean, keys array<long>, sketch binary"
+
+
+def sketch(docs: DataFrame, id_bits: int = ID_BITS) -> tuple[DataFrame, bool]:
+    """(doc_id, text_key, n_shingles, set_id, other, failed, keys, sketch), written, and whether a doc_id is null; text_key
+    is a hash of the text.
+
+    A seed that leaves a set with too few filled cells is given up for the next one, so that the bound holds for all
+    sets. Sets that differ and have one 64-bit name get new names from both their hashes.
+    """
+    seed, rows = 0, docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     while True:
-        out = written(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(_sketched(seed), "doc_id long, text_key long, n_shingles long, set_id long, failed boolean, keys array<long>, sketch binary"), "sketches")
-        if out.where("failed").isEmpty():
-            return out
+        out, told = counted(rows.mapInArrow(_sketched(seed, id_bits), SKETCHES), "sketches", failed=F.count_if("failed"), nameless=F.count_if(F.col("doc_id").isNull()))
+        if not told["failed"]:
+            break
+        dropped(out)
         seed += 1
+    alike = out.where("n_shingles > 0").groupBy("set_id").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b")
+    alike, several = counted(alike.select("set_id").coalesce(1), "alike")
+    if several["rows"]:
+        new = F.when(F.col("alike"), renamed("set_id", "other")).otherwise(F.col("set_id"))
+        out = written(out.join(alike.withColumn("alike", F.lit(True)), "set_id", "left").withColumn("set_id", new).select(out.columns), "sketches")
+    return out, told["nameless"] > 0
+
+
+def renamed(name, other):
+    """The name of a set whose own one another set has too."""
+    return F.col(name).bitwiseXOR(F.col(other)) if isinstance(name, str) else name ^ other
 
 
 def _shared_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,21 +204,26 @@ def shared_buckets(sketches: DataFrame) -> DataFrame:
     return rows.mapInArrow(_shared_buckets, "key long, hub long, set_id long")
 
 
-def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(id_bits: int):
     """From (hub, salt, role, set_id, text), a hub's own text first: the pairs whose sets link."""
-    hub = hub_set = None
-    for batch in slices(batches):
-        rows = zip(batch.column("hub").to_pylist(), batch.column("role").to_pylist(), batch.column("set_id").to_pylist(), shingle_sets(batch.column("text").to_pylist()), strict=True)
-        left, right = [], []
-        for h, role, name, s in rows:
-            if set_id(s) != name:
-                continue
-            if role == 0:
-                hub, hub_set = h, s
-            elif h == hub and links(hub_set, s):
-                left.append(h)
-                right.append(name)
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = hub_set = None
+        for batch in slices(batches):
+            rows = zip(batch.column("hub").to_pylist(), batch.column("role").to_pylist(), batch.column("set_id").to_pylist(), shingle_sets(batch.column("text").to_pylist()), strict=True)
+            left, right = [], []
+            for h, role, name, s in rows:
+                own = set_names(s, id_bits)
+                if name not in (own[0], renamed(*own)):  # another text with the same text_key
+                    continue
+                if role == 0:
+                    hub, hub_set = h, s
+                elif h == hub and links(hub_set, s):
+                    left.append(h)
+                    right.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
+
+    return run
 
 
 def links(a: np.ndarray, b: np.ndarray) -> bool:
@@ -205,10 +237,10 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 #: Members that are compared with one copy of a hub's text.
-HUB_MEMBERS = 512
+HUB_MEMBERS = 64
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, id_bits: int = ID_BITS) -> DataFrame:
     """The rows of ``pairs`` (hub, set_id) that link, as (u, v); ``texts`` has (set_id, text).
 
     Each member's text meets its hub's in a stream sorted by hub; a hub with many members is salted, so that no task
@@ -220,7 +252,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     hubs = spread.withColumnRenamed("hub", "set_id").join(texts, "set_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     hubs = hubs.select(F.col("set_id").alias("hub"), "salt", F.lit(0).alias("role"), "set_id", "text")
     rows = hubs.union(members).repartition(shuffle_partitions(pairs.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", "role")
-    return rows.mapInArrow(_linked, "u long, v long")
+    return rows.mapInArrow(_linked(id_bits), "u long, v long")
 
 
 def _passing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,27 +309,29 @@ def _crossing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in last], pa.int64()), pa.array([y for _, y in last], pa.int64())], ["hub", "set_id"])
 
 
-def _texts(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(set_id, text) of the sets in ``pairs``. A row is found by its doc_id and its text's hash, one without a doc_id by
-    the hash alone (of equal texts one goes, so that copies neither multiply nor meet in a task)."""
+def _texts(docs: DataFrame, first: DataFrame, pairs: DataFrame, nameless: bool) -> DataFrame:
+    """(set_id, text) of the sets in ``pairs``. A row is found by its doc_id and its text's hash, one without a doc_id (if
+    there are any) by the hash alone (of equal texts one goes, so that copies neither multiply nor meet in a task)."""
     named = pairs.select("set_id").union(pairs.select("hub")).distinct()
     wanted = first.select("set_id", "doc_id", "text_key").join(named, "set_id", "left_semi")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     told = rows.join(wanted.where("doc_id is not null").hint("shuffle_hash"), ["doc_id", "text_key"]).select("set_id", "text")
-    nameless = rows.where("doc_id is null").groupBy("text_key").agg(F.min("text").alias("text"))
-    return told.union(nameless.join(wanted.where("doc_id is null").select("set_id", "text_key").hint("shuffle_hash"), "text_key").select("set_id", "text"))
+    if not nameless:
+        return told
+    unnamed = rows.where("doc_id is null").groupBy("text_key").agg(F.min("text").alias("text"))
+    return told.union(unnamed.join(wanted.where("doc_id is null").select("set_id", "text_key").hint("shuffle_hash"), "text_key").select("set_id", "text"))
 
 
-def set_components(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, component) of the linked sets, and links (u, v) that connect them.
+def set_components(docs: DataFrame, sketches: DataFrame, nameless: bool, id_bits: int = ID_BITS) -> DataFrame:
+    """(node, component) of the linked sets.
 
     First each bucket's sets meet its smallest one; then, in the buckets that still hold several components, sets of
     different components meet each other in blocks: a pair inside one component can't change it. Pairs whose bit
     sketches differ too much go; the others' texts are compared.
     """
-    buckets = written(shared_buckets(sketches), "buckets")
-    pairs = written(buckets.select("hub", "set_id").distinct().coalesce(files_for(buckets.count())), "pairs")
-    small = files_for(pairs.count())
+    buckets, n = counted(shared_buckets(sketches), "buckets")
+    pairs, n = counted(buckets.select("hub", "set_id").distinct().coalesce(files_for(n["rows"])), "pairs")
+    small = files_for(n["rows"])
     named = pairs.select("set_id").union(pairs.select("hub")).distinct()
     per_set = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key", "n_shingles", "sketch")).alias("x"), F.max(F.slice(F.array_sort("keys"), 1, LOWEST)).alias("low")
     first = sketches.groupBy("set_id").agg(*per_set).select("set_id", "x.doc_id", "x.text_key", F.col("x.n_shingles").alias("n"), "x.sketch", "low").join(named, "set_id", "left_semi")
@@ -305,7 +339,8 @@ def set_components(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, Dat
     info = first.select("set_id", "n", "sketch")
     both = pairs.join(info, "set_id").join(info.select(F.col("set_id").alias("hub"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2")), "hub")
     passing = written(both.mapInArrow(_passing, "hub long, set_id long").coalesce(16 * small), "passing")
-    edges = written(verified(passing, _texts(docs, first, passing)), "links")
+    edges = written(verified(passing, _texts(docs, first, passing, nameless), id_bits), "links")
+    dropped(passing)
     near = connected_components(edges)
     rows = buckets.select("key", "set_id").union(buckets.select("key", F.col("hub").alias("set_id"))).distinct()
     component = near.select(F.col("node").alias("set_id"), "component")
@@ -316,28 +351,31 @@ def set_components(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, Dat
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "set_id", "component")
     rows = rows.join(info.join(first.select("set_id", "low"), "set_id"), "set_id").repartition(shuffle_partitions(docs.sparkSession), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "set_id")
     cross = rows.mapInArrow(_crossing, "hub long, set_id long").distinct().join(pairs, ["hub", "set_id"], "left_anti")
-    cross = written(cross, "cross")
-    if cross.isEmpty():
-        return near, edges
-    more = written(verified(cross, _texts(docs, first, cross)), "links")
-    edges = edges.union(more)
-    return connected_components(edges), edges
+    cross, n = counted(cross.coalesce(16 * small), "cross")
+    dropped(buckets)
+    if n["rows"]:
+        edges = edges.union(written(verified(cross, _texts(docs, first, cross, nameless), id_bits), "links"))
+        near = connected_components(edges)
+    for table in (pairs, first, cross):
+        dropped(table)
+    return near
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_bits: int = ID_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
     Rows whose sets link are in one component, named by its smallest doc_id; equal sets link. A null or empty text, or
     one of white space, has no shingles and is a component of its own, as is every row that links with nothing. An
     empty table gives an empty result; a row that occurs twice is returned twice.
     """
-    sketches = sketch(docs)
-    sets, _ = set_components(docs, sketches)
+    sketches, nameless = sketch(docs, id_bits)
+    sets = set_components(docs, sketches, nameless, id_bits)
     rows = sketches.select("doc_id", "n_shingles", "set_id")
     held = rows.where("n_shingles > 0").join(sets.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     files = files_for(rows.count())
     held = written(held.select("doc_id", "n_shingles", "component").coalesce(files), "components")
-    least = held.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join reads two exchanges and Spark can split the partition of a large component
+    least = written(held.groupBy("component").agg(F.min("doc_id").alias("component_id")).coalesce(files), "least")
     out = held.join(least, "component").select("doc_id", "n_shingles", "component_id")
     return out.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
@@ -345,13 +383,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id (of rows with that doc_id, any one).
     Rows without a doc_id all stay."""
-    kept = written(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_kept_rows")).coalesce(files_for(docs.count())), "kept")
+    kept, n = counted(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_kept_rows")), "kept", several=F.count_if(F.col("_kept_rows") > 1))
     out = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    out = out if kept.where("_kept_rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    out = out.dropDuplicates(["doc_id"]) if n["several"] else out
     return out.union(docs.where("doc_id is null"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row; see ``near_duplicates``. A text is hashed whole, at some 80
+    bytes of memory a byte."""
     return near_duplicates(documents(spark, sf_dir))
 
 
