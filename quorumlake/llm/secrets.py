@@ -15,11 +15,14 @@ from quorumlake.llm.spans import quoted, spans
 
 #: Names of settings whose values are secrets.
 KEY_NAMES = "access_key access_token api_key apikey auth_token client_secret passwd password private_key pwd secret secret_key token"
-#: Candidates: a provider's form, a value set to a secret's name, or a run of 16 characters or more with a digit.
+#: A setting whose name holds one of these, up to its value: the rest of the name, a sign, quotes.
+SETTING = "(?i:" + "|".join(sorted(KEY_NAMES.split(), key=len, reverse=True)) + r")[A-Za-z0-9_]*+[\"']?\s{0,2}[:=]\s{0,2}[\"']?"
+#: Candidates: a provider's form, the value of a setting, or a run of 16 characters or more with a digit that is not
+#: itself a setting's name.
 CANDIDATE = (
     r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
-    r"|(?i:" + "|".join(sorted(KEY_NAMES.split(), key=len, reverse=True)) + r")[\"']?\s{0,2}[:=]\s{0,2}[\"']?[^\s\"'<>,;]{8,}"
-    r"|(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]{0,256}+[0-9])[A-Za-z0-9+/_.=-]{15,}+[A-Za-z0-9=]?"
+    "|" + SETTING + r"[^\s\"'<>,;]{8,}"
+    r"|(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*+[0-9])[A-Za-z0-9+/_.-]{16,}+={0,2}+(?![\"']?\s{0,2}[:=]\s{0,2}[\"']?[^\s\"'<>,;]{8})"
 )
 #: Common words and parts of words of prose and of identifiers, which random strings rarely hold.
 DICTIONARY = (
@@ -41,13 +44,13 @@ def _any(words: str) -> str:
 
 def secret_part() -> Column:
     """The value of a candidate ``value`` without its setting's name."""
-    return F.regexp_replace("value", r"^(?i:" + "|".join(sorted(KEY_NAMES.split(), key=len, reverse=True)) + r")[\"']?\s{0,2}[:=]\s{0,2}[\"']?", "")
+    return F.regexp_replace("value", "^" + SETTING, "")
 
 
 def with_features(findings: DataFrame) -> DataFrame:
-    """Adds ``features`` to (value, before, after): length, shares of digits, capitals, distinct characters and vowels,
+    """Adds ``features`` to (value, before, after), none of them null: length, shares of digits, capitals, distinct characters and vowels,
     transitions between character classes, dictionary coverage, path marks, the setting and words around the value."""
-    name, body = r"^(?i:" + "|".join(KEY_NAMES.split()) + r")[\"']?\s{0,2}[:=]", F.col("_body")
+    body = F.col("_body")
     size = F.greatest(F.length(body), F.lit(1)).cast("double")
     share = lambda pattern: F.regexp_count(body, F.lit(pattern)) / size
     words = "|".join(sorted((w for w in DICTIONARY.split() if len(w) > 2), key=lambda w: (-len(w), w)))
@@ -62,7 +65,7 @@ def with_features(findings: DataFrame) -> DataFrame:
         "vowels": share("[aeiouAEIOU]"),
         "covered": 1 - F.length(F.regexp_replace(F.lower(body), words, "")) / size,
         "path": flag(body.rlike(r"^[./~]|/.*/|\.[a-z]{2,4}$|^www|://")) + flag(F.col("before").rlike(r"(://|[/\\])\S*$")),
-        "assigned": flag(F.col("value").rlike(name)),
+        "assigned": flag(F.col("value").rlike("^" + SETTING)),
         "provider": flag(body.rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^sk-|^xox[abp]-|^eyJ")),
         "hex": flag(body.rlike("^[0-9a-f]{16,}$|^[0-9A-F]{16,}$")),
         "near_for": flag(near.rlike(_any(NEAR_FOR))),
@@ -83,15 +86,19 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     base = lambda salt, k: F.substring(F.translate(F.base64(F.unhex(h(salt))), "+/=", "AbC"), 1, k)
     w = [pick(f"w{k}", words) for k in range(8)]
     prose = F.concat_ws(" ", w[0], w[1], w[2], F.lit(""))
-    setting = F.concat(pick("name", F.split(F.lit(KEY_NAMES), " ")), pick("sign", F.array(*map(F.lit, ("=", ": ", " = \"", "=\"")))))
+    name = pick("name", F.split(F.lit(KEY_NAMES), " "))
+    name = F.when(F.xxhash64("id", F.lit("case")) % 2 == 0, name).otherwise(F.upper(name))
+    setting = F.concat(name, pick("rest", F.array(*map(F.lit, ("", "", "_ID", "_prod", "2")))), pick("sign", F.array(*map(F.lit, ("=", ": ", " = \"", "=\"")))))
+    named = F.concat(prose, pick("start", F.array(*map(F.lit, ("", "", "MY_", "AWS_", "db_")))))  # a setting's name may begin before what is listed
     digits = lambda salt, k: F.substring(F.translate(h(salt), "abcdef", "123456"), 1, k)
     uuid = F.concat_ws("-", *[F.substring(h("u"), a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     near = F.concat(pick("bad", F.split(F.lit(NEAR_AGAINST), " ")), pick("colon", F.array(*map(F.lit, (" ", ": ", "=")))))
     yes = [
         (F.concat(pick("aws", F.array(F.lit("AKIA"), F.lit("ASIA"))), upper("k")), prose),
-        (F.concat(setting, F.substring(h("s"), 1, 40)), prose),
-        (F.concat(setting, F.substring(h("s"), 1, 18)), prose),
-        (F.concat(setting, base("s", 24)), prose),
+        (F.concat(setting, F.substring(h("s"), 1, 40)), named),
+        (F.concat(setting, F.substring(h("s"), 1, 18)), named),
+        (F.concat(setting, base("s", 24)), named),
+        (F.concat(setting, pick("aws", F.array(F.lit("AKIA"), F.lit("ASIA"))), upper("k")), named),
         (F.concat(F.lit("ghp_"), base("g", 36)), prose),
         (base("b", 40), F.concat(prose, pick("good", F.split(F.lit(NEAR_FOR), " ")), F.lit(" "))),
     ]
@@ -102,7 +109,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (digits("n", 18), prose),
         (F.concat(w[3], w[4], w[5], digits("v", 3), w[6]), prose),
         (F.concat_ws("/", F.lit("src"), w[3], w[4], F.concat(w[5], digits("v", 2), F.lit(".java"))), prose),
-        (F.concat(setting, F.concat_ws("_", F.lit("your"), w[3], w[4], digits("v", 2))), prose),
+        (F.concat(setting, F.concat_ws("_", F.lit("your"), w[3], w[4], digits("v", 2))), named),
         (F.concat(F.repeat(F.lit("x"), 14), digits("v", 4)), prose),
         (F.concat_ws("-", w[3], w[4], digits("v", 4), w[5], w[6]), prose),
         (F.concat_ws(".", w[3], digits("a", 2), digits("b", 2), w[4], w[5]), prose),
@@ -123,7 +130,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, text: str = "t
     """(doc_id, start, stop, value, score): each candidate of whole texts with the forest's probability of a secret.
 
     Offsets are code points of the whole match; ``value`` is the secret alone. Null and empty texts have no candidates;
-    a row that occurs twice is scanned twice. Nothing is shuffled.
+    a row that occurs twice is scanned twice; other columns give way. Nothing is shuffled.
     """
     kept = docs.select("doc_id", F.col(text).alias("text")).where(f"text rlike {quoted(CANDIDATE)}")
     found = kept.select("doc_id", F.explode(spans("text", CANDIDATE)).alias("x")).select("doc_id", "x.*")
@@ -145,6 +152,9 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, threshold: f
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, stop, kind, value_sha256, score, is_secret), a row for each candidate of each row's whole text (none
+    for a null or empty one); a null doc_id stays null; an empty table gives an empty result. Columns but doc_id and
+    text are not read; the values themselves don't leave ``scan``."""
     found = scan(documents(spark, sf_dir), fit(labelled_findings(spark)))
     kind = F.when(F.col("value").rlike("^(?:AKIA|ASIA)"), "aws_key").when(F.col("value").rlike("^gh[pousr]_"), "github_token").otherwise("generic")
     return found.select("doc_id", "start", "stop", kind.alias("kind"), F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), (F.col("score") >= THRESHOLD).alias("is_secret"))
