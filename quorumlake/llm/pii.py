@@ -60,19 +60,27 @@ def _valid(kind: str, v: str) -> str:
     return f"length({_digits(v)}) between 9 and 15" if kind == "phone" else "true"
 
 
-def _search(df: DataFrame, text: str, kinds: dict[str, str]) -> DataFrame:
-    """Adds _<kind>, the kind's spans."""
+def _prefix(columns: list[str]) -> str:
+    """What no name of ``columns`` begins with."""
+    mark = "_"
+    while any(c.startswith(mark) for c in columns):
+        mark += "_"
+    return mark
+
+
+def _search(df: DataFrame, text: str, kinds: dict[str, str], mark: str) -> DataFrame:
+    """Adds <mark><kind>, the kind's spans."""
     for kind, pattern in kinds.items():
         need = NEEDS.get(kind, "{t} rlike '[0-9]'" if kind in ("ssn", "local_phone", "iban") else "true").format(t=text)
-        df = df.withColumn(f"_{kind}", F.when(F.expr(need), spans(text, pattern)).otherwise(F.expr(f"cast(array() as {SPAN_TYPE})")))
+        df = df.withColumn(f"{mark}{kind}", F.when(F.expr(need), spans(text, pattern)).otherwise(F.expr(f"cast(array() as {SPAN_TYPE})")))
     return df
 
 
-def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _email, _ip, _card, _phone: the valid matches of each base kind (failing ones are dropped, with no retry)."""
-    df = _search(docs, text, BASE)
+def base_spans(docs: DataFrame, text: str, mark: str) -> DataFrame:
+    """Adds <mark>email, ip, card and phone: the valid matches of each base kind (failing ones are dropped, with no retry)."""
+    df = _search(docs, text, BASE, mark)
     for kind in ("ip", "card", "phone"):
-        df = df.withColumn(f"_{kind}", F.expr(f"filter(_{kind}, x -> {_valid(kind, 'x.value')})"))
+        df = df.withColumn(f"{mark}{kind}", F.expr(f"filter({mark}{kind}, x -> {_valid(kind, 'x.value')})"))
     return df
 
 
@@ -110,8 +118,8 @@ def _features(kind: str, x: str) -> list[str]:
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, the voters' votes, features), a row for each candidate span."""
-    df = _search(docs.select(text), text, MORE)
+    """(kind, the voters' votes, features), a row for each candidate span; none for null and empty texts."""
+    df = _search(docs.select(text), text, MORE, "_")
     each = [F.expr(f"transform(_{k}, x -> named_struct('kind', '{k}', 'votes', array({', '.join(_votes(k, 'x').values())}), 'features', array({', '.join(_features(k, 'x'))})))") for k in MORE]
     return df.select(F.explode(F.concat(*each)).alias("c")).select("c.*")
 
@@ -169,22 +177,24 @@ def fit(docs: DataFrame, text: str = "text") -> list[float] | None:
 
 def find(docs: DataFrame, weights: list[float] | None, text: str = "text") -> DataFrame:
     """Adds n_email, n_ip, n_card, n_phone, base_spans and all_spans (arrays of (start, rank, kind, stop), by start and
-    then kind) to ``docs``. Spans that the method adds overlap no base span. A null or empty text has no spans."""
-    names = [*BASE, *MORE]
-    df = base_spans(docs, text)
-    shape = lambda kind: f"transform(_{kind}, x -> named_struct('start', x.start, 'rank', {names.index(kind)}, 'kind', '{kind}', 'stop', x.stop))"
+    then kind) to ``docs``; columns of these names give way, all others stay. Spans that the method adds overlap no base
+    span. A null or empty text has no spans."""
+    names, mark = [*BASE, *MORE], _prefix(docs.columns)
+    own = ["base_spans", *(f"n_{k}" for k in BASE), "all_spans"]
+    df = base_spans(docs, text, mark)
+    shape = lambda kind: f"transform({mark}{kind}, x -> named_struct('start', x.start, 'rank', {names.index(kind)}, 'kind', '{kind}', 'stop', x.stop))"
     df = df.withColumn("base_spans", F.expr(f"array_sort(concat({', '.join(shape(k) for k in BASE)}))"))
     for kind in BASE:
-        df = df.withColumn(f"n_{kind}", F.size(f"_{kind}").cast("long"))
+        df = df.withColumn(f"n_{kind}", F.size(f"{mark}{kind}").cast("long"))
     if weights is None:
         df = df.withColumn("all_spans", F.col("base_spans"))
     else:
-        df = _search(df, text, MORE)
+        df = _search(df, text, MORE, mark)
         for kind in MORE:
             score = " + ".join([f"({weights[0]!r}D)", *(f"({w!r}D) * {f}" for w, f in zip(weights[1:], _features(kind, "x"), strict=True))])
-            df = df.withColumn(f"_{kind}", F.expr(f"filter(_{kind}, x -> not exists(base_spans, b -> b.start < x.stop and x.start < b.stop) and ({score}) > 0)"))
+            df = df.withColumn(f"{mark}{kind}", F.expr(f"filter({mark}{kind}, x -> not exists(base_spans, b -> b.start < x.stop and x.start < b.stop) and ({score}) > 0)"))
         df = df.withColumn("all_spans", F.expr(f"array_sort(concat(base_spans, {', '.join(shape(k) for k in MORE)}))"))
-    return df.drop(*(f"_{k}" for k in names))
+    return df.select(*(c for c in docs.columns if c not in own), *own)
 
 
 def told(spans_: str) -> Column:
@@ -192,6 +202,9 @@ def told(spans_: str) -> Column:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), a row for each row, repeated ones and those without a
+    doc_id included. Whole texts are searched (null: empty, no spans: the digest of no bytes); a table without any
+    candidate gives the base spans alone, an empty one an empty result. Columns but doc_id and text are not read."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = find(docs, fit(docs))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(told("base_spans"), 256).alias("base_sha256"), told("all_spans").alias("spans"))

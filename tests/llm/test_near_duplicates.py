@@ -146,6 +146,45 @@ def test_fingerprints(spark):
     assert got[7]["fingerprint"] == got[181]["fingerprint"]
 
 
+def mixed(x):
+    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = ((x ^ (x >> 33)) * m) & ((1 << 64) - 1)
+    return x ^ (x >> 33)
+
+
+def test_syncmers_by_brute_force():
+    """Every k-mer whose smallest inner substring (by hash) is its first or last one, and no other; then the bins."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(a) for _ in range(n)).encode() for a, n in (("ab", 300), ("abcdefé ", 500), ("x", 80), ("abc", 20), ("abc", 19), ("q", 1), ("", 0), ("0123456789", 400))]
+    doc, at, value = syncmers.anchors(texts)
+    for i, t in enumerate(texts):
+        order = [mixed(int.from_bytes(t[k : k + syncmers.S], "big")) for k in range(len(t) - syncmers.S + 1)]
+        inner = syncmers.K - syncmers.S + 1
+        want = [p for p in range(len(t) - syncmers.K + 1) if min(order[p : p + inner]) in (order[p], order[p + inner - 1])]
+        if 0 < len(t) < syncmers.K:
+            want = [0]
+        own = doc == i
+        assert sorted(at[own].tolist()) == want
+        kmers = {}
+        for p, v in zip(at[own].tolist(), value[own].tolist(), strict=True):
+            assert kmers.setdefault(t[p : p + syncmers.K], v) == v
+        assert len(set(kmers.values())) == len(kmers)
+        bins = [0] * syncmers.BINS
+        for b in range(syncmers.BINS):
+            low = [v & ((1 << 36) - 1) for v in kmers.values() if v >> 57 == b]
+            bins[b] = (min(low) >> 20) % 65535 + 1 if low else 0
+        assert syncmers.fingerprints([t])[0].tolist() == bins
+
+
+def test_anchor_table_matches_places(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(400))
+    rows = [(1, "start of one " + passage), (2, "quite another beginning, " + passage + " end"), (3, None), (4, "")]
+    table = syncmers.anchor_table(spark.createDataFrame(rows, "doc_id long, text string"))
+    both = table.where("doc_id = 1").withColumnRenamed("position", "p").join(table.where("doc_id = 2").withColumnRenamed("position", "q"), "hash").selectExpr("q - p as shift").groupBy("shift").count().collect()
+    assert max(both, key=lambda r: r["count"])["shift"] == 25 - 13 and {r["doc_id"] for r in table.select("doc_id").distinct().collect()} == {1, 2}
+
+
 def test_one_document_and_none(spark):
     one = spark.createDataFrame([(5, "just one document " * 9)], "doc_id long, text string")
     assert [r["near_next"] for r in syncmers.fingerprint_pairs(one).collect()] == [1.0]

@@ -34,6 +34,46 @@ def test_language_edges(spark):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
+def brute_language(labelled, texts):
+    """(prediction, n-grams of each language, n-grams) by sets, with no filter: for each text."""
+
+    def grams(t):
+        data = b" " + bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in t.lower().encode()) + b" "
+        return [g for k in range(len(data) - 3) if (g := data[k : k + 4])[2:] != b"  "]
+
+    counts = defaultdict(lambda: defaultdict(int))
+    for t, lang in labelled:
+        for g in grams(t):
+            counts[lang][g] += 1
+    held = {x: {g for g, n in c.items() if n >= sum(c.values()) * language_id.MIN_SHARE} for x, c in counts.items()}
+    for t in texts:
+        own = grams(t or "")
+        yield {x: sum(g in held[x] for g in own) for x in sorted(held)}, len(own)
+
+
+def test_language_by_brute_force(spark):
+    rows = spark.read.parquet(f"{SAMPLE}/documents.parquet").select("doc_id", "text", "lang").where("text is not null").orderBy("doc_id").collect()
+    train, test = [r for r in rows if r["doc_id"] % 3 and r["lang"]], [r["text"] for r in rows if r["doc_id"] % 3 == 0] + ["", "the und der los les", "12 !", "a", "the the the"]
+    model = language_id.fit(spark.createDataFrame([tuple(r) for r in train], "doc_id long, text string, lang string"))
+    langs, scores = model.predict(test)
+    hits, n = model.counts([language_id._folded(t) for t in test])
+    for k, (want, size) in enumerate(brute_language([(r["text"], r["lang"]) for r in train], test)):
+        assert n[k] == size and model.languages == sorted(want)
+        for x, name in enumerate(model.languages):  # the corrected count is the true one but for chance hits
+            assert abs(hits[k][x] - want[name]) <= 6 + 0.05 * size
+        best = sorted(want.values())[-2:]
+        if size and best[-1] - best[0] > 12 + 0.1 * size:
+            assert langs[k] == max(want, key=want.get) and abs(scores[k] - best[-1] / size) <= 0.06
+    assert langs[-5] == langs[-3] == "und"
+
+
+def test_equal_counts_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, "same words here", "b"), (2, "same words here", "a"), (3, "other things", "c")], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.predict(["same words here"])[0] == ["a"]
+    assert {r["lang_pred"] for r in language_id.predict(docs.where("doc_id < 3"), model).collect()} == {"a"}
+
+
 def test_bloom_returns_every_language():
     import numpy as np
 
@@ -170,7 +210,9 @@ def test_pii_base_spans(spark):
     rng = random.Random(3)
     rows = [(0, None), (1, ""), (2, "a@b.com_x@c.d 1.2.3.4.5.6.7.8 999.1.1.1 00001.2.3.04"), (3, "😀 é +1 (659) 555-3949. call +49 30 1234567"), (4, "4111 1111 1111 1111 and 4111-1111-1111-1112"), (5, "x" * 50000 + "@y.z " + "1" * 30000 + " +" + "1 " * 20000), (6, "+12345678+12345678901 a@b@c.d %@-.-")]
     rows += [(100 + k, "".join(rng.choice("ab@.+-_1234 567é89()😀") for _ in range(200))) for k in range(400)]
-    docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, _email int").select("doc_id", "text")
+    docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, _email int").withColumns({"base_spans": F.lit("mine"), "_ip": F.lit(3), "__card": F.lit("x")})
+    kept = pii.find(docs, None)
+    assert kept.columns[:5] == ["doc_id", "text", "_email", "_ip", "__card"] and kept.where("_email = 5 and _ip = 3 and __card = 'x'").count() == len(rows)
     found = pii.find(docs, None).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", pii.told("base_spans").alias("base"), pii.told("all_spans").alias("spans")).collect()
     texts = dict(rows)
     for r in found:
