@@ -123,7 +123,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
 
 def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel:
     """A forest over (value, before, after, label); equal rows in equal order give an equal forest."""
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label").fit(with_features(labelled).select("features", "label"))
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label").fit(with_features(labelled).select("features", "label"))
+    return model.copy()  # without the training summary, which holds the session and can't always go to executors
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, text: str = "text") -> DataFrame:

@@ -94,6 +94,7 @@ def forest(spark):
 
 
 def test_secrets_held_out(spark, forest):
+    assert not forest.hasSummary
     held = secrets.labelled_findings(spark, 9000).where("value not like 'xxxx%'").subtract(secrets.labelled_findings(spark))
     scored = forest.transform(secrets.with_features(held)).select("label", "prediction").collect()
     assert sum(r["label"] == r["prediction"] for r in scored) >= 0.97 * len(scored) > 500
