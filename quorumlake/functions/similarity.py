@@ -1,18 +1,25 @@
-"""String similarity on a 0-100 scale: normalised indel ratio, its best window, and on sorted tokens."""
+"""String similarity on a 0-100 scale: normalised indel ratio, its best window, and on sorted tokens.
+
+Texts of a batch are scored together: a longest common subsequence is one machine word of state, and a batch's pairs and
+windows are the elements of an array of such words. Pairs whose shorter text is over 64 characters take integers of any
+length, one pair at a time.
+"""
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of a machine word, and words of state that are worked on at once.
+WORD, STATE = 64, 1 << 18
+
 
 def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence; one machine-word step a character (bit-parallel)."""
-    if not a or not b:
-        return 0
+    """Length of the longest common subsequence; one step a character on an integer of len(a) bits."""
     masks: dict[str, int] = {}
     for k, ch in enumerate(a):
         masks[ch] = masks.get(ch, 0) | 1 << k
@@ -24,52 +31,113 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - s.bit_count()
 
 
+def _long(short: str, long: str, windows: bool) -> float:
+    n = len(short)
+    spans = [long[max(0, k) : k + n] for k in range(1 - n, len(long))] if windows else [long]
+    return max(200.0 * _lcs(short, x) / (n + len(x)) for x in spans)
+
+
+def _scored(short: list[str], long: list[str], windows: bool) -> np.ndarray:
+    """Scores of pairs with 1 to WORD characters on the short side: of the whole texts, or of the best window of long
+    that is as long as short (cut ends included)."""
+    out = np.zeros(len(short))
+    sizes = np.array([len(x) for x in short])
+    for n in np.unique(sizes):
+        of = np.flatnonzero(sizes == n)
+        widths = np.array([len(long[i]) for i in of])
+        of = of[np.argsort(widths, kind="stable")]
+        at = 0
+        while at < len(of):  # as many pairs as their windows fit STATE
+            widest = len(long[of[min(len(of), at + 4096) - 1]])
+            part = of[at : at + max(1, min(4096, STATE // max(1, widest + int(n))))]
+            at += len(part)
+            widths = np.array([len(long[i]) for i in part])
+            top = int(widths.max())
+            codes = {ch: k + 1 for k, ch in enumerate(sorted(set().union(*(long[i] for i in part))))}
+            names = {x: k for k, x in enumerate(dict.fromkeys(short[i] for i in part))}
+            table = np.zeros((len(names), len(codes) + 1), np.uint64)  # column 0: a character of no text
+            for x, k in names.items():
+                for p, ch in enumerate(x):
+                    if ch in codes:
+                        table[k, codes[ch]] |= np.uint64(1 << p)
+            pad = int(n) - 1 if windows else 0
+            own = np.zeros((len(part), top + 2 * pad), np.int64)
+            for r, i in enumerate(part):
+                own[r, pad : pad + widths[r]] = [codes[ch] for ch in long[i]]
+            masks = table[np.array([names[short[i]] for i in part])[:, None], own]
+            count, steps = (top + pad, int(n)) if windows else (1, top)
+            s = np.full((len(part), count), np.uint64((1 << int(n)) - 1))
+            for k in range(steps):
+                u = s & masks[:, k : k + count]
+                s = (s + u) | (s - u)
+            common = n - np.bitwise_count(s & np.uint64((1 << int(n)) - 1)).astype(np.int64)
+            if windows:
+                start = np.arange(count) - pad
+                wide = np.minimum(start + n, widths[:, None]) - np.maximum(start, 0)
+            else:
+                wide = widths[:, None]
+            out[part] = np.where(wide > 0, 200.0 * common / np.maximum(n + wide, 1), 0.0).max(axis=1)
+    return out
+
+
+def _all(a: Sequence[str], b: Sequence[str], windows: bool) -> np.ndarray:
+    """Scores of pairs (a, b); of equal lengths, a window may be of either."""
+    out = np.zeros(len(a))
+    jobs: list[tuple[int, str, str]] = []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if x == y:
+            out[i] = 100.0
+        elif x and y:
+            jobs.append((i, *((x, y) if len(x) <= len(y) else (y, x))))
+            if windows and len(x) == len(y):
+                jobs.append((i, y, x))
+    fits = [j for j in jobs if len(j[1]) <= WORD]
+    if fits:
+        np.maximum.at(out, [j[0] for j in fits], _scored([j[1] for j in fits], [j[2] for j in fits], windows))
+    for i, x, y in jobs:
+        if len(x) > WORD:
+            out[i] = max(out[i], _long(x, y, windows))
+    return out
+
+
+def _of_pairs(a: Sequence[str | None], b: Sequence[str | None], windows: bool, key: Callable[[str], str] = str) -> np.ndarray:
+    """Scores of pairs, each distinct one once; a null counts as an empty text."""
+    pairs = list(zip((key(x or "") for x in a), (key(y or "") for y in b), strict=True))
+    at = {p: k for k, p in enumerate(dict.fromkeys(pairs))}
+    scores = _all([p[0] for p in at], [p[1] for p in at], windows)
+    return scores[[at[p] for p in pairs]] if pairs else scores
+
+
+def _in_order(text: str) -> str:
+    return " ".join(sorted(text.split()))
+
+
+#: By name: the indel ratio, that of the best window, and that of the texts' sorted words.
+KINDS: dict[str, Callable[[Sequence[str | None], Sequence[str | None]], np.ndarray]] = {
+    "ratio": lambda a, b: _of_pairs(a, b, False),
+    "partial_ratio": lambda a, b: _of_pairs(a, b, True),
+    "token_sort_ratio": lambda a, b: _of_pairs(a, b, False, _in_order),
+}
+
+
 def ratio(a: str | None, b: str | None) -> float:
-    a, b = a or "", b or ""
-    return 200.0 * _lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
+    return float(KINDS["ratio"]([a], [b])[0])
 
 
-@lru_cache(maxsize=1 << 16)
 def partial_ratio(a: str | None, b: str | None) -> float:
-    """The best ratio of the shorter text and a window of the longer one of its length, cut ends included."""
-    a, b = a or "", b or ""
-    if not a and not b:
-        return 100.0
-    if not a or not b:
-        return 0.0
-
-    def best(short: str, long: str) -> float:
-        n, top = len(short), 0.0
-        for k in range(1 - n, len(long)):
-            top = max(top, ratio(short, long[max(0, k) : k + n]))
-            if top == 100.0:
-                break
-        return top
-
-    if len(a) == len(b):
-        return max(best(a, b), best(b, a))
-    return best(*((a, b) if len(a) < len(b) else (b, a)))
+    return float(KINDS["partial_ratio"]([a], [b])[0])
 
 
 def token_sort_ratio(a: str | None, b: str | None) -> float:
-    return ratio(" ".join(sorted((a or "").split())), " ".join(sorted((b or "").split())))
-
-
-_KINDS = {"ratio": ratio, "partial_ratio": partial_ratio, "token_sort_ratio": token_sort_ratio}
+    return float(KINDS["token_sort_ratio"]([a], [b])[0])
 
 
 def similarity(kind: str, a: Column, b: Column) -> Column:
-    of = _KINDS[kind]
+    of = KINDS[kind]
 
     @F.pandas_udf("double")
     def scored(x: pd.Series, y: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], float] = {}
-        out = []
-        for pair in zip(x, y, strict=True):
-            if pair not in known:
-                known[pair] = of(*pair)
-            out.append(known[pair])
-        return pd.Series(out, dtype="float64")
+        return pd.Series(of(x.tolist(), y.tolist()), dtype="float64")
 
     return scored(a, b)
 

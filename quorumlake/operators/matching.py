@@ -7,17 +7,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumlake.functions.similarity import ratio, partial_ratio, similarity
+from quorumlake.functions.similarity import similarity
 
-#: A list of more rows than this is not broadcast.
+#: A list of more rows than this does not enter a theta join.
 REFERENCE_ROWS = 100_000
 # Costs and thresholds of the match.
 FUZZY, MISMATCH, UNMATCHED, CAPACITY_STEP, NAME_FUZZY, AMBIGUOUS_RATIO = 1.0, 1000.0, 10000.0, 0.001, 90.0, 90.0
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df`` for a theta join: broadcast if it is counted to have REFERENCE_ROWS at most, else left to Spark."""
-    return F.broadcast(df) if df.limit(REFERENCE_ROWS + 1).count() <= REFERENCE_ROWS else df
+def bounded(df: DataFrame, rows: int = REFERENCE_ROWS) -> DataFrame:
+    """``df`` for a theta join, broadcast, once it is counted to have ``rows`` rows at most; an error beyond them, where a
+    product of two tables would be the only plan."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"a list of more than {rows} rows can't be compared with every row of another table; give it in parts, or block it by a key")
+    return F.broadcast(df)
 
 
 def assign(cost: np.ndarray) -> np.ndarray:
@@ -49,114 +52,129 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def digits(name: str) -> frozenset[str]:
-    return frozenset(t for t in name.split() if t.isdigit())
+def numbers(name: Column) -> Column:
+    """A name's words of digits only: distinct, in order."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(name, r"\s+"), lambda w: w.rlike("^[0-9]+$"))))
 
 
-def base_of(name: str) -> str:
-    return " ".join(t for t in name.split() if not t.isdigit())
+def unnumbered(name: Column) -> Column:
+    """A name without its words of digits only."""
+    return F.array_join(F.filter(F.split(name, r"\s+"), lambda w: (w != "") & ~w.rlike("^[0-9]+$")), " ")
 
 
-def ambiguous_bases(names: list[str]) -> set[str]:
-    """Bases that occur with two sets of numbers or more."""
-    seen: dict[str, set[frozenset[str]]] = {}
-    for n in names:
-        if digits(n):
-            seen.setdefault(base_of(n), set()).add(digits(n))
-    return {b for b, sets in seen.items() if len(sets) > 1}
+def numbered_bases(names: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, base): what is left of names without their numbers, where it comes with two sets of numbers or more, so
+    that the bare base names none of them."""
+    told = names.select(*keys, unnumbered(F.col(name)).alias("base"), numbers(F.col(name)).alias("_n")).where(F.size("_n") > 0)
+    return told.groupBy(*keys, "base").agg(F.count_distinct("_n").alias("_sets")).where("_sets > 1").drop("_sets")
 
 
-def vetoed(a: str, b: str, ambiguous: set[str]) -> bool:
-    """Numbers that differ; or numbers on one side only of an ambiguous base that the names share."""
-    x, y = digits(a), digits(b)
-    if x and y:
-        return x != y
-    return bool(x or y) and (base_of(a) in ambiguous or base_of(b) in ambiguous) and ratio(base_of(a), base_of(b)) >= AMBIGUOUS_RATIO
+def with_veto(pairs: DataFrame, bases: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Adds ``veto`` to pairs of names: numbers on both sides that differ; or on one side only, if the base of that side
+    is among ``bases`` (keys, base) and the names without numbers are AMBIGUOUS_RATIO alike or more."""
+    x, y = numbers(F.col(a)), numbers(F.col(b))
+    one = (F.size(x) > 0) != (F.size(y) > 0)
+    told = pairs.withColumn("base", F.when(one, F.when(F.size(x) > 0, unnumbered(F.col(a))).otherwise(unnumbered(F.col(b)))))
+    told = told.join(bases.withColumn("_known", F.lit(True)), [*keys, "base"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    alike = similarity("ratio", F.when(F.col("_known"), unnumbered(F.col(a))), F.when(F.col("_known"), unnumbered(F.col(b)))) >= AMBIGUOUS_RATIO
+    both = (F.size(x) > 0) & (F.size(y) > 0)
+    return told.withColumn("veto", F.when(both, x != y).otherwise(F.col("_known") & alike)).drop("base", "_known").select(*pairs.columns, "veto")
 
 
-def _pair_costs(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    a, b = left["name"].tolist(), right["name"].tolist()
-    ambiguous = ambiguous_bases(a + b)
-    cost, score = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
-    for i, (x, cx) in enumerate(zip(a, left["capacity"], strict=True)):
-        for j, (y, cy) in enumerate(zip(b, right["capacity"], strict=True)):
-            s = 100.0 if x == y else partial_ratio(x, y)
-            score[i, j] = s
-            if vetoed(x, y, ambiguous):
-                cost[i, j] = 2 * UNMATCHED + 1
-            elif pd.isna(cx) or pd.isna(cy):
-                cost[i, j] = MISMATCH
-            else:
-                cost[i, j] = (0.0 if x == y else FUZZY if s >= NAME_FUZZY else MISMATCH) + CAPACITY_STEP * abs(cx - cy)
-    return cost, score
+def named_pairs(rows: DataFrame, key: str, whole: DataFrame | None = None) -> DataFrame:
+    """(key, ref_name, sys_name, score, veto): each distinct name of a key's reference side with each of its system side
+    (what an assignment has to weigh), scored once; numbers are ambiguous over both sides of ``whole`` (``rows``)."""
+    side = lambda s: rows.where(F.col("side") == s).select(key, F.col("name").alias(f"{s}_name")).distinct()
+    pairs = with_veto(side("ref").join(side("sys"), key), numbered_bases(rows if whole is None else whole, [key], "name"), [key], "ref_name", "sys_name")
+    return pairs.withColumn("score", similarity("partial_ratio", F.col("ref_name"), F.col("sys_name"))).toDF(key, "ref_name", "sys_name", "veto", "score")
+
+
+MATCH = "ref_id long, sys_id long, score double, status string"
+
+
+def _matched(k, left: pd.DataFrame, right: pd.DataFrame, pairs: list[tuple[int, int, float, str]], key: str) -> pd.DataFrame:
+    """Rows of the pairs (i, j, score, status), then of what neither side's pairs hold."""
+    i, j = {p[0] for p in pairs}, {p[1] for p in pairs}
+    out = [(k, left["id"].iloc[a], right["id"].iloc[b], s, kind) for a, b, s, kind in pairs]
+    out += [(k, left["id"].iloc[a], None, None, "ref_only") for a in range(len(left)) if a not in i]
+    out += [(k, None, right["id"].iloc[b], None, "sys_only") for b in range(len(right)) if b not in j]
+    return pd.DataFrame(out, columns=[key, "ref_id", "sys_id", "score", "status"]).astype({"ref_id": "Int64", "sys_id": "Int64"})
+
+
+def _sides(table: pd.DataFrame, order: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
+    table = table.sort_values(order, kind="stable")
+    return tuple(table[table["side"] == s].reset_index(drop=True) for s in ("ref", "sys"))
 
 
 def optimal_match(rows: DataFrame, key: str) -> DataFrame:
     """(key, ref_id, sys_id, score, status) from (key, side 'ref' or 'sys', id, name, capacity): the one-to-one match of
-    each key with least cost, every entity left over as a row of its own. One group a task, costs a dense matrix of its
-    entities; statuses are exact, fuzzy (same capacity), fuzzy_diff, mismatched, ref_only, sys_only."""
-
-    def solve(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["name", "id"], kind="stable")
-        left, right = table[table["side"] == "ref"].reset_index(drop=True), table[table["side"] == "sys"].reset_index(drop=True)
-        n, m = len(left), len(right)
-        full = np.full((n + m, n + m), UNMATCHED)
-        cost, score = _pair_costs(left, right)
-        full[:n, :m] = cost
-        full[n:, m:] = 0.0
-        to = assign(full) if n + m else np.zeros(0, np.int64)
-        out, taken = [], set()
-        k = table[key].iloc[0]
-        for i in range(n):
-            j = int(to[i])
-            if j < m and cost[i, j] <= 2 * UNMATCHED:
-                taken.add(j)
-                same = left["capacity"][i] == right["capacity"][j]
-                s = score[i, j]
-                kind = "exact" if left["name"][i] == right["name"][j] else ("fuzzy" if same else "fuzzy_diff") if s >= NAME_FUZZY else "mismatched"
-                out.append((k, left["id"][i], right["id"][j], s, kind))
-            else:
-                out.append((k, left["id"][i], None, None, "ref_only"))
-        out += [(k, None, right["id"][j], None, "sys_only") for j in range(m) if j not in taken]
-        frame = pd.DataFrame(out, columns=[key, "ref_id", "sys_id", "score", "status"])
-        return frame.astype({"ref_id": "Int64", "sys_id": "Int64"})
+    each key with least cost, every entity left over as a row of its own.
+
+    A pair costs nothing for equal names, FUZZY for alike ones, MISMATCH for others, with CAPACITY_STEP a unit of
+    capacity between them; MISMATCH where a capacity is null; a vetoed pair more than two entities left over, at
+    UNMATCHED each. Names are scored and vetoed by one plan over all keys; what a task solves is a key's matrix of costs
+    (a run against its reference list). Statuses: exact, fuzzy (same capacity), fuzzy_diff, mismatched, ref_only,
+    sys_only.
+    """
+
+    def solve(table: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(table, ["name", "id"])
+        k, n, m = table[key].iloc[0], len(left), len(right)
+        if not n or not m:
+            return _matched(k, left, right, [], key)
+        names = [{x: p for p, x in enumerate(dict.fromkeys(s["name"]))} for s in (left, right)]
+        score, veto = np.zeros((len(names[0]), len(names[1]))), np.zeros((len(names[0]), len(names[1])), bool)
+        at = pairs["ref_name"].map(names[0]).to_numpy(), pairs["sys_name"].map(names[1]).to_numpy()
+        score[at], veto[at] = pairs["score"], pairs["veto"]
+        p, q = left["name"].map(names[0]).to_numpy(), right["name"].map(names[1]).to_numpy()
+        score, veto = score[np.ix_(p, q)], veto[np.ix_(p, q)]
+        same = left["name"].to_numpy()[:, None] == right["name"].to_numpy()[None, :]
+        gap = np.abs(left["capacity"].to_numpy(float)[:, None] - right["capacity"].to_numpy(float)[None, :])
+        cost = np.where(same, 0.0, np.where(score >= NAME_FUZZY, FUZZY, MISMATCH)) + CAPACITY_STEP * gap
+        cost = np.where(veto, 2 * UNMATCHED + 1, np.where(np.isnan(gap), MISMATCH, cost))
+        # the smaller side picks a partner, or none at the price of two entities left over
+        small = cost if n <= m else cost.T
+        to = assign(np.hstack([small, np.full((len(small), len(small)), 2 * UNMATCHED)]))
+        taken = [(i, int(j)) for i, j in enumerate(to) if j < small.shape[1] and small[i, j] <= 2 * UNMATCHED]
+        taken = taken if n <= m else sorted((j, i) for i, j in taken)
+        kind = lambda i, j: "exact" if same[i, j] else "mismatched" if score[i, j] < NAME_FUZZY else "fuzzy" if gap[i, j] == 0 else "fuzzy_diff"
+        return _matched(k, left, right, [(i, j, float(score[i, j]), kind(i, j)) for i, j in taken], key)
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(solve, f"{key} {kind}, ref_id long, sys_id long, score double, status string")
+    return rows.groupBy(key).cogroup(named_pairs(rows, key).groupBy(key)).applyInPandas(solve, f"{key} {kind}, {MATCH}")
 
 
 def phased_match(rows: DataFrame, key: str) -> DataFrame:
     """(key, ref_id, sys_id, score, status) by phases: equal (name, capacity) pair off in order of id (a rank on both
-    sides and an equi-join); the rest takes, reference by reference, the best free name from FUZZY on that no numbers
-    veto."""
+    sides and an equi-join; a null capacity equals none); of the rest, reference by reference takes the free name that
+    is most alike, from NAME_FUZZY on, unless numbers veto it (bases being ambiguous over both whole sides). Only pairs
+    that may be taken reach the tasks that take them."""
     rank = F.row_number().over(Window.partitionBy(key, "side", "name", "capacity").orderBy("id"))
-    ranked = rows.withColumn("_rank", rank)
+    ranked = rows.where("capacity is not null").withColumn("_rank", rank)
     side = lambda s, p: ranked.where(F.col("side") == s).select(key, F.col("id").alias(f"{p}_id"), "name", "capacity", "_rank")
-    on = lambda a, b: (a[key] == b[key]) & (a["name"] == b["name"]) & a["capacity"].eqNullSafe(b["capacity"]) & (a["_rank"] == b["_rank"])
-    left, right = side("ref", "ref").alias("a"), side("sys", "sys").alias("b")
-    exact = left.join(right, on(left, right)).select(left[key], "ref_id", "sys_id", F.lit(100.0).alias("score"), F.lit("exact").alias("status"))
+    exact = side("ref", "ref").join(side("sys", "sys"), [key, "name", "capacity", "_rank"]).select(key, "ref_id", "sys_id", F.lit(100.0).alias("score"), F.lit("exact").alias("status"))
     used = exact.select(key, F.lit("ref").alias("side"), F.col("ref_id").alias("id")).union(exact.select(key, F.lit("sys"), F.col("sys_id")))
     rest = rows.join(used, [key, "side", "id"], "left_anti")
 
-    def greedy(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("id", kind="stable")
-        left, right = table[table["side"] == "ref"], table[table["side"] == "sys"]
-        ambiguous = ambiguous_bases(table["name"].tolist())
-        free, out, k = list(right.index), [], table[key].iloc[0]
-        for i in left.index:
-            scored = [(partial_ratio(left["name"][i], right["name"][j]), -p, j) for p, j in enumerate(free) if not vetoed(left["name"][i], right["name"][j], ambiguous)]
-            best = max(scored, default=(0.0, 0, None))
-            if best[2] is not None and best[0] >= NAME_FUZZY:
-                free.remove(best[2])
-                diff = left["capacity"][i] != right["capacity"][best[2]] and not (pd.isna(left["capacity"][i]) or pd.isna(right["capacity"][best[2]]))
-                out.append((k, left["id"][i], right["id"][best[2]], best[0], "fuzzy_diff" if diff else "fuzzy"))
-            else:
-                out.append((k, left["id"][i], None, None, "ref_only"))
-        out += [(k, None, right["id"][j], None, "sys_only") for j in free]
-        return pd.DataFrame(out, columns=[key, "ref_id", "sys_id", "score", "status"]).astype({"ref_id": "Int64", "sys_id": "Int64"})
-
+    def take(table: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(table, ["id"])
+        near, free, out = {}, {}, []
+        for x, y, s in zip(pairs["ref_name"], pairs["sys_name"], pairs["score"], strict=True):
+            near.setdefault(x, []).append((y, s))
+        for j in range(len(right) - 1, -1, -1):  # the first of a name is on top
+            free.setdefault(right["name"].iloc[j], []).append(j)
+        gap = lambda i, j: abs(left["capacity"].iloc[i] - right["capacity"].iloc[j])
+        for i, x in enumerate(left["name"]):
+            found = [(s, -free[y][-1], y) for y, s in near.get(x, []) if free.get(y)]
+            if found:
+                s, _, y = max(found)
+                j = free[y].pop()
+                out.append((i, j, float(s), "fuzzy_diff" if gap(i, j) > 0 else "fuzzy"))
+        return _matched(table[key].iloc[0], left, right, out, key)
+
+    pairs = named_pairs(rest, key, rows).where(f"score >= {NAME_FUZZY} and not veto")
     kind = rows.schema[key].dataType.simpleString()
-    return exact.union(rest.groupBy(key).applyInPandas(greedy, f"{key} {kind}, ref_id long, sys_id long, score double, status string"))
+    return exact.union(rest.groupBy(key).cogroup(pairs.groupBy(key)).applyInPandas(take, f"{key} {kind}, {MATCH}"))
 
 
 def greedy_match(scored: DataFrame, key: str, left: str, right: str, cost: str) -> DataFrame:
@@ -228,16 +246,11 @@ def nearest(queries: DataFrame, candidates: DataFrame, query: str, name: str, ki
 
 def close_pairs(names: DataFrame, name: str, least: float) -> DataFrame:
     """Distinct names a < b of partial ratio ``least`` or more, and whether their numbers veto the pair. Similarity of
-    substrings has no blocking key, so distinct names of a list meet all greater ones."""
+    substrings has no blocking key, so distinct names of a list (which is counted) meet all greater ones."""
     distinct = names.select(F.col(name).alias("a")).distinct()
     pairs = distinct.join(bounded(distinct.select(F.col("a").alias("b"))), F.col("a") < F.col("b"))
-
-    @F.pandas_udf("boolean")
-    def numbers_differ(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([bool(digits(a) and digits(b) and digits(a) != digits(b)) for a, b in zip(x, y, strict=True)])
-
-    scored = pairs.withColumn("score", similarity("partial_ratio", F.col("a"), F.col("b"))).where(F.col("score") >= least)
-    return scored.withColumn("veto", numbers_differ("a", "b"))
+    near = pairs.withColumn("score", similarity("partial_ratio", F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    return with_veto(near, numbered_bases(distinct, [], "a"), [], "a", "b")
 
 
 def resolve_by_key_or_only(runs: DataFrame, scores: DataFrame, exact: list[str], loose: str, value: str) -> DataFrame:
@@ -253,7 +266,3 @@ def membership(reference: DataFrame, key: str, layers: dict[str, DataFrame]) ->
         flag = layer.select(key).distinct().withColumn(f"in_{name}", F.lit(1))
         reference = reference.join(flag, key, "left").na.fill(0, [f"in_{name}"])
     return reference
-
-
-def cost_of(a: Column, b: Column) -> Column:
-    return F.abs(a - b) * CAPACITY_STEP
