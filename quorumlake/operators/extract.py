@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions.text import canonical_header, host, in_domains, urls
+from quorumlake.operators.matching import bounded
 
 ATTRIBUTES = ("fuel", "status", "cod", "province", "capacity_mwe")
 HEADER_WORDS = ("name", "fuel", "status", "province", "capacity")
@@ -34,17 +35,18 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 def pipe_table_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, table_no, row_no, cells): rows of pipe tables. A table is a run of rows with three pipes or more; rules and
     section rows (two pipes) inside it are passed over, rows of another width than the first are left out, and tables of
-    one row are none. Only texts with such a row are split into lines."""
+    one row are none. A text's lines are an array until those without two pipes are gone: only the others are rows.
+    """
     candidates = docs.where(F.col(text).rlike(r"\|[^\n|]*\|[^\n|]*\|"))
-    lines = lines_of(candidates, key, text).withColumn("line", F.trim("line"))
-    glued = F.col("line").endswith("|") & ~F.col("line").startswith("|") & (F.regexp_count("line", F.lit(r"\|")) >= 3)
-    lines = lines.withColumn("line", F.when(glued, F.expr("substring(line, locate('|', line))")).otherwise(F.col("line"))).withColumn("pipes", F.regexp_count("line", F.lit(r"\|")))
-    rule = (F.col("pipes") >= 3) & F.col("line").rlike(r"^\|?[\s\-:|]+\|?$")
-    kind = F.when(rule, "rule").when(F.col("pipes") >= 3, "row").when(F.col("pipes") == 2, "section").otherwise("break")
-    lines = lines.withColumn("kind", kind)
+    at = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda x, i: F.struct(i.alias("line_no"), F.trim(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))).alias("pipes")))
+    lines = candidates.select(key, F.inline(F.filter(at, lambda x: x["pipes"] >= 2)))
+    glued = F.col("line").endswith("|") & ~F.col("line").startswith("|") & (F.col("pipes") >= 3)
+    lines = lines.withColumn("line", F.when(glued, F.expr("substring(line, locate('|', line))")).otherwise(F.col("line")))
+    # of a run of such lines, the line number less the number of such lines before is the same: the breaks before
     order = Window.partitionBy(key).orderBy("line_no")
-    lines = lines.withColumn("table_no", F.sum((F.col("kind") == "break").cast("long")).over(order)).where("kind = 'row'")
-    rows = lines.withColumn("cells", F.transform(F.split(F.regexp_replace("line", r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(x)))
+    lines = lines.withColumn("table_no", (F.col("line_no") - F.row_number().over(order) + 1).cast("long"))
+    rule = F.col("line").rlike(r"^[\s\-:|]+$")
+    rows = lines.where((F.col("pipes") >= 3) & ~rule).withColumn("cells", F.transform(F.split(F.regexp_replace("line", r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(x)))
     in_table = Window.partitionBy(key, "table_no").orderBy("line_no")
     rows = rows.withColumn("width", F.first(F.size("cells")).over(in_table)).where("size(cells) = width")
     rows = rows.withColumn("row_no", F.row_number().over(in_table) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key, "table_no"))).where("n >= 2")
@@ -143,19 +145,34 @@ def citation_style(rows: DataFrame, key: str, cell: str) -> DataFrame:
 
 
 def contained(needles: DataFrame, texts: DataFrame, needle: str, text: str, needle_id: str, text_id: str, words: int = 8) -> DataFrame:
-    """(needle_id, text_id): texts that hold a needle as it is. Both sides meet on a run of ``words`` words (a needle's
-    first one, every one of a text), and the hits are then checked; needles of fewer words meet on all they have.
+    """(needle_id, text_id): texts that hold a needle as it is.
+
+    Both sides meet on words inside the needle (its first and last one may be parts of a text's words): on the first
+    ``words`` of them, or for a needle of fewer on the longest one; the hits are then checked. A text's words are split
+    once and hashed as they stand. Needles of one or two words, which hold no whole word for certain, are a list that is
+    counted before it meets all texts. Null needles and texts hold nothing.
     """
-    grams = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(c, i, k), " ")))
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    # the first and last word of a needle may be parts of a text's words, so they stay out of its key
-    keyed = needles.select(F.col(needle_id), F.col(needle).alias("_needle"), split(F.col(needle)).alias("_w")).where(F.size("_w") >= words + 2)
-    keyed = keyed.withColumn("_g", F.xxhash64(F.array_join(F.slice("_w", 2, words), " ")))
-    rows = texts.select(F.col(text_id), F.col(text).alias("_text")).withColumn("_g", F.explode(F.array_distinct(grams(split(F.col("_text")), words))))
-    hits = rows.join(keyed.select(needle_id, "_needle", "_g"), "_g").where(F.contains("_text", F.col("_needle")))
-    short = needles.where(F.size(split(F.col(needle))) < words + 2).select(F.col(needle_id), F.col(needle).alias("_needle"))
-    some = texts.select(F.col(text_id), F.col(text).alias("_text")).join(short, F.contains("_text", F.col("_needle")))
-    return hits.select(needle_id, text_id).union(some.select(needle_id, text_id)).distinct()
+    # an array of one, so that the words are split once and not again for each of them
+    bound = lambda c, f: F.element_at(F.transform(F.array(split(c)), f), 1)
+    joined = lambda w, i, k: F.xxhash64(F.array_join(F.slice(w, i, k), " "))
+    asked = needles.where(F.col(needle).isNotNull()).select(F.col(needle_id), F.col(needle).alias("_needle"), split(F.col(needle)).alias("_w")).withColumn("_n", F.size("_w"))
+    rows = texts.select(F.col(text_id), F.col(text).alias("_text")).where("_text is not null")
+    grams = bound(F.col("_text"), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: joined(w, i, words))))
+    keyed = asked.where(F.col("_n") >= words + 2).withColumn("_g", joined(F.col("_w"), 2, words))
+    hits = rows.withColumn("_g", F.explode(grams)).join(keyed.select(needle_id, "_needle", "_g"), "_g")
+    found = hits.where(F.contains("_text", F.col("_needle"))).select(needle_id, text_id)
+    few = asked.where((F.col("_n") >= 3) & (F.col("_n") < words + 2))
+    if not few.isEmpty():
+        inner = F.slice("_w", 2, F.col("_n") - 2)
+        longest = F.reduce(inner, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+        each = rows.withColumn("_g", F.explode(F.array_distinct(split(F.col("_text")))))
+        hits = each.join(few.select(needle_id, "_needle", longest.alias("_g")), "_g")
+        found = found.union(hits.where(F.contains("_text", F.col("_needle"))).select(needle_id, text_id))
+    short = asked.where(F.col("_n") < 3)
+    if not short.isEmpty():
+        found = found.union(rows.join(bounded(short.select(needle_id, "_needle")), F.contains("_text", F.col("_needle"))).select(needle_id, text_id))
+    return found.distinct()
 
 
 def counters(text: Column) -> dict[str, Column]:

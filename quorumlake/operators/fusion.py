@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumlake.operators.matching import bounded
-
 # Confidence weights; and the latent-truth model's prior, start and bounds.
 CONFIDENCE = {"HIGH": 3.0, "MEDIUM": 2.0, "LOW": 1.0}
 PRIOR_RATE, PRIOR_HIGH, PRIOR_LOW, START, LOW, HIGH, ROUNDS = 0.5, 0.8, 0.3, 0.7, 0.01, 0.99, 60
@@ -76,50 +78,98 @@ def aggregation_sweep(assertions: DataFrame, chosen: DataFrame, reference: DataF
     return per.join(F.broadcast(total)).withColumn("recall", F.try_divide("tp", "_total")).withColumn("precision", F.col("tp") / F.col("candidates")).drop("_total")
 
 
+#: Cells (models by strata) whose reliabilities the driver holds between rounds, at most.
+TRUST_CELLS = 1_000_000
+
+
+def _step(models: int, trust: dict[tuple, tuple[np.ndarray, np.ndarray]], n_runs: np.ndarray, told: bool):
+    """One round over (stratum, anchored, prior, n, models, votes, pattern): each group's sums over its patterns, weighed
+    by their number and existence; or, in the end (``told``), the existence of each pattern."""
+
+    def existence(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        votes = np.zeros((batch.num_rows, models))
+        held = batch.column("votes")
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(held.offsets.to_numpy()))
+        flat = held.flatten()
+        votes[rows, flat.field("at").to_numpy()] = flat.field("k").to_numpy()
+        groups = list(zip(batch.column("stratum").to_pylist(), batch.column("anchored").to_pylist(), strict=True))
+        prior = batch.column("prior").to_numpy()
+        odds = np.log(prior) - np.log(1 - prior)
+        for g in set(groups):
+            sens, spec = trust[g]
+            of = np.array([x == g for x in groups])
+            for_, against = np.log(sens) - np.log(1 - spec), np.log(1 - sens) - np.log(spec)
+            odds[of] += votes[of] @ for_ + (n_runs - votes[of]) @ against
+        return 1 / (1 + np.exp(-odds)), votes, groups
+
+    def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("pattern"), pa.array(existence(batch)[0])], ["pattern", "q"])
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            q, votes, groups = existence(batch)
+            n = batch.column("n").to_numpy()
+            for g in set(groups):
+                of = np.array([x == g for x in groups])
+                yes, no = q[of] * n[of], (1 - q[of]) * n[of]
+                total[g] = total.get(g, 0.0) + np.concatenate([yes @ votes[of], no @ votes[of], [yes.sum(), no.sum()]])
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in keys], pa.string()), pa.array([g[1] for g in keys], pa.bool_()), pa.array([total[g].tolist() for g in keys], pa.list_(pa.float64()))], ["stratum", "anchored", "total"])
+
+    return tell if told else sums
+
+
 def latent_truth(assertions: DataFrame, entities: DataFrame, runs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Existence of entities and reliability of models by EM.
 
     ``assertions`` (run, entity), ``entities`` (entity, anchored, stratum), ``runs`` (run, model). What matters of an
     entity is its stratum, whether it is anchored, and how many runs of each model assert it; entities alike in these
-    are one pattern with a count, and patterns times models are what the rounds iterate on. A round is two grouped
-    aggregates; sensitivity and specificity are kept by (model, stratum, anchored). Every tenth round is written.
+    are one pattern with a count, written once and kept by the executors. Sensitivity and specificity are numbers by
+    (model, stratum, anchored): at most TRUST_CELLS, which the driver holds (a larger table is an error) and hands to
+    each round; a round is one pass over the patterns that returns a row of sums for each group and task.
     """
     from quorumlake.sources.tables import written
 
-    per_model = runs.groupBy("model").agg(F.count_distinct("run").alias("n_runs"))
+    spark = assertions.sparkSession
+    strata = entities.select(F.col("stratum").cast("string").alias("stratum"), "anchored").distinct().limit(TRUST_CELLS + 1).collect()
+    per_model = runs.groupBy("model").agg(F.count_distinct("run").alias("n")).limit(TRUST_CELLS + 1).collect()
+    if len(strata) * len(per_model) > TRUST_CELLS:
+        raise ValueError(f"more than {TRUST_CELLS} cells of model, stratum and anchor")
+    per_model.sort(key=lambda r: str(r["model"]))
+    models, n_runs = len(per_model), np.array([r["n"] for r in per_model], float)
+    numbered = spark.createDataFrame([(r["model"], k) for k, r in enumerate(per_model)], f"model {runs.schema['model'].dataType.simpleString()}, at int")
     total = runs.select(F.count_distinct("run")).first()[0] or 0
-    told = assertions.distinct().join(runs, "run").groupBy("entity", "model").agg(F.count(F.lit(1)).alias("k"))
-    counts = told.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("model", "k"))).alias("votes"), F.sum("k").alias("asserted"))
-    known = entities.join(counts, "entity", "left").withColumn("asserted", F.coalesce("asserted", F.lit(0)))
-    known = known.withColumn("votes", F.coalesce("votes", F.array().cast("array<struct<model:" + runs.schema["model"].dataType.simpleString() + ",k:bigint>>")))
-    known = known.withColumn("pattern", F.xxhash64("stratum", "anchored", "votes", "asserted"))
-    known = written(known, "entities")
-    patterns = known.groupBy("pattern").agg(F.first("stratum").alias("stratum"), F.first("anchored").alias("anchored"), F.first("votes").alias("votes"), F.first("asserted").alias("asserted"), F.count(F.lit(1)).alias("n"))
+    told = assertions.distinct().join(runs.join(F.broadcast(numbered), "model"), "run").groupBy("entity", "at").agg(F.count(F.lit(1)).alias("k"))
+    counts = told.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("at", "k"))).alias("votes"), F.sum("k").alias("asserted"))
+    known = entities.withColumn("_stratum", F.col("stratum").cast("string")).join(counts, "entity", "left")
+    known = known.withColumns({"asserted": F.coalesce("asserted", F.lit(0)), "votes": F.coalesce("votes", F.array().cast("array<struct<at:int,k:bigint>>"))})
+    known = written(known.withColumn("pattern", F.xxhash64("_stratum", "anchored", "votes", "asserted")), "entities")
+    first = {c: F.first(c).alias(c) for c in ("anchored", "votes", "asserted")}
+    patterns = known.groupBy("pattern").agg(F.first("_stratum").alias("stratum"), *first.values(), F.count(F.lit(1)).alias("n"))
     patterns = patterns.withColumn("rate", F.col("asserted") / max(total, 1))
     means = patterns.agg(F.sum(F.when(F.col("anchored"), F.col("rate") * F.col("n"))) / F.sum(F.when(F.col("anchored"), F.col("n"))), F.sum(F.col("rate") * F.col("n")) / F.sum("n")).first()
     c = min(max(means[0] / max(means[1], 1e-6), 0.1), 0.95) if means[0] is not None else 0.5
     base = F.when(F.col("rate") >= PRIOR_RATE, PRIOR_HIGH).otherwise(PRIOR_LOW)
     prior = F.when(F.col("anchored"), F.least(base / max(c, 0.1), F.lit(0.99))).otherwise(base)
-    votes = F.map_from_entries("votes")
-    cells = patterns.withColumn("prior", prior).crossJoin(bounded(per_model)).withColumn("k", F.coalesce(F.element_at(votes, F.col("model")), F.lit(0)))
-    cells = written(cells.select("pattern", "stratum", "anchored", "n", "prior", "model", "n_runs", "k"), "cells")
-    trust = cells.select("model", "stratum", "anchored").distinct().withColumn("sens", F.lit(START)).withColumn("spec", F.lit(START))
-    existence = None
-    for step in range(rounds):
-        with_trust = cells.join(trust, ["model", "stratum", "anchored"])
-        yes = F.col("k") * F.log("sens") + (F.col("n_runs") - F.col("k")) * F.log(1 - F.col("sens"))
-        no = F.col("k") * F.log(1 - F.col("spec")) + (F.col("n_runs") - F.col("k")) * F.log("spec")
-        odds = F.sum(yes - no) + F.first(F.log("prior") - F.log(1 - F.col("prior")))
-        existence = with_trust.groupBy("pattern").agg((1 / (1 + F.exp(-odds))).alias("q"))
-        weighted = cells.join(existence, "pattern")
-        kept = lambda a, b: F.greatest(F.least(a / F.greatest(b, F.lit(1e-9)), F.lit(HIGH)), F.lit(LOW))
-        q = F.col("q") * F.col("n")
-        p = (1 - F.col("q")) * F.col("n")
-        trust = weighted.groupBy("model", "stratum", "anchored").agg(kept(F.sum(q * F.col("k")), F.sum(q * F.col("n_runs"))).alias("sens"), kept(F.sum(p * (F.col("n_runs") - F.col("k"))), F.sum(p * F.col("n_runs"))).alias("spec"))
-        if step % 5 == 4 or step == rounds - 1:
-            trust, existence = written(trust, "trust"), written(existence, "existence")
-    both = trust.sparkSession.createDataFrame([(True,), (False,)], "anchored boolean")
-    strata = trust.select("model").distinct().join(trust.select("stratum").distinct()).join(both)
-    full = strata.join(trust, ["model", "stratum", "anchored"], "left").na.fill(START, ["sens", "spec"])
-    reliability = full.groupBy("model", "stratum").agg(F.avg("sens").alias("sensitivity"), F.avg("spec").alias("specificity"))
+    patterns = written(patterns.select("pattern", "stratum", "anchored", "n", prior.alias("prior"), "votes"), "patterns").persist()
+    start = lambda: (np.full(models, START), np.full(models, START))
+    trust = {(r["stratum"], r["anchored"]): start() for r in strata}
+    used = trust
+    for _ in range(rounds):
+        used, held = trust, dict.fromkeys(trust, 0.0)
+        for r in patterns.mapInArrow(_step(models, trust, n_runs, False), "stratum string, anchored boolean, total array<double>").collect():
+            held[r["stratum"], r["anchored"]] = held[r["stratum"], r["anchored"]] + np.array(r["total"])
+        trust = {}
+        for g, x in held.items():
+            yes, no = x[:models], x[models : 2 * models]
+            clip = lambda a, b: np.clip(a / np.maximum(b, 1e-9), LOW, HIGH)
+            trust[g] = clip(yes, x[-2] * n_runs), clip(x[-1] * n_runs - no, x[-1] * n_runs)
+    existence = written(patterns.mapInArrow(_step(models, used, n_runs, True), "pattern long, q double"), "existence")
+    patterns.unpersist()
+    # a group without entities keeps the start
+    full = [(r["model"], s, *(float(np.mean([trust.get((s, a), start())[k][m] for a in (True, False)])) for k in (0, 1))) for m, r in enumerate(per_model) for s in sorted({g[0] for g in trust}, key=str)]
+    kind = runs.schema["model"].dataType.simpleString()
+    reliability = spark.createDataFrame(full, f"model {kind}, stratum string, sensitivity double, specificity double")
     return known.join(existence, "pattern").select("entity", "anchored", "stratum", F.col("q").alias("existence")), reliability

@@ -109,9 +109,10 @@ def test_containment(spark):
     rng = random.Random(1)
     words = lambda n: " ".join(rng.choice("ab bc cd de ef fg gh hi".split()) for _ in range(n))
     texts = [(k, words(60)) for k in range(40)]
-    needles = [(k, texts[k][1][5:-9]) for k in range(0, 40, 3)] + [(100, words(12)), (101, "ab bc"), (102, words(30))]
+    texts += [(50, None), (51, "")]
+    needles = [(k, texts[k][1][5:-9]) for k in range(0, 40, 3)] + [(100, words(12)), (101, "ab bc"), (102, words(30)), (103, None), (104, "c cd de e"), (105, "b ef f"), (106, texts[7][1][8:30])]
     got = {tuple(r) for r in extract.contained(spark.createDataFrame(needles, "n long, t string"), spark.createDataFrame(texts, "d long, t string"), "t", "t", "n", "d").collect()}
-    assert got == {(n, d) for n, x in needles for d, t in texts if x in t}
+    assert got == {(n, d) for n, x in needles for d, t in texts if x is not None and t is not None and x in t}
 
 
 def test_fusion(spark):
