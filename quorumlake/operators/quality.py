@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlake.sources.tables import written
+
 # Clips and cut-offs of the scores.
 DIVERSITY_CLIP, CAPACITY_KINDS, STATUS_KINDS, WARN, ERROR, DISCRIMINATING = 20, 4, 1, 0.05, 0.20, 0.10
 
@@ -70,8 +72,7 @@ def duplicates(rows: DataFrame, keys: list[Column], ordinal: str) -> DataFrame:
 def control_totals(rows: DataFrame, totals: DataFrame, dims: list[str], value: str) -> DataFrame:
     """Sums against declared totals; a null dimension of a total stands for all values. Totals of 0 are skipped.
 
-    Rows are summed by their dimensions first, so that what meets the totals (a short declared list) is small; totals
-    fall into one equi-join for each set of dimensions that they fix.
+    Rows are summed by their dimensions first, so that the one theta join is of those sums with a short declared list.
     """
     cube = rows.groupBy(*dims).agg(F.sum(value).alias("_sum"))
     keyed = totals.where("declared <> 0")
@@ -126,8 +127,9 @@ def temporal_scores(rows: DataFrame, key: str, date: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ``row_no`` from 0 by partition-wise counts, so that no task numbers all rows."""
-    n = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    """Adds ``row_no`` from 0 by partition-wise counts, so that no task numbers all rows. The ranges are written before they
+    are counted: their bounds are sampled, and two samples may differ."""
+    n = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = n.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return n.join(F.broadcast(base), "_part").withColumn("row_no", F.col("_base") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).drop("_part", "_base")

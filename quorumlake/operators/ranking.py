@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TOLERANCE = 1e-3
+#: Parts of a stratum that are ranked apart.
+SPREAD = 64
 
 
 def stratified_sample(rows: DataFrame, stratum: str, ident: str, n: int, seed: int = 0) -> DataFrame:
-    """``n`` rows of each stratum in the order of a seeded hash; only hashes that can be among the first are ranked."""
-    hashed = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string"))))
-    return hashed.withColumn("_rn", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", ident))).where(F.col("_rn") <= n).drop("_h", "_rn")
+    """``n`` rows of each stratum in the order of a seeded hash. Each of SPREAD parts of a stratum names its first ``n``,
+    and these are ranked, so that no task ranks a whole stratum."""
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string")))).withColumn("_part", F.pmod(F.xxhash64("_h"), F.lit(SPREAD)))
+    first = lambda df, *by: df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy("_h", ident))).where(F.col("_rn") <= n).drop("_rn")
+    return first(first(hashed, stratum, "_part"), stratum).drop("_h", "_part")
 
 
 def balanced(rows: DataFrame, cell: list[str], ident: str, seed: int = 0) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Methods whose subsets are tried.
+METHODS = 16
 # Assumption thresholds; Abramowitz and Stegun 26.2.23.
 W_LEAST, LEVENE_MOST, UNSTABLE = 0.9, 2.0, 0.05
 AS_C, AS_D = (2.515517, 0.802853, 0.010328), (1.432788, 0.189269, 0.001308)
@@ -69,8 +71,11 @@ def token_projection(turns: DataFrame, key: str, turn: str, tokens: str, upto: i
 
 
 def balanced_subset(have: pd.DataFrame, model: str, method: str) -> tuple[list[str], list[str]]:
-    """The methods (and the models that have them all) with most models times methods; a short table on the driver."""
+    """The methods (and the models that have them all) with most models times methods, of every set of at most METHODS
+    methods: a table of models and their methods on the driver, whose size its caller has checked."""
     methods = sorted(have[method].unique())
+    if len(methods) > METHODS:
+        raise ValueError(f"more than {METHODS} methods: the subsets are too many to try")
     of = have.groupby(model)[method].agg(set)
     best: tuple[int, int, list[str], list[str]] = (0, 0, [], [])
     for mask in range(1, 1 << len(methods)):

@@ -73,22 +73,28 @@ def levene(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def two_way_anova(rows: DataFrame, a: str, b: str, value: str) -> DataFrame:
-    """(effect, ss, df, f, eta2, p) of a balanced two-way design: a, b, a:b and residual, from sums by cell."""
-    cells = rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q")).toPandas()
-    n, s, q = cells["n"].sum(), cells["s"].sum(), cells["q"].sum()
-    centre = s * s / n
-    ss = {k: float((g["s"] ** 2 / g["n"]).sum() - centre) for k, g in ((x, cells.groupby(x)[["s", "n"]].sum()) for x in (a, b))}
-    within_cells = float((cells["s"] ** 2 / cells["n"]).sum() - centre)
-    parts = {a: (ss[a], cells[a].nunique() - 1), b: (ss[b], cells[b].nunique() - 1)}
-    parts["interaction"] = (within_cells - ss[a] - ss[b], parts[a][1] * parts[b][1])
-    parts["residual"] = (float(q - centre) - within_cells, int(n) - cells[a].nunique() * cells[b].nunique())
-    total = sum(x for x, _ in parts.values())
-    rest, free = parts["residual"]
-    rows_out = []
-    for name, (x, d) in parts.items():
-        f = x / d / (rest / free) if name != "residual" and d and free and rest else None
-        rows_out.append((name, x, int(d), f, x / total if total else None, f_tail(f, d, free) if f is not None else None))
-    return rows.sparkSession.createDataFrame(rows_out, "effect string, ss double, df long, f double, eta2 double, p double")
+    """(effect, ss, df, f, eta2, omega2, p) of a balanced two-way design: a, b, interaction and residual, from sums by
+    cell; only the eight totals of the cells reach the driver. f, omega2 and p are null where they are not defined."""
+    cells = rows.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
+    margin = lambda k: cells.groupBy(k).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias(f"t{k}"), F.count(F.lit(1)).alias(f"k{k}"))
+    whole = cells.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("t"))
+    x = whole.join(F.broadcast(margin("_a"))).join(F.broadcast(margin("_b"))).first()
+    kind = "effect string, ss double, df long, f double, eta2 double, omega2 double, p double"
+    if not x["n"]:
+        return rows.sparkSession.createDataFrame([], kind)
+    centre = float(x["s"]) ** 2 / x["n"]
+    main = float(x["t_a"]) - centre, float(x["t_b"]) - centre
+    parts = {a: (main[0], x["k_a"] - 1), b: (main[1], x["k_b"] - 1)}
+    parts["interaction"] = float(x["t"]) - centre - sum(main), parts[a][1] * parts[b][1]
+    parts["residual"] = float(x["q"]) - float(x["t"]), x["n"] - x["k_a"] * x["k_b"]
+    total, (rest, free) = sum(s for s, _ in parts.values()), parts["residual"]
+    error, out = rest / free if free > 0 else 0.0, []
+    for name, (ss, df) in parts.items():
+        known = name != "residual" and df and error
+        f = ss / df / error if known else None
+        omega = max(0.0, (ss - df * error) / (total + error)) if known else None
+        out.append((name, ss, int(df), f, ss / total if total else None, omega, f_tail(f, df, free) if f is not None else None))
+    return rows.sparkSession.createDataFrame(out, kind)
 
 
 def kappa(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -114,8 +120,8 @@ def rank_flips(points: DataFrame, model: str, threshold: str, value: str) -> Dat
 
 
 def contrasts(rows: DataFrame, agent: str, docs: str, mode: str, value: str) -> DataFrame:
-    """Main effects and interaction of a 2x2 design, averaged over agents with all four cells, and how many agents agree
-    in sign with the mean."""
+    """Main effects and interaction of a 2x2 design, averaged over agents with all four cells, and how many agents
+    have a positive one."""
     cell = lambda d, m: F.avg(F.when((F.col(docs) == d) & (F.col(mode) == m), F.col(value)))
     per = rows.groupBy(agent).agg(cell(0, 0).alias("c00"), cell(0, 1).alias("c01"), cell(1, 0).alias("c10"), cell(1, 1).alias("c11")).na.drop()
     effects = per.select(
