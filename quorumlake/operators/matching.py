@@ -210,12 +210,17 @@ def single_unit_names(rows: DataFrame, reference: DataFrame, name: str) -> DataF
     return out.withColumn(name, F.when((F.col("_base") != "") & F.col("_n").isNotNull(), F.col("_base")).otherwise(F.col(name))).drop("_base", "_n")
 
 
-def expand_units(rows: DataFrame, name: str) -> DataFrame:
-    """A name of two numbered units ("base 3 & 4", "base 3 va 4") becomes two rows."""
-    pattern = r"^(.*\S)\s+(\d+)\s*(?:&|va)\s*(\d+)$"
+def unit_names(name: Column) -> Column:
+    """The names that a name stands for: of two numbered units ("base 3 & 4", "base 3 va 4") both, else the name alone."""
+    pattern = r"^(.*\S)\s*\b(\d+)\s*(?:&|va)\s*(\d+)\s*$"
     part = lambda k: F.regexp_extract(name, pattern, k)
     both = F.array(F.concat_ws(" ", part(1), part(2)), F.concat_ws(" ", part(1), part(3)))
-    return rows.withColumn(name, F.explode(F.when(part(1) != "", both).otherwise(F.array(F.col(name)))))
+    return F.when(part(1) != "", both).otherwise(F.array(name))
+
+
+def expand_units(rows: DataFrame, name: str) -> DataFrame:
+    """A name of two numbered units becomes two rows; see ``unit_names``."""
+    return rows.withColumn(name, F.explode(unit_names(F.col(name))))
 
 
 def first_by_name(rows: DataFrame, name: str, order: str) -> DataFrame:
