@@ -322,6 +322,15 @@ def _texts(docs: DataFrame, first: DataFrame, pairs: DataFrame, nameless: bool)
     return told.union(unnamed.join(wanted.where("doc_id is null").select("set_id", "text_key").hint("shuffle_hash"), "text_key").select("set_id", "text"))
 
 
+def joined_components(near: DataFrame, links: DataFrame) -> DataFrame:
+    """``near`` (node, component) with ``links`` (u, v) added: whole components are joined, not their nodes again."""
+    of = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    both = links.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    tops = connected_components(both.select(F.coalesce("u_in", "u").alias("u"), F.coalesce("v_in", "v").alias("v")))
+    inside = near.join(tops.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return inside.union(tops.join(near.select("node"), "node", "left_anti").select("node", "component"))
+
+
 def set_components(docs: DataFrame, sketches: DataFrame, nameless: bool, id_bits: int = ID_BITS) -> DataFrame:
     """(node, component) of the linked sets.
 
@@ -354,8 +363,7 @@ def set_components(docs: DataFrame, sketches: DataFrame, nameless: bool, id_bits
     cross, n = counted(cross.coalesce(16 * small), "cross")
     dropped(buckets)
     if n["rows"]:
-        edges = edges.union(written(verified(cross, _texts(docs, first, cross, nameless), id_bits), "links"))
-        near = connected_components(edges)
+        near = joined_components(near, written(verified(cross, _texts(docs, first, cross, nameless), id_bits), "links"))
     for table in (pairs, first, cross):
         dropped(table)
     return near
