@@ -59,6 +59,9 @@ def best_group(runs: DataFrame, group: str, value: str) -> DataFrame:
     return means.orderBy(F.desc("mean"), group).limit(1)
 
 
+MERGES = ("union", "majority_2", "majority_3", "confidence_weighted")
+
+
 def pools(runs: DataFrame, model: str, run: str, cost: str, size: int) -> DataFrame:
     """(rule, run) of ``size`` runs each: the first ones, the cheapest, the dearest, and models in turn."""
     first = lambda order, rule: runs.orderBy(*order).limit(size).select(F.lit(rule).alias("rule"), run)
@@ -67,7 +70,7 @@ def pools(runs: DataFrame, model: str, run: str, cost: str, size: int) -> DataFr
     return first([run], "first").union(first([cost, run], "cheapest")).union(first([F.desc(cost), run], "dearest")).union(alternating)
 
 
-def aggregation_sweep(assertions: DataFrame, chosen: DataFrame, reference: DataFrame, run: str, entity: str, quorums: list[int]) -> DataFrame:
+def quorum_sweep(assertions: DataFrame, chosen: DataFrame, reference: DataFrame, run: str, entity: str, quorums: list[int]) -> DataFrame:
     """(rule, quorum, candidates, tp, recall, precision): each pool of runs merged by each quorum (1 is the union)."""
     votes = chosen.join(assertions, run).groupBy("rule", entity).agg(F.count_distinct(run).alias("_n"))
     grid = assertions.sparkSession.createDataFrame([(k,) for k in quorums], "quorum int")
@@ -78,6 +81,56 @@ def aggregation_sweep(assertions: DataFrame, chosen: DataFrame, reference: DataF
     return per.join(F.broadcast(total)).withColumn("recall", F.try_divide("tp", "_total")).withColumn("precision", F.col("tp") / F.col("candidates")).drop("_total")
 
 
+def model_pools(runs: DataFrame, model: str, run: str, cost: str, sizes: list[int]) -> DataFrame:
+    """(size, rule, pool, run): the pools of each size by four rules. intra_model: the first runs of each model that has
+    enough of them, a pool a model; cross_model_low, _high and _mixed: the first run of the cheapest, the dearest, or
+    in turn the cheapest and the dearest models by mean cost. A rule without enough models has no pool."""
+    grid = runs.sparkSession.createDataFrame([(int(s),) for s in sizes], "size int")
+    ranked = runs.withColumn("_k", F.row_number().over(Window.partitionBy(model).orderBy(run))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(model)))
+    own = ranked.join(F.broadcast(grid), F.col("_k") <= F.col("size")).where("_n >= size").select("size", F.lit("intra_model").alias("rule"), F.col(model).cast("string").alias("pool"), run)
+    means = runs.groupBy(model).agg(F.avg(cost).alias("_cost"), F.min(run).alias(run))
+    low, high = Window.orderBy("_cost", model), Window.orderBy(F.desc("_cost"), model)
+    places = means.withColumn("_low", F.row_number().over(low)).withColumn("_high", F.row_number().over(high))
+    # in turn: the k-th cheapest is pick 2k - 1, the k-th dearest pick 2k; a model counts where it comes first
+    places = places.withColumn("_turn", F.row_number().over(Window.orderBy(F.least(2 * F.col("_low") - 1, 2 * F.col("_high")))))
+    cross = [places.join(F.broadcast(grid), F.col(c) <= F.col("size")).select("size", F.lit(f"cross_model_{rule}").alias("rule"), F.lit("all").alias("pool"), run) for rule, c in (("low", "_low"), ("high", "_high"), ("mixed", "_turn"))]
+    out = own.union(cross[0]).union(cross[1]).union(cross[2])
+    enough = out.groupBy("size", "rule", "pool").agg(F.count(F.lit(1)).alias("_n")).where("_n = size").drop("_n")
+    return out.join(enough, ["size", "rule", "pool"])
+
+
+def has_confidence(assertions: DataFrame, by: list[str], confidence: str) -> DataFrame:
+    """(by, has_confidence): whether any row says how sure it is."""
+    return assertions.groupBy(*by).agg(F.coalesce(F.bool_or(F.trim(F.col(confidence).cast("string")) != ""), F.lit(False)).alias("has_confidence"))
+
+
+def aggregation_sweep(assertions: DataFrame, chosen: DataFrame, reference: DataFrame, run: str, entity: str, confidence: str, costs: DataFrame, cost: str) -> DataFrame:
+    """(merge, size, rule, n_pools, recall, precision, f1, n_entities, cost): every pool of ``chosen`` (size, rule, pool,
+    run) merged in each of MERGES against a reference, averaged over the pools of a rule. A weighted merge keeps
+    entities whose weights of confidence (a run's last row of the entity: HIGH 3, MEDIUM 2, LOW 1) reach half the pool's
+    size; a pool without any confidence has no such merge. Rules and merges without a pool are rows of nulls with
+    n_pools 0."""
+    pool = ["size", "rule", "pool"]
+    weight = F.element_at(F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair]), F.upper(F.trim(F.col(confidence).cast("string"))))
+    rows = chosen.join(assertions.groupBy(run, entity).agg(F.max(weight).alias("_w")), run)
+    votes = rows.groupBy(*pool, entity).agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_w"))
+    sure = rows.groupBy(*pool).agg(F.max(F.col("_w").isNotNull()).alias("_sure"))
+    known = reference.select(entity).distinct().withColumn("_ref", F.lit(1))
+    kept = F.array(F.lit("union"), F.when(F.col("_n") >= 2, "majority_2"), F.when(F.col("_n") >= 3, "majority_3"), F.when(F.col("_w") >= 0.5 * F.col("size"), "confidence_weighted"))
+    told = votes.select(*pool, entity, F.explode(F.filter(kept, lambda x: x.isNotNull())).alias("merge")).join(known, entity, "left")
+    per = told.groupBy("merge", *pool).agg(F.count(F.lit(1)).alias("n_entities"), F.count("_ref").alias("_tp"))
+    merges = assertions.sparkSession.createDataFrame([(m,) for m in MERGES], "merge string")
+    paid = chosen.join(costs.select(run, F.col(cost).alias("_cost")), run, "left").groupBy(*pool).agg(F.sum("_cost").alias("cost")).join(sure, pool, "left")
+    each = paid.join(F.broadcast(merges)).where("merge <> 'confidence_weighted' or coalesce(_sure, false)").join(per, ["merge", *pool], "left").na.fill(0, ["n_entities", "_tp"])
+    total = known.agg(F.count(F.lit(1)).alias("_total"))
+    each = each.join(F.broadcast(total)).withColumn("recall", F.coalesce(F.try_divide("_tp", "_total"), F.lit(0.0))).withColumn("precision", F.coalesce(F.try_divide("_tp", "n_entities"), F.lit(0.0)))
+    each = each.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("_tp"), F.col("n_entities") + F.col("_total")), F.lit(0.0)))
+    means = each.groupBy("merge", "size", "rule").agg(F.count(F.lit(1)).alias("n_pools"), *(F.avg(c).alias(c) for c in ("recall", "precision", "f1", "n_entities", "cost")))
+    sizes = chosen.select("size").distinct()
+    rules = assertions.sparkSession.createDataFrame([(r,) for r in ("intra_model", "cross_model_low", "cross_model_high", "cross_model_mixed")], "rule string")
+    return sizes.join(F.broadcast(rules)).join(F.broadcast(merges)).join(means, ["merge", "size", "rule"], "left").na.fill(0, ["n_pools"])
+
+
 #: Cells (models by strata) whose reliabilities the driver holds between rounds, at most.
 TRUST_CELLS = 1_000_000
 

@@ -124,3 +124,39 @@ def hit_rate(rows: DataFrame, keys: list[str], hit: Column, weight: Column) -> D
     """Weight of hits and of all, and their ratio (null without weight), by keys."""
     per = rows.groupBy(*keys).agg(F.sum(F.when(hit, weight).otherwise(0)).alias("hit"), F.sum(weight).alias("total"))
     return per.withColumn("rate", F.try_divide("hit", "total"))
+
+
+def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean, least and most of a value, its population deviation and how many rows have one."""
+    return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.stddev_pop(value).alias("sd"), F.count(value).alias("n"))
+
+
+def rung_means(rows: DataFrame, agent: str, rung: str, names: list[str]) -> DataFrame:
+    """(agent, rung, metric, mean): means of each metric over the runs that have it."""
+    return rows.unpivot([agent, rung], names, "metric", "value").groupBy(agent, rung, "metric").agg(F.avg("value").alias("mean")).where("mean is not null")
+
+
+def tradeoff(rows: DataFrame, mode: str, run: str, entity: str, score: str, reference: DataFrame, thresholds: list[int]) -> DataFrame:
+    """(mode, threshold, n_retained, n_total, retention, precision, coverage, n_runs): what is left of runs when entities
+    below a threshold go, averaged over the runs of a mode; a run of which nothing is left counts as 0."""
+    grid = rows.sparkSession.createDataFrame([(int(t),) for t in thresholds], "threshold int")
+    known = reference.select(entity).distinct().withColumn("_ref", F.lit(1))
+    total = known.agg(F.count(F.lit(1)).alias("_total"))
+    marked = rows.join(known, entity, "left").join(F.broadcast(grid))
+    stays = F.col(score) >= F.col("threshold")
+    per = marked.groupBy(mode, run, "threshold").agg(F.count(F.lit(1)).alias("n_total"), F.count_if(stays).alias("n_retained"), F.count_if(stays & F.col("_ref").isNotNull()).alias("_tp")).join(F.broadcast(total))
+    per = per.withColumn("precision", _ratio(F.col("_tp"), F.col("n_retained"))).withColumn("coverage", _ratio(F.col("_tp"), F.col("_total")))
+    out = per.groupBy(mode, "threshold").agg(F.avg("n_retained").alias("n_retained"), F.avg("n_total").alias("n_total"), F.avg("precision").alias("precision"), F.avg("coverage").alias("coverage"), F.count(F.lit(1)).alias("n_runs"))
+    return out.withColumn("retention", _ratio(100 * F.col("n_retained"), F.col("n_total")))
+
+
+def two_conditions(rows: DataFrame, model: str, condition: str, value: str, a: str, b: str) -> DataFrame:
+    """Number, median and best of models' values in two conditions, for models that have both."""
+    of = lambda c: F.when(F.col(condition) == c, F.col(value))
+    per = rows.groupBy(model).agg(*(f(of(c)).alias(f"{n}_{c}") for c in (a, b) for n, f in (("n", F.count), ("median", F.median), ("best", F.max))))
+    return per.where((F.col(f"n_{a}") > 0) & (F.col(f"n_{b}") > 0))
+
+
+def calibration(rows: DataFrame, tier: str, verified: Column) -> DataFrame:
+    """Share of verified rows of each tier, unknown ones left out, and how many are known."""
+    return rows.groupBy(tier).agg(F.avg(verified.cast("double")).alias("share"), F.count(verified).alias("n"))

@@ -133,3 +133,51 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     counts = n.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return n.join(F.broadcast(base), "_part").withColumn("row_no", F.col("_base") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).drop("_part", "_base")
+
+
+def provenance_scores(rows: DataFrame, key: str, first: str, second: str, confidence: str | None) -> DataFrame:
+    """Share of rows with a source, and of HIGH rows with both; null with a reason where the column is missing or nothing
+    is HIGH."""
+    high = F.upper(F.trim(F.coalesce(F.col(confidence), F.lit("")))) == "HIGH" if confidence else F.lit(False)
+    per = rows.groupBy(key).agg(F.avg((filled(first) | filled(second)).cast("double")).alias("source_presence"), F.avg(F.when(high, (filled(first) & filled(second)).cast("double"))).alias("high_dual_source"))
+    return per.withColumn("high_note", F.lit("column_missing") if not confidence else F.when(F.col("high_dual_source").isNull(), "no_high_confidence"))
+
+
+def cod_plausible(rows: DataFrame, key: str, cod: str, first: int = 1960, last: int = 2035) -> DataFrame:
+    """Share of filled dates with a year from ``first`` to ``last``: 0 where all are the same, null where none is filled."""
+    year = F.regexp_extract(cod, r"((?:19|20)\d{2})", 1).try_cast("int")
+    per = rows.groupBy(key).agg(F.count_if(filled(cod)).alias("_n"), F.count_distinct(F.when(filled(cod), F.trim(F.col(cod).cast("string")))).alias("_kinds"), F.count_if(filled(cod) & year.between(first, last)).alias("_fits"))
+    return per.select(key, F.when(F.col("_n") == 0, None).when(F.col("_kinds") <= 1, 0.0).otherwise(F.col("_fits") / F.col("_n")).alias("cod_plausible"))
+
+
+def coherence_rules(name: str, capacity: str, fuel: str, status: str, province: str, cod: str, provinces: list[str], year: int = 2025) -> dict[str, Column]:
+    """The rules that a row must keep, for ``row_issues``: capacity above 0, fuel, status and province known, and no
+    retired entity that starts after ``year``."""
+    low = F.lower(F.trim(F.coalesce(F.col(province), F.lit(""))))
+    return {
+        "zero_or_negative_capacity": F.col(capacity) <= 0,
+        "unknown_fuel": F.col(fuel) == "unknown",
+        "unknown_status": F.col(status) == "unknown",
+        "unknown_province": ~low.isin([p.lower() for p in provinces]),
+        "retired_future_cod": (F.col(status) == "retired") & (F.substring(cod, 1, 4).try_cast("int") > year),
+    }
+
+
+def coherence_medians(runs: DataFrame, model: str, total: str, flawed: str) -> DataFrame:
+    """By model, over its runs: the median of rows, of rows with an issue, and of the share without one (0 of none)."""
+    share = F.when(F.col(total) > 0, (F.col(total) - F.col(flawed)) / F.col(total)).otherwise(0.0)
+    return runs.groupBy(model).agg(F.floor(F.median(total)).cast("long").alias("n_rows"), F.floor(F.median(flawed)).cast("long").alias("n_flawed"), F.median(share).alias("coherence_rate"))
+
+
+def taxonomy_audit(rows: DataFrame, level: str, capacity: str, status: str, plant_cap: float = 1600.0, unit_cap: float = 1350.0) -> DataFrame:
+    """(level, n, n_violations): rows by level, and those too large for it: units, and plants that run or are built."""
+    big = ((F.col(level) == "plant") & F.col(status).isin("operational", "constructing") & (F.col(capacity) > plant_cap)) | ((F.col(level) == "unit") & (F.col(capacity) > unit_cap))
+    return rows.groupBy(level).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(big, F.lit(False))).alias("n_violations"))
+
+
+def row_scores(key: str, *axes: DataFrame) -> DataFrame:
+    """One row a run with all axes (tables by ``key``); a run that an axis does not know has nulls there."""
+    out = axes[0]
+    for axis in axes[1:]:
+        out = out.join(axis, key, "full")
+    return out

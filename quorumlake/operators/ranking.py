@@ -71,3 +71,13 @@ def growth(steps: DataFrame, order: str, entity: str) -> DataFrame:
     """How many distinct entities each prefix of the steps knows: entities count from their first step on."""
     first = steps.groupBy(entity).agg(F.min(order).alias(order)).groupBy(order).agg(F.count(F.lit(1)).alias("n_new"))
     return first.withColumn("n_known", F.sum("n_new").over(Window.orderBy(order)))
+
+
+def common(left: DataFrame, right: DataFrame, ident: str) -> DataFrame:
+    """Idents of both tables, in order."""
+    return left.select(ident).intersect(right.select(ident)).orderBy(ident)
+
+
+def only_left(left: DataFrame, right: DataFrame, ident: str) -> DataFrame:
+    """Idents of the first table that the second lacks; a null ident is one like any other."""
+    return left.select(ident).subtract(right.select(ident))

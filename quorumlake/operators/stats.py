@@ -198,3 +198,18 @@ def drift_gate(baseline: DataFrame, current: DataFrame, key: str, value: str, fl
 def agreement(matches: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Share of equal values among the rows where both sides have one."""
     return matches.agg(*[F.avg((a == b).cast("double")).alias(name) for name, (a, b) in pairs.items()])
+
+
+def ranking_robustness(left: DataFrame, right: DataFrame, model: str, value: str, least: int = 3) -> DataFrame:
+    """(rho, n): Spearman's correlation of models' medians in two tables, over the models in both; null below ``least``."""
+    median = lambda df, n: df.groupBy(model).agg(F.median(value).alias(n))
+    both = median(left, "_x").join(median(right, "_y"), model).withColumn("_all", F.lit(1))
+    out = spearman(both, "_x", "_y", ["_all"])
+    return out.select(F.when(F.col("n") >= least, F.col("rho")).alias("rho"), "n")
+
+
+def stable_core(points: DataFrame, model: str, threshold: str, value: str) -> DataFrame:
+    """Models that keep their order to all others at every threshold."""
+    flips = rank_flips(points, model, threshold, value)
+    moving = flips.select(F.col("a").alias(model)).union(flips.select("b")).distinct()
+    return points.select(model).distinct().join(moving, model, "left_anti")

@@ -6,51 +6,20 @@ order for an entity. Doubles are rounded alike on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.functions import text as tx
 from quorumlake.functions.similarity import with_similarity
 from quorumlake.operators import extract, fusion, mart, matching, metrics, provenance, quality, ranking, selection, stats
+from quorumlake.plans.registry import query, r4, rounded
 from quorumlake.sources.tables import table
 from quorumlake.streaming import jobs
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 TAUS = (0.0, 0.25, 0.5, 0.75)
 THRESHOLDS = (75.0, 80.0, 85.0, 90.0, 95.0)
 BANNED = ("example.com", "example.org")
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def r4(c: Column | str) -> Column:
-    return F.round(c, 4)
-
-
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
-
-
 # --- quality without a reference -------------------------------------------------------------------------------------
 
 
@@ -325,7 +294,7 @@ def aggregation_sweep(spark, d):
     runs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey", "s_acctbal")
     chosen = fusion.pools(runs, "s_nationkey", "l_suppkey", "s_acctbal", 10)
     reference = table(spark, d, "part").where("p_retailprice > 950").select(F.col("p_partkey").alias("l_partkey"))
-    return rounded(fusion.aggregation_sweep(_assertions(spark, d), chosen, reference, "l_suppkey", "l_partkey", [1, 2, 3]))
+    return rounded(fusion.quorum_sweep(_assertions(spark, d), chosen, reference, "l_suppkey", "l_partkey", [1, 2, 3]))
 
 
 @query()
@@ -672,7 +641,8 @@ def text_sections(spark, d):
     return extract.sections(table(spark, d, "documents"), "doc_id", "text", r"^([A-Z][a-z]+)[.]$")
 
 
-@query()
+@query("""with w as (select doc_id, regexp_split_to_array(text, '\\s+')[1] as word from documents where text is not null)
+select doc_id, 1::bigint as table_no, unnest([0, 1, 2])::bigint as row_no, unnest(['Plant name;Fuel;Capacity (MW)', trim(word) || ';coal;1.200', 'Unit 3;gas;300']) as cells from w""")
 def pipe_tables(spark, d):
     made = F.concat(F.lit("Intro | text\n"), F.lit("See.| Plant name | Fuel | Capacity (MW) |\n|---|---|---|\n| "), F.element_at(F.split("text", r"\s+"), 1), F.lit(" | coal | 1.200 |\n| **Gas** |\n| Unit 2 | gas | 300 | extra |\n| Unit 3 | gas | 300 |\n\n| a | b | c |\n"), "text")
     return extract.pipe_table_rows(table(spark, d, "documents").withColumn("text", made), "doc_id", "text").select("doc_id", "table_no", F.col("row_no").cast("long").alias("row_no"), F.array_join("cells", ";").alias("cells"))

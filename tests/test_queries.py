@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quorumlake.plans import bridge
+from quorumlake import plans
 
 DIR = "/root/testdata/sf0.001"
 
@@ -29,11 +29,11 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(bridge.queries()))
+@pytest.mark.parametrize("name", sorted(plans.queries()))
 def test_query(spark, con, name):
-    df = bridge.queries()[name](spark, DIR)
+    df = plans.queries()[name](spark, DIR)
     got = df.collect()
-    if sql := bridge.oracle_sql().get(name):
+    if sql := plans.oracle_sql().get(name):
         want = con.sql(sql)
         assert sorted(df.columns) == sorted(want.columns)
         order = sorted(df.columns)
