@@ -240,12 +240,12 @@ def folder_methods(spark, d):
     return table(spark, d, "part").select("p_partkey", records.method_of_folder(folder).alias("method"))
 
 
-@query("""select l_orderkey, l_linenumber::bigint as l_linenumber, round((l_quantity * coalesce(s_acctbal, 0) + l_extendedprice * coalesce(s_nationkey, 0)) / 1e6, 6) as cost from lineitem left join supplier on s_suppkey = l_suppkey and s_acctbal > 0""")
+@query("""select l_orderkey, l_linenumber::bigint as l_linenumber, round(l_quantity * coalesce(s_acctbal, 0) + l_extendedprice * coalesce(s_nationkey, 0), 2) as millionths from lineitem left join supplier on s_suppkey = l_suppkey and s_acctbal > 0""")
 def token_costs(spark, d):
     registry = table(spark, d, "supplier").where("s_acctbal > 0").withColumnRenamed("s_suppkey", "l_suppkey")
     runs = records.with_registry(table(spark, d, "lineitem"), registry, "l_suppkey")
     cost = records.token_cost(F.col("l_quantity"), F.col("l_extendedprice"), F.col("s_acctbal"), F.col("s_nationkey"))
-    return runs.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.round(cost, 6).alias("cost"))
+    return runs.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.round(cost * 1e6, 2).alias("millionths"))
 
 
 @query("""with t as (select conv_id, turn, case turn % 5 when 0 then '' when 1 then 'I cannot do it ' || coalesce(text, '') when 2 then 'See' || chr(10) || '| a | b | c |' || chr(10) || '| 1 | 2 | 3 |' || chr(10) when 3 then '```csv' || chr(10) || 'x' || chr(10) || '```' else 'plain words' end as said from conversations)

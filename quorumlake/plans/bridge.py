@@ -644,7 +644,7 @@ def text_sections(spark, d):
 @query("""with w as (select doc_id, regexp_split_to_array(text, '\\s+')[1] as word from documents where text is not null)
 select doc_id, 1::bigint as table_no, unnest([0, 1, 2])::bigint as row_no, unnest(['Plant name;Fuel;Capacity (MW)', trim(word) || ';coal;1.200', 'Unit 3;gas;300']) as cells from w""")
 def pipe_tables(spark, d):
-    made = F.concat(F.lit("Intro | text\n"), F.lit("See.| Plant name | Fuel | Capacity (MW) |\n|---|---|---|\n| "), F.element_at(F.split("text", r"\s+"), 1), F.lit(" | coal | 1.200 |\n| **Gas** |\n| Unit 2 | gas | 300 | extra |\n| Unit 3 | gas | 300 |\n\n| a | b | c |\n"), "text")
+    made = F.concat(F.lit("Intro | text\n"), F.lit("See.| Plant name | Fuel | Capacity (MW) |\n|---|---|---|\n| "), F.element_at(F.split("text", r"\s+"), 1), F.lit(" | coal | 1.200 |\n| **Gas** |\n| Unit 2 | gas | 300 | extra |\n| Unit 3 | gas | 300 |\n\n| a | b | c |\n"), F.translate("text", "|", "/"))
     return extract.pipe_table_rows(table(spark, d, "documents").withColumn("text", made), "doc_id", "text").select("doc_id", "table_no", F.col("row_no").cast("long").alias("row_no"), F.array_join("cells", ";").alias("cells"))
 
 
