@@ -55,8 +55,8 @@ def _side(df: DataFrame, by: list[str], ident: str, label: str) -> DataFrame:
 
 #: The columns of a reconciliation, in the order of its files.
 COLUMNS = (
-    "reference_name", "system_name", "reference_province", "system_province", "reference_fuel", "system_fuel", "reference_capacity_mwe", "system_capacity_mwe", "capacity_diff_pct", "match_type", "fuel_match", "status_match",
-    "province_match", "reference_source_ref", "system_source_ref", "similarity_score",
+    "match_type", "reference_name", "system_name", "reference_province", "system_province", "reference_fuel", "system_fuel", "reference_capacity_mwe", "system_capacity_mwe", "capacity_diff_pct", "fuel_match", "status_match", "province_match",
+    "reference_source_ref", "system_source_ref", "similarity_score",
 )
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import json
 import re
 import tempfile
+import tomllib
 import uuid
+import zipfile
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,9 +86,105 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text): whole files, line ends made \\n."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+def read_texts(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """(file, text): whole files, line ends made \\n. Bytes that are no UTF-8 become replacement characters, or, if
+    ``strict``, give a file no text."""
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content")
+    raw = F.col("content").cast("string")
+    text = F.when(F.is_valid_utf8(raw), raw) if strict else F.make_valid_utf8(raw)
+    return files.select("file", F.regexp_replace(text, "\r\n?", "\n").alias("text"))
+
+
+def corpus(texts: DataFrame, between: str = "\n\n") -> DataFrame:
+    """(text) of all of a short list of files, in the order of their names: one row, so a corpus that fits one."""
+    parts = F.array_sort(F.collect_list(F.struct("file", "text")))
+    return texts.agg(F.array_join(F.transform(parts, lambda x: x["text"]), between).alias("text"))
+
+
+def without(rows: DataFrame, file: str, prefixes: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of files whose names begin and end with none of the given ones."""
+    skip = F.lit(False)
+    for x in prefixes:
+        skip = skip | F.col(file).startswith(x)
+    for x in suffixes:
+        skip = skip | F.col(file).endswith(x)
+    return rows.where(~skip)
+
+
+def has_column(spark: SparkSession, path: str, column: str) -> bool:
+    """Whether the header of CSV files names a column; only the header is read."""
+    return column in [c.strip() for c in spark.read.csv(path, header=True).columns]
+
+
+def named_rows(rows: DataFrame, name: str, kind: str, kinds: list[str]) -> DataFrame:
+    """Rows of some kinds (trimmed) that have a name, the name trimmed."""
+    return rows.where(F.trim(kind).isin(kinds) & (F.trim(F.coalesce(name, F.lit(""))) != "")).withColumn(name, F.trim(name))
+
+
+_ODS = {"table": "urn:oasis:names:tc:opendocument:xmlns:table:1.0", "text": "urn:oasis:names:tc:opendocument:xmlns:text:1.0"}
+
+
+def _sheet_rows(sheet: str):
+    def rows(batches):
+        of = lambda p, n: f"{{{_ODS[p]}}}{n}"
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                root, out = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("content.xml")), []
+                for table_ in root.iter(of("table", "table")):
+                    if table_.get(of("table", "name")) != sheet:
+                        continue
+                    for row in table_.iter(of("table", "table-row")):
+                        cells: list[str] = []
+                        for cell in row:
+                            if cell.tag in (of("table", "table-cell"), of("table", "covered-table-cell")):
+                                text = "\n".join("".join(p.itertext()) for p in cell.iter(of("text", "p")))
+                                cells += [text] * min(int(cell.get(of("table", "number-columns-repeated"), 1)), 1024)
+                        while cells and not cells[-1]:
+                            cells.pop()
+                        times = int(row.get(of("table", "number-rows-repeated"), 1))
+                        out += [cells] * (times if cells else min(times, 1 << 16))
+                while out and not out[-1]:
+                    out.pop()
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(out)), pa.array(list(range(len(out))), pa.int64()), pa.array(out, pa.list_(pa.string()))], ["path", "row_no", "cells"])
+
+    return rows
+
+
+def read_ods(spark: SparkSession, path: str, sheet: str, columns: dict[str, str], header: int = 0) -> DataFrame:
+    """The columns of a sheet (by header name, renamed) as texts, from the row after ``header`` on; empty cells are null,
+    rows without any cell are left out. A header that the sheet lacks is an error."""
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_sheet_rows(sheet), "path string, row_no long, cells array<string>")
+    heads = rows.where(F.col("row_no") == header).select("path", F.col("cells").alias("_head"))
+    at = lambda name: F.array_position("_head", name)
+    missing = F.filter(F.array(*map(F.lit, columns)), lambda c: ~F.array_contains("_head", c))
+    body = rows.where(F.col("row_no") > header).join(heads, "path").where("size(cells) > 0")
+    checked = F.when(F.size(missing) > 0, F.raise_error(F.concat(F.lit("columns not in the sheet: "), F.array_join(missing, ", "))))
+    value = lambda name: F.coalesce(checked.cast("string"), F.nullif(F.get("cells", (at(name) - 1).cast("int")), F.lit("")))
+    return body.select("row_no", *(value(name).alias(out) for name, out in columns.items()))
+
+
+def read_config(path: str) -> dict:
+    """A TOML or YAML file of settings, on the driver (YAML where its library is installed)."""
+    with open(path, "rb") as f:
+        if path.endswith(".toml"):
+            return tomllib.load(f)
+        import yaml
+
+        return yaml.safe_load(f) or {}
+
+
+def config_table(spark: SparkSession, entries: dict[str, dict], key: str) -> DataFrame:
+    """A row for each entry of a registry (name -> settings), all settings as texts; null where an entry lacks one."""
+    names = sorted({k for x in entries.values() for k in x})
+    text = lambda v: None if v is None else v if isinstance(v, str) else json.dumps(v)
+    schema = ", ".join(f"`{c}` string" for c in [key, *names])
+    return spark.createDataFrame([(k, *(text(x.get(c)) for c in names)) for k, x in sorted(entries.items())], schema)
+
+
+def artifact_paths(rows: DataFrame, path: str) -> DataFrame:
+    """``rows``, of which an absolute path or one that goes up a folder is an error."""
+    bad = F.col(path).startswith("/") | F.array_contains(F.split(path, "/"), "..")
+    return rows.withColumn(path, F.when(bad, F.raise_error(F.concat(F.lit("not a path inside the repository: "), F.col(path))).cast("string")).otherwise(F.col(path)))
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
@@ -99,6 +201,11 @@ def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
+def append_csv(df: DataFrame, path: str) -> None:
+    """More rows for a folder of CSV files, each file with its header."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
 def write_mart(df: DataFrame, path: str) -> None:
     """Parquet by record kind, so that a view reads its kind only."""
     df.write.mode("overwrite").partitionBy("record_kind").parquet(path)
