@@ -82,3 +82,30 @@ def verdict_rate(rows: DataFrame, key: str, verdict: str) -> DataFrame:
     """Share of supported among the verdicts that are no errors; null where there is none."""
     told = F.col(verdict) != "error"
     return rows.groupBy(key).agg(F.avg(F.when(told, (F.col(verdict) == "supported").cast("double"))).alias("rate"), F.count_if(told).alias("n"))
+
+
+def coded_bibliography(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, code, url): entries ``**[N]** ... URL: `...` `` below a bibliography heading; the last of a number counts, those
+    without a URL are left out."""
+    part = F.regexp_extract(text, r"(?is)(?:^|\n)#{1,4}\s+[^\n]*(?:bibliography|references)[^\n]*\n(.*)$", 1)
+    lines = docs.select(key, F.posexplode(F.split(part, "\n")).alias("_at", "_line"))
+    found = lines.select(key, "_at", F.regexp_extract(F.trim("_line"), r"^\*{0,2}\[(\d+)\]", 1).alias("code"), F.regexp_extract("_line", r"URL:\s+`(https?://[^`]+)`", 1).alias("url"))
+    return found.where("code <> '' and url <> ''").groupBy(key, "code").agg(F.max_by("url", "_at").alias("url"))
+
+
+def source_tables(rows: DataFrame, key: str, least: int = 8) -> DataFrame:
+    """(key, row_no, head, cells): the body rows of each text's first table (of ``extract.pipe_table_rows``) with ``least``
+    columns and one named Source 1; repeated headers are left out."""
+    named = lambda c: F.exists(c, lambda x: F.lower(x).isin("source 1", "src 1"))
+    heads = rows.where((F.col("row_no") == 0) & (F.size("cells") >= least) & named(F.col("cells")))
+    first = heads.groupBy(key).agg(F.min_by("table_no", "line_no").alias("table_no"), F.min_by("cells", "line_no").alias("head"))
+    again = F.exists("cells", lambda x: F.lower(x).isin("source 1", "source 2", "src 1", "src 2"))
+    return rows.where("row_no > 0").join(first, [key, "table_no"]).where(~again).select(key, "row_no", "head", "cells")
+
+
+def source_urls(cells: DataFrame, key: str, cell: str, entries: DataFrame) -> DataFrame:
+    """Adds ``url``: of a cell that is a code [N], its entry's (key, code, url); else the first URL in the cell; else null."""
+    code = F.regexp_extract(F.coalesce(cell, F.lit("")), r"^\s*\[(\d+)\]\s*$", 1)
+    rows = cells.withColumn("code", code).join(entries.withColumnRenamed("url", "_entry"), [key, "code"], "left")
+    inline = F.nullif(F.regexp_extract(F.coalesce(cell, F.lit("")), r"https?://[^\s)>\]]+", 0), F.lit(""))
+    return rows.withColumn("url", F.when(F.col("code") != "", F.col("_entry")).otherwise(inline)).drop("code", "_entry")

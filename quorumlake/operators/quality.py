@@ -181,3 +181,20 @@ def row_scores(key: str, *axes: DataFrame) -> DataFrame:
     for axis in axes[1:]:
         out = out.join(axis, key, "full")
     return out
+
+
+def good_run_means(runs: DataFrame, model: str, value: str, good: Column) -> DataFrame:
+    """(model, n_good, mean): how many runs of a model are good, and the mean of their values; of all its runs where none
+    is."""
+    return runs.groupBy(model).agg(F.count_if(good).alias("n_good"), F.coalesce(F.avg(F.when(good, F.col(value))), F.avg(value)).alias("mean"))
+
+
+def evidence_at_least(rows: DataFrame, score: str, least: int) -> DataFrame:
+    return rows.where(F.col(score) >= least)
+
+
+def evidence_rollup(rows: DataFrame, folder: str, run: str, score: str) -> DataFrame:
+    """(folder, run, n, mean, share_primary) by run, by folder (run null) and over all (both null); a folder's figures are
+    sums over its rows, not means of its runs."""
+    out = rows.rollup(folder, run).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.avg((F.col(score) >= 3).cast("double")).alias("share_primary"))
+    return out

@@ -200,3 +200,30 @@ def turnover(matches: DataFrame, key: str) -> DataFrame:
     """(key, n_false, rate): names without a partner among all that a run has."""
     own = matches.where("status <> 'ref_only'")
     return own.groupBy(key).agg(F.count_if(F.col("status") == "sys_only").alias("n_false"), F.avg((F.col("status") == "sys_only").cast("double")).alias("rate"))
+
+
+def with_scores(runs: DataFrame, scores: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Runs with their score by arm, model and run (compared as texts; an empty score is null)."""
+    text = lambda df: df.withColumns({f"_{k}": F.col(k).cast("string") for k in keys})
+    known = text(scores).groupBy(*(f"_{k}" for k in keys)).agg(F.max(F.nullif(F.trim(F.col(value).cast("string")), F.lit("")).try_cast("double")).alias(value))
+    return text(runs).join(known, [f"_{k}" for k in keys], "left").drop(*(f"_{k}" for k in keys))
+
+
+def coverage_certainty(quality: DataFrame, matched: DataFrame, keys: list[str], arms: list[str], arm: str) -> DataFrame:
+    """(keys, n_matched, n_supported) of the arms with documents: a bibliography of a run that has neither rows nor sources
+    is a failure to parse and stays out, as does a run without a match count."""
+    kept = quality.where(F.col(arm).isin(*arms) & ~((F.col("n_supported") == 0) & (F.coalesce("n_rows", F.lit(0)) == 0)))
+    return kept.join(matched, keys).select(*keys, "n_matched", "n_supported")
+
+
+def regimes(runs: DataFrame, model: str, method: str, value: str, models: list[str], methods: list[str], not_ending: tuple[str, ...] = ()) -> DataFrame:
+    """(model, method, values): the values of chosen models and methods, in order; made-up runs stay out, nulls too."""
+    kept = runs.where(F.col(model).isin(models) & F.col(method).isin(methods) & F.col(value).isNotNull())
+    for end in not_ending:
+        kept = kept.where(~F.col(model).endswith(end))
+    return kept.groupBy(model, method).agg(F.array_sort(F.collect_list(value)).alias("values"))
+
+
+def classified(rows: DataFrame, classes: DataFrame, fuel: str) -> DataFrame:
+    """Rows with the code, label and carrier of their fuel; empty where it is in no class."""
+    return rows.join(classes.dropDuplicates([fuel]), fuel, "left").na.fill("", ["code", "label", "carrier"])

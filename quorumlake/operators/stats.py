@@ -119,21 +119,17 @@ def rank_flips(points: DataFrame, model: str, threshold: str, value: str) -> Dat
     return signs.where("signs > 1")
 
 
-def contrasts(rows: DataFrame, agent: str, docs: str, mode: str, value: str) -> DataFrame:
-    """Main effects and interaction of a 2x2 design, averaged over agents with all four cells, and how many agents
-    have a positive one."""
+def contrasts(rows: DataFrame, agent: str, docs: str, mode: str, value: str, log: bool = False) -> DataFrame:
+    """(effect, mean, n_up, n): main effects and interaction of a 2x2 design, averaged over agents with all four cells, and
+    how many agents have a positive one. ``log``: of the cells' logarithms, and ``ratio``, what the mean multiplies by."""
     cell = lambda d, m: F.avg(F.when((F.col(docs) == d) & (F.col(mode) == m), F.col(value)))
     per = rows.groupBy(agent).agg(cell(0, 0).alias("c00"), cell(0, 1).alias("c01"), cell(1, 0).alias("c10"), cell(1, 1).alias("c11")).na.drop()
-    effects = per.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("docs").alias("effect"), ((F.col("c10") + F.col("c11") - F.col("c00") - F.col("c01")) / 2).alias("d")),
-                F.struct(F.lit("mode").alias("effect"), ((F.col("c01") + F.col("c11") - F.col("c00") - F.col("c10")) / 2).alias("d")),
-                F.struct(F.lit("interaction").alias("effect"), (F.col("c11") - F.col("c10") - F.col("c01") + F.col("c00")).alias("d")),
-            )
-        ).alias("e")
-    ).select("e.*")
-    return effects.groupBy("effect").agg(F.avg("d").alias("mean"), F.count_if(F.col("d") > 0).alias("n_up"), F.count(F.lit(1)).alias("n"))
+    if log:
+        per = per.select(*(F.log(c).alias(c) for c in ("c00", "c01", "c10", "c11")))
+    effects = {"docs": "(c10 + c11 - c00 - c01) / 2", "mode": "(c01 + c11 - c00 - c10) / 2", "interaction": "c11 - c10 - c01 + c00"}
+    each = per.select(F.explode(F.array(*[F.struct(F.lit(name).alias("effect"), F.expr(e).alias("d")) for name, e in effects.items()])).alias("e")).select("e.*")
+    out = each.groupBy("effect").agg(F.avg("d").alias("mean"), F.count_if(F.col("d") > 0).alias("n_up"), F.count(F.lit(1)).alias("n"))
+    return out.withColumn("ratio", F.exp("mean")) if log else out
 
 
 def sign_test(rows: DataFrame, agent: str, difference: str, least: int = 3) -> DataFrame:

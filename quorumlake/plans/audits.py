@@ -370,3 +370,72 @@ def unmatched_audit(spark, d):
     reference, system = _nations(spark, d)
     out = reconcile.false_positives(reconcile.reconcile(reference, system, "run"), reference, "run")
     return out.select("clean_name", "n_appearances", "n_runs", r4("now").alias("now"), r4("folded").alias("folded"), "verdict")
+
+
+@query("""with r as (select user_id, (event_id % 2) as docs, (event_id // 2 % 2) as mode, value + 1 as v from events),
+c as (select user_id, ln(avg(v) filter (docs = 0 and mode = 0)) as c00, ln(avg(v) filter (docs = 0 and mode = 1)) as c01, ln(avg(v) filter (docs = 1 and mode = 0)) as c10, ln(avg(v) filter (docs = 1 and mode = 1)) as c11 from r group by 1),
+k as (select * from c where c00 is not null and c01 is not null and c10 is not null and c11 is not null),
+e as (select 'docs' as effect, (c10 + c11 - c00 - c01) / 2 as d from k union all select 'mode', (c01 + c11 - c00 - c10) / 2 from k union all select 'interaction', c11 - c10 - c01 + c00 from k)
+select effect, round(avg(d), 6) as mean, count(*) filter (d > 0) as n_up, count(*) as n, round(exp(avg(d)), 6) as ratio from e group by 1""")
+def log_contrasts(spark, d):
+    rows = table(spark, d, "events").withColumns({"docs": F.col("event_id") % 2, "mode": F.floor(F.col("event_id") / 2) % 2, "v": F.col("value") + 1})
+    return rounded(stats.contrasts(rows, "user_id", "docs", "mode", "v", log=True), 6)
+
+
+@query("""select c_nationkey::bigint as c_nationkey, count(*) filter (c_acctbal > 9000) as n_good, round(coalesce(avg(c_custkey) filter (c_acctbal > 9000), avg(c_custkey)), 4) as mean from customer group by 1""")
+def good_run_means(spark, d):
+    return rounded(quality.good_run_means(table(spark, d, "customer"), "c_nationkey", "c_custkey", F.col("c_acctbal") > 9000))
+
+
+@query("""with s as (select l_returnflag, l_suppkey, l_linenumber % 5 as score from lineitem)
+select l_returnflag, l_suppkey, count(*) as n, round(avg(score), 4) as mean, round(avg((score >= 3)::int), 4) as share_primary from s group by rollup(l_returnflag, l_suppkey)""")
+def evidence_rollup(spark, d):
+    return rounded(quality.evidence_rollup(table(spark, d, "lineitem").withColumn("score", F.col("l_linenumber") % 5), "l_returnflag", "l_suppkey", "score"))
+
+
+@query("select l_orderkey, l_linenumber::bigint as l_linenumber, (l_linenumber % 5)::bigint as score from lineitem where l_linenumber % 5 >= 3")
+def evidence_filter(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), (F.col("l_linenumber") % 5).alias("score"))
+    return rounded(quality.evidence_at_least(rows, "score", 3))
+
+
+@query("""with sc as (select s_suppkey::varchar as k, max(case when s_suppkey % 4 = 0 then null else s_acctbal end) as v from supplier where s_suppkey % 3 > 0 group by 1)
+select l_orderkey, l_linenumber::bigint as l_linenumber, round(v, 2) as score from lineitem left join sc on sc.k = l_suppkey::varchar""")
+def score_lookup(spark, d):
+    scores = table(spark, d, "supplier").where("s_suppkey % 3 > 0").select(F.concat(F.col("s_suppkey").cast("string")).alias("l_suppkey"), F.when(F.col("s_suppkey") % 4 == 0, " ").otherwise(F.format_string("%.2f", "s_acctbal")).alias("score"))
+    out = records.with_scores(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), scores, ["l_suppkey"], "score")
+    return rounded(out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "score"), 2)
+
+
+@query("""with q as (select o_custkey, o_orderstatus, count(*) filter (o_totalprice > 200000) as n_supported, count(*) filter (o_totalprice > 100000) as n_rows from orders group by 1, 2), m as (select c_custkey, c_nationkey as n_matched from customer where c_acctbal > 0)
+select o_custkey, o_orderstatus, n_matched::bigint as n_matched, n_supported from q join m on c_custkey = o_custkey where o_orderstatus in ('F', 'O') and not (n_supported = 0 and n_rows = 0)""")
+def coverage_certainty(spark, d):
+    found = table(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count_if(F.col("o_totalprice") > 200000).alias("n_supported"), F.count_if(F.col("o_totalprice") > 100000).alias("n_rows"))
+    matched = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("n_matched"))
+    out = records.coverage_certainty(found, matched.join(found.select("o_custkey", "o_orderstatus").distinct(), "o_custkey"), ["o_custkey", "o_orderstatus"], ["F", "O"], "o_orderstatus")
+    return rounded(out)
+
+
+@query("""select p_brand, p_type, array_to_string(list(p_size order by p_size), ',') as "values" from part where p_brand in ('Brand#1', 'Brand#2', 'Brand#13') and p_type in ('SMALL', 'PROMO') and not ends_with(p_brand, '3') and p_size > 10 group by 1, 2""")
+def regime_lists(spark, d):
+    rows = table(spark, d, "part").withColumn("v", F.when(F.col("p_size") > 10, F.col("p_size")))
+    out = records.regimes(rows, "p_brand", "p_type", "v", ["Brand#1", "Brand#2", "Brand#13"], ["SMALL", "PROMO"], ("3",))
+    return out.select("p_brand", "p_type", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("values"))
+
+
+@query("""select p_partkey, case p_type when 'SMALL' then 'C1' when 'PROMO' then 'C2' else '' end as code, case p_type when 'SMALL' then 'Small ones' when 'PROMO' then 'Promoted' else '' end as label, case p_type when 'SMALL' then 'rail' else '' end as carrier from part""")
+def classification(spark, d):
+    classes = spark.createDataFrame([("SMALL", "C1", "Small ones", "rail"), ("PROMO", "C2", "Promoted", None)], "p_type string, code string, label string, carrier string")
+    return records.classified(table(spark, d, "part").select("p_partkey", "p_type"), classes, "p_type").select("p_partkey", "code", "label", "carrier")
+
+
+@query("""select doc_id, 1::bigint as row_no, 'https://a.org/' || doc_id::varchar as url from documents union all select doc_id, 2, 'http://b.org/x' from documents union all select doc_id, 3, null from documents""")
+def source_urls(spark, d):
+    from quorumlake.operators import extract, provenance
+
+    ident = F.col("doc_id").cast("string")
+    head = "| Name | Fuel | Status | COD | Province | MW | Source 1 | Source 2 |\n|--|--|--|--|--|--|--|--|\n"
+    text = F.concat(F.lit("| a | b | c |\n| 1 | 2 | 3 |\n\n" + head + "| A | c | o | 1 | p | 5 | [1] | |\n| B | c | o | 1 | p | 5 | see http://b.org/x) | |\n| C | c | o | 1 | p | 5 | [9] | |\n\n## Annotated bibliography\n**[1]** Title. URL: `https://a.org/"), ident, F.lit("`\n[2] no url\n"))
+    docs = table(spark, d, "documents").select("doc_id", text.alias("t"))
+    rows = provenance.source_tables(extract.pipe_table_rows(docs, "doc_id", "t"), "doc_id").withColumn("cell", F.get("cells", F.lit(6)))
+    return provenance.source_urls(rows, "doc_id", "cell", provenance.coded_bibliography(docs, "doc_id", "t")).select("doc_id", F.col("row_no").cast("long").alias("row_no"), "url")
