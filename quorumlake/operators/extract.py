@@ -74,13 +74,6 @@ def merged_tables(rows: DataFrame, key: str) -> DataFrame:
     return body.join(best, [key, "head"])
 
 
-def fragments(tables: DataFrame, key: str, at: str = "line_no", width: str = "width") -> DataFrame:
-    """Adds ``cluster`` to a text's tables: tables of one width at most FRAGMENT_GAP lines after the one before."""
-    w = Window.partitionBy(key, width).orderBy(at)
-    far = F.coalesce(F.col(at) - F.lag(at).over(w) > FRAGMENT_GAP, F.lit(True))
-    return tables.withColumn("_far", far.cast("int")).withColumn("cluster", F.sum("_far").over(w)).drop("_far")
-
-
 def delimiter(block: Column) -> Column:
     """The most frequent of , ; tab and | (in that order on ties), or what a ``sep=`` line says."""
     hint = F.regexp_extract(block, r"^\s*sep=(.)", 1)
