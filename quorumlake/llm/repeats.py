@@ -36,17 +36,19 @@ BLOCK = 8
 #: strings; the two last have BITS each.
 BITS = 7
 LOW = (1 << BITS) - 1
-TUPLES = "a long, b long, doc_id long, sub long, place long, known boolean"
+#: a: what strings share; b, c: two hashes of the context, on bases of their own.
+TUPLES = "a long, b long, c long, doc_id long, sub long, place long, known boolean"
 
 
 def anchor_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, start, distance, further, gram hash, context hash) of each run of strings with the same anchor, in order."""
+    """(text, start, distance, further, gram hash, two context hashes) of each run of strings with the same anchor, in
+    order."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     n = len(data)
     if n < length:
-        return tuple(np.zeros(0, t) for t in (*[np.int64] * 4, *[np.uint64] * 2))
+        return tuple(np.zeros(0, t) for t in (*[np.int64] * 4, *[np.uint64] * 3))
     total = _first.sums(data)
     at = np.arange(n - gram + 1)
     bits = np.uint64(max(20, int(n).bit_length()))
@@ -65,7 +67,7 @@ def anchor_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> t
     np.add.at(inside, (ends - length + 1)[some], -1)
     start = np.flatnonzero(np.cumsum(inside[: len(anchor)]) > 0)
     if not len(start):
-        return tuple(np.zeros(0, t) for t in (*[np.int64] * 4, *[np.uint64] * 2))
+        return tuple(np.zeros(0, t) for t in (*[np.int64] * 4, *[np.uint64] * 3))
     anchor = anchor[start]
     opens = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)]))
     p0 = start[opens]
@@ -73,8 +75,9 @@ def anchor_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> t
     anchor = anchor[opens]
     text = np.searchsorted(ends, p0, side="right")
     g = _first.hashes(total, anchor, anchor + gram)
-    context = mix64(_first.hashes(total, p0, p1 + length) ^ mix64((anchor - p0).astype(np.uint64) * np.uint64(1 << 20) + (p1 - p0).astype(np.uint64)))
-    return text, p0 - (ends - sizes)[text], anchor - p0, p1 - p0, g, context
+    shape = mix64((anchor - p0).astype(np.uint64) * np.uint64(1 << 20) + (p1 - p0).astype(np.uint64))
+    contexts = (mix64(powers.hashes(sums, p0, p1 + length) ^ shape) for powers, sums in ((_first, total), (_second, _second.sums(data))))
+    return text, p0 - (ends - sizes)[text], anchor - p0, p1 - p0, g, *contexts
 
 
 def packed(start: np.ndarray, distance: np.ndarray, further: np.ndarray) -> np.ndarray:
@@ -91,8 +94,8 @@ def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return of, np.arange(len(of)) - (np.cumsum(count) - count)[of] + first[of]
 
 
-def blocks(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(what its strings share, context, place) of the blocks of runs. A block holds the strings of distances
+def blocks(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(what its strings share, two context hashes, place) of the blocks of runs. A block holds the strings of distances
     BLOCK j to BLOCK j + BLOCK - 1 to the anchor, as far as the run has them."""
     start, distance, further = unpacked(place)
     anchor, nearest = start + distance, distance - further
@@ -100,56 +103,58 @@ def blocks(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     anchor, far, near = anchor[of], np.minimum(distance[of], BLOCK * j + BLOCK - 1), np.maximum(nearest[of], BLOCK * j)
     total = _first.sums(data)
     core = mix64(_first.hashes(total, anchor - BLOCK * j, anchor - BLOCK * j - (BLOCK - 1) + LENGTH) ^ j.astype(np.uint64))
-    context = mix64(_first.hashes(total, anchor - far, anchor - near + LENGTH) ^ mix64((far * BLOCK * LENGTH + near).astype(np.uint64)))
-    return core, context, packed(anchor - far, far, far - near)
+    shape = mix64((far * BLOCK * LENGTH + near).astype(np.uint64))
+    contexts = (mix64(powers.hashes(sums, anchor - far, anchor - near + LENGTH) ^ shape) for powers, sums in ((_first, total), (_second, _second.sums(data))))
+    return core, *contexts, packed(anchor - far, far, far - near)
 
 
-def strings(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, second hash, place) of each string of runs."""
+def strings(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, second hash, 0, place) of each string of runs."""
     start, _, further = unpacked(place)
     _, p = _spread(start, further + 1)
-    return _first.hashes(_first.sums(data), p, p + LENGTH), _second.hashes(_second.sums(data), p, p + LENGTH), packed(p, 0 * p, 0 * p)
+    return _first.hashes(_first.sums(data), p, p + LENGTH), _second.hashes(_second.sums(data), p, p + LENGTH), np.zeros(len(p), np.uint64), packed(p, 0 * p, 0 * p)
 
 
-def _tuples(a: np.ndarray, b: np.ndarray, doc: np.ndarray, sub: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """A batch of tuples; of those with equal (a, b) all but the first are known to repeat, and are dealt by place."""
-    order = np.lexsort((place, sub, doc, b, a))
-    a, b, doc, sub, place = a[order], b[order], doc[order], sub[order], place[order]
-    known = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])]) if len(a) else np.zeros(0, bool)
-    same = np.concatenate([[False], known[1:] & (doc[1:] == doc[:-1]) & (sub[1:] == sub[:-1]) & (place[1:] == place[:-1])]) if len(a) else known
+def _tuples(a: np.ndarray, b: np.ndarray, c: np.ndarray, doc: np.ndarray, sub: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """A batch of tuples; of those with equal (a, b, c) all but the first are known to repeat, and are dealt by place."""
+    order = np.lexsort((place, sub, doc, c, b, a))
+    a, b, c, doc, sub, place = (x[order] for x in (a, b, c, doc, sub, place))
+    alike = lambda *columns: np.concatenate([np.zeros(min(1, len(a)), bool), np.logical_and.reduce([x[1:] == x[:-1] for x in columns])])
+    known = alike(a, b, c)
+    same = known & alike(doc, sub, place)
     a = np.where(known, mix64((doc ^ sub).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ place.astype(np.uint64)), a)
     keep = ~same
-    columns = [x[keep] for x in (a.view(np.int64), b.view(np.int64), doc, sub, place, known)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "doc_id", "sub", "place", "known"])
+    columns = [x[keep] for x in (a.view(np.int64), b.view(np.int64), c.view(np.int64), doc, sub, place, known)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "c", "doc_id", "sub", "place", "known"])
 
 
 def _anchor_tuples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
         ids, subs = batch.column("doc_id").to_numpy(), batch.column("sub").to_numpy()
-        found = [[], [], [], [], []]
+        found = [[] for _ in range(6)]
         for i, j in text_chunks(texts):
-            text, start, distance, further, g, context = anchor_runs(texts[i:j])
-            for column, x in zip(found, (g, context, ids[text + i], subs[text + i], packed(start, distance, further)), strict=True):
+            text, start, distance, further, g, context, other = anchor_runs(texts[i:j])
+            for column, x in zip(found, (g, context, other, ids[text + i], subs[text + i], packed(start, distance, further)), strict=True):
                 column.append(x)
         if found[0]:
             yield _tuples(*(np.concatenate(x) for x in found))
 
 
 def _judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From tuples sorted by (a, b, doc_id, sub, place): (doc_id, sub, place, open): those that repeat an earlier one (open
+    """From tuples sorted by (a, b, c, doc_id, sub, place): (doc_id, sub, place, open): those that repeat an earlier one (open
     false), and the first ones of contexts whose gram has others (open true). Held back is the last context's first
     tuple, while its gram has no other."""
-    last = None  # a, b, doc_id, sub, place, told
+    last = None  # a, b, c, doc_id, sub, place, told
     for batch in batches:
-        a, b, doc, sub, place = (batch.column(c).to_numpy() for c in ("a", "b", "doc_id", "sub", "place"))
+        a, b, c, doc, sub, place = (batch.column(name).to_numpy() for name in ("a", "b", "c", "doc_id", "sub", "place"))
         known = batch.column("known").to_numpy(zero_copy_only=False)
         out = [(doc[known], sub[known], place[known], np.zeros(int(known.sum()), bool))]
-        a, b, doc, sub, place = a[~known], b[~known], doc[~known], sub[~known], place[~known]
+        a, b, c, doc, sub, place = (x[~known] for x in (a, b, c, doc, sub, place))
         if len(a):
             if last is not None:
-                a, b, doc, sub, place = (np.concatenate([[x], y]) for x, y in zip(last[:5], (a, b, doc, sub, place), strict=True))
-            same_a, same_b = a[1:] == a[:-1], b[1:] == b[:-1]
+                a, b, c, doc, sub, place = (np.concatenate([[x], y]) for x, y in zip(last[:6], (a, b, c, doc, sub, place), strict=True))
+            same_a, same_b = a[1:] == a[:-1], (b[1:] == b[:-1]) & (c[1:] == c[:-1])
             new_b = np.concatenate([[True], ~(same_a & same_b)])
             # tuples that are held by the carried one twice (identical rows) count once
             twin = np.concatenate([[False], same_a & same_b & (doc[1:] == doc[:-1]) & (sub[1:] == sub[:-1]) & (place[1:] == place[:-1])])
@@ -158,20 +163,20 @@ def _judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(new_b)
             of = np.cumsum(np.concatenate([[0], (a[first][1:] != a[first][:-1]).astype(np.int64)]))
             several = np.bincount(of)[of] > 1
-            if carried and last[5]:
+            if carried and last[6]:
                 several |= of == 0
             tell = several.copy()
-            if carried and last[5]:
+            if carried and last[6]:
                 tell[0] = False
             out.append((doc[repeats], sub[repeats], place[repeats], np.zeros(int(repeats.sum()), bool)))
             out.append((doc[first][tell], sub[first][tell], place[first][tell], np.ones(int(tell.sum()), bool)))
             k = first[-1]
-            last = (a[k], b[k], doc[k], sub[k], place[k], bool(several[-1]))
+            last = (a[k], b[k], c[k], doc[k], sub[k], place[k], bool(several[-1]))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc_id", "sub", "place", "open"])
 
 
 def _sorted(tuples: DataFrame, label: str) -> DataFrame:
-    rows = tuples.repartition(shuffle_partitions(tuples.sparkSession), "a").sortWithinPartitions("a", "b", "doc_id", "sub", "place")
+    rows = tuples.repartition(shuffle_partitions(tuples.sparkSession), "a").sortWithinPartitions("a", "b", "c", "doc_id", "sub", "place")
     return written(rows.mapInArrow(_judged, "doc_id long, sub long, place long, open boolean"), label)
 
 
@@ -181,18 +186,18 @@ def _induced(kind):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, subs, texts, places = batch.column("doc_id").to_numpy(), batch.column("sub").to_numpy(), batch.column("text"), batch.column("places")
-            found, held = [[], [], [], [], []], 0
+            found, held = [[] for _ in range(6)], 0
             for k in range(batch.num_rows):
                 data = np.frombuffer((texts[k].as_py() or "").encode(), np.uint8)
                 place = np.array(places[k].as_py(), np.int64)
                 start, _, further = unpacked(place)
-                a, b, at = kind(data, place[start + further + LENGTH <= len(data)])
-                for column, x in zip(found, (a, b, np.full(len(a), ids[k]), np.full(len(a), subs[k]), at), strict=True):
+                a, b, c, at = kind(data, place[start + further + LENGTH <= len(data)])
+                for column, x in zip(found, (a, b, c, np.full(len(a), ids[k]), np.full(len(a), subs[k]), at), strict=True):
                     column.append(x)
                 held += len(a)
                 if held > 1 << 19:
                     yield _tuples(*(np.concatenate(x) for x in found))
-                    found, held = [[], [], [], [], []], 0
+                    found, held = [[] for _ in range(6)], 0
             if held:
                 yield _tuples(*(np.concatenate(x) for x in found))
 
@@ -274,6 +279,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row; see ``without_repeats``. A text is hashed
+    whole, at some 60 bytes of memory a byte; other columns are not read."""
     return without_repeats(documents(spark, sf_dir))
 
 
