@@ -54,6 +54,13 @@ def counted(df: DataFrame, label: str, **totals: Column) -> tuple[DataFrame, dic
     return out, seen.get
 
 
+def spare(columns: list[str], stem: str) -> str:
+    """``stem``, with underscores added until no name of ``columns`` begins with it: for columns beside a user's own."""
+    while any(c.lower().startswith(stem.lower()) for c in columns):
+        stem += "_"
+    return stem
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

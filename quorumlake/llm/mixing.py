@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import documents, partition_keys, shuffle_partitions, written
+from quorumlake.llm.common import documents, partition_keys, shuffle_partitions, spare, written
 
 #: ``[^\x20\x09-\x0D]+`` as Java reads it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -151,18 +151,19 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tu
     """
     took, rows, _ = laps(docs, block_words, weights, max_epochs)
     named = rows.select("doc_id", "name", "source", "size", "tape_from").withColumnRenamed("source", "s2").withColumnRenamed("tape_from", "t2")
+    own, ident, name, source, slot, part = (spare(docs.columns, "_mix") + c for c in ("own", "id", "name", "source", "slot", "part"))
     copies = took.join(named, F.col("source").eqNullSafe(F.col("s2")) & (F.col("tape_from") == F.col("t2"))).where("2 * words >= size")
-    copies = written(copies.select(F.col("doc_id").alias("_mix_id"), F.col("name").alias("_mix_name2"), F.col("s2").alias("_mix_source"), F.col("slot").alias("_mix_slot")), "copies")
-    several = written(rows.where("size > 0").groupBy("name").agg(F.count(F.lit(1)).alias("_mix_n")).where("_mix_n > 1").select(F.col("name").alias("_mix_name")).coalesce(1), "several")
-    texts = docs.withColumn("_mix_name", row_name())
+    copies = written(copies.select(F.col("doc_id").alias(ident), F.col("name").alias(name), F.col("s2").alias(source), F.col("slot").alias(slot)), "copies")
+    several = written(rows.where("size > 0").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("name").alias(own)).coalesce(1), "several")
+    texts = docs.withColumn(own, row_name())
     if not several.isEmpty():
-        twins = texts.join(several, "_mix_name", "left_semi").dropDuplicates(["doc_id", "text", "source"])
-        texts = texts.join(several, "_mix_name", "left_anti").select(*texts.columns).union(twins.select(*texts.columns))
-    found = texts.join(copies, (F.col("_mix_name") == F.col("_mix_name2")) & F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")))
-    last = copies.agg(F.max("_mix_slot")).first()[0] or 0
+        twins = texts.join(several, own, "left_semi").dropDuplicates(["doc_id", "text", "source"])
+        texts = texts.join(several, own, "left_anti").select(*texts.columns).union(twins.select(*texts.columns))
+    found = texts.join(copies, (F.col(own) == F.col(name)) & F.col("doc_id").eqNullSafe(F.col(ident)) & F.col("source").eqNullSafe(F.col(source)))
+    last = copies.agg(F.max(slot)).first()[0] or 0
     n = shuffle_partitions(docs.sparkSession)
-    part = F.element_at(F.array(*map(F.lit, partition_keys(docs.sparkSession, n))).cast("array<bigint>"), F.floor(F.col("_mix_slot") * n / (last + 1)).cast("int") + 1)
-    return found.withColumn("_mix_part", part).repartition(n, "_mix_part").sortWithinPartitions("_mix_slot", "_mix_name").select(*[docs[c] for c in docs.columns])
+    key = F.element_at(F.array(*map(F.lit, partition_keys(docs.sparkSession, n))).cast("array<bigint>"), F.floor(F.col(slot) * n / (last + 1)).cast("int") + 1)
+    return found.withColumn(part, key).repartition(n, part).sortWithinPartitions(slot, name).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import documents, written
+from quorumlake.llm.common import documents, spare, written
 from quorumlake.llm.spans import SPAN_TYPE, quoted, spans
 
 #: Base kinds in their order, as Java patterns. Possessive loops match what the plain ones match here (what follows a
@@ -60,14 +60,6 @@ def _valid(kind: str, v: str) -> str:
     return f"length({_digits(v)}) between 9 and 15" if kind == "phone" else "true"
 
 
-def _prefix(columns: list[str]) -> str:
-    """What no name of ``columns`` begins with."""
-    mark = "_"
-    while any(c.startswith(mark) for c in columns):
-        mark += "_"
-    return mark
-
-
 def _search(df: DataFrame, text: str, kinds: dict[str, str], mark: str) -> DataFrame:
     """Adds <mark><kind>, the kind's spans."""
     for kind, pattern in kinds.items():
@@ -179,7 +171,7 @@ def find(docs: DataFrame, weights: list[float] | None, text: str = "text") -> Da
     """Adds n_email, n_ip, n_card, n_phone, base_spans and all_spans (arrays of (start, rank, kind, stop), by start and
     then kind) to ``docs``; columns of these names give way, all others stay. Spans that the method adds overlap no base
     span. A null or empty text has no spans."""
-    names, mark = [*BASE, *MORE], _prefix(docs.columns)
+    names, mark = [*BASE, *MORE], spare(docs.columns, "_")
     own = ["base_spans", *(f"n_{k}" for k in BASE), "all_spans"]
     df = base_spans(docs, text, mark)
     shape = lambda kind: f"transform({mark}{kind}, x -> named_struct('start', x.start, 'rank', {names.index(kind)}, 'kind', '{kind}', 'stop', x.stop))"

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import documents
+from quorumlake.llm.common import documents, spare
 from quorumlake.llm.spans import quoted, spans
 
 #: Names of settings whose values are secrets.
@@ -145,10 +145,11 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, threshold: f
     The secrets of a doc_id are gathered (distinct values of its documents only), longest first; rows of equal doc_id
     share them.
     """
-    found = scan(docs, model, text).where(F.col("score") >= threshold).groupBy(F.col("doc_id").alias("_found_id")).agg(F.collect_set("value").alias("_found"))
-    found = found.withColumn("_found", F.expr("array_sort(_found, (a, b) -> case when length(a) > length(b) then -1 when length(a) < length(b) then 1 when a < b then -1 else 1 end)"))
-    out = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_found_id")), "left")
-    clean = F.expr(f"case when _found is null then {text} else aggregate(_found, {text}, (t, s) -> replace(t, s, '[SECRET]')) end")
+    key, values = (spare(docs.columns, "_found") + c for c in ("id", "values"))
+    found = scan(docs, model, text).where(F.col("score") >= threshold).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("value").alias(values))
+    found = found.withColumn(values, F.expr(f"array_sort({values}, (a, b) -> case when length(a) > length(b) then -1 when length(a) < length(b) then 1 when a < b then -1 else 1 end)"))
+    out = docs.join(found, docs["doc_id"].eqNullSafe(found[key]), "left")
+    clean = F.when(found[values].isNull(), docs[text]).otherwise(F.reduce(found[values], docs[text], lambda t, v: F.replace(t, v, F.lit("[SECRET]"))))
     return out.select(*[clean.alias(c) if c == text else docs[c] for c in docs.columns])
 
 

@@ -372,6 +372,23 @@ def test_pipeline(spark):
     assert docs.where("size(token_ids) <> n_tokens").count() == 0
 
 
+def test_pipeline_keeps_clashing_columns(spark):
+    import corpus_pipeline
+    from quorumlake.llm.common import written
+
+    names = ["score", "lang_pred", "set_id", "_found", "_foundid", "_mixname", "_mixslot", "name", "size", "slot", "taken", "component", "_text", "features", "value"]
+    text = "the house and the dog of the man were seen by the river, token = \"1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae\" here "
+    rows = [(k, text + f"{k} " * 40, "en", "s", 1, *(f"{n}{k}" for n in names)) for k in range(4)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'{n} string' for n in names)}")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SAMPLE), name)
+        assert docs.columns[: len(columns)] == columns
+    got = docs.collect()
+    assert {r["doc_id"] for r in got} == {0, 1, 2, 3} and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+    assert all("[SECRET]" in r["text"] and "1beb58" not in r["text"] for r in got)
+
+
 def test_pipeline_of_odd_rows(spark):
     import corpus_pipeline
     from quorumlake.llm.common import written
