@@ -6,42 +6,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.llm import bpe, jaccard_join, language_id, mixing, secrets
-from quorumlake.llm.common import documents, written
+from quorumlake.llm.common import documents, spare, written
 
 #: Documents whose text no language's n-grams cover to this share are rejected, as are those without letters.
 LEAST_SCORE = 0.2
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language; a null lang becomes the predicted one. The filters are fitted on ``docs``;
-    if none of them has a lang, nothing can be told and all documents with letters stay."""
+    """Rejects documents without a language, null and empty texts among them; a null lang becomes the predicted one. The
+    filters are fitted on ``docs``; if none of them has a lang, nothing can be told and all documents with letters stay.
+    Repeated rows are told apart from each other by nothing and stay or go together; other columns stay as they are."""
     model = language_id.fit(docs)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    told = language_id.predict(docs.select(*kept), model)
     if not model.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    mark = spare(docs.columns, "_kept")
+    own = {c: f"{mark}{c}" for c in docs.columns if c in ("lang_pred", "score")}
+    told = language_id.predict(docs.withColumnsRenamed(own), model)
     told = told.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return told.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in kept])
+    return told.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id (of rows with that doc_id,
+    any one). Rows without a doc_id all stay, as do texts without words; columns stay as they are."""
     return jaccard_join.one_of_each(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets become ``[SECRET]`` and n_chars follows; every document stays."""
+    """Secrets become ``[SECRET]`` and n_chars follows; every document stays, null and empty texts as they are. Rows of one
+    doc_id (null is one) share their secrets."""
     clean = secrets.redact(docs, secrets.fit(secrets.labelled_findings(spark)))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, in the order of its schedule. Texts without words go; rows that are equal
+    in id, text and source stand for each other; a null source is a source of its own."""
     return mixing.mixed_documents(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds token_ids and n_tokens."""
+    """Adds token_ids and n_tokens (none and 0 for a null or empty text); columns of these names give way."""
     tokens = bpe.multi_encoder(docs).ids(docs, "token_ids")
     return tokens.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
