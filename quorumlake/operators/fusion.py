@@ -153,7 +153,7 @@ def _step(models: int, trust: dict[tuple, tuple[np.ndarray, np.ndarray]], n_runs
             of = np.array([x == g for x in groups])
             for_, against = np.log(sens) - np.log(1 - spec), np.log(1 - sens) - np.log(spec)
             odds[of] += votes[of] @ for_ + (n_runs - votes[of]) @ against
-        return 1 / (1 + np.exp(-odds)), votes, groups
+        return 1 / (1 + np.exp(-np.clip(odds, -700, 700))), votes, groups
 
     def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,11 +214,13 @@ def latent_truth(assertions: DataFrame, entities: DataFrame, runs: DataFrame, ro
         used, held = trust, dict.fromkeys(trust, 0.0)
         for r in patterns.mapInArrow(_step(models, trust, n_runs, False), "stratum string, anchored boolean, total array<double>").collect():
             held[r["stratum"], r["anchored"]] = held[r["stratum"], r["anchored"]] + np.array(r["total"])
-        trust = {}
+        before, trust = trust, {}
         for g, x in held.items():
             yes, no = x[:models], x[models : 2 * models]
             clip = lambda a, b: np.clip(a / np.maximum(b, 1e-9), LOW, HIGH)
             trust[g] = clip(yes, x[-2] * n_runs), clip(x[-1] * n_runs - no, x[-1] * n_runs)
+        if all(np.array_equal(trust[g][k], before[g][k]) for g in trust for k in (0, 1)):
+            break  # further rounds would repeat this one
     existence = written(patterns.mapInArrow(_step(models, used, n_runs, True), "pattern long, q double"), "existence")
     patterns.unpersist()
     # a group without entities keeps the start

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.functions import text as tx
 from quorumlake.operators import extract
+from quorumlake.sources.tables import written
 
 #: A candidate is (key, order, kind, block): its text as delimited lines, best score first, the first of equals.
 KINDS = ("fenced", "pipe", "merged", "fragments", "inline")
@@ -124,7 +125,7 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     where there is none of these, the part of the text that looks delimited. Null texts have none."""
     out = lambda df, kind: df.select(key, F.lit(kind).alias("kind"), F.col("nr").cast("long").alias("nr"), "block")
     fenced = out(docs.select(key, F.posexplode(extract.fenced_blocks(F.col(text))).alias("nr", "block")), "fenced")
-    rows = extract.pipe_table_rows(docs, key, text)
+    rows = written(extract.pipe_table_rows(docs, key, text), "pipe-rows")  # three kinds of candidates read them
     pipe = out(_block(rows, [key, "table_no"], "line_no").withColumnRenamed("table_no", "nr"), "pipe")
     merged = extract.merged_tables(rows, key)
     head = merged.groupBy(key, "head").agg((F.min("line_no") - 1).alias("line_no")).select(key, "line_no", F.split("head", "\u001f").alias("cells"))
@@ -156,7 +157,7 @@ def canonical_rows(blocks: DataFrame, key: str) -> DataFrame:
 def ingested(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(canonical rows, (key, kind, n_rows, error)): each text's best inventory, its number of rows, and what is wrong
     where it has none (one of ERRORS)."""
-    best = best_block(candidates(docs, key, text), key)
+    best = written(best_block(candidates(docs, key, text), key), "best-blocks")
     rows = canonical_rows(best, key)
     shape = best.select(key, "kind", parsed(F.col("block")).alias("_rows"))
     named = F.array_contains(F.transform(F.element_at("_rows", 1), tx.canonical_header), "name")
