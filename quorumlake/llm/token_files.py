@@ -6,6 +6,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -79,9 +80,16 @@ class _Words(dict):
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """The words of a text, between ASCII white space; plain ASCII texts in lower case, so that fewer words differ."""
-    data = (text or "").encode()
-    return (data.lower() if data.isascii() and SPECIAL not in data else data).split()
+    """The words of a text, between ASCII white space. A-Z come in lower case, so that fewer words differ, wherever that
+    changes no id: in texts that may hold no special token and are composed (NFC) either way."""
+    text = text or ""
+    data = text.encode()
+    if SPECIAL in data:
+        return data.split()
+    low = data.lower()
+    if text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low.decode()):
+        return low.split()
+    return data.split()
 
 
 def encoder(path: str, end_id: int | None = END_ID):
