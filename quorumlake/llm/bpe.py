@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumlake.llm.common import documents, release, written
+from quorumlake.llm.common import documents, dropped, release, written
 
 FREQUENT_SHARE = 2.0**-18
 #: Longest word, in bytes, that is folded or kept in a task's cache, and words of that cache.
@@ -230,7 +230,9 @@ class Encoder:
 
     def __init__(self, docs: DataFrame, path: str, pattern: str, text: str = "text"):
         self.ranks, self.pattern, self.text = load_ranks(path), split_pattern(pattern), text
-        folded = encode_words(frequent_words(docs, pattern, text=text), self.ranks).toPandas()
+        words = frequent_words(docs, pattern, text=text)
+        folded = encode_words(words, self.ranks).toPandas()
+        dropped(words)
         shared = dict(zip(folded["word"], map(list, folded["ids"]), strict=True))
         release(docs.sparkSession)  # the plan that held the literal
         self.classes = unicode_classes()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumlake.llm.common import documents, mix64, text_chunks, written
+from quorumlake.llm.common import documents, dropped, mix64, text_chunks, written
 
 #: Bytes of an n-gram; hashes of it; log2 of the filter's slots.
 GRAM, HASHES, SLOT_BITS = 4, 3, 18
@@ -131,6 +131,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, min_share:
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     least = F.create_map(*[x for k, n in sorted(totals.items()) for x in (F.lit(k), F.lit(n * min_share))]) if totals else F.create_map(F.lit(""), F.lit(0.0))
     kept = counts.where(F.col("n") >= F.element_at(least, F.col("lang"))).select("lang", "gram").toPandas()
+    dropped(counts)
     languages = sorted(sizes)
     return LanguageFilters.build(languages, [kept["gram"][kept["lang"] == x].to_numpy(dtype=np.uint32) for x in languages])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import documents, partition_keys, shuffle_partitions, spare, written
+from quorumlake.llm.common import documents, dropped, partition_keys, shuffle_partitions, spare, written
 
 #: ``[^\x20\x09-\x0D]+`` as Java reads it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -118,6 +118,7 @@ def laps(docs: DataFrame, block_words: int, weights: tuple[float, ...], max_epoc
     cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / block_words).cast("long"), F.floor((F.col(b) - 1) / block_words).cast("long")))
     piece = piece.withColumn("cell", cells("p0", "p1")).withColumnRenamed("source", "s2").withColumnRenamed("cell", "c2")
     rows = written(tape(sized.where("size > 0")).union(sized.where("size = 0").withColumn("tape_from", F.lit(None).cast("long"))), "tape")
+    dropped(sized)
     on_tape = rows.where("tape_from is not null").withColumn("tape_to", F.col("tape_from") + F.col("size"))
     spread = on_tape.select("source", "tape_from", "tape_to", cells("tape_from", "tape_to").alias("cell"))
     met = spread.join(piece, F.col("source").eqNullSafe(F.col("s2")) & (F.col("cell") == F.col("c2")))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import documents, spare, written
+from quorumlake.llm.common import documents, dropped, spare, written
 from quorumlake.llm.spans import SPAN_TYPE, quoted, spans
 
 #: Base kinds in their order, as Java patterns. Possessive loops match what the plain ones match here (what follows a
@@ -164,6 +164,7 @@ def fit(docs: DataFrame, text: str = "text") -> list[float] | None:
     p = 1 / (1 + F.exp(-true))
     both = rows.select(array_to_vector("features").alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (p * F.col("n")).alias("weight")), F.struct(F.lit(0.0).alias("label"), ((1 - p) * F.col("n")).alias("weight")))).alias("y")).select("features", "y.*")
     model = LogisticRegression(weightCol="weight", regParam=0.01, maxIter=50).fit(both)
+    dropped(rows)
     return [float(model.intercept), *(float(x) for x in model.coefficients)]
 
 
