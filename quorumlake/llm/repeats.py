@@ -36,8 +36,8 @@ BLOCK = 8
 #: strings; the two last have BITS each.
 BITS = 7
 LOW = (1 << BITS) - 1
-#: a: what strings share; b, c: two hashes of the context, on bases of their own.
-TUPLES = "a long, b long, c long, doc_id long, sub long, place long, known boolean"
+#: a: what strings share; b, c: hashes of the context, of 64 and 32 bits, on bases of their own (0 where known).
+TUPLES = "a long, b long, c int, doc_id long, sub long, place long, known boolean"
 
 
 def anchor_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -117,6 +117,7 @@ def strings(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _tuples(a: np.ndarray, b: np.ndarray, c: np.ndarray, doc: np.ndarray, sub: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """A batch of tuples; of those with equal (a, b, c) all but the first are known to repeat, and are dealt by place."""
+    c = c & np.uint64(0xFFFFFFFF)
     order = np.lexsort((place, sub, doc, c, b, a))
     a, b, c, doc, sub, place = (x[order] for x in (a, b, c, doc, sub, place))
     alike = lambda *columns: np.concatenate([np.zeros(min(1, len(a)), bool), np.logical_and.reduce([x[1:] == x[:-1] for x in columns])])
@@ -124,7 +125,8 @@ def _tuples(a: np.ndarray, b: np.ndarray, c: np.ndarray, doc: np.ndarray, sub: n
     same = known & alike(doc, sub, place)
     a = np.where(known, mix64((doc ^ sub).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ place.astype(np.uint64)), a)
     keep = ~same
-    columns = [x[keep] for x in (a.view(np.int64), b.view(np.int64), c.view(np.int64), doc, sub, place, known)]
+    b, c = (np.where(known, np.uint64(0), x) for x in (b, c))
+    columns = [x[keep] for x in (a.view(np.int64), b.view(np.int64), c.astype(np.uint32).view(np.int32), doc, sub, place, known)]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "c", "doc_id", "sub", "place", "known"])
 
 
@@ -257,6 +259,7 @@ def repeated_places(docs: DataFrame) -> DataFrame:
         release(spark)
         told.append(at)
         rows = rows.select("doc_id", "sub", "text")
+    dropped(rows)
     both = told[0].where("not open").union(told[1].where("not open")).union(told[2].where("not open"))
     places = written(gathered(both.select("doc_id", "sub", "place")), "places")
     release(spark)

@@ -54,6 +54,9 @@ def near_copies(seed, n):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rows = near_copies(seed, 240)
+    if seed == 2:  # very long texts, alike and not
+        long = random.Random(8).choices([f"v{k}" for k in range(5000)], k=150000)
+        rows += [(5000, " ".join(long)), (5001, " ".join([*long[:9000], "other", *long[9000:]])), (5002, " ".join(reversed(long)))]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, set_id string, component_id int").repartition(4)
     sets = {i: shingles(t) for i, t in rows}
 
@@ -117,6 +120,8 @@ def test_repeats(spark, seed):
     rows = [(0, None), (1, ""), (2, base), (3, base), (4, edits(base)), (5, "a" * 1000), (6, "ab" * 300), (7, base[30:131]), (8, base[30:129]), (9, base[100:300] + base[50:250]), (10, "a" * 99), (11, "a" * 100)]
     rows += [(20 + k, "".join(rng.choice("xyz") for _ in range(50)) + base[100 : 190 + k] + "".join(rng.choice("xyz") for _ in range(60))) for k in range(40)]
     rows += [(100 + k, edits(edits(base))) for k in range(40)]
+    long = "".join(rng.choice("abcdefgh é") for _ in range(150000))
+    rows += [(300, long), (301, "z" * 50 + long[20000:] + long[:300])]  # very long texts
     docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, place int").repartition(5)
     got = {r["doc_id"]: tuple(r)[1:] for r in repeats.without_repeats(docs).collect()}
     assert got == removed(rows)

@@ -394,8 +394,9 @@ def test_pipeline_of_odd_rows(spark):
     from quorumlake.llm.common import written
 
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "12 34", None, "s", 5), (4, "the cat sat on the mat and slept " * 3, "en", None, 9), (4, "the cat sat on the mat and slept " * 3, "en", None, 9)]
+    rows += [(6, "der hund und das haus von dem mann " * 20000, None, "s", 700000), (7, "the man and the dog of the house " * 20000 + "password=7602ad27cf5550de1c end", "en", "s", 660000)]  # very long texts
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for part in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             part = written(stage(spark, part, SAMPLE), name)
-        assert {r["doc_id"] for r in part.collect()} <= {4}
+        assert {r["doc_id"] for r in part.collect()} <= {4, 6, 7} and part.where("contains(text, '7602ad27cf5550de1c')").isEmpty()
