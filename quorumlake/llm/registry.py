@@ -17,11 +17,12 @@ from quorumlake.llm.repeats import OP5_SQL, op5_repeated_strings
 from quorumlake.llm.secrets import op4_secret_scan
 from quorumlake.llm.syncmers import op7_fingerprints
 from quorumlake.llm.token_files import op2_token_files
+from quorumlake.llm.toxicity import op12_toxicity
 from quorumlake.llm.whitening import op13_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_byte_bpe, op2_token_files, op3_language_id, op4_secret_scan, op5_repeated_strings, op6_jaccard_join, op7_fingerprints, op8_embedding_dedup, op9_pii, op10_mixing, op11_log_reassembly, op13_whitening)
+    found = (op1_byte_bpe, op2_token_files, op3_language_id, op4_secret_scan, op5_repeated_strings, op6_jaccard_join, op7_fingerprints, op8_embedding_dedup, op9_pii, op10_mixing, op11_log_reassembly, op12_toxicity, op13_whitening)
     return {f.__name__: f for f in found}
 
 
