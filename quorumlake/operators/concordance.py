@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.functions import text as tx
 from quorumlake.functions.similarity import similarity
-from quorumlake.operators.matching import bounded
+from quorumlake.operators.fuzzy_join import alike, holders
 
 # Thresholds, the least length of a word that counts as a mention, and words that say what kind of plant.
 VARIANT, LISTED, TITLE, LINE, MENTION = 88.0, 70.0, 60.0, 60.0, 6
@@ -21,9 +21,8 @@ def folded_name(name: Column) -> Column:
 
 
 def near(names: DataFrame, others: DataFrame, name: str, other: str, kind: str, least: float) -> DataFrame:
-    """The distinct names that are ``least`` alike or more to one of ``others``, a list that is counted."""
-    pairs = names.select(name).distinct().join(bounded(others.select(F.col(other).alias("_other")).distinct()))
-    return pairs.where(similarity(kind, F.col(name), F.col("_other")) >= least).select(name).distinct()
+    """The distinct names that are ``least`` alike or more to one of ``others``."""
+    return alike(names.select(name), others.select(F.col(other).alias("_other")), name, "_other", kind, least).select(name).distinct()
 
 
 def in_list(names: DataFrame, known: DataFrame, name: str, other: str, out: str, least: float = LISTED) -> DataFrame:
@@ -36,11 +35,12 @@ def in_list(names: DataFrame, known: DataFrame, name: str, other: str, out: str,
 
 def mentioned(names: DataFrame, texts: DataFrame, name: str, text: str, out: str) -> DataFrame:
     """Adds ``out``: whether a text holds the name, or one of its words of MENTION characters or more, in lower case.
-    ``names`` is a list that is counted; texts are read once."""
+    Texts are told apart by their own words; an empty name is in none."""
     asked = names.select(F.col(name).alias("_name")).distinct()
     parts = F.array_distinct(F.concat(F.array(F.lower("_name")), F.filter(F.split(F.lower("_name"), r"\s+"), lambda w: F.length(w) >= MENTION)))
-    rows = texts.select(F.lower(text).alias("_text")).join(bounded(asked.select("_name", F.explode(parts).alias("_part"))), F.contains("_text", F.col("_part")))
-    found = rows.select(F.col("_name").alias(name)).distinct().withColumn(out, F.lit(True))
+    asked = asked.select("_name", F.explode(parts).alias("_part"))
+    held = holders(texts.select(F.lower(text).alias("_text")).distinct().withColumn("_id", F.xxhash64("_text")), asked, "_id", "_text", "_part").select("_part").distinct()
+    found = asked.join(held, "_part").select(F.col("_name").alias(name)).distinct().withColumn(out, F.lit(True))
     return names.join(found, name, "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
@@ -92,7 +92,6 @@ def layer_counts(layers: DataFrame, flags: list[str]) -> DataFrame:
 def titles_by_reference(items: DataFrame, titles: DataFrame, title: str, like: str, least: float = TITLE) -> DataFrame:
     """Items whose title is ``least`` alike or more to a reference title, with the score and the first such title, best
     first."""
-    pairs = items.select(title).distinct().join(bounded(titles.select(F.col(like).alias("reference_title")).distinct()))
-    scored = pairs.withColumn("score", similarity("token_sort_ratio", F.col(title), F.col("reference_title"))).where(F.col("score") >= least)
+    scored = alike(items.select(title), titles.select(F.col(like).alias("reference_title")), title, "reference_title", "token_sort_ratio", least)
     best = scored.groupBy(title).agg(F.min(F.struct((-F.col("score")).alias("s"), "reference_title")).alias("_b")).select(title, (-F.col("_b.s")).alias("score"), "_b.reference_title")
     return items.join(best, title).orderBy(F.desc("score"), title)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions.text import canonical_header, host, in_domains, urls
-from quorumlake.operators.matching import bounded
+from quorumlake.operators.fuzzy_join import holders
 
 ATTRIBUTES = ("fuel", "status", "cod", "province", "capacity_mwe")
 HEADER_WORDS = ("name", "fuel", "status", "province", "capacity")
@@ -142,8 +142,8 @@ def contained(needles: DataFrame, texts: DataFrame, needle: str, text: str, need
 
     Both sides meet on words inside the needle (its first and last one may be parts of a text's words): on the first
     ``words`` of them, or for a needle of fewer on the longest one; the hits are then checked. A text's words are split
-    once and hashed as they stand. Needles of one or two words, which hold no whole word for certain, are a list that is
-    counted before it meets all texts. Null needles and texts hold nothing.
+    once and hashed as they stand. Needles of one or two words, which hold no whole word for certain, meet texts on
+    their first characters (``holders``). Null and empty needles are held by no text.
     """
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     # an array of one, so that the words are split once and not again for each of them
@@ -164,7 +164,7 @@ def contained(needles: DataFrame, texts: DataFrame, needle: str, text: str, need
         found = found.union(hits.where(F.contains("_text", F.col("_needle"))).select(needle_id, text_id))
     short = asked.where(F.col("_n") < 3)
     if not short.isEmpty():
-        found = found.union(rows.join(bounded(short.select(needle_id, "_needle")), F.contains("_text", F.col("_needle"))).select(needle_id, text_id))
+        found = found.union(holders(rows, short, text_id, "_text", "_needle").join(short.select(needle_id, "_needle"), "_needle").select(needle_id, text_id))
     return found.distinct()
 
 

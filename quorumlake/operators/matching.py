@@ -8,21 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions.similarity import similarity
+from quorumlake.operators.fuzzy_join import alike_within
 
-#: A list of more rows than this does not enter a theta join.
-REFERENCE_ROWS = 100_000
 # Costs and thresholds of the match.
 FUZZY, MISMATCH, UNMATCHED, CAPACITY_STEP, NAME_FUZZY, AMBIGUOUS_RATIO = 1.0, 1000.0, 10000.0, 0.001, 90.0, 90.0
 
 
-def bounded(df: DataFrame, rows: int = REFERENCE_ROWS) -> DataFrame:
-    """``df`` for a theta join, broadcast, once it is counted to have ``rows`` rows at most; an error beyond them, where a
-    product of two tables would be the only plan."""
-    if df.limit(rows + 1).count() > rows:
-        raise ValueError(f"a list of more than {rows} rows can't be compared with every row of another table; give it in parts, or block it by a key")
-    return F.broadcast(df)
-
-
 def assign(cost: np.ndarray) -> np.ndarray:
     """Column of each row of a matrix with no more rows than columns, of least total cost (shortest augmenting paths)."""
     n, m = cost.shape
@@ -235,27 +226,14 @@ def matched_attributes(matches: DataFrame, reference: DataFrame, system: DataFra
 
 def recognition_matrix(runs: DataFrame, reference: DataFrame, hits: DataFrame, run: str, entity: str) -> DataFrame:
     """Every run by every reference entity with whether it was hit: by definition a row for each pair of them."""
-    grid = runs.select(run).distinct().crossJoin(bounded(reference.select(entity).distinct()))
+    grid = runs.select(run).distinct().crossJoin(reference.select(entity).distinct())
     return grid.join(hits.select(run, entity).distinct().withColumn("hit", F.lit(True)), [run, entity], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, query: str, name: str, kind: str = "partial_ratio", least: float = 0.0) -> DataFrame:
-    """The best candidate of each distinct query text by ``kind``, the first by name on ties, from ``least`` on.
-    Distinct queries (a stated set) meet all of ``candidates``, a reference list; scoring is partitioned by query."""
-    pairs = queries.select(F.col(query).alias("_q")).distinct().crossJoin(bounded(candidates.select(F.col(name).alias("_c")).distinct()))
-    scored = pairs.withColumn("score", similarity(kind, F.col("_q"), F.col("_c"))).where(F.col("score") >= least)
-    best = scored.groupBy("_q").agg(F.max_by("_c", F.struct("score", F.lit(0))).alias("_any"), F.max("score").alias("score"))
-    first = scored.join(best.drop("_any"), ["_q", "score"]).groupBy("_q", "score").agg(F.min("_c").alias(name))
-    return first.withColumnRenamed("_q", query)
-
-
 def close_pairs(names: DataFrame, name: str, least: float) -> DataFrame:
-    """Distinct names a < b of partial ratio ``least`` or more, and whether their numbers veto the pair. Similarity of
-    substrings has no blocking key, so distinct names of a list (which is counted) meet all greater ones."""
-    distinct = names.select(F.col(name).alias("a")).distinct()
-    pairs = distinct.join(bounded(distinct.select(F.col("a").alias("b"))), F.col("a") < F.col("b"))
-    near = pairs.withColumn("score", similarity("partial_ratio", F.col("a"), F.col("b"))).where(F.col("score") >= least)
-    return with_veto(near, numbered_bases(distinct, [], "a"), [], "a", "b")
+    """Distinct names a < b of partial ratio ``least`` or more, and whether their numbers veto the pair."""
+    near = alike_within(names, name, "partial_ratio", least)
+    return with_veto(near, numbered_bases(names.select(F.col(name).alias("a")).distinct(), [], "a"), [], "a", "b")
 
 
 def resolve_by_key_or_only(runs: DataFrame, scores: DataFrame, exact: list[str], loose: str, value: str) -> DataFrame:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.functions.similarity import similarity
 from quorumlake.functions.text import MERGED_NAME
-from quorumlake.operators.matching import bounded
+from quorumlake.operators.fuzzy_join import alike
 
 CITATION_LEAST, LINE_LEAST = 70.0, 60.0
 HONEST = r"(?i)\b(?:not found|unverified|uncertain|estimated?|approximately|no source|could not (?:verify|confirm))\b"
@@ -62,11 +61,11 @@ def wiki_names(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def citation_files(citations: DataFrame, files: DataFrame, citation: str, file: str, least: float = CITATION_LEAST) -> DataFrame:
-    """The file of each distinct citation whose name is nearest on sorted tokens, the first of equals. Distinct
-    citations meet all files of a corpus; scoring is partitioned by citation."""
+    """The file of each distinct citation whose name is nearest on sorted tokens, the first of equals."""
     norm = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\([^)]*\)|\bpp?\.\s*\d+(?:-\d+)?|\.md$", " "), r"[^a-z0-9]+", " "))
-    pairs = citations.select(citation).distinct().crossJoin(bounded(files.select(file).distinct()))
-    scored = pairs.withColumn("score", similarity("token_sort_ratio", norm(F.col(citation)), norm(F.col(file)))).where(F.col("score") >= least)
+    asked = citations.select(citation, norm(F.col(citation)).alias("_asked")).distinct()
+    known = files.select(file, norm(F.col(file)).alias("_known")).distinct()
+    scored = alike(asked, known, "_asked", "_known", "token_sort_ratio", least).join(asked, "_asked").join(known, "_known")
     return scored.groupBy(citation).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(file).alias("f"))).alias("_m")).select(citation, F.col("_m.f").alias(file), (-F.col("_m.s")).alias("score"))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions import text as tx
-from quorumlake.functions.similarity import similarity
 from quorumlake.operators import matching
+from quorumlake.operators.fuzzy_join import nearest
+from quorumlake.sources.tables import written
 
 #: Columns of an entity, besides its id.
 ENTITY = ("name", "province", "fuel", "status", "capacity", "source_ref")
@@ -41,7 +42,7 @@ def matched_names(reference: DataFrame, system: DataFrame, key: str, drops: tupl
     own = own.select("*", F.posexplode(matching.unit_names(F.col("name_clean"))).alias("_at", "_unit"))
     own = own.withColumn("sys_id", F.col("id") * 2 + F.col("_at")).withColumn("name_clean", F.col("_unit")).drop("_at", "_unit", "id")
     side = lambda df, s, i: df.select(key, F.lit(s).alias("side"), F.col(i).cast("long").alias("id"), F.col("name_clean").alias("name"), F.col("capacity_clean").alias("capacity"))
-    asked = system.select(key).distinct().join(matching.bounded(ref.select("ref_id", "name_clean", "capacity_clean")))
+    asked = system.select(key).distinct().crossJoin(ref.select("ref_id", "name_clean", "capacity_clean"))
     return matching.optimal_match(side(asked, "ref", "ref_id").union(side(own, "sys", "sys_id")), key), ref, own
 
 
@@ -118,8 +119,7 @@ def forced_mismatches(matches: DataFrame, reference: DataFrame, system: DataFram
 
 def best_scores(names: DataFrame, reference: DataFrame, name: str, like: str, out: str) -> DataFrame:
     """Adds ``out``: the highest partial ratio of each name to any of a reference list (0 without one)."""
-    pairs = names.select(name).distinct().join(matching.bounded(reference.select(F.col(like).alias("_like")).distinct()))
-    best = pairs.withColumn("_s", similarity("partial_ratio", F.col(name), F.col("_like"))).groupBy(name).agg(F.max("_s").alias(out))
+    best = nearest(names, reference.select(F.col(like).alias("_like")), name, "_like").select(name, F.col("score").alias(out))
     return names.join(best, name, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
@@ -147,7 +147,7 @@ def false_positives(entries: DataFrame, reference: DataFrame, key: str, other: t
 
     alone = entries.where("match_type = 'sys_only'").withColumn("clean_name", tx.clean_name(F.col("system_name")))
     names = alone.groupBy("clean_name").agg(F.count(F.lit(1)).alias("n_appearances"), F.count_distinct(key).alias("n_runs"), F.min("system_name").alias("_raw"))
-    names = names.withColumn("_folded", folded_name(F.col("_raw")))
+    names = written(names.withColumn("_folded", folded_name(F.col("_raw"))), "alone")
     known = reference.select(tx.clean_name(F.col("name")).alias("clean"), folded_name(F.col("name")).alias("fold"))
     scored = best_scores(best_scores(names, known, "clean_name", "clean", "now"), known, "_folded", "fold", "folded")
     verdict = false_positive_verdict(F.col("clean_name"), F.col("now"), F.col("folded"), F.col("n_appearances"), other, invented, holes)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.functions import text as tx
 from quorumlake.functions.similarity import with_similarity
-from quorumlake.operators import extract, fusion, mart, matching, metrics, provenance, quality, ranking, selection, stats
+from quorumlake.operators import extract, fusion, fuzzy_join, mart, matching, metrics, provenance, quality, ranking, selection, stats
 from quorumlake.plans.registry import query, r4, rounded
 from quorumlake.sources.tables import table
 from quorumlake.streaming import jobs
@@ -562,7 +562,18 @@ def phase_collisions(spark, d):
 @query()
 def nearest_reference(spark, d):
     references = table(spark, d, "part").where("p_type = 'PROMO'")
-    return rounded(matching.nearest(table(spark, d, "part").select(F.col("p_name").alias("query")), references, "query", "p_name", "token_sort_ratio", 60.0))
+    return rounded(fuzzy_join.nearest(table(spark, d, "part").select(F.col("p_name").alias("query")), references, "query", "p_name", "token_sort_ratio", 60.0))
+
+
+@query("""with v as (select distinct name, length(name) as n from vendors where name is not null),
+m as (select v.name, any_value(n) as n, map(list(c), list(k)) as masks from v, lateral (select c, sum(1::hugeint << (i - 1)::int) as k from (select unnest(range(1, v.n + 1)) as i, unnest(string_split(v.name, '')) as c) group by c) group by v.name),
+c as (select distinct name, length(name) as n from clients where name is not null),
+p as (select m.name as vendor, c.name as client, m.n as x, c.n as y, list_reduce(list_prepend((1::hugeint << m.n::int) - 1, list_transform(string_split(c.name, ''), lambda ch: coalesce(m.masks[ch], 0::hugeint))),
+  lambda s, k: ((s + (s & k)) | (s - (s & k))) & ((1::hugeint << m.n::int) - 1)) as s from m, c)
+select vendor, client, round(200.0 * (x - bit_count(s)) / (x + y), 4) as score from p where 200.0 * (x - bit_count(s)) / (x + y) >= 60""")
+def alike_names(spark, d):
+    vendors, clients = table(spark, d, "vendors").select(F.col("name").alias("vendor")), table(spark, d, "clients").select(F.col("name").alias("client"))
+    return rounded(fuzzy_join.alike(vendors, clients, "vendor", "client", "ratio", 60.0))
 
 
 @query()

@@ -47,6 +47,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a written table that nothing needs any more."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Inventory CSV files as text columns with normalised headers and the file's name; nothing is inferred."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("_file", F.col("_metadata.file_name"))

@@ -155,12 +155,6 @@ def test_close_pairs(spark):
     assert got == {(a, b): (round(partial(a, b), 6), blocked(a, b, names)) for a, b in itertools.combinations(names, 2) if partial(a, b) >= 80}
 
 
-def test_bounded_lists(spark):
-    assert matching.bounded(spark.range(5), 5).count() == 5
-    with pytest.raises(ValueError, match="more than 4 rows"):
-        matching.bounded(spark.range(5), 4)
-
-
 def test_greedy_pairs(spark):
     rng = random.Random(2)
     scored = [(k, i, j, float(rng.randrange(1, 30) * 500)) for k in "ab" for i in range(6) for j in range(7)]
