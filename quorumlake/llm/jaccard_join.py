@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import Powers, connected_components, counted, documents, dropped, files_for, mix64, shuffle_partitions, slices, text_chunks, written
+from quorumlake.llm.common import Powers, connected_components, counted, documents, dropped, files_for, mix64, shuffle_partitions, slices, spare, text_chunks, written
 
 SHINGLE = 5
 #: Similarity as a fraction; CELLS is the share of a band's largest size that its sketch has as cells (at least LEAST).
@@ -31,6 +31,10 @@ _STEP = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037E
 _powers = Powers()
 
 
+#: A word, as Java reads it.
+WORD = r"[^\x20\x09-\x0D]"
+
+
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     """The distinct 64-bit shingle hashes of each text, ascending. Words are runs of other bytes than ASCII white space,
     with A-Z in lower case; fewer than five words make one shingle, no words none."""
@@ -369,6 +373,16 @@ def set_components(docs: DataFrame, sketches: DataFrame, nameless: bool, id_bits
     return near
 
 
+def members(docs: DataFrame, id_bits: int = ID_BITS) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, text_key, n_shingles, component) of rows with shingles; (doc_id, n_shingles) of the others; files for a table
+    of all rows. Components are named by sets."""
+    sketches, nameless = sketch(docs, id_bits)
+    sets = set_components(docs, sketches, nameless, id_bits)
+    rows = sketches.select("doc_id", "text_key", "n_shingles", "set_id")
+    held = rows.where("n_shingles > 0").join(sets.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    return held.select("doc_id", "text_key", "n_shingles", "component"), rows.where("n_shingles = 0").select("doc_id", "n_shingles"), files_for(rows.count())
+
+
 def near_duplicates(docs: DataFrame, id_bits: int = ID_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
@@ -376,25 +390,32 @@ def near_duplicates(docs: DataFrame, id_bits: int = ID_BITS) -> DataFrame:
     one of white space, has no shingles and is a component of its own, as is every row that links with nothing. An
     empty table gives an empty result; a row that occurs twice is returned twice.
     """
-    sketches, nameless = sketch(docs, id_bits)
-    sets = set_components(docs, sketches, nameless, id_bits)
-    rows = sketches.select("doc_id", "n_shingles", "set_id")
-    held = rows.where("n_shingles > 0").join(sets.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    files = files_for(rows.count())
+    held, alone, files = members(docs, id_bits)
     held = written(held.select("doc_id", "n_shingles", "component").coalesce(files), "components")
     # written, so that the join reads two exchanges and Spark can split the partition of a large component
     least = written(held.groupBy("component").agg(F.min("doc_id").alias("component_id")).coalesce(files), "least")
     out = held.join(least, "component").select("doc_id", "n_shingles", "component_id")
-    return out.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.union(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id (of rows with that doc_id, any one).
-    Rows without a doc_id all stay."""
-    kept, n = counted(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_kept_rows")), "kept", several=F.count_if(F.col("_kept_rows") > 1))
-    out = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    out = out.dropDuplicates(["doc_id"]) if n["several"] else out
-    return out.union(docs.where("doc_id is null"))
+    """``docs`` with one row of each component: of the smallest doc_id, and of its texts there (rows of one doc_id may have
+    several) the one with the least hash. A component of other texts of that doc_id keeps a row of its own.
+
+    Rows that are equal in doc_id and text are one document: the row with the least hash of all columns stays. Rows
+    without a doc_id all stay, as do those without shingles (no text, or no word in it).
+    """
+    held, _, files = members(docs)
+    texts = held.where("doc_id is not null").groupBy("component", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    kept = texts.groupBy("component").agg(F.min(F.struct("doc_id", "text_key", "n")).alias("x")).select("x.*")
+    kept, n = counted(kept.coalesce(files), "kept", several=F.count_if(F.col("n") > 1))
+    key, ident, rank = (spare(docs.columns, "_one") + c for c in ("key", "id", "rank"))
+    chosen = kept.select(F.col("doc_id").alias(ident), F.col("text_key").alias(key)).hint("shuffle_hash")
+    keyed = docs.withColumn(rank, F.xxhash64("text"))
+    out = keyed.join(chosen, (F.col("doc_id") == F.col(ident)) & (F.col(rank) == F.col(key)), "left_semi")
+    if n["several"]:
+        out = out.groupBy("doc_id", rank).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(key)).select(f"{key}.*")
+    return out.select(*docs.columns).union(docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

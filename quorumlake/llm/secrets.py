@@ -5,12 +5,15 @@ Everything on the executors is DataFrame expressions and Spark ML's JVM trees; n
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import documents, spare
+from quorumlake.llm.common import documents, dropped, spare, table_path
 from quorumlake.llm.spans import quoted, spans
 
 #: Names of settings whose values are secrets.
@@ -42,19 +45,18 @@ def _any(words: str) -> str:
     return "(?i)(?<![a-z0-9])(?:" + "|".join(sorted(words.split())) + ")(?![a-z0-9])"
 
 
-def secret_part() -> Column:
-    """The value of a candidate ``value`` without its setting's name."""
-    return F.regexp_replace("value", "^" + SETTING, "")
+def secret_part(value: Column | str = "value") -> Column:
+    """The value of a candidate without its setting's name."""
+    return F.regexp_replace(value, "^" + SETTING, "")
 
 
-def with_features(findings: DataFrame) -> DataFrame:
-    """Adds ``features`` to (value, before, after), none of them null: length, shares of digits, capitals, distinct characters and vowels,
-    transitions between character classes, dictionary coverage, path marks, the setting and words around the value."""
-    body = F.col("_body")
+def features(body: Column, value: Column, before: Column, after: Column) -> Column:
+    """An array of FEATURES, as doubles: length, shares of digits, capitals, distinct characters and vowels, transitions
+    between character classes, dictionary coverage, path marks, the setting and words around the value."""
     size = F.greatest(F.length(body), F.lit(1)).cast("double")
     share = lambda pattern: F.regexp_count(body, F.lit(pattern)) / size
     words = "|".join(sorted((w for w in DICTIONARY.split() if len(w) > 2), key=lambda w: (-len(w), w)))
-    near = F.concat_ws(" ", F.right("before", F.lit(32)), F.left("after", F.lit(16)))
+    near = F.concat_ws(" ", F.right(before, F.lit(32)), F.left(after, F.lit(16)))
     flag = lambda c: c.cast("double")
     columns = {
         "length": F.least(size, F.lit(128.0)),
@@ -64,15 +66,21 @@ def with_features(findings: DataFrame) -> DataFrame:
         "transitions": share("[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])"),
         "vowels": share("[aeiouAEIOU]"),
         "covered": 1 - F.length(F.regexp_replace(F.lower(body), words, "")) / size,
-        "path": flag(body.rlike(r"^[./~]|/.*/|\.[a-z]{2,4}$|^www|://")) + flag(F.col("before").rlike(r"(://|[/\\])\S*$")),
-        "assigned": flag(F.col("value").rlike("^" + SETTING)),
+        "path": flag(body.rlike(r"^[./~]|/.*/|\.[a-z]{2,4}$|^www|://")) + flag(before.rlike(r"(://|[/\\])\S*$")),
+        "assigned": flag(value.rlike("^" + SETTING)),
         "provider": flag(body.rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^sk-|^xox[abp]-|^eyJ")),
         "hex": flag(body.rlike("^[0-9a-f]{16,}$|^[0-9A-F]{16,}$")),
         "near_for": flag(near.rlike(_any(NEAR_FOR))),
         "near_against": flag(near.rlike(_any(NEAR_AGAINST))),
         "repeats": share(r"(.)\1\1|0123|1234|abcd|xxx"),
     }
-    return findings.withColumn("_body", secret_part()).withColumn("features", array_to_vector(F.array(*[columns[c].cast("double") for c in FEATURES]))).drop("_body")
+    return F.array(*[columns[c].cast("double") for c in FEATURES])
+
+
+def with_features(findings: DataFrame) -> DataFrame:
+    """Adds ``features`` to (value, before, after), none of them null."""
+    parts = F.col("_body"), F.col("value"), F.col("before"), F.col("after")
+    return findings.withColumn("_body", secret_part()).withColumn("features", array_to_vector(features(*parts))).drop("_body")
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
@@ -139,18 +147,46 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, text: str = "t
     return scored.select("doc_id", "start", "stop", secret_part().alias("value"), vector_to_array("probability")[1].alias("score"))
 
 
+def forest_score(spark: SparkSession, model: RandomForestClassificationModel) -> Callable[[Column], Column]:
+    """The forest as an expression over an array of features: the mean over trees of the share of secrets in the leaf that
+    is reached. The nodes, at most 2^(DEPTH + 1) a tree, are read from the saved model and stand in the plan as one array,
+    so that candidates can be scored where they are, inside a row."""
+    path = table_path(spark, "forest")
+    model.write().save(path)
+    saved = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    rows = sorted(saved.select("treeID", "id", "leftChild", "rightChild", "split.featureIndex", F.get("split.leftCategoriesOrThreshold", 0).alias("t"), "impurityStats").collect(), key=lambda r: (r["treeID"], r["id"]))
+    dropped(saved)
+    at = {(r["treeID"], r["id"]): k for k, r in enumerate(rows)}
+    node = lambda r: {"f": max(r["featureIndex"], 0), "t": r["t"] or 0.0, "l": at.get((r["treeID"], r["leftChild"]), -1), "r": at.get((r["treeID"], r["rightChild"]), -1), "p": r["impurityStats"][1] / sum(r["impurityStats"])}
+    nodes = F.from_json(F.lit(json.dumps([node(r) for r in rows])), "array<struct<f:int,t:double,l:int,r:int,p:double>>")
+    roots = [at[t, 0] for t in sorted({r["treeID"] for r in rows})]
+
+    def leaf(x: Column, root: Column) -> Column:
+        step = lambda i, _: F.transform(F.array(F.get(nodes, i)), lambda n: F.when(n["l"] < 0, i).when(F.get(x, n["f"]) <= n["t"], n["l"]).otherwise(n["r"]))[0]
+        return F.get(nodes, F.aggregate(F.sequence(F.lit(1), F.lit(model.getMaxDepth())), root, step))["p"]
+
+    return lambda x: F.aggregate(F.array(*map(F.lit, roots)), F.lit(0.0), lambda s, root: s + leaf(x, root)) / len(roots)
+
+
 def redact(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """``docs`` with each found secret replaced by ``[SECRET]`` in ``text``; other rows and columns stay as they are.
 
-    The secrets of a doc_id are gathered (distinct values of its documents only), longest first; rows of equal doc_id
-    share them.
+    Each row is scanned, scored and rewritten by itself, wherever in its text a secret of it stands, longest first;
+    nothing is gathered, shuffled or joined. Null and empty texts stay as they are.
     """
-    key, values = (spare(docs.columns, "_found") + c for c in ("id", "values"))
-    found = scan(docs, model, text).where(F.col("score") >= threshold).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("value").alias(values))
-    found = found.withColumn(values, F.expr(f"array_sort({values}, (a, b) -> case when length(a) > length(b) then -1 when length(a) < length(b) then 1 when a < b then -1 else 1 end)"))
-    out = docs.join(found, docs["doc_id"].eqNullSafe(found[key]), "left")
-    clean = F.when(found[values].isNull(), docs[text]).otherwise(F.reduce(found[values], docs[text], lambda t, v: F.replace(t, v, F.lit("[SECRET]"))))
-    return out.select(*[clean.alias(c) if c == text else docs[c] for c in docs.columns])
+    score = forest_score(docs.sparkSession, model)
+    own = spare(docs.columns, "_text")
+
+    def judged(x: Column) -> Column:
+        body = F.array(F.struct(secret_part(x["value"]).alias("b"), x["value"].alias("v"), x["before"].alias("p"), x["after"].alias("q")))
+        parts = F.transform(body, lambda y: F.struct(y["b"].alias("b"), features(y["b"], y["v"], y["p"], y["q"]).alias("x")))
+        return F.transform(parts, lambda y: F.struct(y["b"].alias("secret"), score(y["x"]).alias("score")))[0]
+
+    found = F.filter(F.transform(spans(own, CANDIDATE), judged), lambda x: (x["score"] >= threshold) & (x["secret"] != ""))
+    values = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.struct((-F.length(x["secret"])).alias("n"), x["secret"].alias("secret")))))
+    clean = F.reduce(values, F.col(own), lambda t, v: F.replace(t, v["secret"], F.lit("[SECRET]")))
+    clean = F.when(F.col(own).rlike(CANDIDATE), clean).otherwise(F.col(own))
+    return docs.withColumnRenamed(text, own).select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
