@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.llm import bpe, jaccard_join, language_id, mixing, secrets
-from quorumlake.llm.common import documents, spare, written
+from quorumlake.llm.common import documents, dropped, spare, written
 
 #: Documents whose text no language's n-grams cover to this share are rejected, as are those without letters.
 LEAST_SCORE = 0.2
@@ -27,14 +27,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id (of rows with that doc_id,
-    any one). Rows without a doc_id all stay, as do texts without words; columns stay as they are."""
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id, of its texts the one with the
+    least hash; see ``one_of_each``. Rows without a doc_id all stay, as do texts without words; columns stay as they are."""
     return jaccard_join.one_of_each(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets become ``[SECRET]`` and n_chars follows; every document stays, null and empty texts as they are. Rows of one
-    doc_id (null is one) share their secrets."""
+    """Secrets become ``[SECRET]`` and n_chars follows; every document stays, null and empty texts as they are. Each row is
+    scanned by itself."""
     clean = secrets.redact(docs, secrets.fit(secrets.labelled_findings(spark)))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
@@ -64,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
