@@ -38,19 +38,74 @@ def majority(assertions: DataFrame, run: str, entity: str, attributes: list[str]
     return votes.join(best, entity)
 
 
-def authority(facts: DataFrame, entity: str, field: str, value: str, order: list[str]) -> DataFrame:
-    """The value of each entity's field by ``order`` (higher tier, later year, later arrival last); nulls never win."""
+def highest_authority(facts: DataFrame, entity: str, field: str, value: str, order: list[str]) -> DataFrame:
+    """The value of each entity's field that is last by ``order``, whatever came before; nulls never win."""
     return facts.where(F.col(value).isNotNull()).groupBy(entity, field).agg(F.max_by(value, F.struct(*order)).alias("value"), F.count_distinct(value).alias("n_values"))
 
 
 def authority_changes(facts: DataFrame, entity: str, field: str, value: str, tier: str, year: str, seq: str) -> DataFrame:
-    """How an incremental fusion by arrival goes: values set, replaced and confirmed, by arrival."""
-    seen = Window.partitionBy(entity, field).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    known = facts.where(F.col(value).isNotNull())
-    rank = F.struct(tier, year, seq)
-    before = known.withColumn("_before", F.max_by(value, rank).over(seen)).withColumn("_rank", F.max(F.struct(tier, year)).over(seen))
-    kind = F.when(F.col("_before").isNull(), "set").when(F.col("_before") == F.col(value), "confirmed").when(F.struct(tier, year) >= F.col("_rank"), "replaced").otherwise("refused")
-    return before.withColumn("change", kind).groupBy(seq, "change").agg(F.count(F.lit(1)).alias("n"))
+    """(entity, field, seq, value, change) of each fact that has a value, in order of ``seq`` (no two facts of a field share
+    one): what an incremental fusion makes of it.
+
+    The first value is set. A later one replaces the value that stands, and its tier and year, if it is another one of no
+    lower tier, or of the same tier and no earlier year; else it is refused. An equal value is confirmed and changes
+    nothing: the first one's tier and year stay. A fold over the facts of one field of an entity, of which each source
+    has one, so that one row holds them.
+    """
+    types = {c: facts.schema[c].dataType.simpleString() for c in (value, tier, year, seq)}
+    fact = F.struct(F.col(seq).alias("seq"), F.col(value).alias("value"), F.col(tier).alias("tier"), F.col(year).alias("year"))
+    told = f"array<struct<seq:{types[seq]},value:{types[value]},change:string>>"
+    start = F.expr(f"named_struct('value', cast(null as {types[value]}), 'tier', cast(null as {types[tier]}), 'year', cast(null as {types[year]}), 'told', cast(array() as {told}))")
+
+    def step(s: Column, x: Column) -> Column:
+        ranks = (x["tier"] > s["tier"]) | ((x["tier"] == s["tier"]) & (x["year"] >= s["year"]))
+        change = F.when(s["value"].isNull(), "set").when(x["value"] == s["value"], "confirmed").when(F.coalesce(ranks, F.lit(False)), "replaced").otherwise("refused")
+        taken = change.isin("set", "replaced")
+        stands = [F.when(taken, x[c]).otherwise(s[c]).alias(c) for c in ("value", "tier", "year")]
+        return F.struct(*stands, F.concat(s["told"], F.array(F.struct(x["seq"].alias("seq"), x["value"].alias("value"), change.alias("change")))).alias("told"))
+
+    known = facts.where(F.col(value).isNotNull()).groupBy(entity, field).agg(F.array_sort(F.collect_list(fact)).alias("_f"))
+    out = known.select(entity, field, F.explode(F.aggregate("_f", start, step, lambda s: s["told"])).alias("_x"))
+    return out.select(entity, field, F.col("_x.seq").alias(seq), F.col("_x.value").alias("value"), F.col("_x.change").alias("change"))
+
+
+def authority(facts: DataFrame, entity: str, field: str, value: str, tier: str, year: str, seq: str) -> DataFrame:
+    """(entity, field, value, n_changes): the value that stands after all facts, and how often one was set or replaced; see
+    ``authority_changes``."""
+    taken = authority_changes(facts, entity, field, value, tier, year, seq).where("change in ('set', 'replaced')")
+    return taken.groupBy(entity, field).agg(F.max_by("value", seq).alias("value"), F.count(F.lit(1)).alias("n_changes"))
+
+
+def prefix_scores(changes: DataFrame, reference: DataFrame, entity: str, field: str, seq: str, value: str) -> DataFrame:
+    """(seq, n_entities, n_found, n_facts, n_right, precision, coverage, f1, field_accuracy) after each step of an
+    incremental fusion, without fusing again: ``changes`` as ``authority_changes`` gives them, ``reference`` (entity, field,
+    value).
+
+    A value stands from the step that takes it to the step that takes the next one, so that each adds to the counts where
+    it begins and takes away where it ends; an entity counts from its first value on. Sums of these differences over
+    steps, of which there are as many rows as steps, are the counts of each prefix.
+    """
+    steps = changes.select(seq).distinct()
+    taken = changes.where("change in ('set', 'replaced')").select(entity, field, seq, F.col("value").alias("_v"))
+    until = F.lead(seq).over(Window.partitionBy(entity, field).orderBy(seq))
+    known = reference.select(entity, field, F.col(value).alias("_r"))
+    held = taken.withColumn("_until", until).join(known, [entity, field], "left").withColumn("_right", F.coalesce(F.col("_v") == F.col("_r"), F.lit(False)).cast("long"))
+    began = held.select(F.col(seq).alias("_at"), F.lit(1).alias("facts"), F.col("_right").alias("right"))
+    ended = held.where("_until is not null").select("_until", F.lit(-1), -F.col("_right"))
+    first = taken.groupBy(entity).agg(F.min(seq).alias("_at")).join(reference.select(entity).distinct().withColumn("_in", F.lit(1)), entity, "left")
+    sums = began.union(ended).groupBy("_at").agg(F.sum("facts").alias("facts"), F.sum("right").alias("right"))
+    new = first.groupBy("_at").agg(F.count(F.lit(1)).alias("entities"), F.count("_in").alias("found"))
+    deltas = steps.withColumn("_at", F.col(seq)).join(sums, "_at", "left").join(new, "_at", "left").na.fill(0, ["facts", "right", "entities", "found"])
+    so_far = lambda c: F.sum(c).over(Window.orderBy(seq)).cast("long")
+    out = deltas.select(seq, so_far("entities").alias("n_entities"), so_far("found").alias("n_found"), so_far("facts").alias("n_facts"), so_far("right").alias("n_right"))
+    size = reference.select(entity).distinct().agg(F.count(F.lit(1)).alias("_size"))
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    found, size_ = F.col("n_found"), F.col("_size")
+    out = out.crossJoin(F.broadcast(size))
+    return out.select(
+        seq, "n_entities", "n_found", "n_facts", "n_right",
+        ratio(found, F.col("n_entities")).alias("precision"), ratio(found, size_).alias("coverage"), ratio(2 * found, F.col("n_entities") + size_).alias("f1"), ratio(F.col("n_right"), F.col("n_facts")).alias("field_accuracy"),
+    )
 
 
 def best_group(runs: DataFrame, group: str, value: str) -> DataFrame:

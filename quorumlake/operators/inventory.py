@@ -21,7 +21,7 @@ ERRORS = ("no_text", "no_table", "parse_failed", "no_name_column")
 
 def parsed(block: Column) -> Column:
     """A delimited text's rows as arrays of cells, without empty rows. A ``sep=`` line is left out; the delimiter of
-    , ; tab and | is the one that splits the first lines alike, else the most frequent."""
+    , ; tab and | is the one that splits the first lines alike, else the comma."""
 
     @F.pandas_udf("array<array<string>>")
     def cells(blocks: pd.Series) -> pd.Series:
@@ -32,7 +32,7 @@ def parsed(block: Column) -> Column:
             try:
                 dialect = csv.Sniffer().sniff(text[:4096], delimiters=",;\t|")
             except csv.Error:
-                dialect = type("most", (csv.excel,), {"delimiter": max(",;\t|", key=text.count)})
+                dialect = csv.excel
             try:
                 return [row for row in csv.reader(io.StringIO(text), dialect) if any(c.strip() for c in row)]
             except csv.Error:
@@ -58,26 +58,23 @@ def headers_fit(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(F.filter(a, lambda x: x.isNotNull()), F.filter(b, lambda x: x.isNotNull()))) >= 2
 
 
-def _clusters(table: pd.DataFrame) -> pd.DataFrame:
-    """Tables of one text, in order of their first lines: each joins the first earlier cluster that ends at most
-    FRAGMENT_GAP lines before it, with as many columns and a header that fits the cluster's."""
-    table = table.sort_values("at", kind="stable").reset_index(drop=True)
-    names = [{x for x in h if x is not None} for h in table["names"]]
-    cluster, taken = [-1] * len(table), 0
-    for i in range(len(table)):
-        if cluster[i] >= 0:
-            continue
-        cluster[i], end = taken, table["at"][i] + table["n_lines"][i]
-        for j in range(i + 1, len(table)):
-            if cluster[j] >= 0:
-                continue
-            if table["at"][j] - end > extract.FRAGMENT_GAP:
-                break
-            if table["width"][j] == table["width"][i] and len(names[i] & names[j]) >= 2:
-                cluster[j], end = taken, max(end, table["at"][j] + table["n_lines"][j])
-        taken += 1
-    table["cluster"] = cluster
-    return table[["_key", "table_no", "cluster"]]
+def clustered(tables: DataFrame, key: str) -> DataFrame:
+    """(key, table_no, cluster) of tables (key, table_no, at, n_lines, width, names): by their first lines, a table goes to
+    the first cluster whose own first table is as wide and fits in its header, and whose last line is FRAGMENT_GAP lines
+    away at most; else it begins one. A fold over the tables of a text, which one row holds."""
+    kind = "array<struct<width:int,names:array<string>,end:bigint,tables:array<bigint>>>"
+    takes = lambda c, t: (c["width"] == t["width"]) & (t["at"] - c["end"] <= extract.FRAGMENT_GAP) & headers_fit(c["names"], t["names"])
+
+    def step(clusters: Column, t: Column) -> Column:
+        first = F.array_min(F.transform(clusters, lambda c, i: F.when(takes(c, t), i)))
+        stop = t["at"] + t["n_lines"]
+        grown = lambda c, i: F.when(i == first, F.struct(c["width"].alias("width"), c["names"].alias("names"), F.greatest(c["end"], stop).alias("end"), F.concat(c["tables"], F.array(t["table_no"])).alias("tables"))).otherwise(c)
+        new = F.struct(t["width"].alias("width"), t["names"].alias("names"), stop.alias("end"), F.array(t["table_no"]).alias("tables"))
+        return F.when(first.isNull(), F.concat(clusters, F.array(new))).otherwise(F.transform(clusters, grown))
+
+    each = F.struct("at", F.col("table_no").cast("long").alias("table_no"), F.col("n_lines").cast("long").alias("n_lines"), F.col("width").cast("int").alias("width"), "names")
+    folded = tables.groupBy(key).agg(F.array_sort(F.collect_list(each)).alias("_t")).select(key, F.aggregate("_t", F.expr(f"cast(array() as {kind})"), step).alias("_c"))
+    return folded.select(key, F.posexplode("_c").alias("cluster", "_one")).select(key, F.explode("_one.tables").alias("table_no"), F.col("cluster").cast("long").alias("cluster"))
 
 
 def merged_fragments(rows: DataFrame, key: str) -> DataFrame:
@@ -88,8 +85,7 @@ def merged_fragments(rows: DataFrame, key: str) -> DataFrame:
     tables = rows.groupBy(key, "table_no").agg(F.min("line_no").cast("long").alias("at"), F.count(F.lit(1)).alias("n_lines"), F.max(F.size("cells")).alias("width")).join(heads, [key, "table_no"])
     known = F.array_intersect("names", F.array(*map(F.lit, extract.ATTRIBUTES)))
     tables = tables.where(F.coalesce(F.array_contains("names", "name"), F.lit(False)) & (F.size(known) >= 2))
-    kind = rows.schema[key].dataType.simpleString()
-    told = tables.select(F.col(key).alias("_key"), "table_no", "at", "n_lines", "width", "names").groupBy("_key").applyInPandas(_clusters, f"_key {kind}, table_no long, cluster long").withColumnRenamed("_key", key)
+    told = clustered(tables, key)
     placed = tables.join(told, [key, "table_no"])
     sizes = placed.groupBy(key, "cluster").agg(F.count(F.lit(1)).alias("tables"), F.sum(F.col("n_lines") - 1).alias("total"), F.max_by("head", F.struct("n_lines", -F.col("at"))).alias("head"), F.min("at").alias("first"))
     best = sizes.where("tables > 1").withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("total"), "cluster"))).where("_rn = 1").select(key, "cluster", "head", "first")

@@ -9,7 +9,8 @@ from quorumlake.functions.text import MERGED_NAME
 from quorumlake.operators.fuzzy_join import alike
 
 CITATION_LEAST, LINE_LEAST = 70.0, 60.0
-HONEST = r"(?i)\b(?:not found|unverified|uncertain|estimated?|approximately|no source|could not (?:verify|confirm))\b"
+# What a note says that admits doubt.
+HONEST = ("uncertain", "conflicting", "no data", "unclear", "estimated", "approximate", "planned but", "discrepancy", "unconfirmed")
 
 
 def tier(reference: Column, primary: str, secondary: str) -> Column:
@@ -34,7 +35,8 @@ def level_consistent(name: Column, level: Column) -> Column:
 
 
 def honest(note: Column) -> Column:
-    return F.coalesce(note.rlike(HONEST), F.lit(False))
+    """Whether a note holds one of HONEST, in any case; a null note holds none."""
+    return F.coalesce(note.rlike("(?i)" + "|".join(HONEST)), F.lit(False))
 
 
 def linked_cells(rows: DataFrame, key: str, cell: str, bibliography: DataFrame) -> DataFrame:

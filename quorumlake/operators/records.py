@@ -20,8 +20,9 @@ SCHEMA = (
 OPTIONAL = ("seed", "num_ctx", "provider_order", "web_search", "system_instruction", "reasoning_effort")
 # What of a folder's name tells the method, first rule first.
 METHODS = (("multiturn", "direct+multiturn"), ("verification", "rag+verification"), ("web", "rag_livesearch"), ("rag", "rag"), ("decomposed", "rag"), ("sourced", "rag"))
-#: Words of a message that end a sweep, or a model's part in it.
-QUOTA_WORDS = ("daily", "quota", "insufficient", "billing", "payment", "credit")
+# Parts of a message that end a sweep, or a model's part in it.
+SPENT_WORDS = ("insufficient credit", "insufficient_credits", "out of credit", "credit balance", "billing", "payment required")
+QUOTA_WORDS = ("quota_exceeded", "quota exceeded", "daily quota", "daily usage", "daily limit")
 
 
 def measurements(records: DataFrame, method: str | None = None) -> DataFrame:
@@ -98,22 +99,29 @@ def orphan_class(text: Column) -> Column:
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty").when(tx.refusal(text), "refusal").when(table, "error").otherwise("refusal")
 
 
-def failure_class(kind: Column, status: Column, code: Column, type_: Column, message: Column) -> Column:
+def failure_class(kind: Column, status: Column, code: Column, type_: Column, message: Column, bodies: bool = True) -> Column:
     """(disposition, scope) of a provider's failure: HARD_STOP for spent credit (of the router, or of one model) and quotas,
-    PERMANENT_SKIP for what a later try can't mend, SOFT_RETRY else."""
+    PERMANENT_SKIP for what a later try can't mend, SOFT_RETRY else.
+
+    A message that tells of spent credit or of a quota is a hard stop whatever the status is, but for 403, 404 and 503;
+    with 429 it stops the model alone. Without ``bodies`` messages are read with 429 only.
+    """
     say = lambda d, s: F.struct(F.lit(d).alias("disposition"), F.lit(s).alias("scope"))
     low = F.lower(F.coalesce(message, F.lit("")))
-    quota = F.greatest(*(F.contains(low, F.lit(w)) for w in QUOTA_WORDS))
-    return (
+    tells = lambda words: F.greatest(*(F.contains(low, F.lit(w)) for w in words))
+    out = (
         F.when(kind == "connection_refused", say("PERMANENT_SKIP", "model"))
         .when(kind == "timeout", say("SOFT_RETRY", "model"))
         .when(status == 402, say("HARD_STOP", "router"))
         .when(code == 402, say("HARD_STOP", "model"))
         .when(F.lower(type_) == "quota_exceeded", say("HARD_STOP", "model"))
-        .when((status == 429) & quota, say("HARD_STOP", "model"))
+        .when((status == 429) & tells(SPENT_WORDS + QUOTA_WORDS), say("HARD_STOP", "model"))
+        .when(status.isin(429, 503), say("SOFT_RETRY", "model"))
         .when(status.isin(403, 404), say("PERMANENT_SKIP", "model"))
-        .otherwise(say("SOFT_RETRY", "model"))
     )
+    if bodies:
+        out = out.when(tells(SPENT_WORDS), say("HARD_STOP", "router")).when(tells(QUOTA_WORDS), say("HARD_STOP", "model"))
+    return out.otherwise(say("SOFT_RETRY", "model"))
 
 
 def under(rows: DataFrame, path: str, folder: str, not_ending: tuple[str, ...] = ()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quorumlake.operators import fusion, inventory, metrics, quality, ranking, reconcile, records, stats
+from quorumlake.operators import fusion, inventory, metrics, provenance, quality, ranking, reconcile, records, stats
 from quorumlake.plans.registry import query, r4, rounded
 from quorumlake.sources.tables import table
 
@@ -263,7 +263,25 @@ def failure_classes(spark, d):
     status = F.element_at(F.array(*map(F.lit, (402, 429, 404, 500, 503, 200))), (F.col("user_id") % 6 + 1).cast("int"))
     code = F.when(F.col("user_id") % 5 == 0, 402)
     message = F.when(F.col("event_id") % 2 == 0, "Daily limit reached").otherwise("slow down")
-    return table(spark, d, "events").select("event_id", records.failure_class(kind, status, code, F.lit(None).cast("string"), message).alias("x")).select("event_id", "x.*")
+    return table(spark, d, "events").select("event_id", records.failure_class(kind, status, code, F.lit(None).cast("string"), message, bodies=False).alias("x")).select("event_id", "x.*")
+
+
+@query("""with e as (select event_id, event_type, [429, 500, 503, 200, 404][user_id % 5 + 1] as status, ['Daily limit reached', 'insufficient credit', 'see BILLING page', 'slow down', 'payment of fees', 'quota exceeded', 'per minute'][event_id % 7 + 1] as message from events),
+k as (select *, event_id % 7 in (1, 2) as spent, event_id % 7 in (0, 5) as quota from e)
+select event_id, case when status = 404 then 'PERMANENT_SKIP' when status = 503 then 'SOFT_RETRY' when spent or quota then 'HARD_STOP' else 'SOFT_RETRY' end as disposition, case when spent and status not in (404, 429, 503) then 'router' else 'model' end as scope from k""")
+def hard_stops(spark, d):
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by + 1).cast("int"))
+    status, nothing = pick((429, 500, 503, 200, 404), F.col("user_id") % 5), F.lit(None)
+    message = pick(("Daily limit reached", "insufficient credit", "see BILLING page", "slow down", "payment of fees", "quota exceeded", "per minute"), F.col("event_id") % 7)
+    return table(spark, d, "events").select("event_id", records.failure_class(F.lit("http"), status, nothing.cast("int"), nothing.cast("string"), message).alias("x")).select("event_id", "x.*")
+
+
+@query("""with n as (select conv_id, turn, coalesce(text, '') || [' Conflicting sources on capacity', ' estimated', ' unverified', ' Planned, but not built', ' planned but not built', ' no source'][turn % 6 + 1] as note from conversations)
+select conv_id, count(*) as n_notes, count(*) filter (regexp_matches(note, 'uncertain|conflicting|no data|unclear|estimated|approximate|planned but|discrepancy|unconfirmed', 'i')) as n_honest from n group by 1""")
+def honest_notes(spark, d):
+    ends = F.array(*map(F.lit, (" Conflicting sources on capacity", " estimated", " unverified", " Planned, but not built", " planned but not built", " no source")))
+    notes = table(spark, d, "conversations").select("conv_id", F.concat(F.coalesce("text", F.lit("")), F.element_at(ends, (F.col("turn") % 6 + 1).cast("int"))).alias("note"))
+    return notes.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_notes"), F.count_if(provenance.honest(F.col("note"))).alias("n_honest"))
 
 
 @query("""with v as (select c_custkey as k, case when c_acctbal > 0 then c_acctbal end as v from customer), p as (select o_custkey as k, max(case when o_orderstatus <> 'P' then o_orderstatus end) as p from orders group by 1),

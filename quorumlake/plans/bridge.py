@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.functions import text as tx
 from quorumlake.functions.similarity import with_similarity
-from quorumlake.operators import extract, fusion, fuzzy_join, mart, matching, metrics, provenance, quality, ranking, selection, stats
+from quorumlake.operators import extract, fusion, fuzzy_join, growing_master, mart, matching, metrics, provenance, quality, ranking, selection, stats
 from quorumlake.plans.registry import query, r4, rounded
 from quorumlake.sources.tables import table
 from quorumlake.streaming import jobs
@@ -269,7 +269,7 @@ def majority_merge(spark, d):
 @query(f"""{_A_SQL}, f as (select *, case l_returnflag when 'A' then 3 when 'R' then 2 else 1 end as tier, l_orderkey * 10 + l_linenumber as seq from a)
 select l_partkey, 'tax' as field, (array_agg(l_tax order by tier desc, year desc, seq desc))[1] as value, count(distinct l_tax) as n_values from f group by 1""")
 def authority_fusion(spark, d):
-    return fusion.authority(_facts(spark, d), "l_partkey", "field", "l_tax", ["tier", "year", "seq"])
+    return fusion.highest_authority(_facts(spark, d), "l_partkey", "field", "l_tax", ["tier", "year", "seq"])
 
 
 def _facts(spark, d):
@@ -277,6 +277,51 @@ def _facts(spark, d):
     return _assertions(spark, d).withColumn("tier", tier).withColumn("seq", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("field", F.lit("tax"))
 
 
+_FOLD_SQL = _A_SQL + """, f as (select l_partkey, l_tax as v, case l_returnflag when 'A' then 3 when 'R' then 2 else 1 end as tier, year, l_orderkey * 10 + l_linenumber as seq from a),
+g as (select l_partkey, list(struct_pack(v := v, tier := tier, year := year, seq := seq) order by seq) as l from f where v is not null group by 1),
+p as (select l_partkey, l, unnest(range(1, len(l) + 1)) as k from g),
+s as (select l_partkey, l[k] as x, case when k > 1 then list_reduce(l[1:k - 1], lambda s, x: case when x.v <> s.v and (x.tier > s.tier or (x.tier = s.tier and x.year >= s.year)) then x else s end) end as s from p),
+c as (select l_partkey, x.seq as seq, x.v as value, case when s is null then 'set' when x.v = s.v then 'confirmed' when x.tier > s.tier or (x.tier = s.tier and x.year >= s.year) then 'replaced' else 'refused' end as change from s)"""
+
+
+@query(f"{_FOLD_SQL} select l_partkey, seq, round(value, 4) as value, change from c")
+def authority_steps(spark, d):
+    return rounded(_changes(spark, d).select("l_partkey", "seq", "value", "change"))
+
+
+def _changes(spark, d):
+    return fusion.authority_changes(_facts(spark, d), "l_partkey", "field", "l_tax", "tier", "year", "seq")
+
+
+@query(f"{_FOLD_SQL} select l_partkey, 'tax' as field, round(arg_max(value, seq), 4) as value, count(*) as n_changes from c where change in ('set', 'replaced') group by 1")
+def authority_fold(spark, d):
+    return rounded(fusion.authority(_facts(spark, d), "l_partkey", "field", "l_tax", "tier", "year", "seq"))
+
+
+@query(f"""{_FOLD_SQL}, r as (select l_partkey, arg_min(l_tax, 1000 * l_tax - 1e6 * n) as r from (select l_partkey, l_tax, count(*) as n from a where l_partkey % 3 <> 0 group by 1, 2) group by 1),
+m as (select *, seq // 1000 as step from (select l_partkey, seq, value from c where change in ('set', 'replaced'))),
+t as (select distinct seq // 1000 as step from c), e as (select l_partkey, step, arg_max(value, seq) as value from m group by 1, 2),
+i as (select e.*, lead(step) over (partition by e.l_partkey order by step) as until from e),
+n as (select t.step, count(i.l_partkey) as n_entities, count(r.l_partkey) as n_found, count(*) filter (i.value = r.r) as n_right from t left join i on i.step <= t.step and (until is null or until > t.step) left join r on r.l_partkey = i.l_partkey group by 1)
+select step::bigint as step, n_entities, n_found, n_entities as n_facts, n_right, round(coalesce(n_found / nullif(n_entities, 0), 0), 4) as precision, round(n_found / (select count(*) from r), 4) as coverage,
+  round(2.0 * n_found / (n_entities + (select count(*) from r)), 4) as f1, round(coalesce(n_right / nullif(n_entities, 0), 0), 4) as field_accuracy from n""")
+def prefix_scores(spark, d):
+    changes = _changes(spark, d).where("change in ('set', 'replaced')").withColumn("step", F.floor(F.col("seq") / 1000))
+    last = changes.groupBy("l_partkey", "field", "step").agg(F.max_by("value", "seq").alias("value"), F.lit("set").alias("change"))
+    steps = _facts(spark, d).where("l_tax is not null").select(F.floor(F.col("seq") / 1000).alias("step")).distinct()
+    last = last.union(steps.select(F.lit(None).cast("long"), F.lit("tax"), "step", F.lit(None).cast("double"), F.lit("confirmed")))
+    most = table(spark, d, "lineitem").where("l_partkey % 3 <> 0").groupBy("l_partkey", "l_tax").count().groupBy("l_partkey").agg(F.min(F.struct((-F.col("count")).alias("n"), "l_tax")).alias("m"))
+    reference = most.select("l_partkey", F.lit("tax").alias("field"), F.col("m.l_tax").alias("r"))
+    return rounded(fusion.prefix_scores(last, reference, "l_partkey", "field", "step", "r"))
+
+
+@query()
+def incremental_fusion(spark, d):
+    rows = table(spark, d, "clients").withColumns({"tier": F.element_at(F.create_map(*map(F.lit, ("crm", 3, "partner", 2, "store", 2, "web", 1))), F.col("source")), "year": F.month("updated_at")})
+    steps, _ = growing_master.incremental_fusion(rows.where("source is not null"), "source", "client_id", "name", ["segment", "city"], "tier", "year")
+    return rounded(steps)
+
+
 @query(f"""{_RUN_SQL} select s_nationkey::bigint as s_nationkey, round(avg(flag), 6) as mean from s group by 1 order by avg(flag) desc, s_nationkey limit 1""")
 def best_model(spark, d):
     return rounded(fusion.best_group(_run_scores(spark, d), "s_nationkey", "l_returnflag_in_vocabulary"), 6)

@@ -117,7 +117,7 @@ def test_containment(spark):
 
 def test_fusion(spark):
     facts = spark.createDataFrame([("e", "cod", "2010", 1, 2020, 1), ("e", "cod", "2012", 2, 2019, 2), ("e", "cod", None, 3, 2024, 3), ("e", "cod", "2013", 2, 2019, 4)], "entity string, field string, value string, tier int, year int, seq int")
-    assert rows(fusion.authority(facts, "entity", "field", "value", ["tier", "year", "seq"])) == [("e", "cod", "2013", 3)]
+    assert rows(fusion.highest_authority(facts, "entity", "field", "value", ["tier", "year", "seq"])) == [("e", "cod", "2013", 3)]
     assert {(r["seq"], r["change"]) for r in fusion.authority_changes(facts, "entity", "field", "value", "tier", "year", "seq").collect()} == {(1, "set"), (2, "replaced"), (4, "replaced")}
     votes = spark.createDataFrame([(1, "x", "c", 1), (2, "x", "d", 1), (1, "y", "c", 2), (3, "z", "q", 1)], "run int, entity string, fuel string, ord int")
     assert rows(fusion.majority(votes, "run", "entity", ["fuel"], 3)) == [("x", 2, "c")]

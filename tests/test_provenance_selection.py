@@ -36,7 +36,7 @@ def test_citations(spark):
 def test_json_and_notes(spark):
     replies = spark.createDataFrame([('```json\n[{"k": 1}]\n```',), ('Here: [{"k": 2}, {"k": 3}] done',), ("no",)], "t string")
     assert [None if r[0] is None else [x["k"] for x in r[0]] for r in replies.select(provenance.json_array(F.col("t"), "struct<k: bigint>")).collect()] == [[1], [2, 3], None]
-    notes = spark.createDataFrame([("Capacity unverified",), ("fine",), (None,)], "n string")
+    notes = spark.createDataFrame([("Capacity uncertain",), ("fine",), (None,)], "n string")
     assert [r[0] for r in notes.select(provenance.honest(F.col("n"))).collect()] == [True, False, False]
 
 
