@@ -121,10 +121,10 @@ def nn_pu(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, positive: np.n
 
     The risk is prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)): what toxic rows add to the negative risk of the
     unlabelled is taken out of it. Where that difference falls below 0, which takes overfitting, the step goes up along
-    it instead. Adam over the whole bag.
+    it instead. Adam over the whole bag; the mean of the second half of its steps evens out those turns.
     """
     n_p, n_u = max(positive.sum(), 1), max((~positive).sum(), 1)
-    w, first, second = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
+    w, first, second, mean = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     w[-1] = np.log(prior / (1 - prior))
     for step in range(1, STEPS + 1):
         z = np.clip(np.bincount(rows, w[cols] * values, len(positive)) + w[-1], -30, 30)
@@ -138,7 +138,9 @@ def nn_pu(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, positive: np.n
         first += 0.1 * (g - first)
         second += 0.001 * (g * g - second)
         w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return w[:-1], float(w[-1])
+        if 2 * step > STEPS:
+            mean += w / (STEPS - STEPS // 2)
+    return mean[:-1], float(mean[-1])
 
 
 def train(texts: list[bytes], positive: np.ndarray, prior: float) -> WordModel:

@@ -43,7 +43,7 @@ class Axes:
         order = np.arange(len(values))[::-1][:components]
         order = order[values[order] > FLAT * max(values[-1], 0)] if len(values) else order
         values, vectors = values[order], vectors[:, order]
-        lead = np.abs(vectors).argmax(axis=0)
+        lead = np.abs(vectors).argmax(axis=0) if vectors.size else order
         vectors = vectors * np.where(vectors[lead, np.arange(len(order))] < 0, -1.0, 1.0)
         return cls(n, near, rest, vectors / np.sqrt(values), values / max(np.trace(cov), np.finfo(float).tiny))
 
