@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.operators.ordered import Ordered, medians, null_safe
+
 
 def _ratio(a: Column, b: Column) -> Column:
     """0 where the denominator is 0."""
@@ -46,31 +48,29 @@ def group_medians(rows: DataFrame, keys: list[str], values: list[str]) -> DataFr
     """Median, sample deviation (0 for one row), least and most of each value, and the number of rows."""
     aggregates = [F.count(F.lit(1)).alias("n")]
     for v in values:
-        aggregates += [F.median(v).alias(f"{v}_median"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias(f"{v}_sd"), F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max")]
-    return rows.groupBy(*keys).agg(*aggregates)
+        aggregates += [F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias(f"{v}_sd"), F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max")]
+    found = null_safe(rows.groupBy(*keys).agg(*aggregates), medians(rows, keys, {f"{v}_median": F.col(v) for v in values}), keys)
+    return found.select(*keys, "n", *[f"{v}_{x}" for v in values for x in ("median", "sd", "min", "max")])
 
 
 def low_middle_high(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first, upper-median and last row of each key by ``order``; all rows where there are three or fewer."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key)
-    ranked = rows.withColumn("_k", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    ranked = Ordered(rows, [key], order).place("_p").size("_n").done().withColumn("_k", F.col("_p") - 1).drop("_p")
     keep = (F.col("_n") <= 3) | F.col("_k").isin(0) | (F.col("_k") == F.floor(F.col("_n") / 2)) | (F.col("_k") == F.col("_n") - 1)
     return ranked.where(keep).drop("_k", "_n")
 
 
 def cost_summary(runs: DataFrame, key: str, cost: str, value: str, ok: Column) -> DataFrame:
     """Totals, mean of positive costs, and value spread over the runs that are ``ok``."""
-    return runs.groupBy(key).agg(
+    sums = runs.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.count_if(ok).alias("n_ok"),
         F.sum(cost).alias("cost_total"),
         F.avg(F.when(F.col(cost) > 0, F.col(cost))).alias("cost_mean"),
-        F.median(F.when(ok, F.col(value))).alias("value_median"),
         F.min(F.when(ok, F.col(value))).alias("value_min"),
         F.max(F.when(ok, F.col(value))).alias("value_max"),
     )
+    return null_safe(sums, medians(runs, [key], {"value_median": F.when(ok, F.col(value))}), [key])
 
 
 def with_total(rows: DataFrame, key: str, aggregates: list[Column], label: str = "All") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlake.operators.ordered import medians
 from quorumlake.sources.tables import written
 
 # Clips and cut-offs of the scores.
@@ -166,7 +167,8 @@ def coherence_rules(name: str, capacity: str, fuel: str, status: str, province:
 def coherence_medians(runs: DataFrame, model: str, total: str, flawed: str) -> DataFrame:
     """By model, over its runs: the median of rows, of rows with an issue, and of the share without one (0 of none)."""
     share = F.when(F.col(total) > 0, (F.col(total) - F.col(flawed)) / F.col(total)).otherwise(0.0)
-    return runs.groupBy(model).agg(F.floor(F.median(total)).cast("long").alias("n_rows"), F.floor(F.median(flawed)).cast("long").alias("n_flawed"), F.median(share).alias("coherence_rate"))
+    found = medians(runs, [model], {"_rows": F.col(total), "_flawed": F.col(flawed), "coherence_rate": share})
+    return found.select(model, F.floor("_rows").cast("long").alias("n_rows"), F.floor("_flawed").cast("long").alias("n_flawed"), "coherence_rate")
 
 
 def taxonomy_audit(rows: DataFrame, level: str, capacity: str, status: str, plant_cap: float = 1600.0, unit_cap: float = 1350.0) -> DataFrame:

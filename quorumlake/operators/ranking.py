@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlake.operators.ordered import Ordered
+
 TOLERANCE = 1e-3
 #: Parts of a stratum that are ranked apart.
 SPREAD = 64
@@ -70,7 +72,7 @@ def pivoted(rows: DataFrame, index: str, column: str, names: list, value) -> Dat
 def growth(steps: DataFrame, order: str, entity: str) -> DataFrame:
     """How many distinct entities each prefix of the steps knows: entities count from their first step on."""
     first = steps.groupBy(entity).agg(F.min(order).alias(order)).groupBy(order).agg(F.count(F.lit(1)).alias("n_new"))
-    return first.withColumn("n_known", F.sum("n_new").over(Window.orderBy(order)))
+    return Ordered(first, [], [order]).sum_before("n_new", "_b").done().withColumn("n_known", F.col("_b") + F.col("n_new")).drop("_b")
 
 
 def common(left: DataFrame, right: DataFrame, ident: str) -> DataFrame:

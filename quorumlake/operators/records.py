@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.functions import text as tx
+from quorumlake.operators.ordered import Ordered
 
 #: What a run record holds (fields that a file lacks are null).
 SCHEMA = (
@@ -194,8 +195,8 @@ def visibility(layers: DataFrame, flags: list[str], ident: str) -> DataFrame:
 
 def census_order(models: DataFrame, family: str, size: str, name: str) -> DataFrame:
     """Models by family, then size (unknown last), then name, with their place from 0."""
-    order = Window.orderBy(family, F.col(size).asc_nulls_last(), name)
-    return models.withColumn("place", F.row_number().over(order) - 1)
+    placed = Ordered(models.withColumn("_unknown", F.col(size).isNull()), [], [family, "_unknown", size, name]).place("_k").done()
+    return placed.withColumn("place", F.col("_k") - 1).drop("_k", "_unknown")
 
 
 def entity_order(entities: DataFrame, status: str, capacity: str, name: str, ranks: dict[str, int]) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlake.operators.ordered import Ordered
+
 #: Methods whose subsets are tried.
 METHODS = 16
 # Assumption thresholds; Abramowitz and Stegun 26.2.23.
@@ -51,8 +53,8 @@ def normal_quantile(p: Column) -> Column:
 
 def approximate_w(rows: DataFrame, key: str, value: str, ident: str) -> DataFrame:
     """Squared correlation of ordered values and Blom's normal scores, by key: near 1 for normal samples."""
-    w = Window.partitionBy(key)
-    scored = rows.withColumn("_p", (F.row_number().over(w.orderBy(value, ident)) - 0.375) / (F.count(F.lit(1)).over(w) + 0.25))
+    placed = Ordered(rows.select(key, value, ident), [key], [value, ident]).place("_k").size("_n").done()
+    scored = placed.withColumn("_p", (F.col("_k") - 0.375) / (F.col("_n") + 0.25))
     r = F.corr(value, normal_quantile(F.col("_p")))
     return scored.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.when(F.stddev_pop(value) > 0, r * r).alias("w"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions.distributions import binomial_tail, f_tail
+from quorumlake.operators.ordered import Ordered, medians
 
 RESAMPLES, EXACT_PAIRS = 10_000, 15
 
@@ -17,11 +18,10 @@ RESAMPLES, EXACT_PAIRS = 10_000, 15
 def midrank(rows: DataFrame, value: str, out: str, by: list[str]) -> DataFrame:
     """Rank from 1, ties sharing their mean rank, inside each group ``by``.
 
-    Ranks come from the counts of distinct values, so a value that many rows share is one row of the window.
+    Ranks come from the counts of distinct values, so a value that many rows share is one row, summed up over ranges.
     """
     counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn(out, before + (F.col("_c") + 1) / 2).drop("_c")
+    ranks = Ordered(counts, by, [value]).sum_before("_c", "_b").done().withColumn(out, F.col("_b") + (F.col("_c") + 1) / 2).drop("_c", "_b")
     return rows.join(ranks, [*by, value])
 
 
@@ -55,11 +55,9 @@ def within_gap(rows: DataFrame, model: str, veto: str, value: str) -> DataFrame:
 def bh_adjusted(tests: DataFrame, p: str, family: list[str], ident: str) -> DataFrame:
     """Benjamini-Hochberg within each family; a null p stays null."""
     known = tests.where(F.col(p).isNotNull())
-    w = Window.partitionBy(*family)
-    step = known.withColumn("_r", F.row_number().over(w.orderBy(p, ident))).withColumn("_m", F.count(F.lit(1)).over(w))
-    raw = step.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r"))
-    out = raw.withColumn("p_adjusted", F.least(F.min("_q").over(w.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)))
-    return out.drop("_r", "_m", "_q").unionByName(tests.where(F.col(p).isNull()).withColumn("p_adjusted", F.lit(None).cast("double")))
+    step = Ordered(known, family, [p, ident]).place("_r").size("_m").with_column("_q", F.col(p) * F.col("_m") / F.col("_r"))
+    out = step.least_from("_q", "_least").done().withColumn("p_adjusted", F.least("_least", F.lit(1.0)))
+    return out.drop("_r", "_m", "_q", "_least").unionByName(tests.where(F.col(p).isNull()).withColumn("p_adjusted", F.lit(None).cast("double")))
 
 
 def levene(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -198,7 +196,7 @@ def agreement(matches: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> Da
 
 def ranking_robustness(left: DataFrame, right: DataFrame, model: str, value: str, least: int = 3) -> DataFrame:
     """(rho, n): Spearman's correlation of models' medians in two tables, over the models in both; null below ``least``."""
-    median = lambda df, n: df.groupBy(model).agg(F.median(value).alias(n))
+    median = lambda df, n: medians(df, [model], {n: F.col(value)})
     both = median(left, "_x").join(median(right, "_y"), model).withColumn("_all", F.lit(1))
     out = spearman(both, "_x", "_y", ["_all"])
     return out.select(F.when(F.col("n") >= least, F.col("rho")).alias("rho"), "n")
