@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.functions.distributions import binomial_tail, f_tail
 from quorumlake.operators.ordered import Ordered, medians
+from quorumlake.sources.tables import written
 
 RESAMPLES, EXACT_PAIRS = 10_000, 15
 
@@ -33,15 +34,25 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def stratified_gamma(rows: DataFrame, stratum: str, ident: str, x: str, y: str) -> DataFrame:
-    """(concordant, discordant, gamma) over pairs inside a stratum, ties left out; 0 without pairs.
-
-    Rows are counted by (stratum, x, y) first: pairs of cells, weighted by their counts, replace pairs of rows."""
-    cells = rows.groupBy(stratum, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(ident).alias("_n"))
-    other = cells.select(F.col(stratum), F.col("_x").alias("_x2"), F.col("_y").alias("_y2"), F.col("_n").alias("_n2"))
-    pairs = cells.join(other, stratum).where("_x < _x2 and _y <> _y2")
-    up = F.sum(F.when(F.col("_y") < F.col("_y2"), F.col("_n") * F.col("_n2")).otherwise(0))
-    down = F.sum(F.when(F.col("_y") > F.col("_y2"), F.col("_n") * F.col("_n2")).otherwise(0))
-    out = pairs.agg(F.coalesce(up, F.lit(0)).alias("concordant"), F.coalesce(down, F.lit(0)).alias("discordant"))
+    """(concordant, discordant, gamma) over pairs inside a stratum, ties left out; 0 without pairs. Rows with a null in
+    stratum, x or y pair with none.
+
+    Rows are counted by (stratum, x, y) first. The places of a stratum's y make a binary tree of blocks: two cells of
+    different y lie in sibling blocks of one level. So each cell asks, at each level, how many rows of the sibling block
+    have a smaller x; those of a lower block are concordant, those of a higher one discordant. The answers are sums over
+    ordered ranges; every exchange has a row for each cell and level, never one for each pair.
+    """
+    cells = rows.where(F.col(stratum).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    cells = written(cells.groupBy(F.col(stratum).alias("_s"), F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(ident).alias("_n")), "cells")
+    places = written(Ordered(cells.select("_s", "_y").distinct(), ["_s"], ["_y"]).place("_k").done(), "places")
+    depth = max(1, ((places.agg(F.max("_k")).first()[0] or 1) - 1).bit_length())
+    tree = cells.join(places, ["_s", "_y"]).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))).withColumn("_b", F.expr("shiftright(_k - 1, _l)"))
+    held = tree.groupBy("_s", "_l", "_b", "_x").agg(F.sum("_n").alias("_w")).select("_s", "_l", "_b", "_x", F.lit(1).alias("_held"), "_w", F.lit(0).cast("long").alias("_n"))
+    asks = tree.withColumn("_b", F.col("_b").bitwiseXOR(F.lit(1).cast("long"))).groupBy("_s", "_l", "_b", "_x").agg(F.sum("_n").alias("_n")).select("_s", "_l", "_b", "_x", F.lit(0).alias("_held"), F.lit(0).cast("long").alias("_w"), "_n")
+    told = Ordered(held.union(asks), ["_s", "_l", "_b"], ["_x", "_held"]).sum_before("_w", "_less").done()
+    lower = F.col("_b") % 2 == 0
+    sums = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n") * F.col("_less"))), F.lit(0))
+    out = told.agg(sums(lower).alias("concordant"), sums(~lower).alias("discordant"))
     total = F.col("concordant") + F.col("discordant")
     return out.withColumn("gamma", F.when(total > 0, (F.col("concordant") - F.col("discordant")) / total).otherwise(0.0))
 
