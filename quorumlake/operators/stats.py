@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +9,6 @@ from quorumlake.functions.distributions import binomial_tail, f_tail
 from quorumlake.operators.ordered import Ordered, medians
 from quorumlake.sources.tables import written
 
-RESAMPLES, EXACT_PAIRS = 10_000, 15
-
 
 def midrank(rows: DataFrame, value: str, out: str, by: list[str]) -> DataFrame:
     """Rank from 1, ties sharing their mean rank, inside each group ``by``.
@@ -148,44 +142,6 @@ def sign_test(rows: DataFrame, agent: str, difference: str, least: int = 3) -> D
     return rows.sparkSession.createDataFrame([(int(k), int(n), binomial_tail(k, n) if n else 1.0)], "k long, n long, p double")
 
 
-def _quantile_indices(n: int, alpha: float) -> tuple[int, int]:
-    return int(alpha / 2 * n), int((1 - alpha / 2) * n) - 1
-
-
-def bootstrap_ci(rows: DataFrame, key: str, value: str, resamples: int = RESAMPLES, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of the mean by key. The samples of a key are a run list (short); draws are seeded by key."""
-
-    def draw(table: pd.DataFrame) -> pd.DataFrame:
-        x = table[value].to_numpy(np.float64)
-        rng = np.random.default_rng(int.from_bytes(str(table[key].iloc[0]).encode()[:8].ljust(8, b"\0"), "little"))
-        means = np.sort([rng.choice(x, len(x)).mean() for _ in range(resamples)])
-        low, high = _quantile_indices(resamples, alpha)
-        return pd.DataFrame({key: [table[key].iloc[0]], "mean": [x.mean()], "low": [means[low]], "high": [means[high]]})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(draw, f"{key} {kind}, mean double, low double, high double")
-
-
-def paired_test(rows: DataFrame, key: str, difference: str, resamples: int = RESAMPLES) -> DataFrame:
-    """Two-sided sign-flip permutation test by key: all sign patterns for up to EXACT_PAIRS pairs, else seeded draws."""
-
-    def test(table: pd.DataFrame) -> pd.DataFrame:
-        d = table[difference].dropna().to_numpy(np.float64)
-        seen = abs(d.mean()) if len(d) else 0.0
-        if not len(d):
-            p = 1.0
-        elif len(d) <= EXACT_PAIRS:
-            signs = np.array(list(itertools.product((1, -1), repeat=len(d))))
-            p = float((np.abs(signs @ d) / len(d) >= seen - 1e-12).mean())
-        else:
-            signs = np.random.default_rng(len(d)).choice((1, -1), (resamples, len(d)))
-            p = float((np.abs(signs @ d) / len(d) >= seen - 1e-12).mean())
-        return pd.DataFrame({key: [table[key].iloc[0]], "mean": [float(d.mean()) if len(d) else 0.0], "p": [p]})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(test, f"{key} {kind}, mean double, p double")
-
-
 def drift_gate(baseline: DataFrame, current: DataFrame, key: str, value: str, floor: float = 0.005) -> DataFrame:
     """Every key of either side with its verdict against mean +- 2 max(sd, floor), clipped to [0, 1]."""
     base = baseline.groupBy(key).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.count(value).alias("n"))

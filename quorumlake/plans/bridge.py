@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.functions import text as tx
 from quorumlake.functions.similarity import with_similarity
-from quorumlake.operators import extract, fusion, fuzzy_join, growing_master, mart, matching, metrics, provenance, quality, ranking, selection, stats
+from quorumlake.operators import extract, fusion, fuzzy_join, growing_master, mart, matching, metrics, provenance, quality, ranking, resampling, selection, stats
 from quorumlake.plans.registry import query, r4, rounded
 from quorumlake.sources.tables import table
 from quorumlake.streaming import jobs
@@ -449,7 +449,7 @@ def sign_test(spark, d):
 
 @query()
 def bootstrap(spark, d):
-    return rounded(stats.bootstrap_ci(_run_scores(spark, d), "s_nationkey", "l_returnflag_in_vocabulary"))
+    return rounded(resampling.bootstrap_ci(_run_scores(spark, d), "s_nationkey", "l_returnflag_in_vocabulary"))
 
 
 @query("""with d as (select s_nationkey, s_suppkey, s_acctbal - 4500 as d, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as i from supplier),
@@ -458,7 +458,7 @@ t as (select f.s_nationkey, f.mask, any_value(f.m) as m, sum(case when (f.mask >
 select s_nationkey::bigint as s_nationkey, round(any_value(m), 4) as mean, round(avg((abs(s) >= abs(m) - 1e-9)::int), 6) as p from t group by 1""")
 def paired_test(spark, d):
     rows = table(spark, d, "supplier").withColumn("x", F.col("s_acctbal") - 4500)
-    out = stats.paired_test(rows, "s_nationkey", "x")
+    out = resampling.paired_test(rows, "s_nationkey", "x")
     return out.select(F.col("s_nationkey").cast("long").alias("s_nationkey"), r4("mean").alias("mean"), F.round("p", 6).alias("p"))
 
 

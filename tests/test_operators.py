@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quorumlake.operators import extract, fusion, matching, metrics, quality, ranking, stats
+from quorumlake.operators import extract, fusion, matching, metrics, quality, ranking, resampling, stats
 from quorumlake.sources import tables
 from quorumlake.streaming import jobs
 
@@ -170,7 +170,7 @@ def test_anova_and_permutation(spark):
     assert abs(sum(r["ss"] for r in got.values()) - sum((c[2] - mean) ** 2 for c in cells)) < 1e-9
     assert got["residual"]["df"] == 4 and abs(got["a"]["ss"] - 2 * 4 * (2.75 - mean) ** 2) < 1e-9
     d = spark.createDataFrame([("k", 1.0), ("k", 2.0), ("k", 3.0)], "k string, d double")
-    assert stats.paired_test(d, "k", "d").first()["p"] == 0.25
+    assert resampling.paired_test(d, "k", "d").first()["p"] == 0.25
 
 
 def test_screens(spark):
