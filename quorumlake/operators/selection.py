@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.operators.ordered import Ordered
+from quorumlake.sources.tables import written
 
-#: Methods whose subsets are tried.
-METHODS = 16
 # Assumption thresholds; Abramowitz and Stegun 26.2.23.
 W_LEAST, LEVENE_MOST, UNSTABLE = 0.9, 2.0, 0.05
 AS_C, AS_D = (2.515517, 0.802853, 0.010328), (1.432788, 0.189269, 0.001308)
@@ -72,19 +70,40 @@ def token_projection(turns: DataFrame, key: str, turn: str, tokens: str, upto: i
     return per.withColumn("projected", F.col("last") + more * F.col("growth"))
 
 
-def balanced_subset(have: pd.DataFrame, model: str, method: str) -> tuple[list[str], list[str]]:
-    """The methods (and the models that have them all) with most models times methods, of every set of at most METHODS
-    methods: a table of models and their methods on the driver, whose size its caller has checked."""
-    methods = sorted(have[method].unique())
-    if len(methods) > METHODS:
-        raise ValueError(f"more than {METHODS} methods: the subsets are too many to try")
-    of = have.groupby(model)[method].agg(set)
-    best: tuple[int, int, list[str], list[str]] = (0, 0, [], [])
-    for mask in range(1, 1 << len(methods)):
-        chosen = [m for k, m in enumerate(methods) if mask >> k & 1]
-        models = sorted(of.index[of.map(lambda s, c=chosen: s.issuperset(c))])
-        best = max(best, (len(models) * len(chosen), len(chosen), chosen, models), key=lambda x: x[:2])
-    return best[2], best[3]
+def balanced_subset(have: DataFrame, model: str, method: str, least: int = 1) -> DataFrame:
+    """(methods, n_methods, n_models, score): the set of methods with most models that have all of it times methods, of every
+    set that ``least`` models share; of equals the one of more methods, then the first by name. Empty without rows.
+
+    Models are counted by the methods that they have, so that many equal ones are one row. Sets grow by one later method at
+    a time, from those patterns that hold them; a set stays only while its models times the methods of its longest pattern
+    could beat the best score yet, a bound that no larger set exceeds. Only the best score of a round reaches the driver.
+    """
+    known = have.where(F.col(model).isNotNull() & F.col(method).isNotNull()).select(F.col(model).alias("_m"), F.col(method).alias("_x")).distinct()
+    patterns = known.groupBy("_m").agg(F.array_sort(F.collect_list("_x")).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    patterns = written(patterns, "patterns")
+    # a set's place in a pattern is that of its last method: later ones may follow
+    open_ = patterns.select("pattern", "n", F.posexplode("pattern").alias("last", "x")).select("pattern", "n", "last", F.array("x").alias("methods"))
+    found, best, size = [], 0, 1
+    while True:
+        sums = open_.groupBy("methods").agg(F.sum("n").alias("n_models"), F.max(F.size("pattern")).alias("longest")).where(F.col("n_models") >= least)
+        sums = written(sums, "method-sets")
+        top = sums.agg(F.max("n_models")).first()[0]
+        if top is None:
+            break
+        best = max(best, top * size)
+        found.append(sums.select("methods", F.lit(size).cast("long").alias("n_methods"), "n_models", (F.col("n_models") * size).alias("score")).where(F.col("score") >= best))
+        kept = sums.where((F.col("n_models") * F.col("longest") >= best) & (F.col("longest") > size)).select("methods")
+        held = open_.join(kept, "methods").select("pattern", "n", "methods", "last")
+        more = F.slice("pattern", F.col("last") + 2, F.size("pattern"))
+        grown = held.select("*", F.posexplode(more).alias("step", "x"))
+        open_ = written(grown.select("pattern", "n", (F.col("last") + 1 + F.col("step")).alias("last"), F.concat("methods", F.array("x")).alias("methods")), "grown")
+        size += 1
+    if not found:
+        return patterns.limit(0).select(F.col("pattern").alias("methods"), F.lit(0).cast("long").alias("n_methods"), F.col("n").alias("n_models"), F.col("n").alias("score"))
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out.orderBy(F.desc("score"), F.desc("n_methods"), "methods").limit(1)
 
 
 def rollup_with_phases(units: DataFrame, keys: list[str], name: str, phase: str, groupable: str, capacity: str) -> DataFrame:

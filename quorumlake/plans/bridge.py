@@ -447,6 +447,18 @@ def sign_test(spark, d):
     return rounded(stats.sign_test(table(spark, d, "supplier").withColumn("x", F.col("s_acctbal") - 4500), "s_nationkey", "x"), 6)
 
 
+_KINDS_SQL = "['click', 'error', 'purchase', 'signup', 'view']"
+
+
+@query(f"""with h as (select user_id, sum(distinct 1 << (list_position({_KINDS_SQL}, event_type) - 1)) as mask from events where value > 90 and event_type is not null group by 1),
+s as (select m.mask, bit_count(m.mask) as k, count(*) as n from range(1, 32) m(mask) join h on (h.mask::bigint & m.mask) = m.mask group by 1, 2),
+t as (select n, k, array_to_string(list_filter({_KINDS_SQL}, lambda x: mask & (1 << (list_position({_KINDS_SQL}, x) - 1)) <> 0), ' ') as methods from s)
+select methods, k::bigint as n_methods, n as n_models, k * n as score from t order by k * n desc, k desc, methods limit 1""")
+def balanced_methods(spark, d):
+    rows = table(spark, d, "events").where("value > 90")
+    return selection.balanced_subset(rows, "user_id", "event_type").withColumn("methods", F.array_join("methods", " "))
+
+
 @query()
 def bootstrap(spark, d):
     return rounded(resampling.bootstrap_ci(_run_scores(spark, d), "s_nationkey", "l_returnflag_in_vocabulary"))

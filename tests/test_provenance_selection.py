@@ -1,6 +1,8 @@
 """Provenance, selection and comparison operators on small tables."""
 
-import pandas as pd
+import itertools
+import random
+
 from pyspark.sql import functions as F
 
 from quorumlake.operators import mart, provenance, selection
@@ -40,9 +42,25 @@ def test_json_and_notes(spark):
     assert [r[0] for r in notes.select(provenance.honest(F.col("n"))).collect()] == [True, False, False]
 
 
-def test_balanced_subset():
-    have = pd.DataFrame([(m, x) for m in "abc" for x in ("p", "q")] + [("d", "p"), ("e", "r")], columns=["model", "method"])
-    assert selection.balanced_subset(have, "model", "method") == (["p", "q"], ["a", "b", "c"])
+def test_balanced_subset(spark):
+    make = lambda rows: spark.createDataFrame(rows, "model string, method string")
+    have = [(m, x) for m in "abc" for x in ("p", "q")] + [("d", "p"), ("e", "r"), (None, "q"), ("a", None), ("a", "p")]
+    assert [tuple(r) for r in selection.balanced_subset(make(have), "model", "method").collect()] == [(["p", "q"], 2, 3, 6)]
+    rng = random.Random(2)
+    for _ in range(2):
+        rows = [(f"m{k}", f"x{j:02}") for k in range(30) for j in range(9) if rng.random() < rng.choice([0.3, 0.8])]
+        of = {m: {x for y, x in rows if y == m} for m, _ in rows}
+        names, best = sorted({x for _, x in rows}), []
+        for size in range(1, 10):
+            for chosen in itertools.combinations(names, size):
+                n = sum(s >= set(chosen) for s in of.values())
+                best.append((-n * size, -size, list(chosen), n))
+        s, size, chosen, n = min(best)
+        assert [tuple(r) for r in selection.balanced_subset(make(rows), "model", "method").collect()] == [(chosen, -size, n, -s)]
+    wide = make([(f"m{k}", f"y{j:02}") for k in range(3) for j in range(20) if j < 2 or j % 3 == k])  # more than 16 methods
+    assert [tuple(r) for r in selection.balanced_subset(wide, "model", "method").collect()] == [([f"y{j:02}" for j in range(20) if j < 2 or j % 3 == 2], 8, 1, 8)]
+    assert selection.balanced_subset(make([]), "model", "method").count() == 0
+
 
 
 def test_selection(spark):
