@@ -137,23 +137,24 @@ def _sheet_rows(sheet: str):
         of = lambda p, n: f"{{{_ODS[p]}}}{n}"
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                root, out = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("content.xml")), []
+                root, out, at = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("content.xml")), [], 0
                 for table_ in root.iter(of("table", "table")):
                     if table_.get(of("table", "name")) != sheet:
                         continue
                     for row in table_.iter(of("table", "table-row")):
                         cells: list[str] = []
+                        blanks = 0  # empty cells count once a filled one follows, however often they are repeated
                         for cell in row:
                             if cell.tag in (of("table", "table-cell"), of("table", "covered-table-cell")):
                                 text = "\n".join("".join(p.itertext()) for p in cell.iter(of("text", "p")))
-                                cells += [text] * min(int(cell.get(of("table", "number-columns-repeated"), 1)), 1024)
-                        while cells and not cells[-1]:
-                            cells.pop()
+                                n = int(cell.get(of("table", "number-columns-repeated"), 1))
+                                if text:
+                                    cells += [""] * blanks + [text] * n
+                                blanks = 0 if text else blanks + n
                         times = int(row.get(of("table", "number-rows-repeated"), 1))
-                        out += [cells] * (times if cells else min(times, 1 << 16))
-                while out and not out[-1]:
-                    out.pop()
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(out)), pa.array(list(range(len(out))), pa.int64()), pa.array(out, pa.list_(pa.string()))], ["path", "row_no", "cells"])
+                        out += [(at + k, cells) for k in range(times if cells else 0)]
+                        at += times
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(out)), pa.array([k for k, _ in out], pa.int64()), pa.array([c for _, c in out], pa.list_(pa.string()))], ["path", "row_no", "cells"])
 
     return rows
 

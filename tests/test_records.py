@@ -104,6 +104,12 @@ def test_sheets_and_settings(spark, tmp_path):
     assert [(r["name"], r["note"]) for r in got] == [("A", None), ("B", "x")]
     with pytest.raises(Exception, match="not in the sheet: Nope"):
         tables.read_ods(spark, str(tmp_path / "f.ods"), "Plants", {"Nope": "x"}, 1).collect()
+    far = '<table:table-cell table:number-columns-repeated="1500"/><table:table-cell><text:p>{}</text:p></table:table-cell><table:table-cell table:number-columns-repeated="9000"/></table:table-row>'
+    wide = row("Name")[: -len("</table:table-row>")] + far.format("Far") + '<table:table-row table:number-rows-repeated="70000"><table:table-cell/></table:table-row>' + row("C")[: -len("</table:table-row>")] + far.format("y")
+    with zipfile.ZipFile(tmp_path / "g.ods", "w") as z:
+        z.writestr("content.xml", xml.replace(body, wide + '<table:table-row table:number-rows-repeated="1000000"><table:table-cell table:number-columns-repeated="16384"/></table:table-row>'))
+    got = tables.read_ods(spark, str(tmp_path / "g.ods"), "Plants", {"Name": "name", "Far": "far"}).collect()
+    assert [(r["row_no"], r["name"], r["far"]) for r in got] == [(70001, "C", "y")]  # repeats of any number keep their places
     (tmp_path / "c.toml").write_text('[models.a]\nprice = 1.5\nname = "A"\n[models.b]\ntags = ["x"]\n')
     table = tables.config_table(spark, tables.read_config(str(tmp_path / "c.toml"))["models"], "slug").orderBy("slug").collect()
     assert [tuple(r) for r in table] == [("a", "A", "1.5", None), ("b", None, None, '["x"]')]
