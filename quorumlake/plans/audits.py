@@ -266,6 +266,11 @@ def failure_classes(spark, d):
     return table(spark, d, "events").select("event_id", records.failure_class(kind, status, code, F.lit(None).cast("string"), message, bodies=False).alias("x")).select("event_id", "x.*")
 
 
+@query()
+def document_inventories(spark, d):
+    return inventory.ingested(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")[1]
+
+
 @query("""with e as (select event_id, event_type, [429, 500, 503, 200, 404][user_id % 5 + 1] as status, ['Daily limit reached', 'insufficient credit', 'see BILLING page', 'slow down', 'payment of fees', 'quota exceeded', 'per minute'][event_id % 7 + 1] as message from events),
 k as (select *, event_id % 7 in (1, 2) as spent, event_id % 7 in (0, 5) as quota from e)
 select event_id, case when status = 404 then 'PERMANENT_SKIP' when status = 503 then 'SOFT_RETRY' when spent or quota then 'HARD_STOP' else 'SOFT_RETRY' end as disposition, case when spent and status not in (404, 429, 503) then 'router' else 'model' end as scope from k""")

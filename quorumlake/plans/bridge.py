@@ -6,13 +6,15 @@ order for an entity. Doubles are rounded alike on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quorumlake.functions import text as tx
 from quorumlake.functions.similarity import with_similarity
 from quorumlake.operators import extract, fusion, fuzzy_join, growing_master, mart, matching, metrics, provenance, quality, ranking, resampling, selection, stats
 from quorumlake.plans.registry import query, r4, rounded
-from quorumlake.sources.tables import table
+from quorumlake.sources.tables import merge_mart, shared_dir, table, written
 from quorumlake.streaming import jobs
 
 TAUS = (0.0, 0.25, 0.5, 0.75)
@@ -709,6 +711,18 @@ def text_sections(spark, d):
     return extract.sections(table(spark, d, "documents"), "doc_id", "text", r"^([A-Z][a-z]+)[.]$")
 
 
+@query(r"""with l as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) - 1 as n from (select doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') as t from documents where text is not null)),
+p as (select doc_id, n, trim(line) as line, length(line) - length(replace(line, '|', '')) as pipes from l where length(line) - length(replace(line, '|', '')) >= 2),
+g as (select *, case when line like '%|' and line not like '|%' and pipes >= 3 then substr(line, strpos(line, '|')) else line end as cut, n - row_number() over (partition by doc_id order by n) + 1 as table_no from p),
+r as (select doc_id, table_no, n, list_transform(string_split(regexp_replace(cut, '^\|+|\|+$', '', 'g'), '|'), lambda c: trim(c)) as cells from g where pipes >= 3 and not regexp_matches(cut, '^[\s\-:|]+$')),
+w as (select *, first_value(len(cells)) over (partition by doc_id, table_no order by n) as width from r),
+k as (select *, row_number() over (partition by doc_id, table_no order by n) - 1 as row_no, count(*) over (partition by doc_id, table_no) as c from w where len(cells) = width)
+select doc_id, table_no::bigint as table_no, row_no::bigint as row_no, array_to_string(cells, ';') as cells from k where c >= 2""")
+def document_tables(spark, d):
+    rows = extract.pipe_table_rows(table(spark, d, "documents"), "doc_id", "text")
+    return rows.select("doc_id", "table_no", F.col("row_no").cast("long").alias("row_no"), F.array_join("cells", ";").alias("cells"))
+
+
 @query("""with w as (select doc_id, regexp_split_to_array(text, '\\s+')[1] as word from documents where text is not null)
 select doc_id, 1::bigint as table_no, unnest([0, 1, 2])::bigint as row_no, unnest(['Plant name;Fuel;Capacity (MW)', trim(word) || ';coal;1.200', 'Unit 3;gas;300']) as cells from w""")
 def pipe_tables(spark, d):
@@ -716,6 +730,22 @@ def pipe_tables(spark, d):
     return extract.pipe_table_rows(table(spark, d, "documents").withColumn("text", made), "doc_id", "text").select("doc_id", "table_no", F.col("row_no").cast("long").alias("row_no"), F.array_join("cells", ";").alias("cells"))
 
 
+@query("""with o as (select o_custkey as k, count(*) as n_first, sum(o_totalprice) as v_first, count(*) filter (o_orderkey % 3 <> 0) as n_again, sum(o_totalprice) filter (o_orderkey % 3 <> 0) as v_again from orders group by 1)
+select case when k % 2 = 0 and n_again > 0 then 'again' else 'first' end as record_kind, count(*) as n_records, round(sum(case when k % 2 = 0 and n_again > 0 then v_again else v_first end), 2) as total, 0::bigint as n_differ from o group by 1""")
+def mart_replay(spark, d):
+    orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "k")
+    sums = lambda df, kind: df.groupBy("k").agg(F.round(F.sum("o_totalprice"), 2).alias("total")).withColumn("record_kind", F.lit(kind))
+    path = f"{shared_dir(spark)}/mart-{uuid.uuid4().hex}"
+    again = sums(orders.where("k % 2 = 0 and o_orderkey % 3 <> 0"), "again")
+    merge_mart(sums(orders, "first"), path, ["k"])
+    merge_mart(again, path, ["k"])
+    once = written(spark.read.parquet(path), "mart-once")
+    merge_mart(again, path, ["k"])  # a batch that comes twice changes nothing
+    differ = ranking.parity(once.withColumn("x", F.xxhash64("total", "record_kind").cast("double")), spark.read.parquet(path).withColumn("x", F.xxhash64("total", "record_kind").cast("double")), ["k"], ["x"])
+    rows = once.groupBy("record_kind").agg(F.count(F.lit(1)).alias("n_records"), F.round(F.sum("total"), 2).alias("total"))
+    return rows.crossJoin(F.broadcast(differ.agg(F.sum("n_differ").alias("n_differ"))))
+
+
 @query("""select page_id, length(html) - length(replace(html, chr(10), '')) as n_lines, len(regexp_extract_all(html, '(?i)<table'))::bigint as n_tables, len(regexp_extract_all(html, '(?i)<tr'))::bigint as n_rows, len(regexp_extract_all(html, '(?i)<li'))::bigint as n_items,
   len(regexp_extract_all(html, '(?i)<a\\s'))::bigint as n_links, len(regexp_extract_all(html, '(?i)<h[1-6]'))::bigint as n_headings from pages""")
 def converter_counters(spark, d):

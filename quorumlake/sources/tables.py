@@ -218,3 +218,33 @@ def append_csv(df: DataFrame, path: str) -> None:
 def write_mart(df: DataFrame, path: str) -> None:
     """Parquet by record kind, so that a view reads its kind only."""
     df.write.mode("overwrite").partitionBy("record_kind").parquet(path)
+
+
+def merge_mart(rows: DataFrame, path: str, keys: list[str], kind: str = "record_kind") -> None:
+    """Records by kind (a plain word), one for each of ``keys`` (not null): ``rows``, of which equal ones count once, take the place of those
+    that the mart has with their keys, of whatever kind; a batch that is written twice changes nothing.
+
+    Only the kinds that lose or gain a record are written again: they are put together in a folder of their own first, as
+    the mart can't be read and overwritten at once, then put in place by dynamic overwriting; a kind that has no record left
+    goes. Two rows of a key that differ are an error.
+    """
+    spark = rows.sparkSession
+    new = written(rows.distinct(), "mart-batch")
+    if not new.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError(f"a batch with several records of one key {keys}")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        new.write.partitionBy(kind).parquet(path)
+        return
+    old = spark.read.parquet(path)
+    left = old.join(new.select(*keys), keys, "left_semi").select(kind).distinct()
+    touched = [r[0] for r in left.union(new.select(kind)).distinct().collect()]  # kinds are few: each is a folder
+    kept = old.where(F.col(kind).isin(touched)).join(new.select(*keys), keys, "left_anti")
+    merged = written(kept.unionByName(new), "mart-merged")
+    there = {r[0] for r in merged.select(kind).distinct().collect()}
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(kind).parquet(path)
+    for gone in set(touched) - there:
+        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{kind}={gone}"), True)
+    dropped(new)
+    dropped(merged)

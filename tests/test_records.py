@@ -125,3 +125,17 @@ def test_small_remains(spark):
     assert got == {"s1": (1, 1, 1, 1), "s2": (1, 0, 2, 0)}
     codes = spark.createDataFrame([(1, "[3]"), (1, "S4"), (1, ""), (2, "free text"), (3, None)], "id int, c string")
     assert {r["id"]: r["style"] for r in extract.citation_style(codes, "id", "c").collect()} == {1: "key_ref", 2: "free", 3: "free"}
+
+
+def test_repeatable_mart(spark, tmp_path):
+    path, schema = str(tmp_path / "mart"), "k long, v double, record_kind string"
+    batches = [[(1, 1.0, "a"), (2, 2.0, "a"), (3, 3.0, "b"), (3, 3.0, "b")], [(2, 5.0, "b"), (4, 4.0, "c")], [(4, 6.0, "b")], [(1, None, "a")]]
+    held = {}
+    for batch in batches:
+        for _ in range(2):  # each batch comes twice
+            tables.merge_mart(spark.createDataFrame(batch, schema), path, ["k"])
+        held |= {r[0]: r for r in batch}
+        assert sorted(map(tuple, spark.read.parquet(path).select("k", "v", "record_kind").collect())) == sorted(held.values())
+    assert sorted(p.name for p in (tmp_path / "mart").glob("record_kind=*")) == ["record_kind=a", "record_kind=b"]
+    with pytest.raises(ValueError, match="several records"):
+        tables.merge_mart(spark.createDataFrame([(1, 1.0, "a"), (1, 2.0, "a")], schema), path, ["k"])
