@@ -159,6 +159,10 @@ def held_out():
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score), a row for each row of ``documents``; see ``fit`` and ``predict``. Texts are read
+    whole. A null doc_id is not held out; rows without one share a hash, so that the fit reads all of them or none;
+    repeated rows have equal predictions; a null or empty text, or one without letters, is ``und``. An empty table gives an
+    empty result; a table without any lang predicts ``und`` for all. Other columns are not read."""
     docs = documents(spark, sf_dir)
     model = fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
     out = predict(docs.select("doc_id", "text"), model)

@@ -145,7 +145,11 @@ def _told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row of ``docs``:
     its text (null: empty) against its edited text, whose last half is the start of the next document, and against the
-    next document. A single document is its own next one."""
+    next document. A single document is its own next one.
+
+    A null doc_id comes before all others. Of rows that share a doc_id the one with the lesser hash of its text comes first;
+    repeated rows follow each other, and all are returned. An empty text has an empty fingerprint. An empty table gives an
+    empty result; other columns are not read."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs).mapInArrow(_told, schema)
 
@@ -164,4 +168,6 @@ def anchor_table(docs: DataFrame) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of whole texts, a row for
+    each row; see ``fingerprint_pairs``."""
     return fingerprint_pairs(documents(spark, sf_dir))
