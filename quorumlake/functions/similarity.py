@@ -142,6 +142,35 @@ def similarity(kind: str, a: Column, b: Column) -> Column:
     return scored(a, b)
 
 
+def may_reach(kind: str, a: Sequence[str], b: Sequence[str], least: float) -> np.ndarray:
+    """Whether pairs can score ``least``: a common subsequence is no longer than the characters in common, in any order
+    (counted in 64 classes of them, which adds to that at most)."""
+    at = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
+    sizes = np.array([len(x) for x in at], np.int64)
+    codes = np.frombuffer("".join(at).encode("utf-32-le", "surrogatepass"), np.uint32) & 63
+    counts = np.bincount(np.repeat(np.arange(len(at)), sizes) * 64 + codes, minlength=64 * len(at)).reshape(-1, 64).astype(np.int32)
+    i, j = np.array([at[x] for x in a], np.int64), np.array([at[x] for x in b], np.int64)
+    common = np.minimum(counts[i], counts[j]).sum(axis=1)
+    # the best window is as long as what it has in common at least
+    whole = np.minimum(sizes[i], sizes[j]) + common if kind == "partial_ratio" else sizes[i] + sizes[j]
+    return (200.0 * common >= least * whole - 1e-6) | (i == j)
+
+
+def similarity_from(kind: str, a: Column, b: Column, least: float) -> Column:
+    """``similarity``, -1 for pairs that can't reach ``least``, which are told before they are scored."""
+    of, key = KINDS[kind], _in_order if kind == "token_sort_ratio" else str
+
+    @F.pandas_udf("double")
+    def scored(x: pd.Series, y: pd.Series) -> pd.Series:
+        left, right, out = [key(v) for v in x], [key(v) for v in y], np.full(len(x), -1.0)
+        if len(x):
+            may = np.flatnonzero(may_reach(kind, left, right, least))
+            out[may] = of([left[k] for k in may], [right[k] for k in may])
+        return pd.Series(out)
+
+    return scored(a, b)
+
+
 def with_similarity(pairs: DataFrame, kind: str, a: str, b: str, out: str = "score") -> DataFrame:
     """Adds ``out``; each distinct pair of texts is scored once and joined back."""
     distinct = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()

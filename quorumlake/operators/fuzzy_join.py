@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.functions.similarity import similarity
+from quorumlake.functions.similarity import similarity_from
 from quorumlake.sources.tables import written
 
 #: Lengths of grams; a text is looked up by those that promise the fewest candidates.
@@ -101,7 +101,7 @@ def scored_pairs(x: Listed, y: Listed, kind: str, least: float) -> DataFrame:
     equal = x.texts.select("text", F.col("id").alias("a")).join(y.texts.select("text", F.col("id").alias("b")), "text").select("a", "b")
     pairs = candidates(x, y, kind, least).union(turned).union(equal).distinct()
     full = pairs.join(x.raw("a", "_a"), "a").join(y.raw("b", "_b"), "b")
-    return full.withColumn("score", similarity(kind, F.col("_a"), F.col("_b"))).where(F.col("score") >= least)
+    return full.withColumn("score", similarity_from(kind, F.col("_a"), F.col("_b"), least)).where(F.col("score") >= least)
 
 
 def alike(left: DataFrame, right: DataFrame, a: str, b: str, kind: str, least: float) -> DataFrame:
@@ -120,7 +120,7 @@ def alike_within(names: DataFrame, name: str, kind: str, least: float) -> DataFr
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     full = pairs.join(x.raw("a", "_a"), "a").join(x.raw("b", "_b"), "b")
     full = full.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-    return full.withColumn("score", similarity(kind, F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    return full.withColumn("score", similarity_from(kind, F.col("a"), F.col("b"), least)).where(F.col("score") >= least)
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, query: str, name: str, kind: str = "partial_ratio", least: float = 0.0) -> DataFrame:
