@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.functions.text import canonical_header, host, in_domains, urls
 from quorumlake.operators.fuzzy_join import holders
+from quorumlake.operators.provenance import tier
 
 ATTRIBUTES = ("fuel", "status", "cod", "province", "capacity_mwe")
 HEADER_WORDS = ("name", "fuel", "status", "province", "capacity")
@@ -117,6 +118,40 @@ def bibliography(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lines.select(key, number.try_cast("int").alias("number"), entry.alias("entry")).where("number is not null")
 
 
+def bibliography_counts(docs: DataFrame, key: str, text: str, primary: str, secondary: str) -> DataFrame:
+    """(key, form, n_entries, n_primary) of each text's section below a bibliography heading ("#" to "####"), which ends
+    at the next heading of its level or a higher one.
+
+    Entries are rows of a pipe table whose first filled cell is a code like S1 or [S01] (``table``); where there is none,
+    lines "1. **..." (``numbered``); where there is none either, lines "**[S01]..." (``bold``). ``n_primary`` counts table
+    rows of primary tier (patterns as in ``provenance.tier``), whatever their first cell is; without any, the entries of
+    both other forms, each with the lines that follow it up to the next. A text without a section, an empty or a null one
+    has no form and counts of 0. All of it happens inside the row.
+    """
+    lines = F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\x01", " "), "\n"), lambda x: F.trim(x))
+    heading = F.transform("_lines", lambda x, i: F.when(x.rlike(r"(?i)^#{1,4}\s+.*(?:bibliography|references)"), i))
+    first = F.array_min(heading)
+    rank = lambda x: F.length(F.regexp_extract(x, r"^(#\S*)", 1))
+    ends = F.array_min(F.transform("_lines", lambda x, i: F.when((i > F.col("_at")) & x.startswith("#") & (rank(x) <= F.col("_rank")), i)))
+    section = F.when(F.col("_at").isNull(), F.array().cast("array<string>")).otherwise(F.slice("_lines", F.col("_at") + 1, F.coalesce(ends, F.size("_lines")) - F.col("_at")))
+    found = docs.select(key, lines.alias("_lines")).withColumn("_at", first).withColumn("_rank", rank(F.get("_lines", F.col("_at")))).select(key, section.alias("_s"))
+
+    begins = lambda x: x.rlike(r"^\d+\.\s+\*\*|^\*\*\[?[A-Z]\d{1,3}\]?")
+    filled_rows = F.filter("_s", lambda x: x.startswith("|") & x.endswith("|") & ~x.rlike(r"^[\s|:\-]+$"))
+    counts = {
+        "table": F.size(F.filter(filled_rows, lambda x: x.rlike(r"^[|\s]*\[?[A-Z]\d{1,3}\]?\s*\|"))),
+        "numbered": F.size(F.filter("_s", lambda x: x.rlike(r"^\d+\.\s+\*\*"))),
+        "bold": F.size(F.filter("_s", lambda x: x.rlike(r"^\*\*\[?[A-Z]\d{1,3}\]?"))),
+    }
+    joined = F.array_join(F.transform(F.filter("_s", lambda x: x != ""), lambda x: F.when(begins(x), F.concat(F.lit("\x01"), x)).otherwise(x)), " ")
+    entries = F.transform(F.slice(F.split(joined, "\x01"), 2, 2**30), lambda x: F.rtrim(x))
+    told = found.withColumns({"_rows": filled_rows, "_entries": entries, **{f"_{f}": n for f, n in counts.items()}})
+    of = lambda c: F.size(F.filter(c, lambda x: tier(x, primary, secondary) == "primary"))
+    form = F.coalesce(*[F.when(F.col(f"_{f}") > 0, f) for f in counts])
+    n = F.coalesce(*[F.when(F.col(f"_{f}") > 0, F.col(f"_{f}")) for f in counts], F.lit(0))
+    return told.select(key, form.alias("form"), n.cast("long").alias("n_entries"), F.when(of("_rows") > 0, of("_rows")).otherwise(of("_entries")).cast("long").alias("n_primary"))
+
+
 def url_domains(docs: DataFrame, key: str, text: str, banned: tuple[str, ...]) -> DataFrame:
     """(host, n, n_docs, banned): URLs of texts by host."""
     found = docs.select(key, F.explode(urls(F.col(text))).alias("url")).withColumn("host", host(F.col("url")))

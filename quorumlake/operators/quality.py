@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.operators.ordered import medians
+from quorumlake.operators.stats import spearman
 from quorumlake.sources.tables import written
 
 # Clips and cut-offs of the scores.
-DIVERSITY_CLIP, CAPACITY_KINDS, STATUS_KINDS, WARN, ERROR, DISCRIMINATING = 20, 4, 1, 0.05, 0.20, 0.10
+DIVERSITY_CLIP, CAPACITY_KINDS, STATUS_KINDS, WARN, ERROR, DISCRIMINATING, FLOOR_MOST = 20, 4, 1, 0.05, 0.20, 0.10, 1
 
 
 def filled(c: str) -> Column:
@@ -51,11 +52,42 @@ def gate_sensitivity(runs: DataFrame, model: str, dimensions: list[str], taus: l
     return per.withColumn("disqualified", F.col("n_good") == 0)
 
 
+def gate_models(runs: DataFrame, model: str, accuracy: str, sets: dict[str, list[str]], taus: list[float], floor_most: int = FLOOR_MOST) -> DataFrame:
+    """(indicator_set, n_dims, tau, model, n_runs, n_good, accuracy, disqualified, floor) for each set of dimensions and tau.
+
+    A run is good unless a known dimension of the set is at or below tau. ``accuracy`` is the mean of the good runs', of all
+    runs' where none is good. A model with ``floor_most`` good runs or fewer is disqualified; ``floor`` says whether it is
+    by all dimensions of all sets at tau 0. The set ``discriminating`` is added: those of all dimensions whose model means
+    differ by DISCRIMINATING or more. A null model is a model.
+    """
+    every = sorted({x for dims in sets.values() for x in dims})
+    kept = discriminating_dimensions(runs, model, every).agg(F.array_sort(F.collect_set("dimension")).alias("_dims"))  # no more than columns
+    fixed = runs.sparkSession.createDataFrame(sorted(sets.items()), "indicator_set string, _dims array<string>")
+    grid = fixed.union(kept.select(F.lit("discriminating"), "_dims")).withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
+    values = F.array(*[F.struct(F.lit(x).alias("d"), F.col(x).cast("double").alias("v")) for x in every])
+    fails = F.exists("_values", lambda x: F.array_contains("_dims", x["d"]) & F.coalesce(x["v"] <= F.col("tau"), F.lit(False)))
+    doubted = F.exists("_values", lambda x: F.coalesce(x["v"] <= 0, F.lit(False)))
+    crossed = runs.select(model, F.col(accuracy).cast("double").alias("_a"), values.alias("_values")).join(F.broadcast(grid))
+    per = crossed.withColumns({"_good": ~fails, "_base": ~doubted}).groupBy("indicator_set", F.size("_dims").alias("n_dims"), "tau", model)
+    counted = per.agg(F.count(F.lit(1)).alias("n_runs"), F.count_if("_good").alias("n_good"), F.coalesce(F.avg(F.when(F.col("_good"), F.col("_a"))), F.avg("_a")).alias("accuracy"), F.count_if("_base").alias("_n_base"))
+    return counted.withColumns({"disqualified": F.col("n_good") <= floor_most, "floor": F.col("_n_base") <= floor_most}).drop("_n_base")
+
+
+def gate_sweep(models: DataFrame) -> DataFrame:
+    """(indicator_set, n_dims, tau, n_disqualified, equals_floor, spearman) of ``gate_models``: whether the disqualified
+    models are those of the floor, and the rank correlation of good runs and accuracy over models (null where one of the
+    two is constant). Accuracies count as tied when they are equal to 12 digits."""
+    cell = ["indicator_set", "tau"]
+    rho = spearman(models.where("accuracy is not null").withColumn("_a", F.round("accuracy", 12)), "n_good", "_a", cell).select(*cell, F.col("rho").alias("spearman"))
+    counts = models.groupBy("indicator_set", "n_dims", "tau").agg(F.count_if("disqualified").alias("n_disqualified"), (F.count_if(F.col("disqualified") != F.col("floor")) == 0).alias("equals_floor"))
+    return counts.join(rho, cell, "left")
+
+
 def discriminating_dimensions(scores: DataFrame, model: str, dimensions: list[str], least: float = DISCRIMINATING) -> DataFrame:
     """(dimension, spread): those whose model means differ by ``least`` or more."""
     long = scores.unpivot([model], dimensions, "dimension", "value")
-    means = long.groupBy(model, "dimension").agg(F.avg("value").alias("m"))
-    return means.groupBy("dimension").agg((F.max("m") - F.min("m")).alias("spread")).where(F.col("spread") >= least)
+    means = long.groupBy(model, "dimension").agg(F.avg("value").alias("_mean"))
+    return means.groupBy("dimension").agg((F.max("_mean") - F.min("_mean")).alias("spread")).where(F.col("spread") >= least)
 
 
 def row_issues(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumlake.operators.ordered import Ordered
+from quorumlake.operators.ordered import Ordered, medians
+from quorumlake.operators.resampling import paired_test
+from quorumlake.operators.stats import bh_adjusted
 from quorumlake.sources.tables import written
 
 # Assumption thresholds; Abramowitz and Stegun 26.2.23.
@@ -32,6 +34,32 @@ def comparison(rows: DataFrame, model: str, condition: str, value: str, a: str,
     return per.where("n_before > 0 and n_after > 0").withColumn("delta", F.col("after") - F.col("before"))
 
 
+def tested_comparison(rows: DataFrame, model: str, condition: str, value: str, order: str, a: str, b: str, unstable: DataFrame | None = None) -> DataFrame:
+    """(model, before, after, delta, n_before, n_after, p, p_adjusted, unstable) of models that have both conditions.
+
+    Medians and their difference; the paired sign-flip test of runs in ``order``, first with first, for models with equally
+    many of both, more than one (p is null for others); p adjusted over all models that have one (Benjamini-Hochberg); and
+    whether the model is in one of the ``unstable`` pairs (a, b). Rows without a value, and null models, are left out; rows of
+    equal order pair by value.
+    """
+    known = rows.where(F.col(value).isNotNull() & F.col(model).isNotNull()).select(model, F.when(F.col(condition) == a, "before").when(F.col(condition) == b, "after").alias("_c"), F.col(value).cast("double").alias("_v"), F.col(order).alias("_o")).where("_c is not null")
+    placed = written(Ordered(known.withColumn("_id", F.monotonically_increasing_id()), [model, "_c"], ["_o", "_v", "_id"]).place("_i").done(), "placed")
+    middle = medians(placed, [model], {c: F.when(F.col("_c") == c, F.col("_v")) for c in ("before", "after")})
+    size = lambda c: F.count_if(F.col("_c") == c)
+    sizes = placed.groupBy(model).agg(size("before").alias("n_before"), size("after").alias("n_after")).where("n_before > 0 and n_after > 0")
+    even = sizes.where("n_before = n_after and n_before > 1").select(model)
+    of = lambda c: placed.where(F.col("_c") == c).select(model, "_i", F.col("_v").alias(c))
+    pairs = of("before").join(of("after"), [model, "_i"]).join(even, model, "left_semi").select(model, (F.col("after") - F.col("before")).alias("_d"))
+    p = paired_test(pairs, model, "_d").select(model, "p", F.lit(1).alias("_family"))
+    adjusted = bh_adjusted(p, "p", ["_family"], model).select(model, "p", "p_adjusted")
+    out = sizes.join(middle, model).join(adjusted, model, "left").withColumn("delta", F.col("after") - F.col("before"))
+    if unstable is None:
+        return out.withColumn("unstable", F.lit(False)).select(model, "before", "after", "delta", "n_before", "n_after", "p", "p_adjusted", "unstable")
+    flagged = unstable.select(F.explode(F.array("a", "b")).alias(model)).distinct().withColumn("unstable", F.lit(True))
+    out = out.join(flagged, model, "left").withColumn("unstable", F.coalesce("unstable", F.lit(False)))
+    return out.select(model, "before", "after", "delta", "n_before", "n_after", "p", "p_adjusted", "unstable")
+
+
 def unstable_pairs(intervals: DataFrame, model: str) -> DataFrame:
     """Pairs of models (mean, low, high) whose means differ by less than UNSTABLE and whose intervals overlap."""
     a = intervals.select(F.col(model).alias("a"), F.col("mean").alias("_ma"), F.col("low").alias("_la"), F.col("high").alias("_ha"), F.floor(F.col("mean") / UNSTABLE).alias("_cell"))

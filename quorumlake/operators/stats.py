@@ -23,7 +23,7 @@ def midrank(rows: DataFrame, value: str, out: str, by: list[str]) -> DataFrame:
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Correlation of mid-ranks by group; null for fewer than two rows or a constant."""
     ranked = midrank(midrank(rows.select(*by, x, y), x, "_rx", by), y, "_ry", by)
-    rho = F.when((F.count(F.lit(1)) > 1) & (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0), F.corr("_rx", "_ry"))
+    rho = F.when(F.count(F.lit(1)) > 1, F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")))
     return ranked.groupBy(*by).agg(rho.alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
