@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quorumlake.operators import extract, quality, selection
+from quorumlake.operators import extract, ingestion, quality, selection
 from quorumlake.plans.registry import query, r4
 from quorumlake.sources.tables import table
 
@@ -66,3 +66,24 @@ def tested_comparison(spark, d):
     unstable = unstable.union(keys.where("o_custkey % 7 = 3").select((F.col("o_custkey") - 3).alias("a"), F.col("o_custkey").alias("b")))
     told = selection.tested_comparison(orders, "o_custkey", "o_orderstatus", "o_totalprice", "o_orderkey", "F", "O", unstable)
     return told.select("o_custkey", *[r4(c).alias(c) for c in ("before", "after", "delta")], "n_before", "n_after", r4("p").alias("p"), r4("p_adjusted").alias("p_adjusted"), "unstable")
+
+
+@query("""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x from documents), n as (select doc_id, count(*) as n from l group by 1),
+e as (select doc_id, n, case doc_id % 12 when 0 then 'unknown_arm' when 1 then 'invalid_parity_row' when 2 then 'invalid_parity_row' when 3 then 'run_not_found' when 4 then 'ambiguous_run'
+  when 5 then 'missing_markdown' when 6 then 'invalid_encoding' when 7 then 'no_table' when 8 then 'parse_failed' end as error from n)
+select doc_id, n + (doc_id % 12 = 9)::int as expected_rows, case when error is null then n end as observed_rows, error is null and doc_id % 12 <> 9 as matches, error,
+  case doc_id % 12 when 0 then 'arm none' when 1 then 'run r' || doc_id when 2 then 'missing model' when 3 then 'no run arm3 m ' || doc_id
+    when 4 then '2 files: ' || doc_id || '.md to ' || doc_id || 'b.md' when 5 then doc_id || '.md' when 6 then doc_id || '.md' when 7 then doc_id || '.md' when 8 then doc_id || '.md' end as detail from e""")
+def run_parity(spark, d):
+    # each document as the report of a run, its lines as the rows of the report's table; one in twelve for each fault
+    docs = table(spark, d, "documents").select("doc_id", F.split(F.translate(F.coalesce("text", F.lit("")), '|"', "  "), "\n").alias("_l")).withColumn("_k", F.col("doc_id") % 12)
+    ident, is_ = F.col("doc_id").cast("string"), lambda *k: F.col("_k").isin(*k)
+    declared = docs.select("doc_id", F.when(is_(0), "none").otherwise("arm3").alias("arm"), F.when(is_(2), "").otherwise("m").alias("model"), F.when(is_(1), F.concat(F.lit("r"), ident)).otherwise(ident).alias("run"), (F.size("_l") + is_(9).cast("int")).cast("string").alias("inventory_rows"))
+    files = F.when(is_(3), F.array().cast("array<string>")).when(is_(4), F.array(F.concat(ident, F.lit(".md")), F.concat(ident, F.lit("b.md")))).otherwise(F.array(F.concat(ident, F.lit(".md"))))
+    runs = docs.select(F.lit("arm3").alias("arm"), F.lit("m").alias("model"), F.col("doc_id").alias("run_no"), F.explode(files).alias("file"))
+    body = F.array_join(F.transform("_l", lambda x, i: F.concat(F.lit("| N"), i.cast("string"), F.lit(" "), x, F.lit(" | coal | operating |"))), "\n")
+    head = F.when(is_(8), "| Qty | Rank | Note |\n|---|---|---|\n").otherwise("| Name | Fuel | Status |\n|---|---|---|\n")
+    content = F.when(is_(6), F.concat(F.lit(b"\xff"), body.cast("binary"))).when(is_(7), F.array_join("_l", "\n").cast("binary")).otherwise(F.concat(head, body).cast("binary"))
+    reports = docs.where(~is_(3, 5)).select(F.concat(ident, F.lit(".md")).alias("file"), content.alias("content"))
+    parity = ingestion.run_parity(declared, runs, ingestion.report_counts(reports, "file", "content"), ["naive", "arm3"])
+    return parity.select("doc_id", "expected_rows", "observed_rows", "matches", "error", "detail")
