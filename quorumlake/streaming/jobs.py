@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,10 +51,10 @@ def streaming_streaks(events: DataFrame, key: str, failed: str) -> DataFrame:
     def update(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         streak = state.get[0] if state.exists else 0
         for batch in batches:
-            for bad in batch[failed]:
-                streak = streak + 1 if bad else 0
+            good = np.flatnonzero(~batch[failed].fillna(False).to_numpy(bool))
+            streak = len(batch) - 1 - good[-1] if len(good) else streak + len(batch)
         state.update((int(streak),))
-        yield pd.DataFrame({key: [k[0]], "streak": [streak], "stopped": [streak >= STOP_AFTER]})
+        yield pd.DataFrame({key: [k[0]], "streak": [int(streak)], "stopped": [bool(streak >= STOP_AFTER)]})
 
     kind = events.schema[key].dataType.simpleString()
     return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, streak long, stopped boolean", "streak long", "update", "NoTimeout")
