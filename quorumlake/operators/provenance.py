@@ -12,6 +12,11 @@ CITATION_LEAST, LINE_LEAST = 70.0, 60.0
 # What a note says that admits doubt.
 HONEST = ("uncertain", "conflicting", "no data", "unclear", "estimated", "approximate", "planned but", "discrepancy", "unconfirmed")
 
+# Cells that hold nothing, and what a cell says whose source was not found.
+EMPTY_CELLS = ("", "—", "–", "-", "n/a", "na", "none")
+NOT_FOUND = ("not found", "url not verified", "not verified", "not available", "unable to verify", "could not verify", "no source", "unverified")
+KEY_CELL = r"^\s*\[?[A-Z]\d{1,3}\]?(?:\(https?://[^)]*\))?\s*$"
+
 
 def tier(reference: Column, primary: str, secondary: str) -> Column:
     """primary, secondary or tertiary by patterns; an empty reference is tertiary."""
@@ -110,3 +115,27 @@ def source_urls(cells: DataFrame, key: str, cell: str, entries: DataFrame) -> Da
     rows = cells.withColumn("code", code).join(entries.withColumnRenamed("url", "_entry"), [key, "code"], "left")
     inline = F.nullif(F.regexp_extract(F.coalesce(cell, F.lit("")), r"https?://[^\s)>\]]+", 0), F.lit(""))
     return rows.withColumn("url", F.when(F.col("code") != "", F.col("_entry")).otherwise(inline)).drop("code", "_entry")
+
+
+def source_cell_quality(rows: DataFrame, key: str, sources: list[str], bibliography: DataFrame, section: str, primary: str, secondary: str) -> DataFrame:
+    """(key, cell, style, n_empty, n_not_found, n_present, n_valid, n_primary) for each source column of each text.
+
+    A text's style is key_ref where more than half of its filled source cells are codes like S01 or [S01](url), else
+    inline. Of the present cells (neither empty nor saying that nothing was found) ``n_valid`` counts those whose code is in
+    the text's bibliography (key, ``section``; one a text), null for inline ones; ``n_primary``
+    those of primary tier: of the first line of the bibliography that has the code, or of the cell itself if inline.
+    """
+    long = rows.unpivot([key], sources, "cell", "_v").withColumn("_v", F.coalesce("_v", F.lit("")))
+    low = F.lower(F.trim("_v"))
+    long = long.withColumn("_empty", low.isin(*EMPTY_CELLS)).withColumn("_lost", ~F.col("_empty") & low.rlike("|".join(NOT_FOUND)))
+    share = F.try_divide(F.count_if(~F.col("_empty") & F.col("_v").rlike(KEY_CELL)), F.count_if(~F.col("_empty")))
+    styles = long.groupBy(key).agg(F.when(share > 0.5, "key_ref").otherwise("inline").alias("style"))
+    told = long.join(styles, key).join(bibliography.select(key, F.col(section).alias("_b")), key, "left")
+    code = F.regexp_extract("_v", r"\[?([A-Z]\d{1,3})\]?", 1)
+    word = F.concat(F.lit(r"\b"), code, F.lit(r"\b"))
+    line = F.get(F.filter(F.split("_b", "\n"), lambda x: F.rlike(x, word)), F.lit(0))
+    known = (code != "") & line.isNotNull()
+    first = F.when(F.col("style") == "key_ref", F.when(known, line)).otherwise(F.col("_v"))
+    present = ~F.col("_empty") & ~F.col("_lost")
+    valid = F.when(F.first("style") == "key_ref", F.count_if(present & known))
+    return told.groupBy(key, "cell").agg(F.first("style").alias("style"), F.count_if("_empty").alias("n_empty"), F.count_if("_lost").alias("n_not_found"), F.count_if(present).alias("n_present"), valid.alias("n_valid"), F.count_if(present & (tier(first, primary, secondary) == "primary")).alias("n_primary"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quorumlake.operators import extract, ingestion, quality, selection
+from quorumlake.operators import extract, ingestion, provenance, quality, selection
 from quorumlake.plans.registry import query, r4
 from quorumlake.sources.tables import table
 
@@ -87,3 +87,18 @@ def run_parity(spark, d):
     reports = docs.where(~is_(3, 5)).select(F.concat(ident, F.lit(".md")).alias("file"), content.alias("content"))
     parity = ingestion.run_parity(declared, runs, ingestion.report_counts(reports, "file", "content"), ["naive", "arm3"])
     return parity.select("doc_id", "expected_rows", "observed_rows", "matches", "error", "detail")
+
+
+@query("""with c as (select user_id, event_id, event_type, value, case when event_type = 'error' then 'not found' when event_type = 'view' then '-' else 'S' || (event_id % 100) end as v from events),
+s as (select user_id, count(*) filter (v like 'S%') > 0.5 * count(*) filter (v <> '-') as key_ref from c group by 1)
+select user_id, 'v' as cell, case when key_ref then 'key_ref' else 'inline' end as style, count(*) filter (v = '-') as n_empty, count(*) filter (v = 'not found') as n_not_found,
+  count(*) filter (v like 'S%') as n_present, case when key_ref then count(*) filter (v like 'S%' and event_id % 100 < 50) end as n_valid,
+  count(*) filter (v like 'S%' and key_ref and event_id % 100 < 50 and event_id % 100 % 2 = 0) as n_primary from c join s using (user_id) group by user_id, key_ref""")
+def source_cell_quality(spark, d):
+    # each user's events as the source cells of a text; every text lists fifty sources, every other one primary
+    kind = F.col("event_type")
+    cell = F.when(kind == "error", "not found").when(kind == "view", "-").otherwise(F.concat(F.lit("S"), (F.col("event_id") % 100).cast("string")))
+    rows = table(spark, d, "events").select("user_id", cell.alias("v"))
+    section = "\n".join(f"S{k} {'Ministry' if k % 2 == 0 else 'Reuters'}" for k in range(50))
+    texts = rows.select("user_id").distinct().withColumn("b", F.lit(section))
+    return provenance.source_cell_quality(rows, "user_id", ["v"], texts, "b", "(?i)ministry", "(?i)reuters")

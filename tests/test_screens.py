@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quorumlake.operators import extract, quality, selection, stats
+from quorumlake.operators import extract, provenance, quality, selection, stats
 
 PRIMARY, SECONDARY = r"(?i)\bministry\b|\bpower\s+plan\b", r"(?i)\breuters\b"
 
@@ -83,3 +83,13 @@ def test_tested_comparison(spark):
     assert {m: r["unstable"] for m, r in got.items()} == {"m": True, "n": False, "p": False, "q": True}
     assert selection.tested_comparison(frame.limit(0), "m", "c", "f1", "run", "base", "rag").count() == 0
     assert frame.where(F.col("m").isNull()).count() == 1
+
+
+def test_source_cell_quality(spark):
+    rows = [(1, "[S01]", "S2"), (1, "S9", "—"), (1, "[S01](https://a.org/x)", "URL not verified"), (1, "Ministry", None), (2, "Ministry, p. 3", "Reuters"), (2, "S1", "no source found"), (3, "[S01]", "N/A"), (4, None, "")]
+    cells = spark.createDataFrame(rows, "id long, s1 string, s2 string").repartition(3)
+    bib = spark.createDataFrame([(1, "## References\n[S01] Ministry\nS2 Reuters\nagain S2 ministry"), (2, "S1 Ministry"), (4, "")], "id long, b string")
+    got = {(r["id"], r["cell"]): tuple(r)[2:] for r in provenance.source_cell_quality(cells, "id", ["s1", "s2"], bib, "b", PRIMARY, SECONDARY).collect()}
+    assert got[(1, "s1")] == ("key_ref", 0, 0, 4, 2, 2) and got[(1, "s2")] == ("key_ref", 2, 1, 1, 1, 0)
+    assert got[(2, "s1")] == ("inline", 0, 0, 2, None, 1) and got[(2, "s2")] == ("inline", 0, 1, 1, None, 0)
+    assert got[(3, "s1")] == ("key_ref", 0, 0, 1, 0, 0) and got[(4, "s1")] == ("inline", 1, 0, 0, None, 0)
