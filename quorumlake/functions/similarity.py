@@ -7,7 +7,8 @@ length, one pair at a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -176,3 +177,55 @@ def with_similarity(pairs: DataFrame, kind: str, a: str, b: str, out: str = "sco
     distinct = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
     scored = distinct.withColumn(out, similarity(kind, F.col("_a"), F.col("_b")))
     return pairs.join(scored, pairs[a].eqNullSafe(scored["_a"]) & pairs[b].eqNullSafe(scored["_b"])).drop("_a", "_b")
+
+
+#: Rows of a tile that are compared at once with all of its columns, and levels of counts that are told apart by bits.
+ROWS, LEVELS = 64, 4
+
+
+def _tile_side(texts: list[str], codes: dict[str, int], dtype: type) -> tuple[np.ndarray, ...]:
+    """Lengths of texts; their characters by place, 0 after the end; by character, the bits of its places; and for the
+    bound: bits of characters that occur more than 0, 1, .. times, and how many occurrences are beyond these."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    flat = np.fromiter((codes[ch] for x in texts for ch in x), np.int64, len(row))
+    own = np.zeros((int(sizes.max(initial=1)), len(texts)), np.int32)
+    own[place, row] = flat
+    masks = np.zeros((len(texts), len(codes) + 1), dtype)
+    np.bitwise_or.at(masks, (row, flat), dtype(1) << place.astype(dtype))
+    counts = np.bincount(row * WORD + flat % WORD, minlength=len(texts) * WORD).reshape(-1, WORD)
+    bit = np.uint64(1) << np.arange(WORD, dtype=np.uint64)
+    levels = [np.where(counts > k, bit, np.uint64(0)).sum(axis=1, dtype=np.uint64) for k in range(LEVELS)]
+    return sizes, own, masks, levels, np.maximum(counts - LEVELS, 0).sum(axis=1)
+
+
+def tile_scores(a: list[str], b: list[str], least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in a, places in b, ratios) of all pairs of two lists of texts of up to WORD characters whose ratio is
+    ``least`` (above 0) or more, some rows of the tile at a time. Pairs with too few characters in common are told by bits,
+    without being scored."""
+    often = Counter(ch for x in (*a, *b) for ch in x)
+    codes = {ch: k + 1 for k, (ch, _) in enumerate(often.most_common())}
+    dtype = np.uint32 if max(map(len, a), default=0) <= 32 else np.uint64
+    n, _, masks, x_levels, x_rest = _tile_side(a, codes, dtype)
+    w, own, _, y_levels, y_rest = _tile_side(b, codes, np.uint64)
+    share = least / 200
+    rest = bool(x_rest.any() and y_rest.any())
+    need_x, need_y = (share * n).astype(np.float32), (share * w).astype(np.float32)
+    flat, width = masks.ravel(), masks.shape[1]
+    for at in range(0, len(a), ROWS):
+        part = slice(at, at + ROWS)
+        common = sum(np.bitwise_count(x[part, None] & y[None, :]) for x, y in zip(x_levels, y_levels, strict=True))
+        if rest:
+            common = common + np.minimum(x_rest[part, None], y_rest[None, :])
+        i, j = np.nonzero(common - need_y >= need_x[part, None] - np.float32(1e-3))
+        i += at
+        s = (dtype(1) << n[i].astype(dtype)) - dtype(1) if dtype is np.uint32 else np.uint64((1 << WORD) - 1) >> (WORD - n[i]).clip(0, WORD - 1).astype(np.uint64)
+        full, base, chars = s.copy(), i * width, own[:, j]
+        for k in range(int(w[j].max(initial=0))):
+            u = s & flat[base + chars[k]]
+            s = (s + u) | (s - u)
+        same = n[i] - np.bitwise_count(s & full)
+        score = np.where(n[i] + w[j] > 0, 200.0 * same / np.maximum(n[i] + w[j], 1), 100.0)
+        keep = score >= least
+        yield i[keep], j[keep], score[keep]

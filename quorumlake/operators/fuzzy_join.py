@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import isqrt
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.functions.similarity import similarity_from
+from quorumlake.functions.similarity import WORD, similarity_from, tile_scores
+from quorumlake.operators.ordered import Ordered
 from quorumlake.sources.tables import written
 
 #: Lengths of grams; a text is looked up by those that promise the fewest candidates.
@@ -16,6 +20,10 @@ GRAMS = (1, 2, 3)
 POSTINGS = 4096
 #: Characters by which a needle and a text meet.
 GRAM = 6
+#: A threshold below which grams rule out too little, so that texts of up to WORD characters are compared tile by tile.
+LOW = 80.0
+#: Texts of a side of a tile at least and at most, tiles that are aimed at in between, and pairs of a task.
+SIDE, TILES, PAIRS = (512, 4096), 2048, 1 << 26
 #: Thresholds that a search for the nearest goes down by; the last one takes any text with a character in common.
 DESCENT = (75.0, 40.0, 1e-6)
 
@@ -50,23 +58,36 @@ def gram_table(texts: DataFrame, ident: str, text: str) -> DataFrame:
 
 @dataclass
 class Listed:
-    """Distinct texts: ``texts`` (raw, text, id), ``text`` being what is compared, and their ``grams`` (id, n, q, gram)."""
+    """Distinct texts: ``texts`` (raw, text, id), ``text`` being what is compared, and their ``grams`` (id, n, q, gram), which are
+    written when they are first asked for."""
 
     texts: DataFrame
-    grams: DataFrame
+    own_grams: DataFrame | None = None
+
+    @property
+    def grams(self) -> DataFrame:
+        if self.own_grams is None:
+            self.own_grams = written(gram_table(self.texts, "id", "text"), "grams")
+        return self.own_grams
 
     def counts(self) -> DataFrame:
         """(q, gram, df, parts): how many texts hold a gram, and the tasks that its texts are dealt to."""
         return self.grams.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("df")).withColumn("parts", F.ceil(F.col("df") / POSTINGS).cast("int"))
 
+    def longer(self) -> Listed:
+        """The texts of more than WORD characters, which no tile takes."""
+        return Listed(self.texts.where(F.length("text") > WORD))
+
+    def shorter(self) -> Listed:
+        return Listed(self.texts.where(F.length("text") <= WORD))
+
     def raw(self, ident: str, name: str) -> DataFrame:
         return self.texts.select(F.col("id").alias(ident), F.col("raw").alias(name))
 
 
 def listed(rows: DataFrame, text: str, kind: str) -> Listed:
     rows = rows.where(F.col(text).isNotNull()).select(F.col(text).alias("raw"), compared(kind, F.col(text)).alias("text")).distinct()
-    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "texts")
-    return Listed(rows, written(gram_table(rows, "id", "text"), "grams"))
+    return Listed(written(rows.withColumn("id", F.monotonically_increasing_id()), "texts"))
 
 
 def candidates(short: Listed, long: Listed, kind: str, least: float, strict: bool = False) -> DataFrame:
@@ -94,9 +115,21 @@ def candidates(short: Listed, long: Listed, kind: str, least: float, strict: boo
 
 def scored_pairs(x: Listed, y: Listed, kind: str, least: float) -> DataFrame:
     """(a, b, score) of two lists: the shorter text of a pair looks up the longer one, in either direction; equal texts are
-    joined, two empty ones among them; candidates are scored. Texts are carried to their pairs last."""
+    joined, two empty ones among them; candidates are scored. Texts are carried to their pairs last. Below LOW, short texts
+    are compared by tiles, and only what has a longer one is looked up."""
     if not least > 0:
         raise ValueError("a threshold above 0 is needed; see nearest")
+    if by_tiles(kind, least):
+        near = tiled(x, y, least)
+        mixed = [(p, q) for p, q in ((x.longer(), y), (x.shorter(), y.longer())) if not p.texts.isEmpty() and not q.texts.isEmpty()]
+        for p, q in mixed:
+            near = near.union(looked_up(p, q, kind, least).select(near.columns))
+        return near
+    return looked_up(x, y, kind, least)
+
+
+def looked_up(x: Listed, y: Listed, kind: str, least: float) -> DataFrame:
+    """``scored_pairs`` by the index of grams."""
     turned = candidates(y, x, kind, least, strict=kind != "partial_ratio").select(F.col("b").alias("a"), F.col("a").alias("b"))
     equal = x.texts.select("text", F.col("id").alias("a")).join(y.texts.select("text", F.col("id").alias("b")), "text").select("a", "b")
     pairs = candidates(x, y, kind, least).union(turned).union(equal).distinct()
@@ -104,6 +137,56 @@ def scored_pairs(x: Listed, y: Listed, kind: str, least: float) -> DataFrame:
     return full.withColumn("score", similarity_from(kind, F.col("_a"), F.col("_b"), least)).where(F.col("score") >= least)
 
 
+def _tile_pairs(least: float, within: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x, y = (batch.column(c)[r].values for c in ("xs", "ys"))
+                for i, j, score in tile_scores(x.field("text").to_pylist(), y.field("text").to_pylist(), least):
+                    a, b = x.field("id").take(pa.array(i)), y.field("id").take(pa.array(j))
+                    out = pa.RecordBatch.from_arrays([a, b, x.field("raw").take(pa.array(i)), y.field("raw").take(pa.array(j)), pa.array(score)], ["a", "b", "_a", "_b", "score"])
+                    # a tile of a block with itself has each pair twice
+                    yield out.filter(pa.array(a.to_numpy() < b.to_numpy())) if within and batch.column("same")[r].as_py() else out
+
+    return run
+
+
+def tiled(x: Listed, y: Listed, least: float, within: bool = False) -> DataFrame:
+    """(a, b, _a, _b, score): the pairs of texts of up to WORD characters whose ratio is ``least`` or more; ``within``: of one
+    list, each pair once.
+
+    Both lists are cut into blocks by length, and blocks whose lengths allow it meet. A block's side grows with the lists, so
+    that what is moved grows no faster than the pairs; a task holds one tile at a time, and tasks grow with the pairs.
+    """
+    spark = x.texts.sparkSession
+    short = lambda z: z.texts.where(F.length("text") <= WORD)
+    many = short(x).count() * short(y).count()
+    side = min(max(isqrt(many // TILES), SIDE[0]), SIDE[1])
+
+    def blocks(z: Listed) -> DataFrame:
+        rows = Ordered(short(z).withColumn("n", F.length("text")), [], ["n", "id"]).place("_k").done()
+        block = F.floor((F.col("_k") - 1) / side)
+        return written(rows.groupBy(block.alias("block")).agg(F.collect_list(F.struct("id", "raw", "text")).alias("s"), F.min("n").alias("lo"), F.max("n").alias("hi")), "blocks")
+
+    left = blocks(x)
+    right = left if within else blocks(y)
+    of = lambda z, p: z.select(F.col("block").alias(p), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"))
+    share = (200 - least) / least
+    meet = (F.col("i_lo") <= F.col("j_hi") * share + 1e-6) & (F.col("j_lo") <= F.col("i_hi") * share + 1e-6)
+    tiles = of(left, "i").crossJoin(of(right, "j")).where(meet & (F.col("i") <= F.col("j")) if within else meet)
+    tiles = written(tiles.select("i", "j", F.monotonically_increasing_id().alias("tile")), "tiles")
+    parts = max(tiles.count() * side * side // PAIRS, 4 * spark.sparkContext.defaultParallelism)
+    a = left.select(F.col("block").alias("i"), F.col("s").alias("xs")).join(F.broadcast(tiles.select("tile", "i", (F.col("i") == F.col("j")).alias("same"))), "i")
+    b = right.select(F.col("block").alias("j"), F.col("s").alias("ys")).join(F.broadcast(tiles.select("tile", "j")), "j")
+    both = a.select("tile", "same", "xs").repartition(parts, "tile").join(b.select("tile", "ys").repartition(parts, "tile").hint("shuffle_hash"), "tile")
+    kind = x.texts.schema["raw"].dataType.simpleString()
+    return both.mapInArrow(_tile_pairs(least, within), f"a long, b long, _a {kind}, _b {kind}, score double")
+
+
+def by_tiles(kind: str, least: float) -> bool:
+    return kind != "partial_ratio" and 0 < least < LOW
+
+
 def alike(left: DataFrame, right: DataFrame, a: str, b: str, kind: str, least: float) -> DataFrame:
     """(a, b, score): the distinct texts of ``left`` and of ``right`` whose similarity ``kind`` is ``least`` or more, above
     0. Nulls are alike to nothing; equal texts have score 100."""

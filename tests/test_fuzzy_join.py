@@ -50,6 +50,20 @@ def test_alike(spark, kind):
     assert got == {p: s for p, s in inner.items() if s >= 70}
 
 
+def test_tiles(spark, monkeypatch):
+    """Low thresholds, over several blocks, with texts that fit a tile and longer ones."""
+    monkeypatch.setattr(fuzzy_join, "SIDE", (16, 32))
+    left, right = lists(6)
+    left, right = [*left, "x" * 64, "x" * 70, left[0] * 6], [*right, "x" * 65, "xy" * 40, right[1] * 5, left[0] * 5]
+    of = lambda x: sorted({t for t in x if t is not None})
+    a, b = spark.createDataFrame([(x,) for x in left], "x string"), spark.createDataFrame([(y,) for y in right], "y string")
+    for kind, least in (("ratio", 35.0), ("token_sort_ratio", 72.0)):
+        assert fuzzy_join.by_tiles(kind, least)
+        known = scores(kind, list(itertools.product(of(left), of(right))))
+        got = fuzzy_join.alike(a, b, "x", "y", kind, least).collect()
+        assert {(r["x"], r["y"]): r["score"] for r in got} == {p: s for p, s in known.items() if s >= least} and len(got) == len({(r["x"], r["y"]) for r in got})
+
+
 def test_nearest(spark):
     left, right = lists(5)
     left.append("~")  # has no character in common with any
