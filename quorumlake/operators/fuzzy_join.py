@@ -196,6 +196,12 @@ def alike(left: DataFrame, right: DataFrame, a: str, b: str, kind: str, least: f
 def alike_within(names: DataFrame, name: str, kind: str, least: float) -> DataFrame:
     """(a, b, score): distinct texts a < b of one list that are ``least`` alike or more."""
     x = listed(names, name, kind)
+    if by_tiles(kind, least):
+        near = tiled(x, x, least, within=True)
+        if not (long := x.longer()).texts.isEmpty():
+            pairs = looked_up(long, x, kind, least).where(F.col("a") != F.col("b"))
+            near = near.union(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"), "score").distinct())
+        return near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "score")
     pairs = candidates(x, x, kind, least)
     if kind == "token_sort_ratio":  # texts that differ in the order of their words alone, or have none
         same = x.texts.select("text", F.col("id").alias("a"))

@@ -62,6 +62,9 @@ def test_tiles(spark, monkeypatch):
         known = scores(kind, list(itertools.product(of(left), of(right))))
         got = fuzzy_join.alike(a, b, "x", "y", kind, least).collect()
         assert {(r["x"], r["y"]): r["score"] for r in got} == {p: s for p, s in known.items() if s >= least} and len(got) == len({(r["x"], r["y"]) for r in got})
+        inner = scores(kind, list(itertools.combinations(of(left), 2)))
+        got = fuzzy_join.alike_within(a, "x", kind, least).collect()
+        assert {(r["a"], r["b"]): r["score"] for r in got} == {p: s for p, s in inner.items() if s >= least} and len(got) == len({(r["a"], r["b"]) for r in got})
 
 
 def test_nearest(spark):
