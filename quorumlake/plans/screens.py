@@ -13,10 +13,11 @@ from quorumlake.sources.tables import table
 select doc_id, case any_value(f) when 0 then 'table' when 1 then 'numbered' else 'bold' end as form, count(*) as n_entries,
   count(*) filter (regexp_matches(x, '(?i)the|le ')) as n_primary from l group by 1""")
 def bibliography_counts(spark, d):
-    # each document's lines as the entries of a bibliography, in one of the three forms
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    # each document's lines as the entries of a bibliography, in one of the three forms; no character or end of a line may
+    # turn into a blank, or be lost as one, since the pattern tells blanks
+    lines = F.split(F.translate(F.coalesce("text", F.lit("")), "|\x01", "//"), "\n")
     form = F.col("doc_id") % 3
-    entry = lambda x, i: F.when(form == 0, F.concat(F.lit("| S"), (i % 100).cast("string"), F.lit(" | "), F.translate(x, "|", " "), F.lit(" |"))).when(form == 1, F.concat((i + 1).cast("string"), F.lit(". **"), x, F.lit("**"))).otherwise(F.concat(F.lit("**[S"), (i % 100).cast("string"), F.lit("]**\n\n> "), x))
+    entry = lambda x, i: F.when(form == 0, F.concat(F.lit("| S"), (i % 100).cast("string"), F.lit(" | "), x, F.lit(". |"))).when(form == 1, F.concat((i + 1).cast("string"), F.lit(". **"), x, F.lit("**"))).otherwise(F.concat(F.lit("**[S"), (i % 100).cast("string"), F.lit("]**\n\n> "), x, F.lit(".")))
     text = F.concat(F.lit("# Report\n1. **not one of them**\n## Annotated bibliography\n### Sources\n| Code | Source |\n|---|---|\n"), F.array_join(F.transform(lines, entry), "\n"), F.lit("\n## Annex\n| S1 | after the end |\n"))
     docs = table(spark, d, "documents").select("doc_id", text.alias("t"))
     return extract.bibliography_counts(docs, "doc_id", "t", "(?i)the|le ", "zzzz")

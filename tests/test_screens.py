@@ -3,8 +3,10 @@
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
+from quorumlake import plans
 from quorumlake.operators import extract, provenance, quality, selection, stats
 
 PRIMARY, SECONDARY = r"(?i)\bministry\b|\bpower\s+plan\b", r"(?i)\breuters\b"
@@ -93,3 +95,15 @@ def test_source_cell_quality(spark):
     assert got[(1, "s1")] == ("key_ref", 0, 0, 4, 2, 2) and got[(1, "s2")] == ("key_ref", 2, 1, 1, 1, 0)
     assert got[(2, "s1")] == ("inline", 0, 0, 2, None, 1) and got[(2, "s2")] == ("inline", 0, 1, 1, None, 0)
     assert got[(3, "s1")] == ("key_ref", 0, 0, 1, 0, 0) and got[(4, "s1")] == ("inline", 1, 0, 0, None, 0)
+
+
+def test_bibliography_lines_as_they_are(spark, tmp_path):
+    """Pipes, blanks at the ends of lines and control characters in documents, against the SQL."""
+    texts = ["table le|cle", "a le ", "le", "sale\x01x", "the|\nle\nle \n", "", None, "|", " le", "x\n\n le \nTHE"]
+    rows = [(k * 3 + f, t) for k, t in enumerate(texts) for f in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(plans.oracle_sql()["bibliography_counts"]).fetchall()
+    got = plans.queries()["bibliography_counts"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
