@@ -38,3 +38,13 @@ def test_medians(spark):
     middle = lambda x: statistics.median(x) if x else None
     own = lambda g: [r for r in rows if r[0] == g]
     assert {r["g"]: (r["ma"], r["mb"]) for r in got} == {g: (middle([r[1] for r in own(g) if r[1] is not None]), middle([r[2] for r in own(g) if r[2] > 0.2])) for g in ("a", None, "b", "z")}
+
+
+def test_least_from_is_linear(spark):
+    """The least of all later rows needs no frame that runs to the end, which costs the square of a part's rows."""
+    rows = spark.range(300).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("o"), "id", ((F.col("id") * 37) % 101).alias("v"))
+    got = Ordered(rows, ["k"], ["o", "id"]).least_from("v", "m").done()
+    assert "FollowingFrame" not in got._jdf.queryExecution().optimizedPlan().toString().replace("unboundedfollowing", "FollowingFrame").split("_local")[0]
+    told = sorted((r["k"], -1 if r["o"] is None else r["o"], r["id"], r["v"], r["m"]) for r in got.collect())
+    for i, (k, _, _, _, m) in enumerate(told):
+        assert m == min(x[3] for x in told[i:] if x[0] == k)
