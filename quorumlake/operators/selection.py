@@ -14,6 +14,8 @@ from quorumlake.sources.tables import written
 
 # Assumption thresholds; Abramowitz and Stegun 26.2.23.
 W_LEAST, LEVENE_MOST, UNSTABLE = 0.9, 2.0, 0.05
+#: Models of a block, and pairs of blocks of a task.
+BLOCK, TILES = 512, 16
 AS_C, AS_D = (2.515517, 0.802853, 0.010328), (1.432788, 0.189269, 0.001308)
 
 
@@ -61,12 +63,24 @@ def tested_comparison(rows: DataFrame, model: str, condition: str, value: str, o
 
 
 def unstable_pairs(intervals: DataFrame, model: str) -> DataFrame:
-    """Pairs of models (mean, low, high) whose means differ by less than UNSTABLE and whose intervals overlap."""
-    a = intervals.select(F.col(model).alias("a"), F.col("mean").alias("_ma"), F.col("low").alias("_la"), F.col("high").alias("_ha"), F.floor(F.col("mean") / UNSTABLE).alias("_cell"))
-    b = intervals.select(F.col(model).alias("b"), F.col("mean").alias("_mb"), F.col("low").alias("_lb"), F.col("high").alias("_hb"), F.floor(F.col("mean") / UNSTABLE).alias("_own"))
-    b = b.withColumn("_cell", F.explode(F.array(F.col("_own") - 1, F.col("_own"), F.col("_own") + 1)))
-    close = a.join(b, "_cell").where(f"a < b and abs(_ma - _mb) < {UNSTABLE} and _la <= _hb and _lb <= _ha")
-    return close.select("a", "b", F.abs(F.col("_ma") - F.col("_mb")).alias("difference"))
+    """Pairs of models (mean, low, high) whose means differ by less than UNSTABLE and whose intervals overlap.
+
+    Their number is quadratic by nature where means are dense. Models are cut into blocks of BLOCK by mean; pairs of blocks
+    that may hold such a pair are dealt to tasks, whose number grows with that of the pairs of blocks.
+    """
+    rows = intervals.select(F.col(model).alias("id"), "mean", "low", "high").where("mean is not null")
+    placed = Ordered(rows.withColumn("_id", F.monotonically_increasing_id()), [], ["mean", "_id"]).place("_k").done()
+    placed = written(placed.withColumn("_block", F.floor((F.col("_k") - 1) / BLOCK)).drop("_k", "_id"), "intervals")
+    ends = {"_least": F.min("mean"), "_most": F.max("mean"), "_low": F.min("low"), "_high": F.max("high")}
+    blocks = placed.groupBy("_block").agg(*(v.alias(c) for c, v in ends.items()))
+    of = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
+    # blocks are in order of their means, so that each pair of them meets once, the earlier first
+    near = (F.col("x_block") <= F.col("y_block")) & (F.col("y_least") - F.col("x_most") < UNSTABLE) & (F.col("x_low") <= F.col("y_high")) & (F.col("y_low") <= F.col("x_high"))
+    tiles = written(of(blocks, "x").join(of(blocks, "y"), near).select("x_block", "y_block", F.monotonically_increasing_id().alias("_tile")), "tiles")
+    parts = max(tiles.count() // TILES, 4 * intervals.sparkSession.sparkContext.defaultParallelism)
+    side = lambda p: of(placed, p).join(tiles.select("_tile", f"{p}_block"), f"{p}_block").repartition(parts, "_tile")
+    met = side("x").join(side("y").drop("x_block"), "_tile").where(f"xid <> yid and (x_block < y_block or xid < yid) and abs(xmean - ymean) < {UNSTABLE} and xlow <= yhigh and ylow <= xhigh")
+    return met.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b"), F.abs(F.col("xmean") - F.col("ymean")).alias("difference"))
 
 
 def normal_quantile(p: Column) -> Column:

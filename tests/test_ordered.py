@@ -48,3 +48,27 @@ def test_least_from_is_linear(spark):
     told = sorted((r["k"], -1 if r["o"] is None else r["o"], r["id"], r["v"], r["m"]) for r in got.collect())
     for i, (k, _, _, _, m) in enumerate(told):
         assert m == min(x[3] for x in told[i:] if x[0] == k)
+
+
+def test_unstable_pairs_over_blocks(spark, monkeypatch):
+    """Dense means meet in many tiles, each pair once."""
+    from quorumlake.operators import selection
+
+    monkeypatch.setattr(selection, "BLOCK", 8)
+    rng = random.Random(2)
+    rows = [(k, m := rng.choice([rng.random() / 4, 0.1]), m - rng.random() / 20, m + rng.random() / 20) for k in range(120)] + [(200, None, None, None)]
+    out = selection.unstable_pairs(spark.createDataFrame(rows, "k int, mean double, low double, high double"), "k")
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    want = {(a[0], b[0]): abs(a[1] - b[1]) for a in rows[:-1] for b in rows[:-1] if a[0] < b[0] and abs(a[1] - b[1]) < selection.UNSTABLE and a[2] <= b[3] and b[2] <= a[3]}
+    got = out.collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["difference"] for r in got} == want
+
+
+def test_majority_without_window(spark):
+    """The attributes of the largest run come from an aggregate that holds a row for each entity."""
+    from quorumlake.operators import fusion
+
+    rows = spark.createDataFrame([(1, 10, "b", 2.0), (1, 11, "x", 1.0), (2, 10, "a", 1.0), (3, 10, "c", None), (3, 11, "c", 0.5), (1, 10, None, 7.0)], "run int, e int, p string, q double")
+    out = fusion.majority(rows, "run", "e", ["p", "q"], 3)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(10, 3, None, 7.0), (11, 2, "x", 1.0)]
