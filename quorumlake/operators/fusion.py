@@ -33,8 +33,9 @@ def majority(assertions: DataFrame, run: str, entity: str, attributes: list[str]
     """Entities of most runs, with the attributes of the run that names most entities (the first of equals)."""
     sizes = assertions.groupBy(run).agg(F.count_distinct(entity).alias("_size"))
     votes = quorum(assertions, run, entity, n_runs // 2 + 1)
-    rank = F.row_number().over(Window.partitionBy(entity).orderBy(F.desc("_size"), F.col(run), *[F.col(a) for a in attributes]))
-    best = assertions.join(sizes, run).withColumn("_rn", rank).where("_rn = 1").select(entity, *attributes)
+    # the least of (-size, run, attributes) is told as rows are read: no entity's rows are sorted or held
+    order = F.struct((-F.col("_size")).alias("_size"), F.col(run).alias("_run"), *[F.col(a).alias(f"_{k}") for k, a in enumerate(attributes)])
+    best = assertions.join(sizes, run).groupBy(entity).agg(F.min(order).alias("_b")).select(entity, *[F.col(f"_b._{k}").alias(a) for k, a in enumerate(attributes)])
     return votes.join(best, entity)
 
 
