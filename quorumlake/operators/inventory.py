@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import io
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from quorumlake.sources.tables import written
 
 #: A candidate is (key, order, kind, block): its text as delimited lines, best score first, the first of equals.
 KINDS = ("fenced", "pipe", "merged", "fragments", "inline")
+#: Texts whose cells are Python objects at once.
+TEXTS = 32
 #: Kinds of errors of an inventory, in the order in which they are looked for.
 ERRORS = ("no_text", "no_table", "parse_failed", "no_name_column")
 
@@ -22,9 +24,10 @@ ERRORS = ("no_text", "no_table", "parse_failed", "no_name_column")
 def parsed(block: Column) -> Column:
     """A delimited text's rows as arrays of cells, without empty rows. A ``sep=`` line is left out; the delimiter of
     , ; tab and | is the one that splits the first lines alike, else the comma."""
+    kind = pa.list_(pa.list_(pa.string()))
 
-    @F.pandas_udf("array<array<string>>")
-    def cells(blocks: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<array<string>>")
+    def cells(blocks: pa.Array) -> pa.Array:
         def one(text: str | None) -> list[list[str]]:
             text = (text or "").strip()
             if text.lower().startswith("sep="):
@@ -38,7 +41,9 @@ def parsed(block: Column) -> Column:
             except csv.Error:
                 return []
 
-        return pd.Series([one(b) for b in blocks])
+        # some texts at a time: cells are many times their size as Python's objects
+        parts = [pa.array([one(b) for b in blocks.slice(at, TEXTS).to_pylist()], kind) for at in range(0, len(blocks), TEXTS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return cells(block)
 

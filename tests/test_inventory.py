@@ -75,3 +75,12 @@ def test_pages_and_counters(spark):
     assert tuple(counts) == (1, 1, 2, 1, 4, 2)
     kept = spark.createDataFrame([("Phả Lại and Uong Bi",), ("none",)], "t string").select(inventory.diacritics_kept(F.col("t"), ("Phả Lại", "Uông Bí"))).collect()
     assert [r[0] for r in kept] == [0.5, None]
+
+
+def test_cells_some_texts_at_a_time(spark, monkeypatch):
+    """More texts than are parsed at once, nulls and empty ones among them, keep their order."""
+    assert inventory.TEXTS < 100
+    rows = [(k, None if k % 7 == 0 else "" if k % 7 == 1 else f"a,b\n{k},{k}") for k in range(100)]
+    df = spark.createDataFrame(rows, "k int, t string").coalesce(1)
+    for r in df.select("k", "t", inventory.parsed(df["t"]).alias("c")).collect():
+        assert r["c"] == ([["a", "b"], [str(r["k"])] * 2] if r["t"] else [])
