@@ -21,12 +21,16 @@ def fenced_blocks(text: Column) -> Column:
 
 def block_score(block: Column) -> Column:
     """Share of lines with a delimiter, header words and length; -1 for nothing, or a pipe table near the top."""
-    lines = F.filter(F.split(block, "\n"), lambda x: F.trim(x) != "")
-    top = F.slice(lines, 1, 5)
-    delimited = F.size(F.filter(lines, lambda x: x.rlike("[,;\t]"))) / F.size(lines)
-    words = sum((F.contains(F.lower(F.element_at(lines, 1)), F.lit(w)).cast("double") for w in HEADER_WORDS), F.lit(0.0))
-    piped = F.exists(top, lambda x: F.ltrim(x).startswith("|"))
-    return F.when(F.size(lines) == 0, -1.0).when(piped, -1.0).otherwise(delimited + 0.2 * words + F.least(F.size(lines) / 50, F.lit(1.0)))
+
+    def scored(lines: Column) -> Column:
+        top = F.slice(lines, 1, 5)
+        delimited = F.size(F.filter(lines, lambda x: x.rlike("[,;\t]"))) / F.size(lines)
+        words = sum((F.contains(F.lower(F.element_at(lines, 1)), F.lit(w)).cast("double") for w in HEADER_WORDS), F.lit(0.0))
+        piped = F.exists(top, lambda x: F.ltrim(x).startswith("|"))
+        return F.when(F.size(lines) == 0, -1.0).when(piped, -1.0).otherwise(delimited + 0.2 * words + F.least(F.size(lines) / 50, F.lit(1.0)))
+
+    # an array of one, so that the lines are told once
+    return F.element_at(F.transform(F.array(F.filter(F.split(block, "\n"), lambda x: F.trim(x) != "")), scored), 1)
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -107,18 +107,23 @@ def inline_block(text: Column) -> Column:
     the first with two delimiters) up to two empty lines in a row, without empty lines. Null if there is none."""
     count = lambda x, d: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit("")))
     split = lambda x: F.greatest(count(x, ","), count(x, ";"), count(x, "\t")) >= 2
-    worded = lambda x: F.greatest(*(F.contains(F.lower(x), F.lit(w)) for w in extract.HEADER_WORDS))
-    lines = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda x, i: F.struct(F.regexp_replace(x, r"^\s+|\s+$", "").alias("t"), x.alias("raw"), i.alias("i")))
-
-    def cut(all_lines: Column) -> Column:
-        first = lambda test: F.array_min(F.transform(F.filter(all_lines, test), lambda x: x["i"]))
-        start = F.coalesce(first(lambda x: split(x["t"]) & worded(x["t"])), first(lambda x: split(x["t"])))
-        rest = F.filter(all_lines, lambda x: x["i"] >= start)
+    worded = lambda x: F.greatest(*(F.contains(x, F.lit(w)) for w in extract.HEADER_WORDS))
+    trimmed = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda x: F.struct(F.regexp_replace(x, r"^\s+|\s+$", "").alias("t"), x.alias("raw")))
+    # what a line's tests need is told once for each line, and where the part starts once for each text
+    low = F.transform(trimmed, lambda x, i: F.struct(x["t"].alias("t"), x["raw"].alias("raw"), i.alias("i"), F.when(split(x["t"]), F.lower(x["t"])).alias("low")))
+
+    def started(lines: Column) -> Column:
+        first = lambda test: F.array_min(F.transform(F.filter(lines, test), lambda x: x["i"]))
+        start = F.coalesce(first(lambda x: x["low"].isNotNull() & worded(x["low"])), first(lambda x: x["low"].isNotNull()))
+        return F.struct(start.alias("start"), lines.alias("lines"))
+
+    def cut(told: Column) -> Column:
+        rest = F.slice(told["lines"], told["start"] + 1, F.size(told["lines"]))
         joined = F.array_join(F.transform(rest, lambda x: F.when(x["t"] == "", "").otherwise(x["raw"])), "\n")
         part = F.element_at(F.split(joined, "\n\n\n"), 1)
-        return F.when(start.isNotNull(), F.trim(F.regexp_replace(part, "\n+", "\n")))
+        return F.when(told["start"].isNotNull(), F.trim(F.regexp_replace(part, "\n+", "\n")))
 
-    return F.element_at(F.transform(F.array(lines), cut), 1)
+    return F.element_at(F.transform(F.transform(F.array(low), started), cut), 1)
 
 
 def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -133,7 +138,9 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     merged = out(_block(merged.select(key, "line_no", "cells").union(head), [key], "line_no").withColumn("nr", F.lit(0)), "merged")
     fragments = out(_block(merged_fragments(rows, key), [key], "line_no").withColumn("nr", F.lit(0)), "fragments")
     found = fenced.union(pipe).union(merged).union(fragments)
-    rest = docs.join(found.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("nr"), inline_block(F.col(text)).alias("block")).where("block is not null")
+    # generated, as a filter on the part would cut each text twice, once before the join
+    part = F.filter(F.array(inline_block(F.col(text))), lambda x: x.isNotNull())
+    rest = docs.join(found.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("nr"), F.explode(part).alias("block"))
     return found.union(out(rest, "inline")).withColumn("score", extract.block_score(F.col("block")))
 
 
@@ -147,9 +154,10 @@ def canonical_rows(blocks: DataFrame, key: str) -> DataFrame:
     """(key, row_no, CANONICAL) of each text's block: the first column that names a canonical one gives it, capacities as
     numbers ("0" for none), cells trimmed, missing ones empty, rows without a name left out. A block without two rows or
     without a column of names gives none."""
-    tables = blocks.select(key, parsed(F.col("block")).alias("_rows")).where("size(_rows) >= 2")
-    tables = tables.withColumn("_names", F.transform(F.element_at("_rows", 1), tx.canonical_header)).where("array_contains(_names, 'name')")
-    rows = tables.select(key, "_names", F.posexplode(F.slice("_rows", 2, 1 << 30)).alias("row_no", "_cells"))
+    tables = blocks.select(key, parsed(F.col("block")).alias("_rows")).withColumn("_names", F.transform(F.get("_rows", F.lit(0)), tx.canonical_header))
+    # no filter on what is parsed: the plan would parse it once more for that
+    body = F.when(F.array_contains("_names", "name"), F.slice("_rows", 2, 1 << 30))
+    rows = tables.select(key, "_names", F.posexplode(body).alias("row_no", "_cells"))
     cell = lambda name: F.trim(F.coalesce(F.when(F.array_position("_names", name) > 0, F.get("_cells", F.array_position("_names", name).cast("int") - 1)), F.lit("")))
     values = {c: tx.capacity_text(cell(c)) if c == "capacity_mwe" else cell(c) for c in tx.CANONICAL}
     return rows.select(key, "row_no", *(v.alias(c) for c, v in values.items())).where("name <> ''")
@@ -160,11 +168,13 @@ def ingested(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     where it has none (one of ERRORS)."""
     best = written(best_block(candidates(docs, key, text), key), "best-blocks")
     rows = canonical_rows(best, key)
-    shape = best.select(key, "kind", parsed(F.col("block")).alias("_rows"))
-    named = F.array_contains(F.transform(F.element_at("_rows", 1), tx.canonical_header), "name")
-    shape = shape.select(key, "kind", (F.size("_rows") < 2).alias("_short"), F.when(F.size("_rows") >= 1, F.coalesce(named, F.lit(False))).alias("_named"))
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    told = docs.select(key, (F.trim(F.coalesce(text, F.lit(""))) == "").alias("_empty")).join(shape, key, "left").join(counts, key, "left")
+    shape = best.select(key, "kind", parsed(F.col("block")).alias("_rows")).withColumn("_names", F.transform(F.get("_rows", F.lit(0)), tx.canonical_header))
+    at = F.array_position("_names", "name").cast("int") - 1
+    filled = F.filter(F.slice("_rows", 2, 1 << 30), lambda cells: F.trim(F.coalesce(F.get(cells, at), F.lit(""))) != "")
+    named = F.coalesce(F.array_contains("_names", "name"), F.lit(False))
+    # the canonical rows are counted where the text is parsed
+    shape = shape.select(key, "kind", (F.size("_rows") < 2).alias("_short"), F.when(F.size("_rows") >= 1, named).alias("_named"), F.when(named, F.size(filled).cast("long")).alias("n_rows"))
+    told = docs.select(key, (F.trim(F.coalesce(text, F.lit(""))) == "").alias("_empty")).join(shape, key, "left")
     error = F.when(F.col("_empty"), "no_text").when(F.col("kind").isNull(), "no_table").when(F.col("_short"), "parse_failed").when(~F.col("_named"), "no_name_column")
     return rows, told.select(key, "kind", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), error.alias("error"))
 

@@ -56,6 +56,16 @@ def test_inline_and_dialects(spark):
     assert [r[0] for r in blocks.select(inventory.parsed(F.col("b"))).collect()] == [[["a", "b"], ["1,5", "2"]], [["a", "b"], ["1", "2"]], [["x, y", "z"], ["1", "2"]], []]
 
 
+def test_texts_are_cut_and_parsed_once(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    cut = spark.createDataFrame(TEXTS, "id long, t string").select(inventory.inline_block(F.col("t")).alias("b"))
+    assert plan(cut).count(", capacity)") == 1  # where the part starts isn't told again for each line
+    rows, told = inventory.ingested(docs(spark), "id", "t")
+    assert plan(rows).count("cells(") == plan(told).count("cells(") == 1
+    found = plan(inventory.candidates(docs(spark), "id", "t"))
+    assert found.count(", capacity)") == 6  # of the part that looks delimited once, and of five scores
+
+
 def test_turns_and_arms(spark):
     turns = spark.createDataFrame([(1, 0, "assistant", "first"), (1, 1, "assistant", " "), (2, 0, "user", "q"), (3, 0, "user", "q")], "c long, t long, r string, x string")
     siblings = spark.createDataFrame([(2, "spare"), (4, "only"), (3, "")], "c long, s string")
