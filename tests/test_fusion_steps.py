@@ -119,3 +119,14 @@ def test_honest_notes_and_hard_stops(spark):
     none = F.lit(None)
     got = df.select("d", "s", records.failure_class(F.lit("http"), F.col("status"), none.cast("int"), none.cast("string"), F.col("message")).alias("x")).collect()
     assert all((r["d"], r["s"]) == tuple(r["x"]) for r in got)
+
+
+def test_facts_of_one_place_follow_the_file(spark, tmp_path):
+    from quorumlake import plans
+
+    lines = "l_partkey long, l_suppkey long, l_returnflag string, l_tax double, l_orderkey long, l_linenumber int, l_shipdate string"
+    rows = [(1, 1, "A", 0.05, 7, 1, "2000-01-01"), (1, 2, "A", 0.01, 7, 1, "1998-01-01"), (1, 3, "R", 0.02, 6, 1, "1999-01-01")]
+    spark.createDataFrame(rows, lines).withColumn("l_shipdate", F.to_timestamp("l_shipdate")).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = plans.queries()["authority_steps"](spark, str(tmp_path)).orderBy("seq", "change").collect()
+    assert [tuple(r) for r in got] == [(1, 61, 0.02, "set"), (1, 71, 0.01, "refused"), (1, 71, 0.05, "replaced")]
+    assert [tuple(r) for r in plans.queries()["authority_fold"](spark, str(tmp_path)).collect()] == [(1, "tax", 0.05, 2)]
