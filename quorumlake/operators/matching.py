@@ -14,35 +14,73 @@ from quorumlake.operators.fuzzy_join import alike_within
 FUZZY, MISMATCH, UNMATCHED, CAPACITY_STEP, NAME_FUZZY, AMBIGUOUS_RATIO = 1.0, 1000.0, 10000.0, 0.001, 90.0, 90.0
 
 
-def assign(cost: np.ndarray) -> np.ndarray:
-    """Column of each row of a matrix with no more rows than columns, of least total cost (shortest augmenting paths)."""
+def assign(cost: np.ndarray | Costs, alone: float | None = None) -> np.ndarray:
+    """Column of each row of costs with no more rows than columns, of least total cost (shortest augmenting paths). With
+    ``alone`` a row may also stay without a column (-1) at that price. Only one row of costs is asked for at a time.
+
+    To stay alone is a column of its own for each row, behind the others. A free one of these was never on a path, so
+    that they are taken in order, and the first free one stands for all of them."""
     n, m = cost.shape
-    u, v, row_of = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, np.int64)
+    width = m + (0 if alone is None else n)
+    u, v, row_of, taken = np.zeros(n + 1), np.zeros(width + 1), np.zeros(width + 1, np.int64), 0
     for i in range(1, n + 1):
-        row_of[0], j0 = i, 0
-        least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64), np.zeros(m + 1, bool)
+        end = m + 1 + (0 if alone is None else taken + 1)
+        row_of[0], j0, path = i, 0, []
+        least, way, free = np.full(end, np.inf), np.zeros(end, np.int64), np.ones(end, bool)
+        slack = np.empty(end - 1)
         while True:
-            used[j0] = True
+            free[j0], least[j0] = False, np.inf
+            path.append(j0)
             i0 = row_of[j0]
-            slack = cost[i0 - 1] - u[i0] - v[1:]
-            better = ~used[1:] & (slack < least[1:])
-            least[1:][better], way[1:][better] = slack[better], j0
-            open_ = np.where(used[1:], np.inf, least[1:])
-            j1 = int(np.argmin(open_)) + 1
-            delta = open_[j1 - 1]
-            u[row_of[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
+            slack[:m] = cost[i0 - 1]
+            slack[m:] = alone
+            slack -= u[i0]
+            slack -= v[1:end]
+            better = (slack < least[1:]) & free[1:]
+            np.copyto(least[1:], slack, where=better)
+            way[1:][better] = j0
+            j1 = int(np.argmin(least[1:])) + 1
+            delta = least[j1]
+            u[row_of[path]] += delta
+            v[path] -= delta
+            least -= delta
             j0 = j1
             if row_of[j0] == 0:
                 break
+        taken += j0 > m
         while j0:
             row_of[j0], j0 = row_of[way[j0]], way[j0]
     out = np.full(n, -1, np.int64)
-    out[row_of[1:][row_of[1:] > 0] - 1] = np.flatnonzero(row_of[1:] > 0)
+    held = np.flatnonzero(row_of[1 : m + 1] > 0)
+    out[row_of[1:][held] - 1] = held
     return out
 
 
+class Costs:
+    """The costs of pairs of two sides' entities, by row: a table over distinct names, and both sides' capacities."""
+
+    def __init__(self, names: np.ndarray, veto: np.ndarray, rows: np.ndarray, columns: np.ndarray, row_capacity: np.ndarray, column_capacity: np.ndarray):
+        self.names, self.veto, self.at, self.capacity, self.shape = names, veto, (rows, columns), (row_capacity, column_capacity), (len(rows), len(columns))
+        self.vetoed = veto.any(axis=1)
+
+    def of(self, i, j) -> np.ndarray:
+        p, q = self.at[0][i], self.at[1][j]
+        gap = np.abs(self.capacity[0][i] - self.capacity[1][j])
+        cost = np.where(np.isnan(gap), MISMATCH, self.names[p, q] + CAPACITY_STEP * gap)
+        return np.where(self.veto[p, q], 2 * UNMATCHED + 1, cost)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        p, q = self.at[0][i], self.at[1]
+        cost = np.subtract(self.capacity[1], self.capacity[0][i])
+        np.abs(cost, out=cost)
+        cost *= CAPACITY_STEP
+        cost += self.names[p].take(q)
+        np.copyto(cost, MISMATCH, where=np.isnan(cost))
+        if self.vetoed[p]:
+            np.copyto(cost, 2 * UNMATCHED + 1, where=self.veto[p].take(q))
+        return cost
+
+
 def numbers(name: Column) -> Column:
     """A name's words of digits only: distinct, in order."""
     return F.array_sort(F.array_distinct(F.filter(F.split(name, r"\s+"), lambda w: w.rlike("^[0-9]+$"))))
@@ -97,42 +135,47 @@ def _sides(table: pd.DataFrame, order: list[str]) -> tuple[pd.DataFrame, pd.Data
     return tuple(table[table["side"] == s].reset_index(drop=True) for s in ("ref", "sys"))
 
 
+def solved(table: pd.DataFrame, pairs: pd.DataFrame, key: str) -> pd.DataFrame:
+    """One key of ``optimal_match``: its entities and its pairs of names."""
+    left, right = _sides(table, ["name", "id"])
+    k, n, m = table[key].iloc[0], len(left), len(right)
+    if not n or not m:
+        return _matched(k, left, right, [], key)
+    names = [{x: p for p, x in enumerate(dict.fromkeys(s["name"]))} for s in (left, right)]
+    score, veto = np.zeros((len(names[0]), len(names[1]))), np.zeros((len(names[0]), len(names[1])), bool)
+    at = pairs["ref_name"].map(names[0]).to_numpy(), pairs["sys_name"].map(names[1]).to_numpy()
+    score[at], veto[at] = pairs["score"], pairs["veto"]
+    price = np.where(score >= NAME_FUZZY, FUZZY, MISMATCH)
+    for x in names[0].keys() & names[1].keys():
+        price[names[0][x], names[1][x]] = 0.0
+    p, q = left["name"].map(names[0]).to_numpy(), right["name"].map(names[1]).to_numpy()
+    a, b = left["capacity"].to_numpy(float), right["capacity"].to_numpy(float)
+    # the smaller side picks a partner, or none at the price of two entities left over
+    small = Costs(price, veto, p, q, a, b) if n <= m else Costs(price.T.copy(), veto.T.copy(), q, p, b, a)
+    to = assign(small, 2 * UNMATCHED)
+    i = np.flatnonzero(to >= 0)
+    i = i[small.of(i, to[i]) <= 2 * UNMATCHED]
+    i, j = (i, to[i]) if n <= m else (to[i], i)
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    x, y, found = left["name"].to_numpy()[i], right["name"].to_numpy()[j], score[p[i], q[j]]
+    kind = np.where(x == y, "exact", np.where(found < NAME_FUZZY, "mismatched", np.where(np.abs(a[i] - b[j]) == 0, "fuzzy", "fuzzy_diff")))
+    return _matched(k, left, right, list(zip(i.tolist(), j.tolist(), found.tolist(), kind.tolist(), strict=True)), key)
+
+
 def optimal_match(rows: DataFrame, key: str) -> DataFrame:
     """(key, ref_id, sys_id, score, status) from (key, side 'ref' or 'sys', id, name, capacity): the one-to-one match of
     each key with least cost, every entity left over as a row of its own.
 
     A pair costs nothing for equal names, FUZZY for alike ones, MISMATCH for others, with CAPACITY_STEP a unit of
     capacity between them; MISMATCH where a capacity is null; a vetoed pair more than two entities left over, at
-    UNMATCHED each. Names are scored and vetoed by one plan over all keys; what a task solves is a key's matrix of costs
-    (a run against its reference list). Statuses: exact, fuzzy (same capacity), fuzzy_diff, mismatched, ref_only,
+    UNMATCHED each. Names are scored and vetoed by one plan over all keys; what a task solves is a key (a run against its
+    reference list), with a table over its distinct names in memory but no matrix over its entities. Statuses: exact, fuzzy (same capacity), fuzzy_diff, mismatched, ref_only,
     sys_only.
     """
 
-    def solve(table: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(table, ["name", "id"])
-        k, n, m = table[key].iloc[0], len(left), len(right)
-        if not n or not m:
-            return _matched(k, left, right, [], key)
-        names = [{x: p for p, x in enumerate(dict.fromkeys(s["name"]))} for s in (left, right)]
-        score, veto = np.zeros((len(names[0]), len(names[1]))), np.zeros((len(names[0]), len(names[1])), bool)
-        at = pairs["ref_name"].map(names[0]).to_numpy(), pairs["sys_name"].map(names[1]).to_numpy()
-        score[at], veto[at] = pairs["score"], pairs["veto"]
-        p, q = left["name"].map(names[0]).to_numpy(), right["name"].map(names[1]).to_numpy()
-        score, veto = score[np.ix_(p, q)], veto[np.ix_(p, q)]
-        same = left["name"].to_numpy()[:, None] == right["name"].to_numpy()[None, :]
-        gap = np.abs(left["capacity"].to_numpy(float)[:, None] - right["capacity"].to_numpy(float)[None, :])
-        cost = np.where(same, 0.0, np.where(score >= NAME_FUZZY, FUZZY, MISMATCH)) + CAPACITY_STEP * gap
-        cost = np.where(veto, 2 * UNMATCHED + 1, np.where(np.isnan(gap), MISMATCH, cost))
-        # the smaller side picks a partner, or none at the price of two entities left over
-        small = cost if n <= m else cost.T
-        to = assign(np.hstack([small, np.full((len(small), len(small)), 2 * UNMATCHED)]))
-        taken = [(i, int(j)) for i, j in enumerate(to) if j < small.shape[1] and small[i, j] <= 2 * UNMATCHED]
-        taken = taken if n <= m else sorted((j, i) for i, j in taken)
-        kind = lambda i, j: "exact" if same[i, j] else "mismatched" if score[i, j] < NAME_FUZZY else "fuzzy" if gap[i, j] == 0 else "fuzzy_diff"
-        return _matched(k, left, right, [(i, j, float(score[i, j]), kind(i, j)) for i, j in taken], key)
-
     kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).cogroup(named_pairs(rows, key).groupBy(key)).applyInPandas(solve, f"{key} {kind}, {MATCH}")
+    return rows.groupBy(key).cogroup(named_pairs(rows, key).groupBy(key)).applyInPandas(lambda table, pairs: solved(table, pairs, key), f"{key} {kind}, {MATCH}")
 
 
 def phased_match(rows: DataFrame, key: str) -> DataFrame:

@@ -186,3 +186,23 @@ def test_veto_is_null_safe(spark):
     pairs = spark.createDataFrame([("", "a 1"), ("a 1", "")], "a string, b string")
     bases = matching.numbered_bases(pairs, [], "a")
     assert [r["veto"] for r in matching.with_veto(pairs, bases, [], "a", "b").select(F.col("veto")).collect()] == [False, False]
+
+
+def test_a_key_is_solved_without_a_matrix_of_its_entities():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng, n, names = np.random.default_rng(4), 300, [f"plant {c}" for c in "abcde"]
+    table = pd.DataFrame({"key": "k", "side": ["ref"] * n + ["sys"] * n, "id": range(2 * n), "name": rng.choice(names, 2 * n), "capacity": rng.integers(1, 40, 2 * n).astype(float)})
+    pairs = pd.DataFrame([("k", x, y, x == "plant a" and y == "plant b", 100.0 if x == y else 80.0) for x in names for y in names], columns=["key", "ref_name", "sys_name", "veto", "score"])
+    tracemalloc.start()
+    got = matching.solved(table, pairs, "key")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n * n, peak  # one matrix of doubles
+    assert got["ref_id"].nunique() == got["sys_id"].nunique() == n
+    costs = rng.choice([0.0, 1.0, 1000.0, 20001.0], (12, 15)) + rng.integers(0, 9, (12, 15)) / 1000
+    alone = matching.assign(np.hstack([costs, np.full((12, 12), 20000.0)]))
+    assert matching.assign(costs, 20000.0).tolist() == np.where(alone < 15, alone, -1).tolist()
