@@ -63,7 +63,7 @@ def test_texts_are_cut_and_parsed_once(spark):
     rows, told = inventory.ingested(docs(spark), "id", "t")
     assert plan(rows).count("cells(") == plan(told).count("cells(") == 1
     found = plan(inventory.candidates(docs(spark), "id", "t"))
-    assert found.count(", capacity)") == 6  # of the part that looks delimited once, and of five scores
+    assert found.count(", province)") == 6  # of the part that looks delimited once, and of five scores
 
 
 def test_turns_and_arms(spark):
