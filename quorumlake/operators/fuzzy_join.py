@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,14 +114,17 @@ def candidates(short: Listed, long: Listed, kind: str, least: float, strict: boo
     return probes.join(held, ["q", "gram", "part"]).where(fits).select("a", "b").distinct()
 
 
-def scored_pairs(x: Listed, y: Listed, kind: str, least: float) -> DataFrame:
+def scored_pairs(x: Listed, y: Listed, kind: str, least: float, rising: bool = False) -> DataFrame:
     """(a, b, score) of two lists: the shorter text of a pair looks up the longer one, in either direction; equal texts are
     joined, two empty ones among them; candidates are scored. Texts are carried to their pairs last. Below LOW, short texts
-    are compared by tiles, and only what has a longer one is looked up."""
+    are compared by tiles, and only what has a longer one is looked up.
+
+    ``rising``: a pair may be left out if a is as alike to a b of a smaller id or more, so that what a first b, or the most
+    alike of the first so many, need stays, and the pairs of a don't grow with the list."""
     if not least > 0:
         raise ValueError("a threshold above 0 is needed; see nearest")
     if by_tiles(kind, least):
-        near = tiled(x, y, least)
+        near = tiled(x, y, least, rising=rising)
         mixed = [(p, q) for p, q in ((x.longer(), y), (x.shorter(), y.longer())) if not p.texts.isEmpty() and not q.texts.isEmpty()]
         for p, q in mixed:
             near = near.union(looked_up(p, q, kind, least).select(near.columns))
@@ -137,12 +141,18 @@ def looked_up(x: Listed, y: Listed, kind: str, least: float) -> DataFrame:
     return full.withColumn("score", similarity_from(kind, F.col("_a"), F.col("_b"), least)).where(F.col("score") >= least)
 
 
-def _tile_pairs(least: float, within: bool):
+def _tile_pairs(least: float, within: bool, rising: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 x, y = (batch.column(c)[r].values for c in ("xs", "ys"))
+                if rising:
+                    y = y.take(pa.array(np.argsort(y.field("id").to_numpy())))
                 for i, j, score in tile_scores(x.field("text").to_pylist(), y.field("text").to_pylist(), least):
+                    if rising and len(i):  # scores of a row of the tile are above those of the rows before it
+                        height = score + 1000.0 * i
+                        up = np.append(True, height[1:] > np.maximum.accumulate(height)[:-1])
+                        i, j, score = i[up], j[up], score[up]
                     a, b = x.field("id").take(pa.array(i)), y.field("id").take(pa.array(j))
                     out = pa.RecordBatch.from_arrays([a, b, x.field("raw").take(pa.array(i)), y.field("raw").take(pa.array(j)), pa.array(score)], ["a", "b", "_a", "_b", "score"])
                     # a tile of a block with itself has each pair twice
@@ -151,9 +161,9 @@ def _tile_pairs(least: float, within: bool):
     return run
 
 
-def tiled(x: Listed, y: Listed, least: float, within: bool = False) -> DataFrame:
+def tiled(x: Listed, y: Listed, least: float, within: bool = False, rising: bool = False) -> DataFrame:
     """(a, b, _a, _b, score): the pairs of texts of up to WORD characters whose ratio is ``least`` or more; ``within``: of one
-    list, each pair once.
+    list, each pair once; ``rising``: of a tile, those more alike than all of a with a smaller b.
 
     Both lists are cut into blocks by length, and blocks whose lengths allow it meet. A block's side grows with the lists, so
     that what is moved grows no faster than the pairs; a task holds one tile at a time, and tasks grow with the pairs.
@@ -180,7 +190,7 @@ def tiled(x: Listed, y: Listed, least: float, within: bool = False) -> DataFrame
     b = right.select(F.col("block").alias("j"), F.col("s").alias("ys")).join(F.broadcast(tiles.select("tile", "j")), "j")
     both = a.select("tile", "same", "xs").repartition(parts, "tile").join(b.select("tile", "ys").repartition(parts, "tile").hint("shuffle_hash"), "tile")
     kind = x.texts.schema["raw"].dataType.simpleString()
-    return both.mapInArrow(_tile_pairs(least, within), f"a long, b long, _a {kind}, _b {kind}, score double")
+    return both.mapInArrow(_tile_pairs(least, within, rising), f"a long, b long, _a {kind}, _b {kind}, score double")
 
 
 def by_tiles(kind: str, least: float) -> bool:
@@ -193,23 +203,28 @@ def alike(left: DataFrame, right: DataFrame, a: str, b: str, kind: str, least: f
     return scored_pairs(listed(left, a, kind), listed(right, b, kind), kind, least).select(F.col("_a").alias(a), F.col("_b").alias(b), "score")
 
 
-def alike_within(names: DataFrame, name: str, kind: str, least: float) -> DataFrame:
-    """(a, b, score): distinct texts a < b of one list that are ``least`` alike or more."""
-    x = listed(names, name, kind)
+def scored_within(x: Listed, kind: str, least: float) -> DataFrame:
+    """(a, b, _a, _b, score): each pair of texts of one list that are ``least`` alike or more, by ids a < b."""
     if by_tiles(kind, least):
         near = tiled(x, x, least, within=True)
         if not (long := x.longer()).texts.isEmpty():
             pairs = looked_up(long, x, kind, least).where(F.col("a") != F.col("b"))
-            near = near.union(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"), "score").distinct())
-        return near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "score")
+            turned = F.col("a") > F.col("b")
+            ends = [F.when(turned, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("_a", "_b"), ("_b", "_a"))]
+            near = near.union(pairs.select(*ends, "score").distinct())
+        return near
     pairs = candidates(x, x, kind, least)
     if kind == "token_sort_ratio":  # texts that differ in the order of their words alone, or have none
         same = x.texts.select("text", F.col("id").alias("a"))
         pairs = pairs.union(same.join(same.withColumnRenamed("a", "b"), "text").select("a", "b"))
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    full = pairs.join(x.raw("a", "_a"), "a").join(x.raw("b", "_b"), "b")
-    full = full.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-    return full.withColumn("score", similarity_from(kind, F.col("a"), F.col("b"), least)).where(F.col("score") >= least)
+    full = pairs.join(x.raw("a", "_a"), "a").join(x.raw("b", "_b"), "b").select("a", "b", "_a", "_b")
+    return full.withColumn("score", similarity_from(kind, F.least("_a", "_b"), F.greatest("_a", "_b"), least)).where(F.col("score") >= least)
+
+
+def alike_within(names: DataFrame, name: str, kind: str, least: float) -> DataFrame:
+    """(a, b, score): distinct texts a < b of one list that are ``least`` alike or more."""
+    return scored_within(listed(names, name, kind), kind, least).select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "score")
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, query: str, name: str, kind: str = "partial_ratio", least: float = 0.0) -> DataFrame:

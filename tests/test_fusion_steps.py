@@ -111,6 +111,23 @@ def test_growing_master(spark):
     assert steps.count() == fused.count() == 0
 
 
+def test_names_meet_masters_block_by_block(spark, monkeypatch):
+    """Several blocks give what one growing list gives, names of over 64 characters and later rows of a name included; links
+    of names that are no masters are not told."""
+    monkeypatch.setattr(growing_master, "FIRST", 3)
+    rng = random.Random(12)
+    stems = ["nhon trach", "trach nhon", "vinh tan", "vinh tan mo rong", "long phu", "ca mau", "hiep phuoc", "nha may nhiet dien than " * 3 + "quang ninh"]
+    rows = [(s, k, f"{rng.choice(stems)} {rng.randrange(1, 5)}", rng.choice(["coal", "gas", None]), ord(s) % 3, 2020) for s in "abcd" for k in range(18)]
+    df = spark.createDataFrame(rows, "source string, k int, name string, fuel string, tier int, year int")
+    steps, fused = growing_master.incremental_fusion(df.repartition(3), "source", "k", "name", ["fuel"], "tier", "year")
+    want, masters = in_turn(rows, ["fuel"])
+    assert {r["source"]: (r["added"], r["field_updates"], r["unchanged"]) for r in steps.collect()} == want
+    assert sorted(((r["name"], r["fuel"]) for r in fused.collect()), key=str) == sorted(masters, key=str)
+    alike = spark.range(1, 301).select(F.format_string("nha may nhiet dien %03d", "id").alias("name"), "id", F.col("id").alias("first"), F.col("id").alias("last"))
+    heads, links = growing_master.met_masters(alike, "token_sort_ratio", 72.0)
+    assert [r[0] for r in heads.collect()] == [1] and links.count() <= 2 * 300
+
+
 def test_honest_notes_and_hard_stops(spark):
     notes = spark.createDataFrame([("uncertain about COD",), ("all data confirmed",), ("conflicting sources on capacity",), ("Planned but stopped",), ("unverified",), (None,)], "n string")
     assert [r[0] for r in notes.select(provenance.honest(F.col("n"))).collect()] == [True, False, True, True, False, False]
