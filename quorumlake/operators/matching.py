@@ -12,72 +12,125 @@ from quorumlake.operators.fuzzy_join import alike_within
 
 # Costs and thresholds of the match.
 FUZZY, MISMATCH, UNMATCHED, CAPACITY_STEP, NAME_FUZZY, AMBIGUOUS_RATIO = 1.0, 1000.0, 10000.0, 0.001, 90.0, 90.0
+#: The price of two entities left over, in units of CAPACITY_STEP, and costs that are asked for at once.
+STAY, BATCH = round(2 * UNMATCHED / CAPACITY_STEP), 1 << 14
 
 
-def assign(cost: np.ndarray | Costs, alone: float | None = None) -> np.ndarray:
-    """Column of each row of costs with no more rows than columns, of least total cost (shortest augmenting paths). With
-    ``alone`` a row may also stay without a column (-1) at that price. Only one row of costs is asked for at a time.
+def transported(cost: np.ndarray | Costs, supply: np.ndarray, room: np.ndarray, alone: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, units) of a least total cost that carry each row's supply to columns with room for it (successive
+    shortest paths). With ``alone`` a unit may also stay where it is at that price; without, there is room for all. Only BATCH costs,
+    or a row of them, are asked for at a time.
 
-    To stay alone is a column of its own for each row, behind the others. A free one of these was never on a path, so
-    that they are taken in order, and the first free one stands for all of them."""
+    A search goes out from a row with units left, by costs less the prices of both ends; a column that is full is left by any
+    row that it has units of. Columns of one distance are left at once. As much goes along a path as its ends and the units on
+    it allow, so that time goes with the distinct rows and columns and not with their units.
+    """
     n, m = cost.shape
-    width = m + (0 if alone is None else n)
-    u, v, row_of, taken = np.zeros(n + 1), np.zeros(width + 1), np.zeros(width + 1, np.int64), 0
-    for i in range(1, n + 1):
-        end = m + 1 + (0 if alone is None else taken + 1)
-        row_of[0], j0, path = i, 0, []
-        least, way, free = np.full(end, np.inf), np.zeros(end, np.int64), np.ones(end, bool)
-        slack = np.empty(end - 1)
-        while True:
-            free[j0], least[j0] = False, np.inf
-            path.append(j0)
-            i0 = row_of[j0]
-            slack[:m] = cost[i0 - 1]
-            slack[m:] = alone
-            slack -= u[i0]
-            slack -= v[1:end]
-            better = (slack < least[1:]) & free[1:]
-            np.copyto(least[1:], slack, where=better)
-            way[1:][better] = j0
-            j1 = int(np.argmin(least[1:])) + 1
-            delta = least[j1]
-            u[row_of[path]] += delta
-            v[path] -= delta
-            least -= delta
-            j0 = j1
-            if row_of[j0] == 0:
-                break
-        taken += j0 > m
-        while j0:
-            row_of[j0], j0 = row_of[way[j0]], way[j0]
-    out = np.full(n, -1, np.int64)
-    held = np.flatnonzero(row_of[1 : m + 1] > 0)
-    out[row_of[1:][held] - 1] = held
+    u, v, left, free = np.zeros(n), np.zeros(m), supply.astype(np.int64), room.astype(np.int64)
+    held: list[dict[int, int]] = [{} for _ in range(m)]
+    for i in range(n):  # what is nearest and has room
+        if m:
+            row = cost[np.array([i])][0]
+            u[i] = min(row.min(), np.inf if alone is None else alone)
+            for j in np.flatnonzero((row == u[i]) & (free > 0)).tolist():
+                if units := min(int(left[i]), int(free[j])):
+                    held[j][i] = units
+                    left[i] -= units
+                    free[j] -= units
+    step = max(1, BATCH // max(1, m))
+    for i in np.flatnonzero(left).tolist():
+        while left[i]:
+            least, reached, way, closed = np.full(m, np.inf), np.zeros(m), np.zeros(m, np.int64), np.zeros(m, bool)
+            at, came, batch, far, lone, stays = {i: 0.0}, {}, [i], 0.0, np.inf, i
+            while True:
+                for b in range(0, len(batch), step):
+                    part = np.array(batch[b : b + step])
+                    slack = cost[part]
+                    slack -= (u[part] - far)[:, None]
+                    slack -= v
+                    if len(part) == 1:
+                        near, by = slack[0], part[0]
+                    else:
+                        best = slack.argmin(axis=0)
+                        near, by = slack[best, np.arange(m)], part[best]
+                    better = near < least
+                    better &= ~closed
+                    np.copyto(least, near, where=better)
+                    np.copyto(way, by, where=better)
+                    if alone is not None and far + alone - u[part].max() < lone:
+                        stays = int(part[u[part].argmax()])
+                        lone = far + alone - u[stays]
+                far = least.min() if m else np.inf
+                if lone <= far:
+                    far, ends = lone, [-1]
+                    break
+                tied = np.flatnonzero(least == far)
+                ends = tied[free[tied] > 0].tolist()
+                if ends:
+                    break
+                reached[tied], closed[tied], least[tied] = far, True, np.inf
+                batch = []
+                for j in tied.tolist():
+                    for r in held[j]:
+                        if r not in at:
+                            at[r], came[r] = far, j
+                            batch.append(r)
+            for r, d in at.items():
+                u[r] += far - d
+            v[closed] -= far - reached[closed]
+            for end in ends:
+                r, j, units, path = (stays, -1, left[i], []) if end < 0 else (int(way[end]), end, min(left[i], free[end]), [])
+                while True:
+                    path.append((r, j))
+                    if r == i:
+                        break
+                    j = came[r]
+                    units = min(units, held[j].get(r, 0))
+                    path.append((r, ~j))
+                    r = int(way[j])
+                if units <= 0:
+                    continue
+                for k, (r, j) in enumerate(path):
+                    if k == 0 and end < 0:
+                        continue
+                    if k % 2 == 0:
+                        held[j][r] = held[j].get(r, 0) + int(units)
+                    elif held[~j][r] == units:
+                        del held[~j][r]
+                    else:
+                        held[~j][r] -= int(units)
+                left[i] -= units
+                if end >= 0:
+                    free[end] -= units
+    flows = sorted((i, j, x) for j, of in enumerate(held) for i, x in of.items())
+    return tuple(np.array([f[k] for f in flows], np.int64) for k in range(3))
+
+
+def assign(cost: np.ndarray | Costs, alone: float | None = None) -> np.ndarray:
+    """Column of each row of costs with no more rows than columns, of least total cost. With ``alone`` a row may also stay
+    without a column (-1) at that price."""
+    i, j, _ = transported(cost, np.ones(cost.shape[0], np.int64), np.ones(cost.shape[1], np.int64), alone)
+    out = np.full(cost.shape[0], -1, np.int64)
+    out[i] = j
     return out
 
 
 class Costs:
-    """The costs of pairs of two sides' entities, by row: a table over distinct names, and both sides' capacities."""
+    """The costs of pairs of two sides' kinds of entities, in units of CAPACITY_STEP, by rows: a table over distinct names, and
+    both sides' capacities. A vetoed pair costs more than to stay alone."""
 
     def __init__(self, names: np.ndarray, veto: np.ndarray, rows: np.ndarray, columns: np.ndarray, row_capacity: np.ndarray, column_capacity: np.ndarray):
-        self.names, self.veto, self.at, self.capacity, self.shape = names, veto, (rows, columns), (row_capacity, column_capacity), (len(rows), len(columns))
-        self.vetoed = veto.any(axis=1)
-
-    def of(self, i, j) -> np.ndarray:
-        p, q = self.at[0][i], self.at[1][j]
-        gap = np.abs(self.capacity[0][i] - self.capacity[1][j])
-        cost = np.where(np.isnan(gap), MISMATCH, self.names[p, q] + CAPACITY_STEP * gap)
-        return np.where(self.veto[p, q], 2 * UNMATCHED + 1, cost)
-
-    def __getitem__(self, i: int) -> np.ndarray:
-        p, q = self.at[0][i], self.at[1]
-        cost = np.subtract(self.capacity[1], self.capacity[0][i])
-        np.abs(cost, out=cost)
-        cost *= CAPACITY_STEP
-        cost += self.names[p].take(q)
-        np.copyto(cost, MISMATCH, where=np.isnan(cost))
-        if self.vetoed[p]:
-            np.copyto(cost, 2 * UNMATCHED + 1, where=self.veto[p].take(q))
+        self.names, self.at, self.capacity, self.shape = np.where(veto, STAY + 1, np.round(names / CAPACITY_STEP)), (rows, columns), (row_capacity, column_capacity), (len(rows), len(columns))
+        self.unknown = not (np.isfinite(row_capacity).all() and np.isfinite(column_capacity).all())
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        cost = np.abs(self.capacity[1] - self.capacity[0][i][:, None])
+        price = self.names[self.at[0][i]][:, self.at[1]]
+        if self.unknown:
+            blank = np.isnan(cost)
+            np.copyto(cost, round(MISMATCH / CAPACITY_STEP) - price, where=blank & (price <= STAY))
+            np.copyto(cost, 0.0, where=blank & (price > STAY))
+        cost += price
         return cost
 
 
@@ -121,13 +174,13 @@ def named_pairs(rows: DataFrame, key: str, whole: DataFrame | None = None) -> Da
 MATCH = "ref_id long, sys_id long, score double, status string"
 
 
-def _matched(k, left: pd.DataFrame, right: pd.DataFrame, pairs: list[tuple[int, int, float, str]], key: str) -> pd.DataFrame:
-    """Rows of the pairs (i, j, score, status), then of what neither side's pairs hold."""
-    i, j = {p[0] for p in pairs}, {p[1] for p in pairs}
-    out = [(k, left["id"].iloc[a], right["id"].iloc[b], s, kind) for a, b, s, kind in pairs]
-    out += [(k, left["id"].iloc[a], None, None, "ref_only") for a in range(len(left)) if a not in i]
-    out += [(k, None, right["id"].iloc[b], None, "sys_only") for b in range(len(right)) if b not in j]
-    return pd.DataFrame(out, columns=[key, "ref_id", "sys_id", "score", "status"]).astype({"ref_id": "Int64", "sys_id": "Int64"})
+def _matched(k, left: pd.DataFrame, right: pd.DataFrame, i: np.ndarray, j: np.ndarray, score: np.ndarray, status: np.ndarray, key: str) -> pd.DataFrame:
+    """Rows of the pairs (i, j), then of what neither side's pairs hold."""
+    rest = [np.setdiff1d(np.arange(len(side)), of) for side, of in ((left, i), (right, j))]
+    none = lambda of: pd.array([None] * len(of), "Int64")
+    ids = lambda side, of: pd.array(side["id"].to_numpy()[of], "Int64")
+    parts = [(ids(left, i), ids(right, j), score, status), (ids(left, rest[0]), none(rest[0]), np.nan, "ref_only"), (none(rest[1]), ids(right, rest[1]), np.nan, "sys_only")]
+    return pd.concat([pd.DataFrame({key: [k] * len(a), "ref_id": a, "sys_id": b, "score": pd.array(np.broadcast_to(np.asarray(s, float), len(a)), "Float64"), "status": t}) for a, b, s, t in parts], ignore_index=True)
 
 
 def _sides(table: pd.DataFrame, order: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -135,12 +188,32 @@ def _sides(table: pd.DataFrame, order: list[str]) -> tuple[pd.DataFrame, pd.Data
     return tuple(table[table["side"] == s].reset_index(drop=True) for s in ("ref", "sys"))
 
 
+def _kinds(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A side's entities in order of their kinds (name, capacity) and ids; by kind, its first place there; and its entities."""
+    kind = side.groupby(["name", "capacity"], dropna=False).ngroup().to_numpy()
+    order = np.lexsort((side["id"].to_numpy(), kind))
+    size = np.bincount(kind)
+    return order, np.cumsum(size) - size, size
+
+
+def _taken(kind: np.ndarray, other: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """How many units of its kind come before each flow's, in order of the other side's kinds."""
+    order = np.lexsort((other, kind))
+    before = np.cumsum(units[order]) - units[order]
+    first = np.diff(kind[order], prepend=-1) != 0
+    out = np.empty(len(units), np.int64)
+    out[order] = before - np.repeat(before[first], np.diff(np.append(np.flatnonzero(first), len(units))))
+    return out
+
+
 def solved(table: pd.DataFrame, pairs: pd.DataFrame, key: str) -> pd.DataFrame:
-    """One key of ``optimal_match``: its entities and its pairs of names."""
+    """One key of ``optimal_match``: its entities and its pairs of names. What is solved are kinds of entities (name, capacity)
+    and how many there are of each; entities of a kind are dealt in order of id."""
     left, right = _sides(table, ["name", "id"])
     k, n, m = table[key].iloc[0], len(left), len(right)
     if not n or not m:
-        return _matched(k, left, right, [], key)
+        none = np.zeros(0, np.int64)
+        return _matched(k, left, right, none, none, np.zeros(0), none.astype(str), key)
     names = [{x: p for p, x in enumerate(dict.fromkeys(s["name"]))} for s in (left, right)]
     score, veto = np.zeros((len(names[0]), len(names[1]))), np.zeros((len(names[0]), len(names[1])), bool)
     at = pairs["ref_name"].map(names[0]).to_numpy(), pairs["sys_name"].map(names[1]).to_numpy()
@@ -148,19 +221,19 @@ def solved(table: pd.DataFrame, pairs: pd.DataFrame, key: str) -> pd.DataFrame:
     price = np.where(score >= NAME_FUZZY, FUZZY, MISMATCH)
     for x in names[0].keys() & names[1].keys():
         price[names[0][x], names[1][x]] = 0.0
-    p, q = left["name"].map(names[0]).to_numpy(), right["name"].map(names[1]).to_numpy()
-    a, b = left["capacity"].to_numpy(float), right["capacity"].to_numpy(float)
+    (by, start, size), (by_sys, start_sys, size_sys) = _kinds(left), _kinds(right)
+    p, q = left["name"].map(names[0]).to_numpy()[by[start]], right["name"].map(names[1]).to_numpy()[by_sys[start_sys]]
+    a, b = left["capacity"].to_numpy(float)[by[start]], right["capacity"].to_numpy(float)[by_sys[start_sys]]
     # the smaller side picks a partner, or none at the price of two entities left over
-    small = Costs(price, veto, p, q, a, b) if n <= m else Costs(price.T.copy(), veto.T.copy(), q, p, b, a)
-    to = assign(small, 2 * UNMATCHED)
-    i = np.flatnonzero(to >= 0)
-    i = i[small.of(i, to[i]) <= 2 * UNMATCHED]
-    i, j = (i, to[i]) if n <= m else (to[i], i)
-    order = np.argsort(i, kind="stable")
-    i, j = i[order], j[order]
-    x, y, found = left["name"].to_numpy()[i], right["name"].to_numpy()[j], score[p[i], q[j]]
+    if n <= m:
+        i, j, units = transported(Costs(price, veto, p, q, a, b), size, size_sys, STAY)
+    else:
+        j, i, units = transported(Costs(price.T, veto.T, q, p, b, a), size_sys, size, STAY)
+    x, y, found = left["name"].to_numpy()[by[start[i]]], right["name"].to_numpy()[by_sys[start_sys[j]]], score[p[i], q[j]]
     kind = np.where(x == y, "exact", np.where(found < NAME_FUZZY, "mismatched", np.where(np.abs(a[i] - b[j]) == 0, "fuzzy", "fuzzy_diff")))
-    return _matched(k, left, right, list(zip(i.tolist(), j.tolist(), found.tolist(), kind.tolist(), strict=True)), key)
+    within = np.arange(units.sum()) - np.repeat(np.cumsum(units) - units, units)
+    each = lambda first: np.repeat(first, units) + within
+    return _matched(k, left, right, by[each(start[i] + _taken(i, j, units))], by_sys[each(start_sys[j] + _taken(j, i, units))], np.repeat(found, units), np.repeat(kind, units), key)
 
 
 def optimal_match(rows: DataFrame, key: str) -> DataFrame:
@@ -170,8 +243,8 @@ def optimal_match(rows: DataFrame, key: str) -> DataFrame:
     A pair costs nothing for equal names, FUZZY for alike ones, MISMATCH for others, with CAPACITY_STEP a unit of
     capacity between them; MISMATCH where a capacity is null; a vetoed pair more than two entities left over, at
     UNMATCHED each. Names are scored and vetoed by one plan over all keys; what a task solves is a key (a run against its
-    reference list), with a table over its distinct names in memory but no matrix over its entities. Statuses: exact, fuzzy (same capacity), fuzzy_diff, mismatched, ref_only,
-    sys_only.
+    reference list), with a table over its distinct names in memory but no matrix over its entities, in a time that goes with
+    its kinds of entities (name, capacity). Statuses: exact, fuzzy (same capacity), fuzzy_diff, mismatched, ref_only, sys_only.
     """
 
     kind = rows.schema[key].dataType.simpleString()
@@ -204,7 +277,8 @@ def phased_match(rows: DataFrame, key: str) -> DataFrame:
                 s, _, y = max(found)
                 j = free[y].pop()
                 out.append((i, j, float(s), "fuzzy_diff" if gap(i, j) > 0 else "fuzzy"))
-        return _matched(table[key].iloc[0], left, right, out, key)
+        i, j, s, status = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
+        return _matched(table[key].iloc[0], left, right, np.array(i, np.int64), np.array(j, np.int64), np.array(s, float), np.array(status, object), key)
 
     pairs = named_pairs(rest, key, rows).where(f"score >= {NAME_FUZZY} and not veto")
     kind = rows.schema[key].dataType.simpleString()

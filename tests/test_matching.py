@@ -206,3 +206,29 @@ def test_a_key_is_solved_without_a_matrix_of_its_entities():
     costs = rng.choice([0.0, 1.0, 1000.0, 20001.0], (12, 15)) + rng.integers(0, 9, (12, 15)) / 1000
     alone = matching.assign(np.hstack([costs, np.full((12, 12), 20000.0)]))
     assert matching.assign(costs, 20000.0).tolist() == np.where(alone < 15, alone, -1).tolist()
+
+
+def test_kinds_are_solved_not_entities(monkeypatch):
+    """What is asked for goes with the kinds of entities, and the total is what single units give."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        n, m = rng.integers(2, 6, 2)
+        costs, supply, room = rng.choice([0.0, 1.0, 1000.0, 20001.0], (n, m)) + rng.integers(0, 9, (n, m)) / 1000, rng.integers(1, 5, n), rng.integers(1, 5, m)
+        i, j, units = matching.transported(costs, supply, room, 20000.0)
+        assert (np.bincount(i, units, n) <= supply).all() and (np.bincount(j, units, m) <= room).all()
+        each = np.repeat(np.repeat(costs, supply, axis=0), room, axis=1)
+        to = matching.assign(each, 20000.0)
+        want = sum(each[k, x] if x >= 0 else 20000.0 for k, x in enumerate(to))
+        assert abs((costs[i, j] * units).sum() + 20000.0 * (supply.sum() - units.sum()) - want) < 1e-6
+    asked, get = [], matching.Costs.__getitem__
+    monkeypatch.setattr(matching.Costs, "__getitem__", lambda self, k: asked.append(np.size(k)) or get(self, k))
+    n, names = 1500, [f"plant {c}" for c in "abc"]
+    table = pd.DataFrame({"key": "k", "side": ["ref"] * n + ["sys"] * n, "id": range(2 * n), "name": rng.choice(names, 2 * n), "capacity": rng.integers(1, 8, 2 * n).astype(float)})
+    pairs = pd.DataFrame([("k", x, y, False, 100.0 if x == y else 80.0) for x in names for y in names], columns=["key", "ref_name", "sys_name", "veto", "score"])
+    got = matching.solved(table, pairs, "key")
+    assert sum(asked) < n and sorted(got["ref_id"]) == list(range(n)) and sorted(got["sys_id"]) == list(range(n, 2 * n))
+    side = lambda s: table[table["side"] == s].groupby(["name"]).size()
+    assert (got["status"] == "exact").sum() == sum(min(side("ref")[x], side("sys")[x]) for x in names)
